@@ -70,7 +70,8 @@ def word_count(col) -> Column:
 
 def build_prompt(col, template: str = PROMPT_TEMPLATE) -> Column:
     """Wrap the text in an instruction template (``%s`` marks the text)."""
-    return F.format_string(template, _c(col))
+    pre, post = template.split("%s", 1)
+    return F.concat(F.lit(pre), _c(col), F.lit(post))
 
 
 def extract_answer(col) -> Column:
@@ -102,7 +103,8 @@ def model_family(col) -> Column:
 
 def sentences(col) -> Column:
     """C12 rule: sentences as trimmed runs ending in . ! or ? (documented rule)."""
-    return F.filter(F.transform(F.regexp_extract_all(_c(col), F.lit(SENTENCE), 0), lambda s: F.trim(s)),
+    return F.filter(F.transform(F.regexp_extract_all(_c(col), F.lit(SENTENCE), 0),
+                                lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")),
                     lambda s: F.length(s) > 0)
 
 

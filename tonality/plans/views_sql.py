@@ -137,3 +137,29 @@ def tallies_sql(source: str, keys: list[str], truth: str = "true_label", pred: s
     extra = (", " + extra) if extra else ""
     return (f"SELECT *, {', '.join(avg)} FROM (SELECT *, {', '.join(per)} FROM "
             f"(SELECT {k}, {', '.join(cnt)}{extra} FROM {source} GROUP BY {k}))")
+
+
+def _prompt_sql(x: str) -> str:
+    from tonality.functions.text import PROMPT_TEMPLATE
+    pre, post = PROMPT_TEMPLATE.split("%s")
+    return f"({_lit(pre)} || {x} || {_lit(post)})"
+
+
+def _gen_view() -> str:
+    from tonality.sources.tables import GENERATED_ANSWERS
+    answers = "[" + ", ".join(_lit(a) for a in GENERATED_ANSWERS) + "]"
+    h = H("'gen:' || CAST(doc_id AS VARCHAR)")
+    return (f"SELECT doc_id AS sample_id, CASE WHEN {h} % 5 = 0 THEN text "
+            f"ELSE {_prompt_sql('text')} || {answers}[CAST({h} % 4 AS INTEGER) + 1] END AS generated FROM documents")
+
+
+VIEWS["generations"] = _gen_view()
+VIEWS["aspects"] = f"""
+SELECT sample_id, text AS Title,
+  CASE {H("'asp:' || CAST(sample_id AS VARCHAR)")} % 8
+    WHEN 0 THEN '{{}}'
+    WHEN 1 THEN '{{''ENT_A'': '
+    WHEN 2 THEN '{{''ENT_A'': ''bullish'', ''ENT_B'': ''' || lower(labeler_2) || '''}}'
+    WHEN 3 THEN '{{''ENT_A'': ''' || lower(labeler_1) || '''}}'
+    ELSE '{{''ENT_A'': ''' || lower(labeler_1) || ''', ''ENT_B'': ''' || lower(labeler_2) || '''}}' END AS Decisions
+FROM annotations"""

@@ -179,3 +179,33 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min_by("o_totalprice", "o_orderkey").alias("open"),
         F.max_by("o_totalprice", "o_orderkey").alias("close"),
         F.count(F.lit(1)).alias("volume"))
+
+
+# Answers a generative model might return (with and without the
+# expected words) for the instruction prompt.
+GENERATED_ANSWERS = ["Positive", " negative ", "neutral.", "Mostly positive I think"]
+
+
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample_id, generated): prompt + answer per document; every fifth-by-hash
+    row is the bare text (no ``Answer: `` marker)."""
+    from tonality.functions.text import build_prompt
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    h = hash32("gen", F.col("doc_id"))
+    ans = F.element_at(F.array(*[F.lit(a) for a in GENERATED_ANSWERS]), (h % 4 + 1).cast("int"))
+    gen = F.when(h % 5 == 0, F.col("text")).otherwise(F.concat(build_prompt("text"), ans))
+    return docs.select(F.col("doc_id").alias("sample_id"), gen.alias("generated"))
+
+
+def aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample_id, Title, Decisions): an aspect corpus whose decisions are a
+    single-quoted map text (unanimous, conflicting, empty, malformed, unknown)."""
+    ann = annotations(spark, sf_dir)
+    h = hash32("asp", F.col("sample_id")) % 8
+    l1, l2 = F.lower("labeler_1"), F.lower("labeler_2")
+    full = F.concat(F.lit("{'ENT_A': '"), l1, F.lit("', 'ENT_B': '"), l2, F.lit("'}"))
+    dec = (F.when(h == 0, F.lit("{}")).when(h == 1, F.lit("{'ENT_A': "))
+           .when(h == 2, F.concat(F.lit("{'ENT_A': 'bullish', 'ENT_B': '"), l2, F.lit("'}")))
+           .when(h == 3, F.concat(F.lit("{'ENT_A': '"), l1, F.lit("'}")))
+           .otherwise(full))
+    return ann.select("sample_id", F.col("text").alias("Title"), dec.alias("Decisions"))
