@@ -30,28 +30,30 @@ def replace_keyword_variants(df: DataFrame, pattern: str, replacements: list[str
     return out.withColumn(text, F.regexp_replace(F.col(text), F.lit("(?iU)" + pattern), F.col("replacement")))
 
 
-def _delete_one(ws: Column, pos: Column) -> Column:
-    return F.filter(ws, lambda w, j: j != pos)
+def _drop_one(ws: Column, drop: Column) -> Column:
+    """``ws`` without position ``drop``, joined with a space; ``drop`` must be a
+    precomputed value (a lambda does not share sub-expressions with its row)."""
+    return F.array_join(F.filter(ws, lambda w, j: j != drop), " ")
 
 
 def random_deletion_sentence(df: DataFrame, seed: int = 0, text: str = "text", key: str = "sample_id") -> DataFrame:
     """G1: in every sentence with more than one word delete one word chosen by
     hash(seed, key, sentence position); sentences re-joined with a space."""
-    def per_sentence(s, i):
-        ws = words(s)
-        n = F.size(ws)
-        drop = (hash32(seed, F.col(key), i) % n).cast("int")
-        return F.when(n > 1, F.array_join(_delete_one(ws, drop), " ")).otherwise(F.array_join(ws, " "))
-    return df.withColumn(text, F.array_join(F.transform(sentences(text), per_sentence), " "))
+    per = F.transform(F.transform(sentences(text), lambda s: words(s)),
+                      lambda ws, i: F.struct(ws.alias("ws"), (hash32(seed, F.col(key), i) % F.size(ws))
+                                             .cast("int").alias("drop")))
+    out = F.transform("_sent", lambda x: F.when(F.size(x["ws"]) > 1, _drop_one(x["ws"], x["drop"]))
+                      .otherwise(F.array_join(x["ws"], " ")))
+    return df.withColumn("_sent", per).withColumn(text, F.array_join(out, " ")).drop("_sent")
 
 
 def random_deletion_text(df: DataFrame, seed: int = 0, text: str = "text", key: str = "sample_id") -> DataFrame:
     """Delete one word of the whole text; texts of at most one word stay as
     they are; the rest is joined with a space (the reference glued words, T9)."""
-    ws = words(text)
-    n = F.size(ws)
-    drop = (hash32(seed, F.col(key)) % n).cast("int")
-    return df.withColumn(text, F.when(n > 1, F.array_join(_delete_one(ws, drop), " ")).otherwise(F.col(text)))
+    t = df.withColumn("_ws", words(text))
+    t = t.withColumn("_drop", (hash32(seed, F.col(key)) % F.size("_ws")).cast("int"))
+    return t.withColumn(text, F.when(F.size("_ws") > 1, _drop_one(F.col("_ws"), F.col("_drop")))
+                        .otherwise(F.col(text))).drop("_ws", "_drop")
 
 
 def _lookup_map(spark, antonyms) -> Column | None:
@@ -64,22 +66,22 @@ def _lookup_map(spark, antonyms) -> Column | None:
     return literal_map({r["word"].lower(): r["antonym"] for r in rows})
 
 
-def _negation_fold(tokens: Column, ant: Column) -> Column:
-    """Left-to-right rule: a negation followed by a word emits the word's antonym
-    (``ant``: aligned array, null = no antonym) and consumes both; a trailing
-    negation is kept."""
-    n = F.size(tokens)
-    items = F.transform(tokens, lambda t, i: F.struct(t.alias("tok"), (i == n - 1).alias("last"),
-                                                       F.coalesce(F.element_at(ant, i + 1), t).alias("ant")))
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("pending"))
+# A negation followed by a token, matched left to right without overlap (the
+# reference's rule: the pair is consumed, a trailing negation stays).
+_NEG_PAIR = r"(?<![^ ])(?:not|n't) ([^ ]+)"
+_MARK = "\u0001"
 
-    def step(acc, x):
-        is_neg = x["tok"].isin(*NEGATIONS)
-        return (F.when(acc["pending"], F.struct(F.array_append(acc["out"], x["ant"]).alias("out"),
-                                                F.lit(False).alias("pending")))
-                .when(is_neg & ~x["last"], F.struct(acc["out"].alias("out"), F.lit(True).alias("pending")))
-                .otherwise(F.struct(F.array_append(acc["out"], x["tok"]).alias("out"), F.lit(False).alias("pending"))))
-    return F.aggregate(items, init, step, lambda acc: F.array_join(acc["out"], " "))
+
+def _marked_tokens(text: str) -> Column:
+    """Tokens joined by spaces, each negated token prefixed by a marker and its
+    negation removed; one linear regex pass."""
+    joined = F.array_join(tokenize_words(text), " ")
+    return F.split(F.regexp_replace(joined, _NEG_PAIR, _MARK + "$1"), " ")
+
+
+def _resolve(tok: Column, antonym: Column) -> Column:
+    word = F.substring(tok, 2, 1 << 30)
+    return F.when(tok.startswith(_MARK), F.coalesce(antonym, word)).otherwise(tok)
 
 
 def negation_antonym(df: DataFrame, antonyms, text: str = "text", key: str = "sample_id") -> DataFrame:
@@ -87,21 +89,21 @@ def negation_antonym(df: DataFrame, antonyms, text: str = "text", key: str = "sa
 
     ``antonyms`` is a dict or a ``(word, antonym)`` table.  A table within
     ``MAX_INLINE_LOOKUP`` pairs becomes a map literal (a projection, no shuffle);
-    a larger one is joined on the word after the tokens are exploded and the
-    tokens are regrouped per text (one group = one text)."""
-    toks = tokenize_words(text)
+    a larger one is joined with the negated tokens only, which are then put
+    back per text (one group = one text)."""
+    marked = _marked_tokens(text)
     amap = _lookup_map(df.sparkSession, antonyms)
     if amap is not None:
-        ant = F.transform(toks, lambda t: F.try_element_at(amap, F.lower(t)))
-        return df.withColumn(text, _negation_fold(toks, ant))
-    exploded = df.select(key, F.posexplode_outer(toks).alias("_pos", "_tok"))
+        out = F.transform(marked, lambda t: _resolve(t, F.try_element_at(amap, F.lower(F.substring(t, 2, 1 << 30)))))
+        return df.withColumn(text, F.array_join(out, " "))
+    t = df.withColumn("_m", marked)
+    ex = t.select(key, F.posexplode("_m").alias("_pos", "_tok")).where(F.col("_tok").startswith(_MARK))
     lk = antonyms.select(F.lower("word").alias("_lw"), F.col("antonym").alias("_ant"))
-    j = exploded.join(lk, F.lower(exploded["_tok"]) == lk["_lw"], "left")
-    g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct(
-        "_pos", "_tok", "_ant")))).alias("_t"))
-    folded = g.select(key, _negation_fold(F.transform("_t", lambda x: x["_tok"]),
-                                          F.transform("_t", lambda x: x["_ant"])).alias("_new"))
-    return df.join(folded, key, "left").withColumn(text, F.coalesce("_new", F.lit(""))).drop("_new")
+    hits = ex.join(lk, F.lower(F.substring("_tok", 2, 1 << 30)) == lk["_lw"], "inner")
+    g = hits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_ant"))).alias("_amap"))
+    j = t.join(g, key, "left")
+    out = F.transform("_m", lambda tok, i: _resolve(tok, F.try_element_at(F.col("_amap"), i)))
+    return j.withColumn(text, F.array_join(out, " ")).drop("_m", "_amap")
 
 
 def keyword_mask(df: DataFrame, words_: list[str], p: float = 0.35, seed: int = 0, text: str = "text",
@@ -126,17 +128,17 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", first_id: int = 3) -> Dat
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, max_len: int = 512, tokens: str = "tokens",
-                  key: str = "sample_id") -> DataFrame:
+                  key: str = "sample_id", keep: tuple = ()) -> DataFrame:
     """C14 encoding: the first ``max_len`` tokens -> ids (unknown -> 1), padded
     with 0 to ``max_len``, with an attention mask.  Only the kept prefix is
     exploded and joined; a regrouped row holds at most ``max_len`` ids."""
-    ex = df.select(key, F.posexplode_outer(F.slice(tokens, 1, max_len)).alias("pos", "token"))
+    ex = df.select(key, *keep, F.posexplode_outer(F.slice(tokens, 1, max_len)).alias("pos", "token"))
     j = ex.join(vocab.select("token", "token_id"), "token", "left")
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))
-    g = j.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_ids"))
+    g = j.groupBy(key, *keep).agg(F.sort_array(F.collect_list(item)).alias("_ids"))
     ids = F.transform("_ids", lambda x: x["id"].cast("int"))
     pad = F.lit(max_len) - F.size(ids)
-    return g.select(key, F.size(ids).alias("n_tokens"),
+    return g.select(key, *keep, F.size(ids).alias("n_tokens"),
                     F.concat(ids, F.array_repeat(F.lit(PAD_ID), pad)).alias("input_ids"),
                     F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), pad)).alias("attention_mask"))
 

@@ -16,7 +16,14 @@ RUN = ["model", "model_type", "dataset"]
 LABELS = [0, 1, 2]
 # Class names of the canonical space, in label order.
 LABEL_NAMES = ["negative", "neutral", "positive"]
-T, P = F.col("true_label"), F.col("predicted_label")
+
+
+def _t() -> Column:
+    return F.col("true_label")
+
+
+def _p() -> Column:
+    return F.col("predicted_label")
 
 
 def argmax_label(preds: DataFrame, logits: str = "logits", out: str = "raw_label") -> DataFrame:
@@ -45,7 +52,9 @@ def attach_predictions(samples: DataFrame, preds: DataFrame, keys=("dataset", "s
     return preds.join(samples, keys, "inner")
 
 
-def _label_counts(keys: list[str], truth: Column = T, pred: Column = P) -> list[Column]:
+def _label_counts(keys: list[str], truth: Column | None = None, pred: Column | None = None) -> list[Column]:
+    truth = _t() if truth is None else truth
+    pred = _p() if pred is None else pred
     aggs = [F.count(F.lit(1)).alias("n"), F.count_if(truth == pred).alias("n_correct")]
     for k in LABELS:
         aggs += [F.count_if((truth == k) & (pred == k)).alias(f"tp_{k}"),
@@ -69,12 +78,12 @@ def _per_class(df: DataFrame) -> DataFrame:
     return df.withColumn("accuracy", safe_ratio(F.col("n_correct"), F.col("n")))
 
 
-def label_tallies(preds: DataFrame, keys=RUN, truth: Column = T, pred: Column = P) -> DataFrame:
+def label_tallies(preds: DataFrame, keys=RUN, truth: Column | None = None, pred: Column | None = None) -> DataFrame:
     """One aggregate per run with every count the metric operators need."""
     return _per_class(preds.groupBy(*keys).agg(*_label_counts(list(keys), truth, pred)))
 
 
-def overall_metrics(preds: DataFrame, keys=RUN, truth: Column = T, pred: Column = P) -> DataFrame:
+def overall_metrics(preds: DataFrame, keys=RUN, truth: Column | None = None, pred: Column | None = None) -> DataFrame:
     """H3: accuracy and macro precision / recall / F1 per run.
 
     Macro averages cover the labels seen in truth or prediction (0 when undefined)."""
@@ -86,7 +95,7 @@ def overall_metrics(preds: DataFrame, keys=RUN, truth: Column = T, pred: Column
 def confusion_matrix(preds: DataFrame, keys=RUN) -> DataFrame:
     """H4: 3 x 3 counts over labels 0, 1, 2 per run, zero-filled (conditional counts
     in one aggregate, then unpivoted: no grid join)."""
-    cells = [F.count_if((T == t) & (P == p)).alias(f"c_{t}_{p}") for t in LABELS for p in LABELS]
+    cells = [F.count_if((_t() == t) & (_p() == p)).alias(f"c_{t}_{p}") for t in LABELS for p in LABELS]
     wide = preds.groupBy(*keys).agg(*cells)
     rows = F.array(*[F.struct(F.lit(t).alias("true_label"), F.lit(p).alias("predicted_label"),
                               F.col(f"c_{t}_{p}").alias("n")) for t in LABELS for p in LABELS])
@@ -121,7 +130,7 @@ def with_confidence(preds: DataFrame, softmax: bool = False) -> DataFrame:
 
 def misclassified(preds: DataFrame) -> DataFrame:
     """H6: rows whose prediction differs from the truth."""
-    return preds.where(T != P)
+    return preds.where(_t() != _p())
 
 
 # The error slices the reference writes out.
@@ -132,27 +141,27 @@ def error_direction(preds: DataFrame) -> DataFrame:
     """H7: the pos->neg, neg->pos and neu->pos slices, tagged."""
     tag = F.lit(None).cast("string")
     for name, t, p in reversed(ERROR_DIRECTIONS):
-        tag = F.when((T == t) & (P == p), name).otherwise(tag)
+        tag = F.when((_t() == t) & (_p() == p), name).otherwise(tag)
     return preds.withColumn("direction", tag).where(F.col("direction").isNotNull())
 
 
 def big_error_counts(preds: DataFrame, keys=RUN) -> DataFrame:
     """H8: number of 2 -> 0 and 0 -> 2 errors per run."""
-    return preds.groupBy(*keys).agg(F.count_if((T == 2) & (P == 0)).alias("pos_to_neg"),
-                                    F.count_if((T == 0) & (P == 2)).alias("neg_to_pos"))
+    return preds.groupBy(*keys).agg(F.count_if((_t() == 2) & (_p() == 0)).alias("pos_to_neg"),
+                                    F.count_if((_t() == 0) & (_p() == 2)).alias("neg_to_pos"))
 
 
 def error_transitions(preds: DataFrame, keys=RUN) -> DataFrame:
     """H9: the six off-diagonal counts plus true and predicted label counts."""
-    aggs = [F.count_if((T == t) & (P == p)).alias(f"n_{t}_to_{p}") for t in LABELS for p in LABELS if t != p]
-    aggs += [F.count_if(T == k).alias(f"true_{k}") for k in LABELS]
-    aggs += [F.count_if(P == k).alias(f"pred_{k}") for k in LABELS]
+    aggs = [F.count_if((_t() == t) & (_p() == p)).alias(f"n_{t}_to_{p}") for t in LABELS for p in LABELS if t != p]
+    aggs += [F.count_if(_t() == k).alias(f"true_{k}") for k in LABELS]
+    aggs += [F.count_if(_p() == k).alias(f"pred_{k}") for k in LABELS]
     return preds.groupBy(*keys).agg(*aggs)
 
 
 def false_pos_neg(preds: DataFrame, cls: int = 0) -> DataFrame:
     """One-vs-rest false positives and false negatives for one class."""
-    kind = F.when((T != cls) & (P == cls), "false_positive").when((T == cls) & (P != cls), "false_negative")
+    kind = F.when((_t() != cls) & (_p() == cls), "false_positive").when((_t() == cls) & (_p() != cls), "false_negative")
     return preds.withColumn("kind", kind).where(F.col("kind").isNotNull())
 
 
@@ -211,7 +220,7 @@ def length_error_rate(preds: DataFrame, keys=RUN, mode: str = "same",
     j = w.join(cuts, list(keys))
     err_band = _band(F.col("text_length"), F.col("short_cut"), F.col("medium_cut"))
     den_band = err_band if mode == "same" else _band(F.col("text_length"), F.lit(fixed[0]), F.lit(fixed[1]))
-    err = T != P
+    err = _t() != _p()
     aggs = []
     for b in ("short", "medium", "long"):
         aggs.append((F.count_if(err & (err_band == b)) * 100.0).alias(f"_e_{b}"))
@@ -265,7 +274,7 @@ def error_term_frequency(preds: DataFrame, stopwords: list[str], k: int = 20, wh
 
     Stop words are a literal set filtered inside the projection; counts use a
     partial aggregate; the top-k window is planned as a map-side group limit."""
-    errs = misclassified(preds) if which == "misclassified" else preds.where((T == 0) & (P == 2))
+    errs = misclassified(preds) if which == "misclassified" else preds.where((_t() == 0) & (_p() == 2))
     stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
     terms = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0), lambda t: ~F.array_contains(stop, t))
     counts = errs.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(
@@ -278,8 +287,8 @@ def two_stage_refine(primary: DataFrame, secondary: DataFrame, key: str = "sampl
     """Where stage 1 says positive (2), stage 2 decides: 0 -> neutral (1),
     1 -> positive (2); otherwise, or without a stage-2 answer, unchanged."""
     j = primary.join(secondary.select(key, "secondary_label"), key, "left")
-    refined = (F.when((P == 2) & (F.col("secondary_label") == 0), 1)
-               .when((P == 2) & (F.col("secondary_label") == 1), 2).otherwise(P))
+    refined = (F.when((_p() == 2) & (F.col("secondary_label") == 0), 1)
+               .when((_p() == 2) & (F.col("secondary_label") == 1), 2).otherwise(_p()))
     return j.withColumn("refined_label", refined.cast("int"))
 
 
@@ -287,9 +296,9 @@ def refine_impact(refined: DataFrame, keys=RUN) -> DataFrame:
     """Metrics before and after refinement, changes, and changes that became right."""
     before = _per_class(refined.groupBy(*keys).agg(
         *_label_counts(list(keys)),
-        F.count_if(P != F.col("refined_label")).alias("n_changed"),
-        F.count_if((P != F.col("refined_label")) & (F.col("refined_label") == T)).alias("n_fixed")))
-    after = label_tallies(refined, keys, T, F.col("refined_label"))
+        F.count_if(_p() != F.col("refined_label")).alias("n_changed"),
+        F.count_if((_p() != F.col("refined_label")) & (F.col("refined_label") == _t())).alias("n_fixed")))
+    after = label_tallies(refined, keys, _t(), F.col("refined_label"))
     return before.select(*keys, "n", "n_changed", "n_fixed", F.col("accuracy").alias("accuracy_before"),
                          F.col("macro_f1").alias("f1_before")).join(
         after.select(*keys, F.col("accuracy").alias("accuracy_after"), F.col("macro_f1").alias("f1_after")),
@@ -315,7 +324,7 @@ def cross_entropy_and_focal(preds: DataFrame, alpha: float = 1.0, gamma: float =
     CE = -ln p and focal = -alpha (1 - p)^gamma ln p."""
     m = F.array_max("logits")
     z = F.aggregate("logits", F.lit(0.0), lambda acc, x: acc + F.exp(x - m))
-    p = F.greatest(F.exp(F.element_at("logits", T + 1) - m) / z, F.lit(1e-9))
+    p = F.greatest(F.exp(F.element_at("logits", _t() + 1) - m) / z, F.lit(1e-9))
     return (preds.withColumn("p_true", p)
             .withColumn("ce", -F.log(F.col("p_true")))
             .withColumn("focal", -F.lit(alpha) * F.pow(1 - F.col("p_true"), F.lit(gamma)) * F.log(F.col("p_true"))))

@@ -3,6 +3,6 @@
 
 def load_all():
     """Import every query module so that it registers its queries."""
-    from tonality.plans import cleaning, evaluation  # noqa: F401
+    from tonality.plans import augmentation, cleaning, evaluation  # noqa: F401
     from tonality.plans.registry import REGISTRY
     return REGISTRY

@@ -209,3 +209,14 @@ def aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(h == 3, F.concat(F.lit("{'ENT_A': '"), l1, F.lit("'}")))
            .otherwise(full))
     return ann.select("sample_id", F.col("text").alias("Title"), dec.alias("Decisions"))
+
+
+def translation_memories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(src, tgt) tables for the two translation hops (en -> fr, fr -> en), each
+    covering about nine in ten documents; one target per source text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = docs.where(hash32("tm1", F.col("doc_id")) % 10 != 0).groupBy(F.col("text").alias("src")).agg(
+        F.min(F.concat(F.lit("[fr] "), F.col("text"))).alias("tgt"))
+    back = docs.where(hash32("tm2", F.col("doc_id")) % 10 != 0).groupBy(
+        F.concat(F.lit("[fr] "), F.col("text")).alias("src")).agg(F.min(F.concat(F.col("text"), F.lit(" [en]"))).alias("tgt"))
+    return out, back
