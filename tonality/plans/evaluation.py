@@ -218,15 +218,21 @@ def q_length_band_errors_fixed(spark, d):
         *ev.RUN, "sample_id", "true_label", "predicted_label", "text_length", "band")
 
 
-def _rate_sql() -> str:
+def _rate_parts() -> str:
     parts = []
     for b in ("short", "medium", "long"):
         parts.append(f"SELECT {RUN}, {r6('short_cut')} AS short_cut, {r6('medium_cut')} AS medium_cut, '{b}' AS band, "
                      f"{r6(f'coalesce(count_if(true_label <> predicted_label AND band = {chr(39)}{b}{chr(39)}) * 100.0 '
                            f'/ nullif(count_if(band = {chr(39)}{b}{chr(39)}), 0), 0.0)')} AS error_rate, "
                      f"count_if(band = '{b}') AS n_rows FROM j GROUP BY {RUN}, short_cut, medium_cut")
-    return with_views(" UNION ALL ".join(parts), "predictions", extra={
-        **_LEN, "j": f"SELECT *, {_BAND} AS band FROM w JOIN cuts USING (model, model_type, dataset)"})
+    return " UNION ALL ".join(parts)
+
+
+_RATE_CTES = {**_LEN, "j": f"SELECT *, {_BAND} AS band FROM w JOIN cuts USING (model, model_type, dataset)"}
+
+
+def _rate_sql() -> str:
+    return with_views(_rate_parts(), "predictions", extra=_RATE_CTES)
 
 
 @register("length_error_rate", _rate_sql())

@@ -78,14 +78,16 @@ def path_level(col: str, level_from_end: int) -> F.Column:
     return F.element_at(parts, -(level_from_end + 1))
 
 
+def write_result_documents(results: DataFrame, root: str, keys=("model_type", "model", "dataset")) -> None:
+    """One JSON document per run under ``<root>/model_type=../model=../dataset=..``."""
+    results.repartition(*keys).write.mode("overwrite").partitionBy(*keys).json(root)
+
+
 def read_result_documents(spark: SparkSession, root: str) -> DataFrame:
-    """One JSON document per run; run keys come from the folder path
-    ``<root>/<model_type>/<model>/<dataset>/<file>.json``."""
-    df = spark.read.schema(RESULTS_SCHEMA).option("multiLine", True).json(f"{root}/*/*/*/*.json")
-    p = F.col("_metadata.file_path")
-    return df.select("*", p.alias("_path")).select(
-        F.url_decode(path_level("_path", 2)).alias("model"), path_level("_path", 3).alias("model_type"),
-        path_level("_path", 1).alias("dataset"), "Type", "model_name", "eval_dataset", "results")
+    """One JSON document per file with a declared nested schema; the run keys
+    come from the folder names (partition discovery, so a filter on them prunes
+    folders)."""
+    return spark.read.schema(RESULTS_SCHEMA).option("multiLine", True).json(root)
 
 
 REPORT_ROW = r"^\s*(negative|neutral|positive|macro avg|weighted avg)\s+([0-9.]+)\s+([0-9.]+)\s+([0-9.]+)\s+([0-9]+)\s*$"
