@@ -337,6 +337,13 @@ def q_consensus_all_agree(spark, d):
     return LB.consensus_subset(LB.consensus_label(tb.annotations(spark, d)), 4)
 
 
+@register("consensus_subset", with_views(
+    "SELECT sample_id, text, agreement AS label FROM c WHERE consensus_count >= 3", "annotations", extra={"c": _CONS}))
+def q_consensus_subset(spark, d):
+    """The consensus subset at the 75 % level (3 of 4 annotators)."""
+    return LB.consensus_subset(LB.consensus_label(tb.annotations(spark, d)), 3)
+
+
 @register("consensus_75", with_views(
     "SELECT sample_id, text, agreement AS label FROM c WHERE consensus_count >= 3", "annotations", extra={"c": _CONS}))
 def q_consensus_75(spark, d):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tonality.operators import evaluate as ev
 from tonality.plans.registry import r6, register
-from tonality.plans.views_sql import tallies_sql, with_views
+from tonality.plans.views_sql import H, tallies_sql, with_views
 from tonality.sources import tables as tb
 
 RUN = "model, model_type, dataset"
@@ -428,3 +428,31 @@ LEFT JOIN (SELECT CAST(CASE WHEN (mx - mn) / 50 = 0 THEN 0
 def q_length_histogram(spark, d):
     """50-bin histogram of the log-scaled text length."""
     return ev.length_histogram(ev.length_features(tb.labeled_text(spark, d)), "text_length_log", 50)
+
+
+# ---- H29: attention statistics ---------------------------------------------------------
+_ATT = {"att": f"""
+SELECT vec_id AS sample_id, CAST(i // 16 AS INTEGER) AS layer, CAST((i % 16) // 4 AS INTEGER) AS query_pos,
+       CAST(i % 4 AS INTEGER) AS key_pos, abs(CAST(w AS DOUBLE)) AS weight,
+       {H("'tgt:' || CAST(vec_id AS VARCHAR) || ':' || CAST(i % 4 AS VARCHAR)")} % 3 = 0
+         AS is_target
+FROM (SELECT vec_id, unnest(embedding) AS w, unnest(generate_series(0, len(embedding) - 1)) AS i FROM embeddings)""",
+        "ratios": """
+SELECT c.sample_id, c.layer, c.col_sum / m.total AS ratio
+FROM (SELECT sample_id, layer, key_pos, sum(weight) AS col_sum FROM att WHERE is_target GROUP BY ALL) c
+JOIN (SELECT sample_id, layer, sum(weight) AS total FROM att GROUP BY ALL) m USING (sample_id, layer)
+WHERE m.total > 0"""}
+
+
+@register("layer_attention_stats", with_views(f"""
+SELECT t.layer, coalesce(s.n_targets, 0) AS n_targets, {r6('coalesce(s.mean_ratio, 0.0)')} AS mean_ratio,
+       {r6('CASE WHEN s.n_targets IS NULL THEN 0.0 ELSE s.std_ratio END')} AS std_ratio,
+       {r6('CASE WHEN s.n_targets IS NULL THEN 0.0 ELSE s.mean_ratio + 2 * s.std_ratio END')} AS threshold,
+       {r6('t.avg_target_weight')} AS avg_target_weight, {r6('t.avg_other_weight')} AS avg_other_weight
+FROM (SELECT layer, avg(CASE WHEN is_target THEN weight END) AS avg_target_weight,
+             avg(CASE WHEN NOT is_target THEN weight END) AS avg_other_weight FROM att GROUP BY layer) t
+LEFT JOIN (SELECT layer, avg(ratio) AS mean_ratio, stddev_samp(ratio) AS std_ratio, count(*) AS n_targets
+           FROM ratios GROUP BY layer) s USING (layer)""", extra=_ATT))
+def q_layer_attention_stats(spark, d):
+    """Per layer, mean / std / threshold of the attention share on target tokens."""
+    return ev.layer_attention_stats(tb.attention(spark, d))

@@ -220,3 +220,15 @@ def translation_memories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
     back = docs.where(hash32("tm2", F.col("doc_id")) % 10 != 0).groupBy(
         F.concat(F.lit("[fr] "), F.col("text")).alias("src")).agg(F.min(F.concat(F.col("text"), F.lit(" [en]"))).alias("tgt"))
     return out, back
+
+
+def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample_id, layer, query_pos, key_pos, weight, is_target): head-averaged
+    attention read off the 64-value embedding as 4 layers of 4 x 4 matrices;
+    target key positions are chosen per sample by hash."""
+    emb = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    ex = emb.select("vec_id", F.posexplode("embedding").alias("i", "w"))
+    return ex.select(F.col("vec_id").alias("sample_id"), (F.col("i") / 16).cast("int").alias("layer"),
+                     ((F.col("i") % 16) / 4).cast("int").alias("query_pos"), (F.col("i") % 4).alias("key_pos"),
+                     F.abs(F.col("w").cast("double")).alias("weight"),
+                     (hash32("tgt", F.col("vec_id"), F.col("i") % 4) % 3 == 0).alias("is_target"))
