@@ -117,13 +117,17 @@ def keyword_mask(df: DataFrame, words_: list[str], p: float = 0.35, seed: int =
 
 
 def lower_tokens(text: str = "text") -> Column:
-    return F.transform(tokenize_words(text), lambda t: F.lower(t))
+    """Tokens of the lower-cased text (as an uncased tokenizer does)."""
+    return tokenize_words(F.lower(text))
 
 
 def build_vocab(df: DataFrame, tokens: str = "tokens", first_id: int = 3) -> DataFrame:
     """C14 vocabulary: every token of every text counted (partial aggregate),
     ids dense from ``first_id`` by (count desc, token) without a one-task window."""
-    counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # explode_outer + not-null: a plain explode makes Catalyst infer a size(tokens) > 0
+    # filter and push it (the whole tokenising regex) below any repartition
+    counts = (df.select(F.explode_outer(tokens).alias("token")).where(F.col("token").isNotNull())
+              .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     return dense_index(counts, [F.desc("n"), F.asc("token")], "token_id", start=first_id)
 
 

@@ -186,6 +186,10 @@ def low_confidence_fixed(preds: DataFrame, threshold: float = 0.6) -> DataFrame:
 
 
 def _with_length(preds: DataFrame) -> DataFrame:
+    """Word count per row; reused when the table already carries it (computed
+    once per sample before the runs were attached)."""
+    if "text_length" in preds.columns:
+        return preds
     return preds.withColumn("text_length", word_count("text"))
 
 
@@ -269,16 +273,21 @@ TERM = r"[\p{L}\p{N}_][\p{L}\p{N}_']+"
 
 
 def error_term_frequency(preds: DataFrame, stopwords: list[str], k: int = 20, which: str = "misclassified",
-                         keys=RUN) -> DataFrame:
+                         keys=RUN, key: str = "sample_id") -> DataFrame:
     """Term counts over misclassified (or neg->pos) texts, top k per run.
 
-    Stop words are a literal set filtered inside the projection; counts use a
-    partial aggregate; the top-k window is planned as a map-side group limit."""
-    errs = misclassified(preds) if which == "misclassified" else preds.where((_t() == 0) & (_p() == 2))
-    stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
-    terms = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0), lambda t: ~F.array_contains(stop, t))
-    counts = errs.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(
-        F.count(F.lit(1)).alias("n"))
+    Every run of a sample shares its text, so each erroneous sample is
+    tokenised once: per-sample term counts (partial aggregate) are joined to the
+    (run, sample) error pairs and summed per run.  Stop words are a literal
+    ``IN`` set after the explode (codegen); the top-k window is planned with a
+    map-side group limit."""
+    errs = (misclassified(preds) if which == "misclassified" else preds.where((_t() == 0) & (_p() == 2)))
+    pairs = errs.select(*keys, key)
+    texts = preds.select(key, "text").distinct().join(pairs.select(key).distinct(), key, "left_semi")
+    terms = (texts.select(key, F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0)).alias("term"))
+             .where(F.col("term").isNotNull() & ~F.col("term").isin(sorted(set(stopwords))))
+             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n_in_text")))
+    counts = pairs.join(terms, key).groupBy(*keys, "term").agg(F.sum("n_in_text").alias("n"))
     w = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc("term"))
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -93,7 +93,7 @@ def q_keyword_mask(spark, d):
 
 MAX_LEN = 32
 _ENC = {
-    "t": f"SELECT sample_id, dataset, list_transform({TOKS}, lambda x: lower(x)) AS toks FROM labeled_text",
+    "t": f"SELECT sample_id, dataset, {TOKS.replace('replace(text,', 'replace(lower(text),')} AS toks FROM labeled_text",
     "vocab": "SELECT token, row_number() OVER (ORDER BY n DESC, token) + 2 AS token_id FROM "
              "(SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM t) GROUP BY token)",
     "e": f"SELECT sample_id, unnest(list_slice(toks, 1, {MAX_LEN})) AS token, "

@@ -223,7 +223,8 @@ FROM (SELECT doc_id AS sample_id,
 def q_split_sentences(spark, d):
     """One row per sentence with its position."""
     return tb.read(spark, d, "documents").select(
-        F.col("doc_id").alias("sample_id"), F.posexplode(X.sentences("text")).alias("pos", "sentence"))
+        F.col("doc_id").alias("sample_id"), F.posexplode_outer(X.sentences("text")).alias("pos", "sentence")).where(
+        F.col("sentence").isNotNull())
 
 
 _TOK_SQL = ("regexp_extract_all(replace(text, 'n''t', ' n''t'), "

@@ -61,12 +61,13 @@ SELECT r.model, r.model_type, {_ds('e.vec_id')} AS dataset, e.vec_id AS sample_i
 FROM embeddings e CROSS JOIN (VALUES {_RUNS}) r(run_idx, model, model_type)"""
 
 VIEWS["predictions"] = f"""
-SELECT model, model_type, dataset, sample_id, text, true_label, logits,
+SELECT model, model_type, dataset, sample_id, text, text_length, true_label, logits,
        CAST({_REMAP} AS INTEGER) AS predicted_label
 FROM (
   SELECT *, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS raw, {_FAMILY} AS fam
   FROM (
     SELECT r.model, r.model_type, {_ds('e.vec_id')} AS dataset, e.vec_id AS sample_id, d.text,
+           CAST(len(regexp_extract_all(d.text, '\\S+')) AS INTEGER) AS text_length,
            CAST(e.label % 3 AS INTEGER) AS true_label,
            CAST(list_slice(e.embedding, 3 * r.run_idx + 1, 3 * r.run_idx + 3) AS DOUBLE[]) AS logits
     FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonality.functions.hashing import hash32
+from tonality.session import spread_small_input
 from tonality.functions.labels import argmax, remap_prediction
-from tonality.functions.text import model_family
+from tonality.functions.text import model_family, word_count
 
 # The evaluation run grid (model x model type) and dataset names.
 MODELS = [
@@ -41,8 +42,13 @@ def run_grid() -> list[tuple[int, str, str]]:
     return [(3 * m + t, model, mtype) for m, model in enumerate(MODELS) for t, mtype in enumerate(MODEL_TYPES)]
 
 
+# tables whose rows carry long texts: per-row work on them must be spread over all slots
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small_input(df) if name in TEXT_TABLES else df
 
 
 def eval_dataset_of(sample_id: Column) -> Column:
@@ -120,15 +126,16 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     exploded, so the shuffle carries each text once, not once per run."""
     emb = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    samples = emb.join(docs, emb.vec_id == docs.doc_id)
+    # per-sample features are computed once, before the run grid multiplies the rows
+    samples = emb.join(docs, emb.vec_id == docs.doc_id).withColumn("text_length", word_count("text"))
     runs = F.array(*[F.struct(F.lit(i).alias("run_idx"), F.lit(m).alias("model"), F.lit(t).alias("model_type"))
                      for i, m, t in run_grid()])
-    exploded = samples.select("vec_id", "text", "label", "embedding", F.explode(runs).alias("run"))
+    exploded = samples.select("vec_id", "text", "text_length", "label", "embedding", F.explode(runs).alias("run"))
     logits = F.slice("embedding", F.col("run.run_idx") * 3 + 1, F.lit(3)).cast("array<double>")
     return exploded.select(
         F.col("run.model").alias("model"), F.col("run.model_type").alias("model_type"),
         eval_dataset_of(F.col("vec_id")).alias("dataset"),
-        F.col("vec_id").alias("sample_id"), "text",
+        F.col("vec_id").alias("sample_id"), "text", "text_length",
         (F.col("label") % 3).cast("int").alias("true_label"),
         logits.alias("logits"),
     ).withColumn("predicted_label", remap_prediction(argmax("logits"), model_family("model")))
