@@ -58,7 +58,8 @@ FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id"""
 VIEWS["raw_predictions"] = f"""
 SELECT r.model, r.model_type, {_ds('e.vec_id')} AS dataset, e.vec_id AS sample_id,
        CAST(list_slice(e.embedding, 3 * r.run_idx + 1, 3 * r.run_idx + 3) AS DOUBLE[]) AS logits
-FROM embeddings e CROSS JOIN (VALUES {_RUNS}) r(run_idx, model, model_type)"""
+FROM embeddings e CROSS JOIN (VALUES {_RUNS}) r(run_idx, model, model_type)
+WHERE e.vec_id IN (SELECT doc_id FROM documents)"""
 
 VIEWS["predictions"] = f"""
 SELECT model, model_type, dataset, sample_id, text, text_length, true_label, logits,

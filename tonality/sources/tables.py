@@ -108,6 +108,9 @@ def raw_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     One row per sample and run; the run grid is a literal array exploded per row
     (a projection, no join)."""
     emb = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    # a model scores the evaluation samples, so the store holds exactly those
+    docs = read(spark, sf_dir, "documents").select("doc_id")
+    emb = emb.join(docs, emb.vec_id == docs.doc_id, "left_semi")
     runs = F.array(*[F.struct(F.lit(i).alias("run_idx"), F.lit(m).alias("model"), F.lit(t).alias("model_type"))
                      for i, m, t in run_grid()])
     exploded = emb.select("vec_id", "embedding", F.explode(runs).alias("run"))
