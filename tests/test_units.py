@@ -174,3 +174,20 @@ def test_window_boundaries(spark):
     ])
     got = sorted(r.url for r in M.articles_in_window(feed, series).collect())
     assert got == ["u2"]  # start exclusive, end inclusive, relevance strictly above 0.7, ticker must match
+
+
+def test_band_percentiles_exact_like_numpy(spark):
+    import numpy as np
+
+    from tonality.operators.stats import group_percentiles
+    rng = np.random.default_rng(1)
+    rows = []
+    for g, n in [("a", 5), ("b", 1), ("c", 20000), ("d", 2)]:
+        rows += [(g, float(v)) for v in rng.normal(size=n).round(3)]  # ties included
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    got = {r.g: (r.p25, r.p75) for r in group_percentiles(df, ["g"], "v", {"p25": 0.25, "p75": 0.75},
+                                                          accuracy=1000).collect()}
+    for g in "abcd":
+        vs = [v for k, v in rows if k == g]
+        want = (np.percentile(vs, 25), np.percentile(vs, 75))
+        assert all(abs(a - b) < 1e-12 for a, b in zip(got[g], want)), (g, got[g], want)

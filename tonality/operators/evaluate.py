@@ -166,12 +166,12 @@ def false_pos_neg(preds: DataFrame, cls: int = 0) -> DataFrame:
 
 
 def confidence_slices(preds: DataFrame, keys=RUN, low: float = 0.25, high: float = 0.75,
-                      approx_accuracy: int | None = None) -> DataFrame:
+                      accuracy: int = 10000) -> DataFrame:
     """Errors below the low / at or above the high confidence percentile of
     their run; the threshold stays as a column.  Thresholds are one row per run
     (bounded by the number of runs) and joined back on the run keys."""
     c = with_confidence(preds)
-    thr = group_percentiles(c, list(keys), "confidence", {"low_thr": low, "high_thr": high}, approx_accuracy)
+    thr = group_percentiles(c, list(keys), "confidence", {"low_thr": low, "high_thr": high}, accuracy)
     j = misclassified(c).join(thr, list(keys))
     lo = j.where(F.col("confidence") < F.col("low_thr")).select(
         "*", F.lit("low").alias("slice"), F.col("low_thr").alias("threshold"))

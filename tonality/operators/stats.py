@@ -1,27 +1,65 @@
 """Grouped statistics shared by several operators."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def group_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                      approx_accuracy: int | None = None) -> DataFrame:
-    """Per-group linear-interpolated percentiles (numpy / pandas semantics).
-
-    Exact by default: Spark's ``percentile`` keeps a value -> count map per group
-    and merges partial maps after the map-side combine, so its state is bounded by
-    the number of distinct values (word counts, label ids, rounded scores).  For
-    continuous values over very large groups pass ``approx_accuracy`` to use the
-    sketch-based ``percentile_approx`` instead (bounded memory, rank error
-    1/accuracy)."""
-    aggs = []
+                      accuracy: int = 10000, method: str = "auto") -> DataFrame:
+    """Per-group percentiles with linear interpolation (numpy / pandas semantics),
+    exact, one row per group with one column per name in ``probs``.
+
+    * integral values (word counts, ids): Spark's ``percentile``, whose per-group
+      state is a value -> count map merged after a map-side combine, bounded by
+      the number of distinct values;
+    * other values (scores, logits): ``band`` refinement, which never gathers a
+      whole group: a ``percentile_approx`` sketch (rank error <= n / accuracy)
+      brackets each target rank, the rows below the bracket are only counted, and
+      only the bracketed rows (about 6 n / accuracy per group, or the whole group
+      when it is smaller than ``accuracy``) are ranked exactly."""
+    dtype = df.schema[value].dataType
+    if method == "percentile" or (method == "auto" and isinstance(dtype, INTEGRAL)):
+        return df.groupBy(*keys).agg(*[F.percentile(F.col(value), F.lit(p)).alias(n) for n, p in probs.items()])
+    return _band_percentiles(df, list(keys), value, probs, accuracy)
+
+
+def _band_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
+                      accuracy: int) -> DataFrame:
+    eps = 1.0 / accuracy
+    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for name, p in probs.items():
+        aggs.append(F.percentile_approx("_v", F.lit(max(p - 3 * eps, 0.0)), F.lit(accuracy)).alias(f"_lo_{name}"))
+        aggs.append(F.percentile_approx("_v", F.lit(min(p + 3 * eps, 1.0)), F.lit(accuracy)).alias(f"_hi_{name}"))
+    stats = base.groupBy(*keys).agg(*aggs)
+    small = F.col("_n") < accuracy
+    bands = []
     for name, p in probs.items():
-        if approx_accuracy:
-            aggs.append(F.percentile_approx(value, p, approx_accuracy).cast("double").alias(name))
-        else:
-            aggs.append(F.percentile(F.col(value), F.lit(p)).alias(name))
-    return df.groupBy(*keys).agg(*aggs)
+        bands.append(F.struct(F.lit(name).alias("_name"), F.lit(p).alias("_p"),
+                              F.when(small, F.lit(float("-inf"))).otherwise(F.col(f"_lo_{name}")).alias("_lo"),
+                              F.when(small, F.lit(float("inf"))).otherwise(F.col(f"_hi_{name}")).alias("_hi")))
+    # one row per group and requested percentile: bounded by groups x len(probs)
+    bounds = stats.select(*keys, "_n", F.explode(F.array(*bands)).alias("_b")).select(*keys, "_n", "_b.*")
+    j = base.join(bounds, keys)
+    below = j.groupBy(*keys, "_name").agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
+    band = j.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    w = Window.partitionBy(*keys, "_name").orderBy("_v")
+    ranked = band.withColumn("_r", F.row_number().over(w)).join(below, [*keys, "_name"])
+    h = (F.col("_n") - 1) * F.col("_p")
+    k0, k1 = F.floor(h), F.ceil(h)
+    ranked = ranked.withColumn("_g", F.col("_below") + F.col("_r") - 1).where(
+        (F.col("_g") == k0) | (F.col("_g") == k1))
+    pick = ranked.groupBy(*keys, "_name", "_n", "_p").agg(
+        F.min_by("_v", "_g").alias("_v0"), F.max_by("_v", "_g").alias("_v1"))
+    hh = (F.col("_n") - 1) * F.col("_p")
+    lo_i, hi_i = F.floor(hh), F.ceil(hh)
+    val = F.when(lo_i == hi_i, F.col("_v0")).otherwise((hi_i - hh) * F.col("_v0") + (hh - lo_i) * F.col("_v1"))
+    res = pick.select(*keys, "_name", val.alias("_val"))
+    return res.groupBy(*keys).pivot("_name", list(probs)).agg(F.first("_val"))
 
 
 def safe_ratio(num: Column, den: Column) -> Column:
