@@ -273,17 +273,19 @@ TERM = r"[\p{L}\p{N}_][\p{L}\p{N}_']+"
 
 
 def error_term_frequency(preds: DataFrame, stopwords: list[str], k: int = 20, which: str = "misclassified",
-                         keys=RUN, key: str = "sample_id") -> DataFrame:
+                         keys=RUN, key: str = "sample_id", samples: DataFrame | None = None) -> DataFrame:
     """Term counts over misclassified (or neg->pos) texts, top k per run.
 
     Every run of a sample shares its text, so each erroneous sample is
     tokenised once: per-sample term counts (partial aggregate) are joined to the
     (run, sample) error pairs and summed per run.  Stop words are a literal
     ``IN`` set after the explode (codegen); the top-k window is planned with a
-    map-side group limit."""
+    map-side group limit.  ``samples`` (one row per ``key`` with its text) saves
+    de-duplicating the texts out of the per-run rows."""
     errs = (misclassified(preds) if which == "misclassified" else preds.where((_t() == 0) & (_p() == 2)))
     pairs = errs.select(*keys, key)
-    texts = preds.select(key, "text").distinct().join(pairs.select(key).distinct(), key, "left_semi")
+    src = samples.select(key, "text") if samples is not None else preds.select(key, "text").distinct()
+    texts = src.join(pairs.select(key).distinct(), key, "left_semi")
     terms = (texts.select(key, F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0)).alias("term"))
              .where(F.col("term").isNotNull() & ~F.col("term").isin(sorted(set(stopwords))))
              .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n_in_text")))

@@ -318,7 +318,8 @@ SELECT * FROM (
 WHERE rank <= 20""", "predictions"))
 def q_error_term_frequency(spark, d):
     """Top-20 terms of misclassified texts per run (stop words removed)."""
-    return ev.error_term_frequency(tb.predictions(spark, d), STOPWORDS, 20)
+    return ev.error_term_frequency(tb.predictions(spark, d), STOPWORDS, 20,
+                                   samples=tb.eval_samples(spark, d).select("sample_id", "text"))
 
 
 # ---- H21 - H23: two-stage refinement --------------------------------------------------
