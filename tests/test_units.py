@@ -186,7 +186,10 @@ def test_band_percentiles_exact_like_numpy(spark):
         rows += [(g, float(v)) for v in rng.normal(size=n).round(3)]  # ties included
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
     got = {r.g: (r.p25, r.p75) for r in group_percentiles(df, ["g"], "v", {"p25": 0.25, "p75": 0.75},
-                                                          accuracy=1000).collect()}
+                                                          accuracy=1000, method="band").collect()}
+    auto = {r.g: (r.p25, r.p75) for r in group_percentiles(df, ["g"], "v", {"p25": 0.25, "p75": 0.75},
+                                                           accuracy=1000).collect()}
+    assert all(abs(a - b) < 1e-12 for g in got for a, b in zip(got[g], auto[g]))
     for g in "abcd":
         vs = [v for k, v in rows if k == g]
         want = (np.percentile(vs, 25), np.percentile(vs, 75))

@@ -16,12 +16,19 @@ def group_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     * integral values (word counts, ids): Spark's ``percentile``, whose per-group
       state is a value -> count map merged after a map-side combine, bounded by
       the number of distinct values;
-    * other values (scores, logits): ``band`` refinement, which never gathers a
+    * other values (scores, logits) when the largest group has fewer than
+      ``accuracy`` rows: ``percentile`` as well (its map is then bounded);
+    * otherwise ``band`` refinement, which never gathers a
       whole group: a ``percentile_approx`` sketch (rank error <= n / accuracy)
       brackets each target rank, the rows below the bracket are only counted, and
       only the bracketed rows (about 6 n / accuracy per group, or the whole group
       when it is smaller than ``accuracy``) are ranked exactly."""
     dtype = df.schema[value].dataType
+    if method == "auto" and not isinstance(dtype, INTEGRAL):
+        # one small job: the largest group decides; below ``accuracy`` rows the
+        # exact value -> count map of ``percentile`` is bounded by ``accuracy``
+        largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+        method = "percentile" if largest < accuracy else "band"
     if method == "percentile" or (method == "auto" and isinstance(dtype, INTEGRAL)):
         return df.groupBy(*keys).agg(*[F.percentile(F.col(value), F.lit(p)).alias(n) for n, p in probs.items()])
     return _band_percentiles(df, list(keys), value, probs, accuracy)
