@@ -194,3 +194,24 @@ def test_band_percentiles_exact_like_numpy(spark):
         vs = [v for k, v in rows if k == g]
         want = (np.percentile(vs, 25), np.percentile(vs, 75))
         assert all(abs(a - b) < 1e-12 for a, b in zip(got[g], want)), (g, got[g], want)
+
+
+def test_augmentation_independent_of_partitioning(spark):
+    df = spark.createDataFrame([(i, f"w{i} alpha beta. gamma delta eps! z{i} y x") for i in range(200)],
+                               "sample_id long, text string")
+    one = {r.sample_id: r.text for r in G.random_deletion_sentence(df.coalesce(1), 9).collect()}
+    many = {r.sample_id: r.text for r in G.random_deletion_sentence(df.repartition(8), 9).collect()}
+    assert one == many
+    m1 = {r.sample_id: r.masked for r in G.keyword_mask(df.coalesce(1), ["alpha"], 0.35, 4).collect()}
+    m8 = {r.sample_id: r.masked for r in G.keyword_mask(df.repartition(8), ["alpha"], 0.35, 4).collect()}
+    assert m1 == m8 and 0 < sum(m1.values()) < 200
+
+
+def test_error_rate_modes(spark):
+    rows = [("m", "t", "d", i, " ".join(["w"] * n), 0, [0.1, 0.2, 0.3], 2 if i % 2 else 0)
+            for i, n in enumerate([10, 20, 30, 40, 50, 60, 62, 65, 70, 80])]
+    p = _preds(spark, rows)
+    same = {r.band: r for r in ev.length_error_rate(p).collect()}
+    as_is = {r.band: r for r in ev.length_error_rate(p, mode="as_is").collect()}
+    assert all(r.error_rate <= 100 for r in same.values())
+    assert as_is["short"].n_rows == 6 and as_is["medium"].n_rows == 2 and as_is["long"].n_rows == 2
