@@ -52,38 +52,43 @@ def attach_predictions(samples: DataFrame, preds: DataFrame, keys=("dataset", "s
     return preds.join(samples, keys, "inner")
 
 
-def _label_counts(keys: list[str], truth: Column | None = None, pred: Column | None = None) -> list[Column]:
-    truth = _t() if truth is None else truth
-    pred = _p() if pred is None else pred
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(truth == pred).alias("n_correct")]
+def _label_counts(keys: list[str], truth: str = "true_label", pred: str = "predicted_label") -> list[Column]:
+    """Every count the metric operators need, as one list of aggregate
+    expressions (written as SQL text: one JVM call each)."""
+    aggs = ["count(1) AS n", f"count_if({truth} = {pred}) AS n_correct"]
     for k in LABELS:
-        aggs += [F.count_if((truth == k) & (pred == k)).alias(f"tp_{k}"),
-                 F.count_if(truth == k).alias(f"true_{k}"),
-                 F.count_if(pred == k).alias(f"pred_{k}")]
-    return aggs
+        aggs += [f"count_if({truth} = {k} AND {pred} = {k}) AS tp_{k}", f"count_if({truth} = {k}) AS true_{k}",
+                 f"count_if({pred} = {k}) AS pred_{k}"]
+    return [F.expr(a) for a in aggs]
+
+
+def _ratio(num: str, den: str) -> str:
+    return f"coalesce(try_divide(CAST({num} AS DOUBLE), CAST({den} AS DOUBLE)), 0.0)"
 
 
 def _per_class(df: DataFrame) -> DataFrame:
+    """Per-class precision / recall / F1 and macro / weighted averages from the
+    counts, in two projections of SQL expressions (0 where undefined)."""
+    per = []
     for k in LABELS:
-        df = (df.withColumn(f"precision_{k}", safe_ratio(F.col(f"tp_{k}"), F.col(f"pred_{k}")))
-                .withColumn(f"recall_{k}", safe_ratio(F.col(f"tp_{k}"), F.col(f"true_{k}")))
-                .withColumn(f"f1_{k}", safe_ratio(2 * F.col(f"tp_{k}"), F.col(f"true_{k}") + F.col(f"pred_{k}")))
-                .withColumn(f"present_{k}", ((F.col(f"true_{k}") + F.col(f"pred_{k}")) > 0).cast("int")))
-    n_present = sum(F.col(f"present_{k}") for k in LABELS)
+        per += [f"{_ratio(f'tp_{k}', f'pred_{k}')} AS precision_{k}", f"{_ratio(f'tp_{k}', f'true_{k}')} AS recall_{k}",
+                f"{_ratio(f'2 * tp_{k}', f'true_{k} + pred_{k}')} AS f1_{k}",
+                f"CAST(true_{k} + pred_{k} > 0 AS INT) AS present_{k}"]
+    df = df.selectExpr("*", *per)
+    n_present = " + ".join(f"present_{k}" for k in LABELS)
+    avg = [f"{_ratio('n_correct', 'n')} AS accuracy"]
     for m in ("precision", "recall", "f1"):
-        df = df.withColumn(f"macro_{m}", safe_ratio(sum(F.col(f"{m}_{k}") * F.col(f"present_{k}") for k in LABELS),
-                                                     n_present))
-        df = df.withColumn(f"weighted_{m}", safe_ratio(sum(F.col(f"{m}_{k}") * F.col(f"true_{k}") for k in LABELS),
-                                                        F.col("n")))
-    return df.withColumn("accuracy", safe_ratio(F.col("n_correct"), F.col("n")))
+        avg.append(f"{_ratio(' + '.join(f'{m}_{k} * present_{k}' for k in LABELS), n_present)} AS macro_{m}")
+        avg.append(f"{_ratio(' + '.join(f'{m}_{k} * true_{k}' for k in LABELS), 'n')} AS weighted_{m}")
+    return df.selectExpr("*", *avg)
 
 
-def label_tallies(preds: DataFrame, keys=RUN, truth: Column | None = None, pred: Column | None = None) -> DataFrame:
+def label_tallies(preds: DataFrame, keys=RUN, truth: str = "true_label", pred: str = "predicted_label") -> DataFrame:
     """One aggregate per run with every count the metric operators need."""
     return _per_class(preds.groupBy(*keys).agg(*_label_counts(list(keys), truth, pred)))
 
 
-def overall_metrics(preds: DataFrame, keys=RUN, truth: Column | None = None, pred: Column | None = None) -> DataFrame:
+def overall_metrics(preds: DataFrame, keys=RUN, truth: str = "true_label", pred: str = "predicted_label") -> DataFrame:
     """H3: accuracy and macro precision / recall / F1 per run.
 
     Macro averages cover the labels seen in truth or prediction (0 when undefined)."""
@@ -304,16 +309,26 @@ def two_stage_refine(primary: DataFrame, secondary: DataFrame, key: str = "sampl
 
 
 def refine_impact(refined: DataFrame, keys=RUN) -> DataFrame:
-    """Metrics before and after refinement, changes, and changes that became right."""
-    before = _per_class(refined.groupBy(*keys).agg(
-        *_label_counts(list(keys)),
-        F.count_if(_p() != F.col("refined_label")).alias("n_changed"),
-        F.count_if((_p() != F.col("refined_label")) & (F.col("refined_label") == _t())).alias("n_fixed")))
-    after = label_tallies(refined, keys, _t(), F.col("refined_label"))
-    return before.select(*keys, "n", "n_changed", "n_fixed", F.col("accuracy").alias("accuracy_before"),
-                         F.col("macro_f1").alias("f1_before")).join(
-        after.select(*keys, F.col("accuracy").alias("accuracy_after"), F.col("macro_f1").alias("f1_after")),
-        list(keys))
+    """Metrics before and after refinement, changes, and changes that became
+    right; before and after tallies come from one aggregate per run."""
+    keys = list(keys)
+    r = F.col("refined_label")
+    after = [F.count_if(_t() == r).alias("a_n_correct")]
+    for k in LABELS:
+        after += [F.count_if((_t() == k) & (r == k)).alias(f"a_tp_{k}"), F.count_if(r == k).alias(f"a_pred_{k}")]
+    g = refined.groupBy(*keys).agg(
+        *_label_counts(keys), *after,
+        F.count_if(_p() != r).alias("n_changed"),
+        F.count_if((_p() != r) & (r == _t())).alias("n_fixed"))
+    before = _per_class(g)
+    swapped = before.select(*keys, "n", "n_changed", "n_fixed", F.col("accuracy").alias("accuracy_before"),
+                            F.col("macro_f1").alias("f1_before"), *[F.col(f"true_{k}") for k in LABELS],
+                            F.col("a_n_correct").alias("n_correct"),
+                            *[F.col(f"a_tp_{k}").alias(f"tp_{k}") for k in LABELS],
+                            *[F.col(f"a_pred_{k}").alias(f"pred_{k}") for k in LABELS])
+    aft = _per_class(swapped)
+    return aft.select(*keys, "n", "n_changed", "n_fixed", "accuracy_before", "f1_before",
+                      F.col("accuracy").alias("accuracy_after"), F.col("macro_f1").alias("f1_after"))
 
 
 def detail_table(refined: DataFrame, keys=RUN) -> DataFrame:
@@ -336,9 +351,9 @@ def cross_entropy_and_focal(preds: DataFrame, alpha: float = 1.0, gamma: float =
     m = F.array_max("logits")
     z = F.aggregate("logits", F.lit(0.0), lambda acc, x: acc + F.exp(x - m))
     p = F.greatest(F.exp(F.element_at("logits", _t() + 1) - m) / z, F.lit(1e-9))
-    return (preds.withColumn("p_true", p)
-            .withColumn("ce", -F.log(F.col("p_true")))
-            .withColumn("focal", -F.lit(alpha) * F.pow(1 - F.col("p_true"), F.lit(gamma)) * F.log(F.col("p_true"))))
+    return preds.withColumn("p_true", p).withColumns({
+        "ce": -F.log(F.col("p_true")),
+        "focal": -F.lit(alpha) * F.pow(1 - F.col("p_true"), F.lit(gamma)) * F.log(F.col("p_true"))})
 
 
 def loss_summary(losses: DataFrame, keys=RUN) -> DataFrame:

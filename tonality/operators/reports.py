@@ -63,11 +63,13 @@ def variant_predictions(preds: DataFrame, pattern: str, replacements: list[str])
     re-scoring): rows whose text the replacement changes flip class for a
     hash-chosen quarter of them; ``original`` keeps the prediction."""
     variants = ["original", *replacements]
-    ex = preds.select("*", F.explode(F.array(*[F.lit(v) for v in variants])).alias("replacement"))
-    changed = (F.col("replacement") != "original") & matches_pattern("text", pattern)
+    # the keyword test runs once per row, before the variants multiply the rows
+    hit = preds.withColumn("_hit", matches_pattern("text", pattern))
+    ex = hit.select("*", F.explode(F.array(*[F.lit(v) for v in variants])).alias("replacement"))
+    changed = (F.col("replacement") != "original") & F.col("_hit")
     flip = hash32(F.col("replacement"), F.col("model"), F.col("model_type"), F.col("sample_id")) % 4 == 0
     return ex.withColumn("predicted_label", F.when(changed & flip, (F.col("predicted_label") + 1) % 3)
-                         .otherwise(F.col("predicted_label")).cast("int"))
+                         .otherwise(F.col("predicted_label")).cast("int")).drop("_hit")
 
 
 def variant_delta(variant_preds: DataFrame) -> DataFrame:

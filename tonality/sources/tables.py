@@ -46,9 +46,17 @@ def run_grid() -> list[tuple[int, str, str]]:
 TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
+_TABLES: dict = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small_input(df) if name in TEXT_TABLES else df
+    """A driver table; the handle is reused within a session (the tables are
+    read-only), so file listing and footer reads happen once."""
+    key = (id(spark), sf_dir, name)
+    if key not in _TABLES:
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        _TABLES[key] = spread_small_input(df) if name in TEXT_TABLES else df
+    return _TABLES[key]
 
 
 def eval_dataset_of(sample_id: Column) -> Column:
