@@ -45,7 +45,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = tempfile.mkdtemp(prefix="tonality-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    try:
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # noqa: BLE001 - a Connect session has no SparkContext; the conf is enough
+        pass
     return path
 
 
@@ -60,7 +63,9 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     slots (a small file in a single row group would otherwise keep all per-row
     text work in one task).  Large inputs already have more splits than slots
     and are returned unchanged, so they pay no extra shuffle."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave the plan as it is
+        return df
+    return df.repartition(slots) if parts < slots else df

@@ -52,7 +52,11 @@ _TABLES: dict = {}
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; the handle is reused within a session (the tables are
     read-only), so file listing and footer reads happen once."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect
+        app = spark.conf.get("spark.app.id", "connect")
+    key = (app, id(spark), sf_dir, name)
     if key not in _TABLES:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         _TABLES[key] = spread_small_input(df) if name in TEXT_TABLES else df
