@@ -1,11 +1,9 @@
 """Registered queries: dataset catalogue and assembly."""
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import functions as F
 
-from tonality.functions.text import word_count
 from tonality.operators import assemble as A
 from tonality.operators import evaluate as ev
 from tonality.operators import filters as B

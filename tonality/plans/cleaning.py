@@ -8,7 +8,7 @@ from tonality.functions import labels as L
 from tonality.functions import text as X
 from tonality.operators import filters as B
 from tonality.operators import labeling as LB
-from tonality.plans.registry import r6, register
+from tonality.plans.registry import register
 from tonality.plans.views_sql import _prompt_sql, with_views
 from tonality.sources import tables as tb
 
