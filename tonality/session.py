@@ -6,7 +6,9 @@ settings that are unset (tests, bench) and never replace cluster settings.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,24 +40,28 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (local tests)
-    is a fresh scratch folder taken.
+    A cluster names a folder there that the driver and all executors share.  Where it is
+    unset, a scratch folder is made only for a local master (tests); on any other master
+    this raises, because a machine-local folder would leave each executor's files where
+    nobody else can read them.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
         path = tempfile.mkdtemp(prefix="tonality-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     try:
         spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # noqa: BLE001 - a Connect session has no SparkContext; the conf is enough
+    except AttributeError:  # a Connect session has no SparkContext; the conf is enough
         pass
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder name for one intermediate result, inside the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def spread_small_input(df: DataFrame) -> DataFrame:
