@@ -1,11 +1,13 @@
 """The registered queries of this subpackage: name -> (builder, DuckDB SQL or None)."""
 from __future__ import annotations
 
-from tonality.llm import grammar_output
+from tonality.llm import decontaminate, grammar_output, topk, toxicity
 
 
 def registered() -> dict:
-    out = {
+    return {
+        "op2_toxicity": (toxicity.op2_toxicity, None),
         "op4_grammar_output": (grammar_output.op4_grammar_output, None),
+        "op7_topk_search": (topk.op7_topk_search, topk.SQL),
+        "op10_decontaminate": (decontaminate.op10_decontaminate, None),
     }
-    return out
