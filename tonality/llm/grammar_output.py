@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,12 @@ TOKENIZER = "byte_bpe_50k.json"
 SHARD_TOKENS = 2_000_000
 MIN_PAIR_COUNT = 32
 PAIRS_PER_ROUND = 1024
-MAX_ROUNDS = 8
+MAX_ROUNDS = 6
 MIN_GAIN = 0.02
-CACHE_PIECES = 500_000
+#: Pieces remembered by a worker process; the most frequent ones of its first texts stay in a small table.
+CACHE_PIECES = 600_000
+HOT_PIECES = 30_000
+HOT_SAMPLE = 1_500_000
 
 SHARD_SCHEMA = ("part int, seq int, n_docs long, n_tokens long, terminals int, doc_ids binary, symbol_starts binary, "
                 "token_counts binary, rules binary, rule_lengths binary, symbols binary")
@@ -59,6 +63,9 @@ class Encoder:
         self.size = len(self.lengths)
         self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
+        self.hot: dict[str, bytes] = {}
+        self.watch: Counter | None = Counter()
         self.marks = {c: self.whole(c) for c in ".,"}
 
     def whole(self, text: str) -> bytes:
@@ -81,42 +88,66 @@ class Encoder:
                 for p, s in zip(names, part):
                     self.pieces[p] = self.whole(s)
 
-    def _remember(self, need: set[str]) -> None:
-        """Make every piece of ``need`` known; pieces not met for a while are forgotten."""
+    def _cold(self, keys: list[str]) -> list[bytes]:
+        """Ids of less frequent pieces; those not met for a while are forgotten."""
         if len(self.pieces) > CACHE_PIECES:
             self.old, self.pieces = self.pieces, {}
-        need.difference_update(self.pieces)
-        for p in need.intersection(self.old):
-            self.pieces[p] = self.old[p]
-        need.difference_update(self.pieces)
+        pieces, old = self.pieces, self.old
+        found = list(map(pieces.get, keys))
+        need = {p for p, v in zip(keys, found) if v is None}
+        for p in [p for p in need if p in old]:
+            pieces[p] = old[p]
+            need.discard(p)
         # a final point or comma after a letter is a token of its own
         marked = [p for p in need if p[-1] in ".," and len(p) > 1 and p[-2].isalpha()]
-        bases = {p[:-1] for p in marked}
         need.difference_update(marked)
-        need |= bases - self.pieces.keys()
+        need.update(b for b in {p[:-1] for p in marked} if b not in pieces)
         self._learn(list(need))
         for p in marked:
-            self.pieces[p] = self.pieces[p[:-1]] + self.marks[p[-1]]
+            pieces[p] = pieces[p[:-1]] + self.marks[p[-1]]
+        return [v or pieces[p] for p, v in zip(keys, found)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [b""] * len(texts)
-        cut, need = [], set()
+        cut, rare = [], []
+        hot = self.hot.get
         for k, t in enumerate(texts):
             if not t:
                 continue
-            items = t.replace("\n", " \n").split(" ")
-            if "<|" in t or t.replace("\n", " ").split(" ") != t.split():
+            if not regular(t):
                 out[k] = self.whole(t)
-            else:
-                cut.append((k, items))
-                need.update(items[1:])
-        self._remember(need)
-        get = self.pieces.__getitem__
-        for k, items in cut:
-            out[k] = self.whole(items[0]) + b"".join(map(get, items[1:]))
+                continue
+            items = t.replace("\n", " \n").split(" ")
+            first = items.pop(0)
+            known = list(map(hot, items))
+            rare += [p for p, v in zip(items, known) if v is None]
+            cut.append((k, first, known))
+            if self.watch is not None:
+                self.watch.update(items)
+        rest = iter(self._cold(rare))
+        for k, first, known in cut:
+            if first not in self.firsts:
+                if len(self.firsts) > CACHE_PIECES // 10:
+                    self.firsts = {}
+                self.firsts[first] = self.whole(first)
+            out[k] = self.firsts[first] + b"".join([v or next(rest) for v in known])
+        if self.watch is not None and self.watch.total() > HOT_SAMPLE:
+            top = [p for p, _ in self.watch.most_common(HOT_PIECES)]
+            self.hot, self.watch = dict(zip(top, self._cold(top))), None
         return out
 
 
+#: White space other than the space and the line feed.
+_ODD = tuple(chr(c) for c in (9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                              0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def regular(t: str) -> bool:
+    """Whether all white space of ``t`` is single spaces or line feeds between other characters."""
+    return not (t[0] in " \n" or t[-1] in " \n" or "  " in t or " \n" in t or "\n " in t or "\n\n" in t or "<|" in t
+                or any(c in t for c in _ODD))
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -141,24 +172,26 @@ def compress(seq: np.ndarray, terminals: int, end_id: int = END_ID) -> tuple[np.
     for _ in range(MAX_ROUNDS):
         if len(seq) < 2:
             break
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        bucket = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int32)
+        bucket = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BUCKET_BITS)
         # a pair cannot be more frequent than its bucket: only the fullest buckets are looked at
         counts = np.bincount(bucket, minlength=1 << _BUCKET_BITS)
         least = max(MIN_PAIR_COUNT, int(np.partition(counts, -PAIRS_PER_ROUND)[-PAIRS_PER_ROUND]))
         at = np.flatnonzero((counts >= least)[bucket])
         at = at[(seq[at] != end_id) & (seq[at + 1] != end_id)]
         # one pair stands for its bucket (pairs that collide with it wait for a later round)
+        own = bucket[at]
+        pairs = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
         stands = np.zeros(1 << _BUCKET_BITS, np.uint64)
-        stands[bucket[at]] = pairs[at]
-        at = at[stands[bucket[at]] == pairs[at]]
-        n = np.bincount(bucket[at], minlength=1 << _BUCKET_BITS)
+        stands[own] = pairs
+        same = stands[own] == pairs
+        at, own = at[same], own[same]
+        n = np.bincount(own, minlength=1 << _BUCKET_BITS)
         order = np.flatnonzero(n >= MIN_PAIR_COUNT)
         if not len(order):
             break
         rule_of = np.full(1 << _BUCKET_BITS, -1, np.int32)
         rule_of[order] = np.arange(len(order))
-        rule = rule_of[bucket[at]]
+        rule = rule_of[own]
         at, rule = at[rule >= 0], rule[rule >= 0]
         begins = np.concatenate([[True], np.diff(at) != 1])  # runs of overlapping places: take every other one
         offset = np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
