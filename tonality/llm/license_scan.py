@@ -114,7 +114,7 @@ def _sql_lines(text: str) -> str:
     for old, new in SPELLINGS:
         t = f"regexp_replace({t}, '{old}', '{new}', 'g')"
     t = f"regexp_replace({t}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
-    return f"list_filter(list_transform(string_split({t}, chr(10)), x -> trim(x)), x -> x <> '')"
+    return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
 _QUOTED = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)

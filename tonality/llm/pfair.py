@@ -139,13 +139,13 @@ sh AS (
   SELECT source, q, CAST(1 + fl + greatest(floor((left_over - o) / sources) + 1, 0) AS BIGINT) AS n,
          row_number() OVER (ORDER BY source) AS k FROM f),
 run AS (
-  SELECT CAST(-1 AS BIGINT) AS t, 0 AS pick, list_transform(list(n ORDER BY k), x -> CAST(0 AS BIGINT)) AS done,
+  SELECT CAST(-1 AS BIGINT) AS t, 0 AS pick, list_transform(list(n ORDER BY k), lambda x: CAST(0 AS BIGINT)) AS done,
          list(n ORDER BY k) AS ns, max(q) AS q FROM sh
   UNION ALL
-  SELECT t + 1, p, list_transform(done, (x, j) -> x + CASE WHEN j = p THEN 1 ELSE 0 END), ns, q FROM (
+  SELECT t + 1, p, list_transform(done, lambda x, j: x + CASE WHEN j = p THEN 1 ELSE 0 END), ns, q FROM (
     SELECT t, done, ns, q, list_min(list_transform(list_filter(range(1, len(ns) + 1),
-        j -> done[j] < ns[j] AND done[j] * q < (t + 2) * ns[j]),
-        j -> (((done[j] + 1) * q + ns[j] - 1) // ns[j]) * 100000 + j)) % 100000 AS p
+        lambda j: done[j] < ns[j] AND done[j] * q < (t + 2) * ns[j]),
+        lambda j: (((done[j] + 1) * q + ns[j] - 1) // ns[j]) * 100000 + j)) % 100000 AS p
     FROM run WHERE t + 1 < q)),
 cyc AS (
   SELECT s.source, s.n, s.q, r.t AS slot, row_number() OVER (PARTITION BY s.source ORDER BY r.t) - 1 AS j
