@@ -1,7 +1,7 @@
 """The registered queries of this subpackage: name -> (builder, DuckDB SQL or None)."""
 from __future__ import annotations
 
-from tonality.llm import decontaminate, grammar_output, license_scan, line_dedup, pfair, topk, toxicity
+from tonality.llm import decontaminate, grammar_output, jaccard_join, license_scan, line_dedup, pfair, topk, toxicity
 
 
 def registered() -> dict:
@@ -12,5 +12,6 @@ def registered() -> dict:
         "op6_pfair_mix": (pfair.op6_pfair_mix, pfair.SQL),
         "op7_topk_search": (topk.op7_topk_search, topk.SQL),
         "op8_license_scan": (license_scan.op8_license_scan, license_scan.SQL),
+        "op9_jaccard_join": (jaccard_join.op9_jaccard_join, None),
         "op10_decontaminate": (decontaminate.op10_decontaminate, None),
     }
