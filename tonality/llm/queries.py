@@ -1,11 +1,12 @@
 """The registered queries of this subpackage: name -> (builder, DuckDB SQL or None)."""
 from __future__ import annotations
 
-from tonality.llm import decontaminate, grammar_output, jaccard_join, license_scan, line_dedup, pfair, topk, toxicity
+from tonality.llm import decontaminate, grammar_output, jaccard_join, license_scan, line_dedup, pfair, suffix_tree, topk, toxicity
 
 
 def registered() -> dict:
     return {
+        "op1_suffix_tree": (suffix_tree.op1_suffix_tree, None),
         "op2_toxicity": (toxicity.op2_toxicity, None),
         "op3_line_dedup": (line_dedup.op3_line_dedup, line_dedup.SQL),
         "op4_grammar_output": (grammar_output.op4_grammar_output, None),
