@@ -1,7 +1,7 @@
 """The registered queries of this subpackage: name -> (builder, DuckDB SQL or None)."""
 from __future__ import annotations
 
-from tonality.llm import decontaminate, grammar_output, jaccard_join, license_scan, line_dedup, pfair, suffix_tree, topk, toxicity
+from tonality.llm import decontaminate, grammar_output, jaccard_join, license_scan, line_dedup, pfair, pii_crf, suffix_tree, topk, toxicity
 
 
 def registered() -> dict:
@@ -10,6 +10,7 @@ def registered() -> dict:
         "op2_toxicity": (toxicity.op2_toxicity, None),
         "op3_line_dedup": (line_dedup.op3_line_dedup, line_dedup.SQL),
         "op4_grammar_output": (grammar_output.op4_grammar_output, None),
+        "op5_pii_crf": (pii_crf.op5_pii_crf, None),
         "op6_pfair_mix": (pfair.op6_pfair_mix, pfair.SQL),
         "op7_topk_search": (topk.op7_topk_search, topk.SQL),
         "op8_license_scan": (license_scan.op8_license_scan, license_scan.SQL),
