@@ -1,6 +1,7 @@
 """The registered queries of this subpackage: name -> (builder, DuckDB SQL or None)."""
 from __future__ import annotations
 
+import corpus_pipeline
 from tonality.llm import decontaminate, grammar_output, jaccard_join, license_scan, line_dedup, pfair, pii_crf, suffix_tree, topk, toxicity
 
 
@@ -16,4 +17,5 @@ def registered() -> dict:
         "op8_license_scan": (license_scan.op8_license_scan, license_scan.SQL),
         "op9_jaccard_join": (jaccard_join.op9_jaccard_join, None),
         "op10_decontaminate": (decontaminate.op10_decontaminate, None),
+        "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }

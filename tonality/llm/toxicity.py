@@ -241,6 +241,20 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, hits long, weight double")
 
 
+def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows of ``docs`` whose text scores below 0.5, with all their columns."""
+    ship(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    @F.pandas_udf("double")
+    def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        auto, curve = held.value.automaton(), held.value.curve
+        for part in texts:
+            yield pd.Series([probability(curve, *measures(auto, fold(t))) for t in part], dtype=float)
+
+    return docs.where(toxic(text_or_empty()) < 0.5)
+
+
 def remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
