@@ -32,7 +32,7 @@ from tonality.llm.common import ship, table, text_or_empty
 #: Labelled documents that the lexicon and the curve are learned from, at most.
 TRAIN_ROWS = 20_000
 MAX_ENTRIES = 4_000
-MIN_Z = 6.0
+MIN_Z = 3.0
 MIN_WEIGHT = 1.0
 PREFIXES = range(4, 9)
 PRIOR = 3.0
