@@ -330,9 +330,10 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
                 s = shingles(t)
                 c = class_id(s)
                 if c not in seen:
-                    sets[c] = s.view(np.int64)
+                    sets[c] = s.view(np.int64).tolist()
                     seen.add(c)
-            yield pd.DataFrame({"node": list(sets), "set": list(sets.values())})
+            if sets:
+                yield pd.DataFrame({"node": list(sets), "set": list(sets.values())})
 
     rows = docs.select(F.xxhash64(text_or_empty()).alias("_row"), text_or_empty().alias("text"))
     found = rows.mapInPandas(pick, "node long, set array<long>").join(need.select("node"), "node", "left_semi")

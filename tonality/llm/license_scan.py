@@ -48,13 +48,14 @@ KNOWN = (
     ("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
 )
 
-# Spellings that licence matching treats alike; the right side is used.
+# Spellings that licence matching treats alike; the right side is used.  They
+# are applied after punctuation has become single spaces.
 SPELLINGS = (
-    ("sub[- ]licen[cs]e", "sublicense"), ("licence", "license"), ("non[- ]commercial", "noncommercial"),
-    ("non[- ]infring", "noninfring"), ("copyright holder", "copyright owner"), ("organis", "organiz"),
+    ("sub licen[cs]e", "sublicense"), ("licence", "license"), ("non commercial", "noncommercial"),
+    ("non infring", "noninfring"), ("holder", "owner"), ("organis", "organiz"),
     ("recognis", "recogniz"), ("authoris", "authoriz"), ("favour", "favor"), ("behaviour", "behavior"),
     ("labour", "labor"), ("fulfilment", "fulfillment"), ("judgement", "judgment"), ("per cent", "percent"),
-    ("http:", "https:"), ("&", " and "),
+    ("http ", "https "),
 )
 _COPYRIGHT = r"(^|\n)[ \t/*#;-]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
 
@@ -62,9 +63,9 @@ _COPYRIGHT = r"(^|\n)[ \t/*#;-]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)[ \t]*[0-9
 def canonical_lines(text):
     """The non-empty canonical lines of a text, in order."""
     t = F.regexp_replace(F.lower(text), _COPYRIGHT, "\n")
+    t = F.regexp_replace(F.replace(t, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}\n]+", " ")
     for old, new in SPELLINGS:
         t = F.regexp_replace(t, old, new)
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
     return F.filter(F.transform(F.split(t, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
 
 
@@ -111,9 +112,9 @@ def op8_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def _sql_lines(text: str) -> str:
     t = f"regexp_replace(lower({text}), '{_COPYRIGHT}', chr(10), 'g')"
+    t = f"regexp_replace(replace({t}, '&', ' and '), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
     for old, new in SPELLINGS:
         t = f"regexp_replace({t}, '{old}', '{new}', 'g')"
-    t = f"regexp_replace({t}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
     return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 

@@ -120,7 +120,7 @@ def mix(docs: DataFrame, **kw) -> DataFrame:
         F.min(F.struct("slot", "idx")).alias("_place"))
     text = F.xxhash64(text_or_empty())
     out = docs.join(place, docs["doc_id"].eqNullSafe(place["_d"]) & (text == place["_r"]), "left")
-    return out.orderBy("_place.slot", "_place.idx", "doc_id").select(*[docs[c] for c in docs.columns])
+    return out.orderBy(place["_place"]["slot"], place["_place"]["idx"], docs["doc_id"]).select(*[docs[c] for c in docs.columns])
 
 
 def op6_pfair_mix(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ DAMPING = 0.5
 CHAIN_REACH = 200
 TAIL = 7  # digits at the end that make two numbers similar
 CLAMP = 40.0
-#: How much a mention that no pattern proves is taken for something else, before its neighbours are heard.
+#: Least log odds against personal data of a mention that no pattern proves, before its neighbours are heard.
 DOUBT = 6.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -205,8 +205,9 @@ class Field:
         for i, (label, _, _) in enumerate(found):
             if label >= 0:
                 unary[i, label] += CLAMP
-            else:
-                unary[i, 0] += DOUBT
+            else:  # the patterns have spoken: features alone cannot make it personal data
+                unary[i] = np.clip(unary[i] - unary[i, 0], -DOUBT - 3.0, -DOUBT)
+                unary[i, 0] = 0.0
         chain, skip = edges(text, found)
         weight = np.asarray([self.chain] * len(chain) + [self.skip] * len(skip))
         label = propagate(unary, chain + skip, weight).argmax(1)
@@ -238,9 +239,8 @@ def fit(rows: list, l2: float = 1.0, steps: int = 400) -> Field:
         grads = (g.T @ x - l2 * w, float((g * c).sum()) - l2 * wc, float((g * s).sum()) - l2 * ws)
         moment = [0.9 * m + rate * d for m, d in zip(moment, grads)]
         w, wc, ws = w + moment[0] * 0.1, wc + moment[1] * 0.1, ws + moment[2] * 0.1
-    # proved occurrences must be able to carry their variants over the doubt of a lone mention
-    doubt = max(float((x[y == 0] @ (w[0] - w[k])).max(initial=0.0)) for k in range(1, n)) if (y == 0).any() else 4.0
-    return Field(w, min(max(wc, 0.0), DOUBT / 4), max(ws, doubt + DOUBT + 1.0))
+    # a proved occurrence must be able to carry its variants, and chain neighbours must not
+    return Field(w, min(max(wc, 0.0), DOUBT / 4), max(ws, DOUBT + 5.0))
 
 
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
@@ -269,7 +269,8 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
                 for i, (label, a, b) in enumerate(found):
                     if label >= 0 or not proved[i]:
                         out.append((max(label, 0), [float(v) for v in features(t[a:b])], sides[0, i].tolist(), sides[1, i].tolist()))
-            yield pd.DataFrame(out, columns=["y", "x", "c", "s"])
+            if out:
+                yield pd.DataFrame(out, columns=["y", "x", "c", "s"])
 
     got = rows.mapInPandas(examples, "y int, x array<double>, c array<double>, s array<double>").collect()
     return fit(sorted(tuple(r) for r in got))

@@ -10,11 +10,12 @@ distribution, so every distribution sums to one over the training words, the end
 unseen word.  Each word is scored in the longest suffix of the words before it that is a state.
 
 Nothing of the model is gathered in one place.  Documents form blocks of bounded size.  A
-block sends each distinct word and word sequence that it holds, once, to the bucket of its
+block sends each distinct word and pair of words that it holds, once, to the bucket of its
 hash; the bucket adds up the counts of all blocks and answers every block with those it asked
-for.  In a second exchange blocks add up, for each context, the gain over its suffix, and
-learn which contexts are states.  Word counts are exact (64-bit hashes); sequences of two and
-three words are told apart by 32 bits within their bucket.
+for.  The tree then grows level by level: blocks add up, for each context, the gain over its
+suffix, and buckets tell which contexts are states; only three-word sequences whose context is
+frequent are counted at all.  Word counts are exact (64-bit hashes); sequences are told apart
+by 32 bits within their bucket.
 
 Defined results: a null or empty text is the end alone; a null ``doc_id`` counts as held out;
 rows with the same ``doc_id`` are learned from and scored one by one; without training words
@@ -32,19 +33,19 @@ from pyspark.sql import functions as F
 
 from tonality.llm.common import saved, scalar, ship, table, text_or_empty
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 10 << 20
 BUCKET_BYTES = 12 << 20
 ALPHA = 0.1
 DISCOUNT = 0.75
-#: Least count of a next word in a state, of a one-word context, of a two-word context.
-MIN_COUNT, MIN_CONTEXT, MIN_LONG_CONTEXT = 3, 64, 16
+#: Least count of a next word in a state, and of a context.
+MIN_COUNT, MIN_CONTEXT = 6, 64
 MIN_GAIN, MIN_DIVERGENCE = 12.0, 0.02
 FLAG_BITS = 24
 
 _END = np.uint64(0x9B97F4A7C15F39CD)
 _A, _B, _M = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _MSG = "bucket long, block long, kind int, keys binary, counts binary, ones int, zeros int"
-_ANSWER = "block long, kind int, keys binary, values binary"
+_ANSWER = "block long, bucket long, kind int, keys binary, values binary"
 _WORD, _SEQUENCE, _CONTEXT, _TABLE = 1, 2, 3, 4
 
 
@@ -168,7 +169,7 @@ def _flags(words: DataFrame) -> np.ndarray:
             for k, n in zip(pdf["keys"], pdf["counts"]):
                 k, n = np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)
                 out[0, _flag_at(k[n >= MIN_COUNT])] = True
-                out[1, _flag_at(k[n >= MIN_LONG_CONTEXT])] = True
+                out[1, _flag_at(k[n >= MIN_CONTEXT])] = True
         bits = np.packbits(out, axis=1)
         for c in range(0, bits.shape[1], 1 << 16):
             if bits[:, c:c + (1 << 16)].any():
@@ -186,60 +187,81 @@ def _flags(words: DataFrame) -> np.ndarray:
     return out
 
 
-# ---------------------------------------------------------------- the two exchanges
-def _requests(blocks: DataFrame, held, buckets: int) -> DataFrame:
-    """Each block's distinct words, and its sequences with their counts in training texts."""
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        flags = [np.unpackbits(b).view(bool) for b in held.value]
-        tokens, block = Tokens(pdf["text"]), int(pdf["block"].iloc[0])
-        train = pdf["train"].to_numpy(bool)[tokens.doc]
-        next_ok, context_ok = (f[_flag_at(tokens.word)] for f in flags)
-        next_ok |= tokens.word == _END
-        context_before = np.concatenate([[False], context_ok[:-1]])
-        two, three = tokens.sequences()
-        rows = []
-
-        def send(kind, key, bucket, counts=None, ones=0, zeros=0):
-            rows.append((int(bucket), block, kind, key.tobytes(), b"" if counts is None else counts.tobytes(), int(ones), int(zeros)))
-
-        words = np.unique(tokens.word)
-        bucket = (words >> np.uint64(32)) % np.uint64(buckets)
+# ---------------------------------------------------------------- the exchanges
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side: mostly zeros for counts, which compress well."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _unplanes(b: bytes, dtype) -> np.ndarray:
+    wide = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(wide, -1).T).view(dtype).ravel()
+
+
+class Messages:
+    """What one block sends to the buckets."""
+
+    columns = ["bucket", "block", "kind", "keys", "counts", "ones", "zeros"]
+
+    def __init__(self, block: int, buckets: int):
+        self.block, self.buckets, self.rows = block, buckets, []
+
+    def words(self, words: np.ndarray) -> None:
+        keys = np.unique(words)
+        bucket = (keys >> np.uint64(32)) % np.uint64(self.buckets)
         order = np.argsort(bucket, kind="stable")
-        words, bucket = words[order], bucket[order]
+        keys, bucket = keys[order], bucket[order]
         for a, b in _cut(bucket):
-            send(_WORD, words[a:b], bucket[a])
-        use2 = (tokens.before >= 1) & next_ok & context_before
-        use3 = (tokens.before >= 2) & use2 & np.concatenate([[False, False], context_ok[:-2]])[:len(use2)]
-        places = _place(np.concatenate([two[use2], three[use3]]), buckets)
-        seen = np.concatenate([train[use2], train[use3]])
+            self.rows.append((int(bucket[a]), self.block, _WORD, keys[a:b].tobytes(), b"", 0, 0))
+
+    def sequences(self, places: np.ndarray, train: np.ndarray) -> None:
         keys, inverse = np.unique(places, return_inverse=True)
-        counts = np.bincount(inverse, seen, len(keys)).astype(np.int64)
+        counts = np.bincount(inverse, train, len(keys)).astype(np.int64)
         bucket = keys >> np.uint64(32)
         order = np.lexsort((keys, np.minimum(counts, 2), bucket))
         keys, counts, bucket = keys[order], counts[order], bucket[order]
         for a, b in _cut(bucket):
             n = counts[a:b]
-            send(_SEQUENCE, keys[a:b].astype(np.uint32), bucket[a], n[n > 1].astype(np.uint32), (n == 1).sum(), (n == 0).sum())
-        return pd.DataFrame(rows, columns=["bucket", "block", "kind", "keys", "counts", "ones", "zeros"])
+            self.rows.append((int(bucket[a]), self.block, _SEQUENCE, keys[a:b].astype(np.uint32).tobytes(),
+                              _planes(n[n > 1].astype(np.uint32)), int((n == 1).sum()), int((n == 0).sum())))
+
+    def contexts(self, on, context, n, share, count, below, train) -> None:
+        """For each context: its count, the gain over its suffix and the mass of its kept next
+        words, summed over the block's training places."""
+        at = np.flatnonzero(on)
+        keys, first, inverse = np.unique(context[at], return_index=True, return_inverse=True)
+        use = train[at] & (share[at] > 0) & (below[at] > 0)
+        weight = np.where(use, 1 - DISCOUNT / np.maximum(count[at], 1), 0.0)
+        gain = np.where(use, weight * np.log(np.where(use, share[at], 1.0) / np.where(use, below[at], 1.0)), 0.0)
+        sums = np.stack([n[at][first], np.bincount(inverse, gain, len(keys)), np.bincount(inverse, weight, len(keys))], 1)
+        bucket = ((keys * _A) >> np.uint64(32)) % np.uint64(self.buckets)
+        order = np.argsort(bucket, kind="stable")
+        keys, sums, bucket = keys[order], sums[order].astype(np.float32), bucket[order]
+        for a, b in _cut(bucket):
+            self.rows.append((int(bucket[a]), self.block, _CONTEXT, keys[a:b].tobytes(), sums[a:b].tobytes(), 0, 0))
 
-    return blocks.groupBy("block").applyInPandas(ask, _MSG)
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame(self.rows, columns=self.columns)
 
 
 def _answers(messages: DataFrame) -> DataFrame:
-    """Totals of all blocks, to each block for the keys it has sent."""
+    """One row per block: what the buckets answer to its messages.  Words get their counts,
+    sequences their counts from MIN_COUNT on, contexts the mass left to the suffix if they
+    pass the divergence test."""
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, bucket = [], np.uint64(pdf["bucket"].iloc[0])
-        words = pdf[pdf["kind"] == _TABLE]
-        known = Lookup([np.frombuffer(x, np.uint64) for x in words["keys"]], [np.frombuffer(x, np.int64) for x in words["counts"]], np.int64)
-        asked = pdf[pdf["kind"] == _WORD]
-        for block, k in zip(asked["block"], asked["keys"]):
-            k = np.frombuffer(k, np.uint64)
-            n = known.get(k)
-            rows.append((block, _WORD, k[n > 0].tobytes(), n[n > 0].tobytes()))
-        asked = pdf[pdf["kind"] == _SEQUENCE]
-        if len(asked):
+        rows, bucket = [], int(pdf["bucket"].iloc[0])
+        kinds = {k: part for k, part in pdf.groupby("kind")}
+        if _WORD in kinds:
+            held = kinds.get(_TABLE, pdf.iloc[:0])
+            known = Lookup([np.frombuffer(x, np.uint64) for x in held["keys"]], [np.frombuffer(x, np.int64) for x in held["counts"]], np.int64)
+            for block, k in zip(kinds[_WORD]["block"], kinds[_WORD]["keys"]):
+                k = np.frombuffer(k, np.uint64)
+                n = known.get(k)
+                rows.append((block, bucket, _WORD, k[n > 0].tobytes(), _planes(n[n > 0])))
+        if _SEQUENCE in kinds:
+            asked = kinds[_SEQUENCE]
             keys = [np.frombuffer(x, np.uint32) for x in asked["keys"]]
-            counts = [np.concatenate([np.zeros(z, np.int64), np.ones(o, np.int64), np.frombuffer(c, np.uint32).astype(np.int64)])
+            counts = [np.concatenate([np.zeros(z, np.int64), np.ones(o, np.int64), _unplanes(c, np.uint32).astype(np.int64)])
                       for z, o, c in zip(asked["zeros"], asked["ones"], asked["counts"])]
             each, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(inverse, np.concatenate(counts), len(each)).astype(np.uint32)[inverse]
@@ -247,97 +269,67 @@ def _answers(messages: DataFrame) -> DataFrame:
             for block, k in zip(asked["block"], keys):
                 n = total[at:at + len(k)]
                 at += len(k)
-                keep = n >= MIN_COUNT
-                rows.append((block, _SEQUENCE, ((bucket << np.uint64(32)) | k[keep].astype(np.uint64)).tobytes(), n[keep].tobytes()))
-        return pd.DataFrame(rows, columns=["block", "kind", "keys", "values"])
+                rows.append((block, bucket, _SEQUENCE, k[n >= MIN_COUNT].tobytes(), _planes(n[n >= MIN_COUNT])))
+        if _CONTEXT in kinds:
+            asked = kinds[_CONTEXT]
+            keys = [np.frombuffer(x, np.uint64) for x in asked["keys"]]
+            parts = np.concatenate([np.frombuffer(x, np.float32).reshape(-1, 3) for x in asked["counts"]]).astype(np.float64)
+            each, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            n, gain, mass = parts[first, 0], np.bincount(inverse, parts[:, 1]), np.bincount(inverse, parts[:, 2])
+            state = (gain >= MIN_GAIN) & (gain >= MIN_DIVERGENCE * n)
+            left = np.clip(1 - mass / n, 1e-6, 1.0)
+            at = 0
+            for block, k in zip(asked["block"], keys):
+                mine = inverse[at:at + len(k)]
+                at += len(k)
+                yes = state[mine]
+                rows.append((block, bucket, _CONTEXT, k[yes].tobytes(), left[mine[yes]].tobytes()))
+        return pd.DataFrame(rows, columns=["block", "bucket", "kind", "keys", "values"])
+
+    got = messages.groupBy("bucket").applyInPandas(answer, _ANSWER)
+    # a row per block: the exchange by block is made once and serves all later levels
+    return got.groupBy("block").agg(F.collect_list(F.struct("bucket", "kind", "keys", "values")).alias("got"))
+
 
-    return messages.groupBy("bucket").applyInPandas(answer, _ANSWER)
+def _got(answers: pd.DataFrame) -> list[dict]:
+    """The answers of all levels that one block has, from its row of (got1, got2, ...)."""
+    return [m for row in answers.itertuples(index=False) for cell in row if isinstance(cell, (list, np.ndarray)) for m in cell]
 
 
 class State:
     """Counts and probabilities at every place of a block, from the answers it has got."""
 
-    def __init__(self, pdf: pd.DataFrame, answers: pd.DataFrame, total: int, distinct: int, buckets: int):
+    def __init__(self, pdf: pd.DataFrame, got: list[dict], total: int, distinct: int, buckets: int):
         self.tokens = t = Tokens(pdf["text"])
-        self.buckets = buckets
-
-        def got(kind, dtype):
-            part = answers[answers["kind"] == kind]
-            return Lookup([np.frombuffer(x, np.uint64) for x in part["keys"]], [np.frombuffer(x, dtype) for x in part["values"]], dtype)
-
-        self.count = got(_WORD, np.int64).get(t.word)
+        words = [m for m in got if m["kind"] == _WORD]
+        known = Lookup([np.frombuffer(m["keys"], np.uint64) for m in words], [_unplanes(m["values"], np.int64) for m in words], np.int64)
+        self.count = known.get(t.word)
         self.root = (self.count + ALPHA) / (total + ALPHA * (distinct + 1))
-        sequences = got(_SEQUENCE, np.uint32)
+        pairs = [m for m in got if m["kind"] == _SEQUENCE]
+        sequences = Lookup([(np.uint64(m["bucket"]) << np.uint64(32)) | np.frombuffer(m["keys"], np.uint32).astype(np.uint64) for m in pairs],
+                           [_unplanes(m["values"], np.uint32) for m in pairs], np.uint32)
         two, three = t.sequences()
         self.two, self.three = _place(two, buckets), _place(three, buckets)
         self.c2 = sequences.get(self.two, t.before >= 1).astype(np.float64)
-        self.c3 = sequences.get(self.three, t.before >= 2).astype(np.float64)
         shift = lambda x: np.concatenate([x[:1] * 0, x[:-1]])
         self.ctx1, self.ctx2 = shift(t.word), shift(self.two)
         self.n1 = np.where(t.before >= 1, shift(self.count), 0).astype(np.float64)
         self.n2 = np.where(t.before >= 2, shift(self.c2), 0)
-        self.is1, self.is2 = self.n1 >= MIN_CONTEXT, self.n2 >= MIN_LONG_CONTEXT
-        self.kept = got(_CONTEXT, np.float64)
+        self.is1, self.is2 = self.n1 >= MIN_CONTEXT, self.n2 >= MIN_CONTEXT
+        # a three-word sequence is no more frequent than its last two words
+        self.ask3 = self.is2 & (self.c2 >= MIN_COUNT)
+        self.c3 = sequences.get(self.three, self.ask3).astype(np.float64)
+        kept = [m for m in got if m["kind"] == _CONTEXT]
+        self.kept = Lookup([np.frombuffer(m["keys"], np.uint64) for m in kept], [np.frombuffer(m["values"], np.float64) for m in kept], np.float64)
 
     def shares(self) -> tuple[np.ndarray, np.ndarray]:
         """Discounted frequencies of each word after its contexts."""
         with np.errstate(divide="ignore", invalid="ignore"):
             f1 = np.where(self.is1 & (self.c2 >= MIN_COUNT), (self.c2 - DISCOUNT) / self.n1, 0.0)
-            f2 = np.where(self.is2 & (self.c3 >= MIN_COUNT), (self.c3 - DISCOUNT) / self.n2, 0.0)
+            f2 = np.where(self.ask3 & (self.c3 >= MIN_COUNT), (self.c3 - DISCOUNT) / self.n2, 0.0)
         return f1, f2
 
 
-def _context_sums(blocks: DataFrame, answers: DataFrame, total: int, distinct: int, buckets: int) -> DataFrame:
-    """For each context of a block: its count, the gain over its suffix and the mass of its
-    kept next words, summed over the block's training texts."""
-    def add(key, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame(columns=["bucket", "block", "keys", "sums"])
-        s = State(pdf, got, total, distinct, buckets)
-        f1, f2 = s.shares()
-        train = pdf["train"].to_numpy(bool)[s.tokens.doc]
-        keys, sums = [], []
-        for on, ctx, n, share, c, below in ((s.is1, s.ctx1, s.n1, f1, s.c2, s.root), (s.is2, s.ctx2, s.n2, f2, s.c3, f1)):
-            at = np.flatnonzero(on)
-            k, first, inverse = np.unique(ctx[at], return_index=True, return_inverse=True)
-            use = train[at] & (share[at] > 0) & (below[at] > 0)
-            weight = np.where(use, 1 - DISCOUNT / np.maximum(c[at], 1), 0.0)
-            gain = np.where(use, weight * np.log(np.where(use, share[at], 1.0) / np.where(use, below[at], 1.0)), 0.0)
-            keys.append(k)
-            sums.append(np.stack([n[at][first], np.bincount(inverse, gain, len(k)), np.bincount(inverse, weight, len(k))], 1))
-        keys, sums = np.concatenate(keys), np.concatenate(sums).astype(np.float32)
-        bucket = (keys * _A) >> np.uint64(32)
-        bucket %= np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        keys, sums, bucket = keys[order], sums[order], bucket[order]
-        rows = [(int(bucket[a]), int(key[0]), keys[a:b].tobytes(), sums[a:b].tobytes()) for a, b in _cut(bucket)]
-        return pd.DataFrame(rows, columns=["bucket", "block", "keys", "sums"])
-
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        add, "bucket long, block long, keys binary, sums binary")
-
-
-def _states(sums: DataFrame) -> DataFrame:
-    """The divergence test: to each block, which of its contexts are states, with the mass
-    that goes to the suffix."""
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(x, np.uint64) for x in pdf["keys"]]
-        parts = np.concatenate([np.frombuffer(x, np.float32).reshape(-1, 3) for x in pdf["sums"]]).astype(np.float64)
-        each, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        n, gain, mass = parts[first, 0], np.bincount(inverse, parts[:, 1]), np.bincount(inverse, parts[:, 2])
-        state = (gain >= MIN_GAIN) & (gain >= MIN_DIVERGENCE * n)
-        left = np.clip(1 - mass / n, 1e-6, 1.0)
-        rows, at = [], 0
-        for block, k in zip(pdf["block"], keys):
-            mine = inverse[at:at + len(k)]
-            at += len(k)
-            yes = state[mine]
-            rows.append((block, _CONTEXT, k[yes].tobytes(), left[mine[yes]].tobytes()))
-        return pd.DataFrame(rows, columns=["block", "kind", "keys", "values"])
-
-    return sums.groupBy("bucket").applyInPandas(test, _ANSWER)
-
-
 def score(docs: DataFrame, train=None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_states): every
     row of ``docs`` scored by the tree learned from the rows where ``train`` is true."""
@@ -355,13 +347,38 @@ def score(docs: DataFrame, train=None) -> DataFrame:
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
     counted = words.select("bucket", F.lit(-1).cast("long").alias("block"), F.lit(_TABLE).alias("kind"), "keys", "counts",
                            F.lit(0).alias("ones"), F.lit(0).alias("zeros"))
-    answers = _answers(_requests(blocks, held, buckets).unionByName(counted))
-    states = _states(_context_sums(blocks, answers, total, distinct, buckets))
 
-    def finish(key, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        flags = [np.unpackbits(b).view(bool) for b in held.value]
+        out, t = Messages(int(pdf["block"].iloc[0]), buckets), Tokens(pdf["text"])
+        next_ok, context_ok = (f[_flag_at(t.word)] for f in flags)
+        next_ok |= t.word == _END
+        out.words(t.word)
+        use = (t.before >= 1) & next_ok & np.concatenate([[False], context_ok[:-1]])
+        out.sequences(_place(t.sequences()[0], buckets)[use], pdf["train"].to_numpy(bool)[t.doc[use]])
+        return out.frame()
+
+    def second(key, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = Messages(int(key[0]), buckets)
+        if len(pdf):
+            s = State(pdf, _got(answers[["got"]]), total, distinct, buckets)
+            train = pdf["train"].to_numpy(bool)[s.tokens.doc]
+            out.sequences(s.three[s.ask3], train[s.ask3])
+            out.contexts(s.is1, s.ctx1, s.n1, s.shares()[0], s.c2, s.root, train)
+        return out.frame()
+
+    def third(key, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = Messages(int(key[0]), buckets)
+        if len(pdf):
+            s = State(pdf, _got(answers[["got", "got2"]]), total, distinct, buckets)
+            f1, f2 = s.shares()
+            out.contexts(s.is2, s.ctx2, s.n2, f2, s.c3, f1, pdf["train"].to_numpy(bool)[s.tokens.doc])
+        return out.frame()
+
+    def finish(key, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame(columns=["doc_id", "train", "n_tokens", "n_known", "base_score", "score", "n_states"])
-        s = State(pdf, got, total, distinct, buckets)
+        s = State(pdf, _got(answers[["got", "got2", "got3"]]), total, distinct, buckets)
         f1, f2 = s.shares()
         left1, left2 = s.kept.get(s.ctx1, s.is1), s.kept.get(s.ctx2, s.is2)
         on1 = left1 > 0
@@ -374,7 +391,12 @@ def score(docs: DataFrame, train=None) -> DataFrame:
             "n_known": np.bincount(doc, s.count > 0, n).astype(np.int64), "base_score": np.bincount(doc, np.log10(s.root), n),
             "score": np.bincount(doc, np.log10(p), n), "n_states": np.bincount(doc, on1, n).astype(np.int64)})
 
-    out = blocks.groupBy("block").cogroup(answers.unionByName(states).groupBy("block")).applyInPandas(
+    texts = blocks.groupBy("block")
+    got1 = _answers(texts.applyInPandas(first, _MSG).unionByName(counted))
+    got2 = _answers(texts.cogroup(got1.groupBy("block")).applyInPandas(second, _MSG)).withColumnRenamed("got", "got2")
+    both = got1.join(got2, "block", "left")
+    got3 = _answers(texts.cogroup(both.groupBy("block")).applyInPandas(third, _MSG)).withColumnRenamed("got", "got3")
+    out = texts.cogroup(both.join(got3, "block", "left").groupBy("block")).applyInPandas(
         finish, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, n_states long")
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
                       F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_states")
