@@ -158,13 +158,17 @@ def test_jaccard_edges(spark):
 
 def test_tree_pairs_lose_nothing():
     rng = np.random.default_rng(1)
-    base = [rng.integers(0, 1 << 63, rng.integers(20, 300), dtype=np.uint64) for _ in range(20)]
+    base = [rng.integers(0, 1 << 63, rng.integers(20, 2500), dtype=np.uint64) for _ in range(20)]
     sets = []
     for _ in range(400):
         b = base[rng.integers(20)]
         sets.append(np.unique(np.concatenate([b[rng.random(len(b)) > 0.3 * rng.random()], rng.integers(0, 1 << 63, 5, dtype=np.uint64)])))
     n, comp = np.asarray([len(s) for s in sets]), rng.integers(0, 150, 400)
-    bits = np.stack([jaccard_join.bitmap(s) for s in sets])
+    raw = [jaccard_join.bitmap(s).tobytes() for s in sets]
+    bits = jaccard_join.matrix(raw)
+    assert len({len(b) for b in raw}) > 1
+    for a, b in ((0, 1), (2, 300), (17, 399)):
+        assert jaccard_join.apart([raw[a]], [raw[b]])[0] <= len(np.setxor1d(sets[a], sets[b]))
     for split in (None, 150):
         i, j = jaccard_join.tree_pairs(n, bits, comp, split)
         got = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}

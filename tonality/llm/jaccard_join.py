@@ -41,8 +41,8 @@ from tonality.llm.graph import components
 SHINGLE = 5
 #: Similarity bound as a fraction.
 T_NUM, T_DEN = 4, 5
+#: Bits of a signature; larger sets get the power of two from twice their size on.
 BITS = 2048
-_WORDS64 = BITS // 64
 SKETCH_BITS = 20
 SKETCH_CHUNK = 1 << 16
 KEYS_PER_BUCKET = 400_000
@@ -79,12 +79,35 @@ def class_id(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    at = ((s * _C[61]) >> np.uint64(64 - 11)).astype(np.int64)
-    flags = np.zeros(BITS, np.uint8)
-    flags[at] = 1
+    """Signature of a set; a wider one folds to a narrower by the OR of its parts."""
+    wide = max(BITS, 1 << int(2 * len(s) - 1).bit_length() if len(s) else 0)
+    flags = np.zeros(wide, np.uint8)
+    flags[(((s * _C[61]) >> np.uint64(32)) & np.uint64(wide - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").view(np.uint64)
 
 
+def folded(b: bytes, size: int) -> np.ndarray:
+    a = np.frombuffer(b, np.uint64)
+    return a if len(b) == size else np.bitwise_or.reduce(a.reshape(-1, size // 8), axis=0)
+
+
+def matrix(bits: list[bytes]) -> np.ndarray:
+    """Signatures as rows, folded to the narrowest."""
+    size = min(map(len, bits), default=BITS // 8)
+    return np.frombuffer(b"".join([b if len(b) == size else folded(b, size).tobytes() for b in bits]), np.uint64).reshape(-1, size // 8)
+
+
+def apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """At least so many elements are in one set of a pair only, for pairs of signatures."""
+    out = np.zeros(len(a), np.int64)
+    size = np.minimum([len(x) for x in a], [len(x) for x in b]) if len(a) else np.zeros(0, int)
+    for n in np.unique(size):
+        for at in np.array_split(np.flatnonzero(size == n), 1 + int((size == n).sum() * n) // (1 << 24)):
+            x, y = (np.stack([folded(v[i], int(n)) for i in at]) for v in (a, b))
+            out[at] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return out
+
+
 def prefix_length(n: int) -> int:
     return n - -(-T_NUM * n // T_DEN) + 1
 
@@ -247,7 +270,7 @@ def _candidates(rows: DataFrame, bins: int) -> DataFrame:
     """(a, b, ca, cb, near): pairs of classes that the trees allow, from group rows
     (gid, block_a, block_b, part, node, comp, n, bits); near estimates the overlap's excess."""
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(-1, _WORDS64)
+        bits = pdf["bits"].tolist()
         node, comp, n = (pdf[c].to_numpy(np.int64) for c in ("node", "comp", "n"))
         gid, x, y, part = (pdf[c].to_numpy(np.int64) for c in ("gid", "block_a", "block_b", "part"))
         order = np.lexsort((part, y, x, gid))
@@ -258,17 +281,17 @@ def _candidates(rows: DataFrame, bins: int) -> DataFrame:
             split = int((part[own] == 0).sum()) if x[own[0]] != y[own[0]] else None
             if split is not None and split in (0, len(own)):
                 continue
-            i, j = tree_pairs(n[own], bits[own], comp[own], split)
+            i, j = tree_pairs(n[own], matrix([bits[r] for r in own]), comp[own], split)
             left.append(own[i])
             right.append(own[j])
         i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
         swap = node[i] > node[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)  # at least so many elements differ
-        total = n[i] + n[j]
-        ok = _possible(n[i], n[j], (total - apart) // 2)
-        out = pd.DataFrame({"a": node[i], "b": node[j], "ca": comp[i], "cb": comp[j], "near": -(1000 * apart // total)})
-        return out[ok].drop_duplicates(["a", "b"])
+        pairs = pd.DataFrame({"a": node[i], "b": node[j], "i": i, "j": j}).drop_duplicates(["a", "b"])
+        i, j = pairs["i"].to_numpy(), pairs["j"].to_numpy()
+        differ, total = apart([bits[x] for x in i], [bits[x] for x in j]), n[i] + n[j]
+        out = pd.DataFrame({"a": node[i], "b": node[j], "ca": comp[i], "cb": comp[j], "near": -(1000 * differ // np.maximum(total, 1))})
+        return out[_possible(n[i], n[j], (total - differ) // 2)]
 
     spread = F.pmod(F.xxhash64("gid", "block_a", "block_b"), F.lit(bins))
     return rows.withColumn("_bin", spread).groupBy("_bin").applyInPandas(join, _CANDIDATE)
@@ -363,10 +386,8 @@ def _hub_pairs(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     def allow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x, y = (np.frombuffer(b"".join(pdf[c]), np.uint64).reshape(-1, _WORDS64) for c in ("bits", "bits_hub"))
                 total = pdf["n"].to_numpy(np.int64) + pdf["n_hub"].to_numpy(np.int64)
-                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-                ok = _possible(total, 0, (total - apart) // 2)
+                ok = _possible(total, 0, (total - apart(pdf["bits"].tolist(), pdf["bits_hub"].tolist())) // 2)
                 yield pdf.loc[ok, ["hub", "node"]].rename(columns={"hub": "a", "node": "b"})
 
     return rows.mapInPandas(allow, "a long, b long")
