@@ -1,18 +1,17 @@
 """Dataset assembly: set operations, seeded exact-size splits, quotas, balancing.
 
 Randomness is ``md5(seed:key)`` so a split does not depend on partitioning; exact
-sizes come from a distributed dense rank (``ordering.dense_index``) compared with
+sizes come from a distributed dense rank (``ordering.hash_index``) compared with
 cut-offs computed from a global count, never from a single-partition window."""
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonality.functions.hashing import sort_key
-from tonality.operators.ordering import dense_index
+from tonality.operators.ordering import hash_index
 
 
 def union_datasets(dfs: list[DataFrame]) -> DataFrame:
@@ -23,23 +22,17 @@ def union_datasets(dfs: list[DataFrame]) -> DataFrame:
 def dedup_text(df: DataFrame, key: str = "text", order: str = "sample_id") -> DataFrame:
     """drop exact duplicate texts, keeping the first row in ``order``.
 
-    A ``min(struct(order, ...))`` aggregate keeps one row per text with a map-side
-    partial aggregate, so a text repeated in a third of the rows is reduced
-    before the shuffle instead of landing whole in one task."""
-    others = [c for c in df.columns if c not in (key, order)]
-    first = df.groupBy(key).agg(F.min(F.struct(order, *others)).alias("_r"))
-    return first.select(F.col(f"_r.{order}").alias(order), key, *[F.col(f"_r.{c}").alias(c) for c in others])
+    Only a 256-bit hash, the length and the smallest ``order`` value of each text are
+    shuffled (with a map-side partial aggregate, so a text repeated in a third of the
+    rows is reduced first); the kept rows are then picked by their ``order`` value,
+    which must be unique."""
+    first = df.groupBy(F.sha2(F.col(key), 256).alias("_h"), F.length(key).alias("_len")).agg(F.min(order).alias(order))
+    return df.join(first.select(order), order, "left_semi")
 
 
 def _ranked(df: DataFrame, seed: int, id_col: str, partition_cols: list | None = None) -> DataFrame:
-    return dense_index(df.withColumn("_shuffle", sort_key(seed, F.col(id_col))), ["_shuffle", id_col], "_rank",
-                       partition_cols).drop("_shuffle")
-
-
-def split_sizes(n: int, test_fraction: float) -> tuple[int, int]:
-    """train / test sizes with the test part rounded up (as train_test_split)."""
-    n_test = int(math.ceil(test_fraction * n))
-    return n - n_test, n_test
+    return hash_index(df.withColumn("_shuffle", sort_key(seed, F.col(id_col))), "_shuffle", [id_col], "_rank",
+                      partition_cols).drop("_shuffle")
 
 
 def random_split(df: DataFrame, test_fraction: float, seed: int = 42, id_col: str = "sample_id",
@@ -68,7 +61,7 @@ def stratified_split(df: DataFrame, label: str = "label", test_fraction: float =
     """per-class split keeping class proportions: each class puts
     ceil(n_class * fraction) rows into the test part."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    r = _ranked(df, seed, id_col, [label]).join(F.broadcast(counts), label)
+    r = _ranked(df, seed, id_col, [label]).join(counts, label)
     n_train = F.col("_n") - F.ceil(F.col("_n") * F.lit(test_fraction))
     return r.withColumn("split", F.when(F.col("_rank") < n_train, names[0]).otherwise(names[1])).drop("_rank", "_n")
 

@@ -18,8 +18,6 @@ from tonality.operators.ordering import dense_index
 NEGATIONS = ["not", "n't"]
 PAD_ID, UNK_ID, MASK_ID = 0, 1, 2
 MASK_TOKEN = "[MASK]"
-# Above this many pairs a lookup table is joined instead of inlined as a map literal.
-MAX_INLINE_LOOKUP = 100_000
 
 
 def replace_keyword_variants(df: DataFrame, pattern: str, replacements: list[str], text: str = "text") -> DataFrame:
@@ -56,16 +54,6 @@ def random_deletion_text(df: DataFrame, seed: int = 0, text: str = "text", key:
                         .otherwise(F.col(text))).drop("_ws", "_drop")
 
 
-def _lookup_map(spark, antonyms) -> Column | None:
-    if isinstance(antonyms, dict):
-        return literal_map({k.lower(): v for k, v in antonyms.items()})
-    n = antonyms.count()
-    if n > MAX_INLINE_LOOKUP:
-        return None
-    rows = antonyms.select("word", "antonym").collect()  # size checked above
-    return literal_map({r["word"].lower(): r["antonym"] for r in rows})
-
-
 # A negation followed by a token, matched left to right without overlap (the
 # reference's rule: the pair is consumed, a trailing negation stays).
 _NEG_PAIR = r"(?<![^ ])(?:not|n't) ([^ ]+)"
@@ -87,18 +75,18 @@ def _resolve(tok: Column, antonym: Column) -> Column:
 def negation_antonym(df: DataFrame, antonyms, text: str = "text", key: str = "sample_id") -> DataFrame:
     """``not X`` / ``n't X`` -> antonym of X (X itself when it has none).
 
-    ``antonyms`` is a dict or a ``(word, antonym)`` table.  A table within
-    ``MAX_INLINE_LOOKUP`` pairs becomes a map literal (a projection, no shuffle);
-    a larger one is joined with the negated tokens only, which are then put
-    back per text (one group = one text)."""
+    ``antonyms`` is a dict, which becomes a map literal (a projection, no shuffle), or
+    a ``(word, antonym)`` table, which is joined with the negated tokens only; those are
+    then put back per text (one group = one text).  Of several antonyms of a word, in
+    any case, the smallest is taken."""
     marked = _marked_tokens(text)
-    amap = _lookup_map(df.sparkSession, antonyms)
-    if amap is not None:
+    if isinstance(antonyms, dict):
+        amap = literal_map({k.lower(): v for k, v in antonyms.items()})
         out = F.transform(marked, lambda t: _resolve(t, F.try_element_at(amap, F.lower(F.substring(t, 2, 1 << 30)))))
         return df.withColumn(text, F.array_join(out, " "))
     t = df.withColumn("_m", marked)
     ex = t.select(key, F.posexplode("_m").alias("_pos", "_tok")).where(F.col("_tok").startswith(_MARK))
-    lk = antonyms.select(F.lower("word").alias("_lw"), F.col("antonym").alias("_ant"))
+    lk = antonyms.groupBy(F.lower("word").alias("_lw")).agg(F.min("antonym").alias("_ant"))
     hits = ex.join(lk, F.lower(F.substring("_tok", 2, 1 << 30)) == lk["_lw"], "inner")
     g = hits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_ant"))).alias("_amap"))
     j = t.join(g, key, "left")
@@ -160,8 +148,10 @@ def mlm_mask(df: DataFrame, p: float = 0.15, seed: int = 0, ids: str = "input_id
 def pivot_translate(df: DataFrame, tm_out: DataFrame, tm_back: DataFrame, text: str = "text") -> DataFrame:
     """Two-hop translation through translation-memory tables
     ``(src, tgt)``; rows missing either hop get status ``not finished``."""
-    o = tm_out.select(F.col("src").alias("_s1"), F.col("tgt").alias("_mid"))
-    b = tm_back.select(F.col("src").alias("_s2"), F.col("tgt").alias("back_translated"))
-    j = df.join(o, df[text] == o["_s1"], "left").join(b, F.col("_mid") == b["_s2"], "left")
+    def key(c):  # texts meet by a 256-bit hash; neither is sorted nor compared whole
+        return F.sha2(F.col(c), 256)
+    o = tm_out.select(key("src").alias("_s1"), key("tgt").alias("_mid"))
+    b = tm_back.select(key("src").alias("_s2"), F.col("tgt").alias("back_translated"))
+    j = df.withColumn("_s1", key(text)).join(o, "_s1", "left").join(b, F.col("_mid") == b["_s2"], "left")
     status = F.when(F.col("back_translated").isNotNull(), "finished").otherwise("not finished")
     return j.withColumn("status", status).drop("_s1", "_s2", "_mid")

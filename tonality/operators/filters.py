@@ -16,9 +16,9 @@ def conform_columns(df: DataFrame, mapping: dict[str, str], drop: list[str] = ()
 
 def cast_label_int(df: DataFrame, label: str = "label") -> tuple[DataFrame, DataFrame]:
     """B2: label to INT (a CSV round trip gives ``2.0``); rows that do not parse to
-    a whole number go to the second (quarantine) frame."""
+    a whole number of INT range go to the second (quarantine) frame."""
     num = F.expr(f"try_cast({label} AS DOUBLE)")
-    as_int = F.when(num == F.floor(num), num.cast("int"))
+    as_int = F.when(num == F.floor(num), num.try_cast("int"))
     t = df.withColumn("_label_int", as_int)
     good = t.where(F.col("_label_int").isNotNull()).withColumn(label, F.col("_label_int")).drop("_label_int")
     bad = t.where(F.col("_label_int").isNull()).drop("_label_int")

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonality.functions.hashing import hash32
-from tonality.operators.ordering import dense_index
 from tonality.operators.stats import group_percentiles
 
 TS_FORMAT = "yyyyMMdd'T'HHmmss"
@@ -98,12 +97,6 @@ def articles_in_window(feed: DataFrame, series: DataFrame, k: int = 30) -> DataF
         "symbol", "settlement_date", "url", "time_published", "date", "rank")
 
 
-def score_articles(windowed: DataFrame) -> DataFrame:
-    """Model verdict per article in the market space (-1 / 0 / +1).  Stands in for
-    the per-article model call: a hash of the url picks the class."""
-    return windowed.withColumn("score", (hash32("art", F.col("url")) % 3 - 1).cast("int"))
-
-
 def window_sentiment(scored: DataFrame, series: DataFrame) -> DataFrame:
     """Mean score per day, then the mean of the daily means per window;
     >= 0.5 -> 1, >= -0.5 -> 0, else -1; a window without articles -> null."""
@@ -129,7 +122,8 @@ def sentiment_vs_market(model: DataFrame, market: DataFrame) -> DataFrame:
 def roi_per_trading_day(prices: DataFrame, requests: DataFrame) -> DataFrame:
     """(end close - start close) / trading days inclusive, days counted on the
     symbol's own trading calendar; an absent date gives null (trap T11)."""
-    idx = dense_index(prices.select("symbol", "date", "close"), ["date"], "day_idx", ["symbol"])
+    # daily rows: one per symbol and day, as in J3
+    idx = prices.select("symbol", "date", "close", F.row_number().over(Window.partitionBy("symbol").orderBy("date")).alias("day_idx"))
     s = idx.select("symbol", F.col("date").alias("start_date"), F.col("close").alias("start_close"),
                    F.col("day_idx").alias("_i0"))
     e = idx.select("symbol", F.col("date").alias("end_date"), F.col("close").alias("end_close"),

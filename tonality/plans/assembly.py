@@ -113,11 +113,11 @@ def q_stratified_split(spark, d):
 @register("shuffle_take", """
 SELECT doc_id AS sample_id, source FROM documents
 WHERE len(regexp_extract_all(text, '\\S+')) BETWEEN 130 AND 250
-ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100""")
+ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 1000""")
 def q_shuffle_take(spark, d):
-    """articles of 130-250 words, seeded shuffle, first 100."""
+    """articles of 130-250 words, seeded shuffle, the first min(1000, n)."""
     docs = B.filter_word_count_between(tb.read(spark, d, "documents"), 130, 250)
-    return A.shuffle_take(docs.select(F.col("doc_id").alias("sample_id"), "source"), 100, 42)
+    return A.shuffle_take(docs.select(F.col("doc_id").alias("sample_id"), "source"), 1000, 42)
 
 
 QUOTAS = {0: 30, 1: 40, 2: 150}

@@ -30,10 +30,10 @@ SELECT sample_id, array_to_string(list_transform(s, lambda x, i:
                      j - 1 <> {H(f"'{SEED}:' || CAST(sample_id AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR)")}
                               % len({WS.format('x')})), ' ')
               ELSE array_to_string({WS.format('x')}, ' ') END), ' ') AS text
-FROM (SELECT sample_id, {SENTS} AS s FROM labeled_text)""", "labeled_text"))
+FROM (SELECT sample_id, {SENTS} AS s FROM texts)""", "texts"))
 def q_random_deletion_sentence(spark, d):
     """G1: one random word deleted from each sentence of more than one word."""
-    return G.random_deletion_sentence(tb.labeled_text(spark, d), SEED).select("sample_id", "text")
+    return G.random_deletion_sentence(tb.texts(spark, d), SEED).select("sample_id", "text")
 
 
 @register("random_deletion_text", with_views(f"""
@@ -41,10 +41,10 @@ SELECT sample_id, CASE WHEN len(ws) > 1
          THEN array_to_string(list_filter(ws, lambda w, j:
                 j - 1 <> {H(f"'{SEED}:' || CAST(sample_id AS VARCHAR)")} % len(ws)), ' ')
          ELSE text END AS text
-FROM (SELECT sample_id, text, {WS.format('text')} AS ws FROM labeled_text)""", "labeled_text"))
+FROM (SELECT sample_id, text, {WS.format('text')} AS ws FROM texts)""", "texts"))
 def q_random_deletion_text(spark, d):
     """One random word deleted from each text (one-word texts unchanged)."""
-    return G.random_deletion_text(tb.labeled_text(spark, d), SEED).select("sample_id", "text")
+    return G.random_deletion_text(tb.texts(spark, d), SEED).select("sample_id", "text")
 
 
 # Antonyms for the negation augmentation (both directions).
@@ -85,48 +85,66 @@ def _mask_sql(x: str) -> str:
 @register("keyword_mask", with_views(f"""
 SELECT sample_id, {U("'0:' || CAST(sample_id AS VARCHAR)")} < 0.35 AS masked,
        CASE WHEN {U("'0:' || CAST(sample_id AS VARCHAR)")} < 0.35 THEN {_mask_sql('text')} ELSE text END AS text
-FROM labeled_text""", "labeled_text"))
+FROM texts""", "texts"))
 def q_keyword_mask(spark, d):
     """Keywords (``the``, ``and``) masked in a seeded 35 % of the rows."""
-    return G.keyword_mask(tb.labeled_text(spark, d), ["the", "and"], 0.35, 0).select("sample_id", "masked", "text")
+    return G.keyword_mask(tb.texts(spark, d), ["the", "and"], 0.35, 0).select("sample_id", "masked", "text")
 
 
-MAX_LEN = 32
-_ENC = {
-    "t": f"SELECT sample_id, dataset, {TOKS.replace('replace(text,', 'replace(lower(text),')} AS toks FROM labeled_text",
+# The reference's token lengths for training and for its baseline.
+MAX_LEN, BASELINE_LEN = 512, 256
+_VOCAB = {
+    "t": f"SELECT sample_id, dataset, {TOKS.replace('replace(text,', 'replace(lower(text),')} AS toks FROM texts",
     "vocab": "SELECT token, row_number() OVER (ORDER BY n DESC, token) + 2 AS token_id FROM "
              "(SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM t) GROUP BY token)",
-    "e": f"SELECT sample_id, unnest(list_slice(toks, 1, {MAX_LEN})) AS token, "
-         f"unnest(generate_series(0, len(list_slice(toks, 1, {MAX_LEN})) - 1)) AS pos FROM t",
-    "ids": "SELECT e.sample_id, list(CAST(coalesce(v.token_id, 1) AS INTEGER) ORDER BY e.pos) AS ids "
-           "FROM e LEFT JOIN vocab v USING (token) GROUP BY e.sample_id",
-    "enc": f"SELECT t.sample_id, t.dataset, CAST(len(coalesce(ids, [])) AS INTEGER) AS n_tokens, "
-           f"list_concat(coalesce(ids, []), list_transform(range({MAX_LEN} - len(coalesce(ids, []))), lambda x: 0)) "
-           f"AS input_ids FROM t LEFT JOIN ids USING (sample_id)",
 }
 
 
-def _encoded(spark, d):
-    lt = tb.labeled_text(spark, d).select("sample_id", "dataset", G.lower_tokens("text").alias("tokens"))
-    vocab = G.build_vocab(lt, "tokens")
-    return G.encode_tokens(lt, vocab, MAX_LEN, keep=("dataset",))
+def _enc(n: int) -> dict[str, str]:
+    return _VOCAB | {
+        "e": f"SELECT sample_id, unnest(list_slice(toks, 1, {n})) AS token, "
+             f"unnest(generate_series(0, len(list_slice(toks, 1, {n})) - 1)) AS pos FROM t",
+        "ids": "SELECT e.sample_id, list(CAST(coalesce(v.token_id, 1) AS INTEGER) ORDER BY e.pos) AS ids "
+               "FROM e LEFT JOIN vocab v USING (token) GROUP BY e.sample_id",
+        "enc": f"SELECT t.sample_id, t.dataset, CAST(len(coalesce(ids, [])) AS INTEGER) AS n_tokens, "
+               f"list_concat(coalesce(ids, []), list_transform(range({n} - len(coalesce(ids, []))), lambda x: 0)) "
+               f"AS input_ids FROM t LEFT JOIN ids USING (sample_id)",
+    }
 
 
-@register("build_vocab", with_views("SELECT token, token_id FROM vocab", "labeled_text", extra=_ENC))
+_ENC = _enc(MAX_LEN)
+
+
+def _encoded(spark, d, max_len: int = MAX_LEN):
+    t = tb.texts(spark, d).select("sample_id", "dataset", G.lower_tokens("text").alias("tokens"))
+    vocab = G.build_vocab(t, "tokens")
+    return G.encode_tokens(t, vocab, max_len, keep=("dataset",))
+
+
+@register("build_vocab", with_views("SELECT token, token_id FROM vocab", "texts", extra=_VOCAB))
 def q_build_vocab(spark, d):
     """C14: vocabulary of all tokens, ids by frequency (0 pad, 1 unknown, 2 mask)."""
-    lt = tb.labeled_text(spark, d).select("sample_id", G.lower_tokens("text").alias("tokens"))
-    return G.build_vocab(lt, "tokens").select("token", "token_id")
+    t = tb.texts(spark, d).select("sample_id", G.lower_tokens("text").alias("tokens"))
+    return G.build_vocab(t, "tokens").select("token", "token_id")
+
 
+_IDS = "SELECT sample_id, n_tokens, array_to_string(input_ids, ',') AS input_ids FROM enc"
 
-@register("pad_truncate_tokens", with_views(
-    "SELECT sample_id, n_tokens, array_to_string(input_ids, ',') AS input_ids FROM enc", "labeled_text", extra=_ENC))
+
+@register("pad_truncate_tokens", with_views(_IDS, "texts", extra=_ENC))
 def q_pad_truncate_tokens(spark, d):
-    """C14: token ids truncated / padded to 32 with the attention mask length."""
+    """C14: token ids truncated / padded to 512 with the attention mask length."""
     e = _encoded(spark, d)
     return e.select("sample_id", "n_tokens", F.array_join("input_ids", ",").alias("input_ids"))
 
 
+@register("pad_truncate_tokens_baseline", with_views(_IDS, "texts", extra=_enc(BASELINE_LEN)))
+def q_pad_truncate_tokens_baseline(spark, d):
+    """C14: the same with the baseline's length of 256."""
+    e = _encoded(spark, d, BASELINE_LEN)
+    return e.select("sample_id", "n_tokens", F.array_join("input_ids", ",").alias("input_ids"))
+
+
 def _mlm_sql(ids: str) -> str:
     return (f"list_transform({ids}, lambda x, i: CASE WHEN x <> 0 AND "
             f"{U(chr(39) + '0:' + chr(39) + ' || CAST(sample_id AS VARCHAR) || ' + chr(39) + ':' + chr(39) + ' || CAST(i - 1 AS VARCHAR)')}"
@@ -137,7 +155,7 @@ def _mlm_sql(ids: str) -> str:
 SELECT sample_id, array_to_string(lab, ',') AS mlm_labels,
        array_to_string(list_transform(list_zip(input_ids, lab), lambda z: CASE WHEN z[2] <> -100 THEN 2 ELSE z[1] END), ',')
          AS mlm_input_ids
-FROM (SELECT sample_id, input_ids, {_mlm_sql('input_ids')} AS lab FROM enc)""", "labeled_text", extra=_ENC))
+FROM (SELECT sample_id, input_ids, {_mlm_sql('input_ids')} AS lab FROM enc)""", "texts", extra=_ENC))
 def q_mlm_mask(spark, d):
     """15 % of the token positions become [MASK] targets (labels -100 elsewhere)."""
     m = G.mlm_mask(_encoded(spark, d), 0.15, 0)
@@ -156,7 +174,7 @@ FROM (SELECT dataset,
                      {U(chr(39) + 'pred:' + chr(39) + ' || CAST(sample_id AS VARCHAR) || ' + chr(39) + ':' + chr(39) + ' || CAST(i - 1 AS VARCHAR)')}
                      < 0.7 THEN x ELSE 1 END) AS pred
             FROM (SELECT *, {_mlm_sql('input_ids')} AS lab FROM enc)))
-GROUP BY dataset""", "labeled_text", extra=_ENC))
+GROUP BY dataset""", "texts", extra=_ENC))
 def q_masked_token_accuracy(spark, d):
     """Accuracy over masked token positions (label != -100), per dataset."""
     m = G.mlm_mask(_encoded(spark, d), 0.15, 0)
@@ -176,9 +194,9 @@ _TM = {
 @register("pivot_translate", with_views("""
 SELECT l.sample_id, b.tgt AS back_translated,
        CASE WHEN b.tgt IS NOT NULL THEN 'finished' ELSE 'not finished' END AS status
-FROM labeled_text l LEFT JOIN tm_out o ON l.text = o.src LEFT JOIN tm_back b ON o.tgt = b.src""", "labeled_text",
+FROM texts l LEFT JOIN tm_out o ON l.text = o.src LEFT JOIN tm_back b ON o.tgt = b.src""", "texts",
                                       extra=_TM))
 def q_pivot_translate(spark, d):
     """Two-hop translation by translation memories; misses -> ``not finished``."""
     out, back = tb.translation_memories(spark, d)
-    return G.pivot_translate(tb.labeled_text(spark, d), out, back).select("sample_id", "back_translated", "status")
+    return G.pivot_translate(tb.texts(spark, d), out, back).select("sample_id", "back_translated", "status")

@@ -163,21 +163,21 @@ REPLACEMENTS = ["share", "pay", "cut"]
 
 
 @register("replace_keyword_variants", with_views(" UNION ALL ".join(
-    f"SELECT sample_id, '{r}' AS replacement, {ww_sql('text', 'the', r, 'gi')} AS text FROM labeled_text"
-    for r in REPLACEMENTS), "labeled_text"))
+    f"SELECT sample_id, '{r}' AS replacement, {ww_sql('text', 'the', r, 'gi')} AS text FROM texts"
+    for r in REPLACEMENTS), "texts"))
 def q_replace_keyword_variants(spark, d):
     """Three counterfactual copies per row, ``\\bthe\\b`` -> share / pay / cut."""
     from tonality.operators.augment import replace_keyword_variants
-    return replace_keyword_variants(tb.labeled_text(spark, d), r"\bthe\b", REPLACEMENTS).select(
+    return replace_keyword_variants(tb.texts(spark, d), r"\bthe\b", REPLACEMENTS).select(
         "sample_id", "replacement", "text")
 
 
 @register("build_prompt", with_views(
     f"SELECT sample_id, {_prompt_sql('text')} "
-    f"AS prompt FROM labeled_text", "labeled_text"))
+    f"AS prompt FROM texts", "texts"))
 def q_build_prompt(spark, d):
     """Instruction prompt around each text."""
-    return tb.labeled_text(spark, d).select("sample_id", X.build_prompt("text").alias("prompt"))
+    return tb.texts(spark, d).select("sample_id", X.build_prompt("text").alias("prompt"))
 
 
 _ANS = ("CASE WHEN contains(generated, 'Answer: ') THEN lower(trim(string_split(generated, 'Answer: ')[-1])) "

@@ -388,7 +388,7 @@ def q_perplexity(spark, d):
 
 
 # ---- H27 / H28 / H31: length features ------------------------------------------------
-_LF = {"w": f"SELECT *, {wc_sql('text')} AS text_length FROM labeled_text",
+_LF = {"w": f"SELECT *, {wc_sql('text')} AS text_length FROM texts",
        "mm": "SELECT min(text_length) AS mn, max(text_length) AS mx FROM w",
        "f": "SELECT w.*, CASE WHEN mx = mn THEN 0.0 ELSE (text_length - mn) / (mx - mn) END AS text_length_scaled "
             "FROM w, mm",
@@ -397,10 +397,10 @@ _LF = {"w": f"SELECT *, {wc_sql('text')} AS text_length FROM labeled_text",
 
 @register("length_features", with_views(f"""
 SELECT sample_id, dataset, text_length, {r6('text_length_scaled')} AS text_length_scaled,
-       {r6('text_length_log')} AS text_length_log FROM f2""", "labeled_text", extra=_LF))
+       {r6('text_length_log')} AS text_length_log FROM f2""", "texts", extra=_LF))
 def q_length_features(spark, d):
     """Word count, min-max scaled over all datasets, and its log1p."""
-    return ev.length_features(tb.labeled_text(spark, d)).select(
+    return ev.length_features(tb.texts(spark, d)).select(
         "sample_id", "dataset", "text_length", "text_length_scaled", "text_length_log")
 
 
@@ -412,10 +412,10 @@ SELECT dataset, {r6('avg_length')} AS avg_length,
        {r6('avg(greatest(0.5, 1 - text_length / max_length))')} AS mean_lr_factor
 FROM w JOIN (SELECT dataset, avg(text_length) AS avg_length, max(text_length) AS max_length FROM w GROUP BY dataset)
   USING (dataset)
-GROUP BY dataset, avg_length""", "labeled_text", extra={"w": _LF["w"]}))
+GROUP BY dataset, avg_length""", "texts", extra={"w": _LF["w"]}))
 def q_length_policy(spark, d):
     """Per-dataset learning rate / epochs from rows longer than the dataset mean."""
-    return ev.length_policy(tb.labeled_text(spark, d), epochs=3)
+    return ev.length_policy(tb.texts(spark, d), epochs=3)
 
 
 @register("length_histogram", with_views("""
@@ -424,11 +424,11 @@ FROM (SELECT range AS bin FROM range(50)) g CROSS JOIN m
 LEFT JOIN (SELECT CAST(CASE WHEN (mx - mn) / 50 = 0 THEN 0
                             ELSE least(floor((text_length_log - mn) / ((mx - mn) / 50)), 49) END AS INTEGER) AS bin,
                   count(*) AS n
-           FROM f2, m GROUP BY 1) c ON c.bin = g.bin""", "labeled_text", extra={
+           FROM f2, m GROUP BY 1) c ON c.bin = g.bin""", "texts", extra={
     **_LF, "m": "SELECT min(text_length_log) AS mn, max(text_length_log) AS mx FROM f2"}))
 def q_length_histogram(spark, d):
     """50-bin histogram of the log-scaled text length."""
-    return ev.length_histogram(ev.length_features(tb.labeled_text(spark, d)), "text_length_log", 50)
+    return ev.length_histogram(ev.length_features(tb.texts(spark, d)), "text_length_log", 50)
 
 
 # ---- H29: attention statistics ---------------------------------------------------------

@@ -59,15 +59,33 @@ def sheet_cells(spark, d, width: int = 10):
     return g.select("sheet", "row_idx", F.transform("_c", lambda x: x["cell"]).alias("cells"))
 
 
-@register("annotation_sheets_to_long", with_views("""
+_BAD_SHEET = "(sample_id // 10) % 17 = 3"
+
+
+def _sheets(spark, d):
+    """The sheets, every seventeenth of which has lost its last row."""
+    cells = sheet_cells(spark, d)
+    return cells.where((F.col("sheet") % 17 != 3) | (F.col("row_idx") < 4))
+
+
+@register("annotation_sheets_to_long", with_views(f"""
 SELECT sample_id // 10 AS sheet, CAST(sample_id % 10 AS INTEGER) AS col_idx, text, labeler_1, labeler_2, labeler_3,
-       labeler_4 FROM annotations""", "annotations"))
+       labeler_4 FROM annotations WHERE NOT ({_BAD_SHEET})""", "annotations"))
 def q_annotation_sheets_to_long(spark, d):
     """A5: transposed sheets back to one row per text with four labelers."""
-    out, _rejected = IO.annotation_sheets_to_long(sheet_cells(spark, d))
+    out, _ = IO.annotation_sheets_to_long(_sheets(spark, d))
     return out
 
 
+@register("annotation_sheets_rejected", f"""
+SELECT sample_id // 10 AS sheet, 'unexpected sheet shape' AS reason
+FROM annotations WHERE {_BAD_SHEET} GROUP BY 1""".replace("FROM annotations", "FROM (SELECT doc_id AS sample_id FROM documents)"))
+def q_annotation_sheets_rejected(spark, d):
+    """A5: the sheets that are skipped and reported, here those without their last labeler."""
+    _, rejected = IO.annotation_sheets_to_long(_sheets(spark, d))
+    return rejected
+
+
 RUN_SQL = "model, model_type, dataset"
 
 
@@ -126,17 +144,43 @@ def q_stream_keyword_extract(spark, d):
     return spark.read.parquet(out)
 
 
-@register("stream_take_class")
+@register("stream_take_class", """
+SELECT least(100, count(*)) AS n_rows, CAST(0 AS BIGINT) AS n_other_class, CAST(0 AS BIGINT) AS n_unknown,
+       CAST(0 AS BIGINT) AS n_repeated
+FROM labels WHERE quality = 1""")
 def q_stream_take_class(spark, d):
-    """K2: a streaming pass over the labels that stops after 100 rows of quality 1."""
+    """K2: a streaming pass over the labels that stops after 100 rows of quality 1.  Any such
+    rows are valid, so the query returns what must hold of them: their number, how many are of
+    another class, absent from the source or repeated."""
     out = IO.scratch_path(spark, "k2")
     stream_take_class(spark, f"{d}/labels*.parquet", LABELS_SCHEMA, out, "quality", 1, 100)
-    return spark.read.parquet(out)
-
-
-@register("text_classifier")
+    taken = spark.read.schema(LABELS_SCHEMA).parquet(out)
+    source = tb.read(spark, d, "labels").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q"),
+                                                F.col("toxic").alias("_t"))
+    same = (F.col("doc_id") == F.col("_id")) & F.col("quality").eqNullSafe(F.col("_q")) & F.col("toxic").eqNullSafe(F.col("_t"))
+    return taken.join(source, same, "left").agg(
+        F.countDistinct("doc_id").alias("n_rows"), F.count_if(F.col("quality") != 1).alias("n_other_class"),
+        F.count_if(F.col("_id").isNull()).alias("n_unknown"), (F.count(F.lit(1)) - F.countDistinct("doc_id")).alias("n_repeated"))
+
+
+@register("text_classifier", with_views("""
+SELECT count(*) AS n_scored, count_if(split = 'valid') AS n_valid, count_if(label = 0) AS true_0,
+       count_if(label = 1) AS true_1, count_if(label = 2) AS true_2, CAST(0 AS BIGINT) AS n_bad_label, true AS beats_majority
+FROM s WHERE split <> 'train'""", "labeled_text", extra={"s": _THREE}))
 def q_text_classifier(spark, d):
-    """Spark ML text classifier fitted on the train split, scored on the rest."""
+    """Spark ML text classifier fitted on the train split, scored on the rest.  Returned
+    is what can be checked: sizes, true classes, labels outside the classes, and whether it is
+    right more often than the most frequent class would be."""
+    scored = _classified(spark, d)
+    truth = lambda c: F.count_if(F.col("true_label") == c)
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_scored"), F.count_if(F.col("split") == "valid").alias("n_valid"),
+        *[truth(c).alias(f"true_{c}") for c in (0, 1, 2)],
+        F.count_if(~F.coalesce(F.col("predicted_label").isin(0, 1, 2), F.lit(False))).alias("n_bad_label"),
+        (F.count_if(F.col("true_label") == F.col("predicted_label")) > F.greatest(*[truth(c) for c in (0, 1, 2)])).alias("beats_majority"))
+
+
+def _classified(spark, d):
     lt = tb.labeled_text(spark, d)
     s = A.three_way_split(lt.select("sample_id", "text", "label"), 42)
     scored = text_classifier(s.where(F.col("split") == "train"), s.where(F.col("split") != "train"))

@@ -107,7 +107,7 @@ FROM win w LEFT JOIN per p USING (symbol, settlement_date)"""}
 
 
 def _ws(spark, d):
-    return M.window_sentiment(M.score_articles(_inwin(spark, d)), tb.series(spark, d))
+    return M.window_sentiment(tb.score_articles(_inwin(spark, d)), tb.series(spark, d))
 
 
 @register("window_sentiment", with_views(f"""

@@ -35,6 +35,8 @@ SELECT d.doc_id AS sample_id, d.source AS dataset,
        CAST(CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 2 ELSE 1 END AS INTEGER) AS label
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 
+VIEWS["texts"] = "SELECT doc_id AS sample_id, source AS dataset, text FROM documents"
+
 _frags = "[" + ", ".join(_lit(f) for f in PROBE_FRAGMENTS) + "]"
 VIEWS["probe_texts"] = f"""
 SELECT doc_id AS sample_id, text || {_frags}[CAST(doc_id % {len(PROBE_FRAGMENTS)} AS INTEGER) + 1] AS text

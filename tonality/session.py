@@ -1,4 +1,4 @@
-"""Session helpers: a configured SparkSession and lineage cutting.
+"""Session helpers: a configured SparkSession and folders for intermediate results.
 
 On a cluster the session is created by the platform; these helpers only fill in
 settings that are unset (tests, bench) and never replace cluster settings.
@@ -10,7 +10,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -62,16 +62,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name for one intermediate result, inside the shared folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has task
-    slots (a small file in a single row group would otherwise keep all per-row
-    text work in one task).  Large inputs already have more splits than slots
-    and are returned unchanged, so they pay no extra shuffle."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave the plan as it is
-        return df
-    return df.repartition(slots) if parts < slots else df

@@ -3,14 +3,13 @@ split folders, annotation sheets, JSON result documents, text class reports,
 artifact catalogues and partitioned writes."""
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonality.session import ensure_checkpoint_dir
+from tonality.session import scratch_dir
 
 LABELED_CSV_SCHEMA = T.StructType([T.StructField("sample_id", T.LongType()), T.StructField("text", T.StringType()),
                                    T.StructField("label", T.StringType())])
@@ -24,20 +23,24 @@ RESULTS_SCHEMA = T.StructType([
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never a machine-local one)."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/tonality-{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder under the shared checkpoint folder.  Where none is named this fails,
+    but for a local master, whose one machine shares its scratch folder."""
+    return scratch_dir(spark, f"tonality-{name}")
 
 
 def read_labeled_csv(spark: SparkSession, path: str, schema: T.StructType = LABELED_CSV_SCHEMA,
                      header: bool = True) -> DataFrame:
-    """A1: delimited labelled text with quoted line breaks, declared schema."""
+    """A1: delimited labelled text with quoted line breaks, declared schema.
+
+    Line breaks inside quotes make a file unsplittable: one task reads one file, so the
+    writer's files must be of bounded size (``write_labeled_csv``)."""
     return (spark.read.schema(schema).option("header", header).option("multiLine", True)
             .option("escape", '"').option("quote", '"').csv(path))
 
 
-def write_labeled_csv(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").option("header", True).option("escape", '"').option("quote", '"')
+def write_labeled_csv(df: DataFrame, path: str, rows_per_file: int = 200_000) -> None:
+    """Files of at most ``rows_per_file`` rows."""
+    (df.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").option("header", True).option("escape", '"').option("quote", '"')
      .csv(path))
 
 
@@ -72,10 +75,10 @@ def annotation_sheets_to_long(cells: DataFrame, n_labelers: int = 4) -> tuple[Da
     return out, rejected
 
 
-def path_level(col: str, level_from_end: int) -> F.Column:
-    """The n-th folder name counted from the file name (1 = parent folder)."""
-    parts = F.split(F.col(col), "/")
-    return F.element_at(parts, -(level_from_end + 1))
+def path_key(col: str, level_from_end: int) -> F.Column:
+    """The value in the n-th ``key=value`` folder counted from the file name (1 = parent folder)."""
+    folder = F.element_at(F.split(F.col(col), "/"), -(level_from_end + 1))
+    return F.url_decode(F.regexp_replace(folder, "^[^=]*=", ""))
 
 
 def write_result_documents(results: DataFrame, root: str, keys=("model_type", "model", "dataset")) -> None:
@@ -122,9 +125,12 @@ def format_class_report(report: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, fmt: str = "parquet", keys=("model", "model_type", "dataset"),
-                      mode: str = "overwrite") -> None:
-    """Write under ``<path>/key=value/...`` in CSV, JSON or Parquet."""
-    w = df.write.mode(mode).partitionBy(*keys)
+                      mode: str = "overwrite", files_per_run: int = 4) -> None:
+    """Write under ``<path>/key=value/...`` in CSV, JSON or Parquet, clustered by the
+    keys into about ``files_per_run`` files each."""
+    # rows of a run go to a few tasks: else every task writes a file for every run
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.lit(files_per_run))
+    w = df.repartition(*keys, spread).write.mode(mode).partitionBy(*keys)
     if fmt == "csv":
         w = w.option("header", True).option("escape", '"')
     w.format(fmt).save(path)
@@ -133,8 +139,10 @@ def write_partitioned(df: DataFrame, path: str, fmt: str = "parquet", keys=("mod
 def artifact_catalog(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
     """Walk result files ``<root>/artifact=<a>/model=..../dataset=<d>/part-*``,
     derive the keys from the path and regroup by artifact and dataset."""
-    files = spark.read.format(fmt).load(root).select(
-        "artifact", "model", "model_type", "dataset", F.col("_metadata.file_path").alias("path"))
+    path = F.url_decode(F.col("_metadata.file_path"))
+    files = spark.read.format(fmt).load(root).select(path.alias("path"))
+    keys = ("artifact", "model", "model_type", "dataset")
+    files = files.select(*[path_key("path", i).alias(k) for i, k in zip(range(len(keys), 0, -1), keys)])
     return files.groupBy("artifact", "dataset").agg(
         F.countDistinct("model", "model_type").alias("n_runs"), F.count(F.lit(1)).alias("n_rows"))
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonality.functions.hashing import hash32
-from tonality.session import spread_small_input
 from tonality.functions.labels import argmax, remap_prediction
 from tonality.functions.text import model_family, word_count
 
@@ -42,10 +41,6 @@ def run_grid() -> list[tuple[int, str, str]]:
     return [(3 * m + t, model, mtype) for m, model in enumerate(MODELS) for t, mtype in enumerate(MODEL_TYPES)]
 
 
-# tables whose rows carry long texts: per-row work on them must be spread over all slots
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
-
 _TABLES: dict = {}
 
 
@@ -58,8 +53,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         app = spark.conf.get("spark.app.id", "connect")
     key = (app, id(spark), sf_dir, name)
     if key not in _TABLES:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        _TABLES[key] = spread_small_input(df) if name in TEXT_TABLES else df
+        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return _TABLES[key]
 
 
@@ -81,6 +75,11 @@ def labeled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample_id, dataset, text): every document."""
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("dataset"), "text")
+
+
 def probe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample_id, text): every document with a cleaning fragment appended."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -178,6 +177,12 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def score_articles(windowed: DataFrame) -> DataFrame:
+    """Model verdict per article in the market space (-1 / 0 / +1): what a store of
+    per-article verdicts would hold; a hash of the url picks the class."""
+    return windowed.withColumn("score", (hash32("art", F.col("url")) % 3 - 1).cast("int"))
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, settlement_date, current_short, previous_short, chg, pct_change).
 

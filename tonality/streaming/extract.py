@@ -14,22 +14,23 @@ from tonality.functions.text import contains_keyword
 from tonality.sources.files import scratch_path
 
 
-def _run(stream_df, out_path: str, checkpoint: str, max_seconds: int = 600) -> None:
+def _run(stream_df, out_path: str, checkpoint: str) -> None:
     q = (stream_df.writeStream.format("parquet").outputMode("append")
          .option("path", out_path).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
-    q.awaitTermination(max_seconds)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming query did not finish")
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
 
 
 def stream_keyword_extract(spark: SparkSession, src: str, schema: T.StructType, out_path: str, word: str,
-                           text: str = "text", cols=("text",), max_files_per_trigger: int = 1) -> str:
-    """K1: stream rows, keep those whose text contains ``word``, append to a sink."""
-    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(src)
+                           text: str = "text", cols=("text",), max_files_per_trigger: int | None = None) -> str:
+    """K1: stream rows, keep those whose text contains ``word``, append to a sink.
+    ``max_files_per_trigger`` bounds a micro-batch; by default a batch takes all files there are."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    s = (reader.parquet(src)
          .where(contains_keyword(text, word)).select(*cols))
     _run(s, out_path, scratch_path(spark, "ckpt-k1"))
     return out_path
@@ -38,7 +39,8 @@ def stream_keyword_extract(spark: SparkSession, src: str, schema: T.StructType,
 def stream_take_class(spark: SparkSession, src: str, schema: T.StructType, out_path: str, label_col: str, cls,
                       n: int, cols=None) -> str:
     """K2: stream rows of one class and stop after ``n`` of them (a streaming
-    ``limit`` in append mode)."""
+    ``limit`` in append mode).  Any ``n`` rows of the class are a valid result: which ones
+    arrive first depends on the files' order, and a restart without its checkpoint may keep others."""
     s = spark.readStream.schema(schema).parquet(src).where(F.col(label_col) == cls)
     if cols:
         s = s.select(*cols)
