@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tonality.functions.labels import argmax, remap_prediction
 from tonality.functions.text import matches_pattern, model_family, word_count
-from tonality.operators.stats import group_percentiles, safe_ratio
+from tonality.operators.stats import group_percentiles, histogram_percentiles, safe_ratio, written
 
 RUN = ["model", "model_type", "dataset"]
 LABELS = [0, 1, 2]
@@ -173,16 +173,15 @@ def false_pos_neg(preds: DataFrame, cls: int = 0) -> DataFrame:
 def confidence_slices(preds: DataFrame, keys=RUN, low: float = 0.25, high: float = 0.75,
                       accuracy: int = 10000) -> DataFrame:
     """Errors below the low / at or above the high confidence percentile of
-    their run; the threshold stays as a column.  Thresholds are one row per run
-    (bounded by the number of runs) and joined back on the run keys."""
+    their run; the threshold stays as a column.  Thresholds are one row per run, written
+    first, so that the predictions are joined with a table of known size and need not be
+    shuffled on the run keys."""
     c = with_confidence(preds)
-    thr = group_percentiles(c, list(keys), "confidence", {"low_thr": low, "high_thr": high}, accuracy)
+    thr = written(group_percentiles(c, list(keys), "confidence", {"low_thr": low, "high_thr": high}, accuracy), "thresholds")
     j = misclassified(c).join(thr, list(keys))
-    lo = j.where(F.col("confidence") < F.col("low_thr")).select(
-        "*", F.lit("low").alias("slice"), F.col("low_thr").alias("threshold"))
-    hi = j.where(F.col("confidence") >= F.col("high_thr")).select(
-        "*", F.lit("high").alias("slice"), F.col("high_thr").alias("threshold"))
-    return lo.unionByName(hi).drop("low_thr", "high_thr")
+    is_low, is_high = F.col("confidence") < F.col("low_thr"), F.col("confidence") >= F.col("high_thr")
+    return j.where(is_low | is_high).withColumn("slice", F.when(is_low, "low").otherwise("high")).withColumn(
+        "threshold", F.when(is_low, F.col("low_thr")).otherwise(F.col("high_thr"))).drop("low_thr", "high_thr")
 
 
 def low_confidence_fixed(preds: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -207,7 +206,8 @@ def length_band_errors(preds: DataFrame, keys=RUN) -> DataFrame:
     """Errors in short / medium / long bands cut at the run's 33rd and 66th
     percentile of word count."""
     w = _with_length(preds)
-    cuts = group_percentiles(w, list(keys), "text_length", {"short_cut": 0.33, "medium_cut": 0.66})
+    hist = w.groupBy(*keys, "text_length").agg(F.count(F.lit(1)).alias("_n"))
+    cuts = written(histogram_percentiles(hist, list(keys), "text_length", "_n", {"short_cut": 0.33, "medium_cut": 0.66}), "cuts")
     j = misclassified(w).join(cuts, list(keys))
     return j.withColumn("band", _band(F.col("text_length"), F.col("short_cut"), F.col("medium_cut")))
 
@@ -224,40 +224,43 @@ def length_error_rate(preds: DataFrame, keys=RUN, mode: str = "same",
 
     ``mode='same'`` uses the quantile cuts for numerator and denominator;
     ``mode='as_is'`` reproduces the reference (denominators on fixed cuts, trap T5)."""
-    w = _with_length(preds)
-    cuts = group_percentiles(w, list(keys), "text_length", {"short_cut": 0.33, "medium_cut": 0.66})
+    # everything follows from one aggregate, a row per run and text length
+    w = _with_length(preds).groupBy(*keys, "text_length").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(_t() != _p()).alias("_errors"))
+    cuts = histogram_percentiles(w, list(keys), "text_length", "_n", {"short_cut": 0.33, "medium_cut": 0.66})
     j = w.join(cuts, list(keys))
     err_band = _band(F.col("text_length"), F.col("short_cut"), F.col("medium_cut"))
     den_band = err_band if mode == "same" else _band(F.col("text_length"), F.lit(fixed[0]), F.lit(fixed[1]))
-    err = _t() != _p()
     aggs = []
     for b in ("short", "medium", "long"):
-        aggs.append((F.count_if(err & (err_band == b)) * 100.0).alias(f"_e_{b}"))
-        aggs.append(F.count_if(den_band == b).alias(f"_d_{b}"))
+        aggs.append((F.sum(F.when(err_band == b, F.col("_errors")).otherwise(0)) * 100.0).alias(f"_e_{b}"))
+        aggs.append(F.sum(F.when(den_band == b, F.col("_n")).otherwise(0)).alias(f"_d_{b}"))
     g = j.groupBy(*keys, "short_cut", "medium_cut").agg(*aggs)
     rows = F.array(*[F.struct(F.lit(b).alias("band"), safe_ratio(F.col(f"_e_{b}"), F.col(f"_d_{b}")).alias("error_rate"),
                               F.col(f"_d_{b}").alias("n_rows")) for b in ("short", "medium", "long")])
     return g.select(*keys, "short_cut", "medium_cut", F.inline(rows))
 
 
-def keyword_share_true(df: DataFrame, pattern: str, keys=("dataset",), label: str = "label") -> DataFrame:
+def keyword_share_true(df: DataFrame, pattern: str, keys=("dataset",), label: str = "label", hit: str | None = None) -> DataFrame:
     """For rows matching the pattern, percent of all hits per true label
-    (labels without rows are not listed; 0 when there are no hits)."""
+    (labels without rows are not listed; 0 when there are no hits).  ``hit`` names a
+    column that holds the match already (made per sample, before runs multiply the rows)."""
     keys = list(keys)
-    hit = matches_pattern("text", pattern)
+    hit = F.col(hit) if hit else matches_pattern("text", pattern)
     g = df.groupBy(*keys, F.col(label).alias("label")).agg(F.count_if(hit).alias("hits"),
                                                              F.count(F.lit(1)).alias("n_rows"))
     tot = g.groupBy(*keys).agg(F.sum("hits").alias("total_hits"))
     return g.join(tot, keys).withColumn("share", safe_ratio(F.col("hits") * 100.0, F.col("total_hits")))
 
 
-def keyword_share_predicted(preds: DataFrame, pattern: str, grid: DataFrame | None = None) -> DataFrame:
+def keyword_share_predicted(preds: DataFrame, pattern: str, grid: DataFrame | None = None, hit: str | None = None) -> DataFrame:
     """As H17 per predicted label for every run at once.  Runs of ``grid``
     without predictions are listed once with status ``skipped``."""
-    out = keyword_share_true(preds, pattern, RUN, "predicted_label").withColumn("status", F.lit("ok"))
+    out = keyword_share_true(preds, pattern, RUN, "predicted_label", hit).withColumn("status", F.lit("ok"))
     if grid is None:
         return out
-    missing = grid.join(preds.select(*RUN).distinct(), RUN, "left_anti")
+    out = written(out, "shares")  # a row per run and label; read twice
+    missing = grid.join(out.select(*RUN).distinct(), RUN, "left_anti")
     null_i, null_l = F.lit(None).cast("int"), F.lit(None).cast("bigint")
     skipped = missing.select(*RUN, null_i.alias("label"), null_l.alias("hits"), null_l.alias("n_rows"),
                              null_l.alias("total_hits"), F.lit(None).cast("double").alias("share"),
@@ -265,9 +268,9 @@ def keyword_share_predicted(preds: DataFrame, pattern: str, grid: DataFrame | No
     return out.unionByName(skipped)
 
 
-def keyword_rate_by_label(preds: DataFrame, word: str, keys=RUN) -> DataFrame:
-    """Keyword hits (case-insensitive substring) / rows of each predicted label."""
-    hit = F.lower(F.col("text")).contains(word.lower())
+def keyword_rate_by_label(preds: DataFrame, word: str, keys=RUN, hit: str | None = None) -> DataFrame:
+    """Keyword hits (case-insensitive substring, or the column ``hit``) / rows of each predicted label."""
+    hit = F.col(hit) if hit else F.lower(F.col("text")).contains(word.lower())
     return preds.groupBy(*keys, F.col("predicted_label").alias("label")).agg(
         F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("n_rows")).withColumn(
         "rate", safe_ratio(F.col("hits") * 100.0, F.col("n_rows")))
@@ -282,27 +285,29 @@ def error_term_frequency(preds: DataFrame, stopwords: list[str], k: int = 20, wh
     """Term counts over misclassified (or neg->pos) texts, top k per run.
 
     Every run of a sample shares its text, so each erroneous sample is
-    tokenised once: per-sample term counts (partial aggregate) are joined to the
-    (run, sample) error pairs and summed per run.  Stop words are a literal
+    tokenised once: the runs that got a sample wrong become one array beside its text
+    (as many as there are runs), terms are counted per sample in the partitioning of that
+    join, and only then are the runs unfolded into partial sums.  Stop words are a literal
     ``IN`` set after the explode (codegen); the top-k window is planned with a
     map-side group limit.  ``samples`` (one row per ``key`` with its text) saves
     de-duplicating the texts out of the per-run rows."""
     errs = (misclassified(preds) if which == "misclassified" else preds.where((_t() == 0) & (_p() == 2)))
-    pairs = errs.select(*keys, key)
+    runs = errs.groupBy(key).agg(F.collect_list(F.struct(*keys)).alias("_runs"))
     src = samples.select(key, "text") if samples is not None else preds.select(key, "text").distinct()
-    texts = src.join(pairs.select(key).distinct(), key, "left_semi")
-    terms = (texts.select(key, F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0)).alias("term"))
+    terms = (src.join(runs, key).select(key, "_runs", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0)).alias("term"))
              .where(F.col("term").isNotNull() & ~F.col("term").isin(sorted(set(stopwords))))
-             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n_in_text")))
-    counts = pairs.join(terms, key).groupBy(*keys, "term").agg(F.sum("n_in_text").alias("n"))
+             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n_in_text"), F.first("_runs").alias("_runs")))
+    counts = terms.select("term", "n_in_text", F.inline("_runs")).groupBy(*keys, "term").agg(F.sum("n_in_text").alias("n"))
     w = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc("term"))
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def two_stage_refine(primary: DataFrame, secondary: DataFrame, key: str = "sample_id") -> DataFrame:
+def two_stage_refine(primary: DataFrame, secondary: DataFrame | None, key: str = "sample_id") -> DataFrame:
     """Where stage 1 says positive (2), stage 2 decides: 0 -> neutral (1),
-    1 -> positive (2); otherwise, or without a stage-2 answer, unchanged."""
-    j = primary.join(secondary.select(key, "secondary_label"), key, "left")
+    1 -> positive (2); otherwise, or without a stage-2 answer, unchanged.  Without a
+    ``secondary`` table the predictions carry ``secondary_label`` themselves (joined per
+    sample, before runs multiply the rows)."""
+    j = primary if secondary is None else primary.join(secondary.select(key, "secondary_label"), key, "left")
     refined = (F.when((_p() == 2) & (F.col("secondary_label") == 0), 1)
                .when((_p() == 2) & (F.col("secondary_label") == 1), 2).otherwise(_p()))
     return j.withColumn("refined_label", refined.cast("int"))
@@ -400,7 +405,7 @@ def length_policy(df: DataFrame, epochs: int = 3, keys=("dataset",), length: str
         F.avg("lr_factor").alias("mean_lr_factor"))
 
 
-def layer_attention_stats(att: DataFrame, n_layers: int | None = None) -> DataFrame:
+def layer_attention_stats(att: DataFrame) -> DataFrame:
     """Share of attention that lands on target key positions, per layer.
 
     ``att`` is ``(sample_id, layer, query_pos, key_pos, weight, is_target)`` with the

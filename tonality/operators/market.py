@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonality.functions.hashing import hash32
-from tonality.operators.stats import group_percentiles
 
 TS_FORMAT = "yyyyMMdd'T'HHmmss"
 
@@ -20,7 +18,7 @@ def quantile_sentiment(series: DataFrame, value: str = "pct_change", keys=("symb
                        high: float = 0.66, low: float = 0.33) -> DataFrame:
     """Change above the high percentile -> -1 (short interest up is bearish),
     below the low percentile -> +1, else 0 (strict comparisons)."""
-    cuts = group_percentiles(series, list(keys), value, {"high_cut": high, "low_cut": low})
+    cuts = series.groupBy(*keys).agg(F.percentile(value, F.lit(high)).alias("high_cut"), F.percentile(value, F.lit(low)).alias("low_cut"))
     j = series.join(cuts, list(keys))
     s = F.when(F.col(value) > F.col("high_cut"), -1).when(F.col(value) < F.col("low_cut"), 1).otherwise(0)
     return j.withColumn("sentiment", s.cast("int"))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonality.functions.hashing import hash32
-from tonality.functions.text import matches_pattern
 from tonality.operators import evaluate as ev
 
 # The dataset order of the summary table.
@@ -58,20 +56,6 @@ def error_rate_summary(preds: DataFrame) -> DataFrame:
         F.col("long").alias("long_rate"))
 
 
-def variant_predictions(preds: DataFrame, pattern: str, replacements: list[str]) -> DataFrame:
-    """Predictions for each counterfactual variant of the texts (stand-in for
-    re-scoring): rows whose text the replacement changes flip class for a
-    hash-chosen quarter of them; ``original`` keeps the prediction."""
-    variants = ["original", *replacements]
-    # the keyword test runs once per row, before the variants multiply the rows
-    hit = preds.withColumn("_hit", matches_pattern("text", pattern))
-    ex = hit.select("*", F.explode(F.array(*[F.lit(v) for v in variants])).alias("replacement"))
-    changed = (F.col("replacement") != "original") & F.col("_hit")
-    flip = hash32(F.col("replacement"), F.col("model"), F.col("model_type"), F.col("sample_id")) % 4 == 0
-    return ex.withColumn("predicted_label", F.when(changed & flip, (F.col("predicted_label") + 1) % 3)
-                         .otherwise(F.col("predicted_label")).cast("int")).drop("_hit")
-
-
 def variant_delta(variant_preds: DataFrame) -> DataFrame:
     """Accuracy and macro F1 per run and variant, with the change against the
     original texts (one aggregate, then a join on the run keys)."""

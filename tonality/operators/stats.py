@@ -3,39 +3,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+from tonality.session import scratch_dir
 
 
-def group_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                      accuracy: int = 10000, method: str = "auto") -> DataFrame:
-    """Per-group percentiles with linear interpolation (numpy / pandas semantics),
-    exact, one row per group with one column per name in ``probs``.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.  The planner then knows its size,
+    so a join with it is broadcast if it is small and shuffled if it is not."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    * integral values (word counts, ids): Spark's ``percentile``, whose per-group
-      state is a value -> count map merged after a map-side combine, bounded by
-      the number of distinct values;
-    * other values (scores, logits) when the largest group has fewer than
-      ``accuracy`` rows: ``percentile`` as well (its map is then bounded);
-    * otherwise ``band`` refinement, which never gathers a
-      whole group: a ``percentile_approx`` sketch (rank error <= n / accuracy)
-      brackets each target rank, the rows below the bracket are only counted, and
-      only the bracketed rows (about 6 n / accuracy per group, or the whole group
-      when it is smaller than ``accuracy``) are ranked exactly."""
-    dtype = df.schema[value].dataType
-    if method == "auto" and not isinstance(dtype, INTEGRAL):
-        # one small job: the largest group decides; below ``accuracy`` rows the
-        # exact value -> count map of ``percentile`` is bounded by ``accuracy``
-        largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-        method = "percentile" if largest < accuracy else "band"
-    if method == "percentile" or (method == "auto" and isinstance(dtype, INTEGRAL)):
-        return df.groupBy(*keys).agg(*[F.percentile(F.col(value), F.lit(p)).alias(n) for n, p in probs.items()])
-    return _band_percentiles(df, list(keys), value, probs, accuracy)
+def histogram_percentiles(hist: DataFrame, keys: list[str], value: str, count: str, probs: dict[str, float]) -> DataFrame:
+    """Exact percentiles per group from a histogram ``(keys, value, count)``; a group's
+    state is its distinct values, so ``value`` must be a small domain (word counts)."""
+    return hist.groupBy(*keys).agg(*[F.percentile(F.col(value), F.lit(p), F.col(count)).alias(n) for n, p in probs.items()])
 
 
-def _band_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                      accuracy: int) -> DataFrame:
+def group_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
+                      accuracy: int = 10000) -> DataFrame:
+    """Exact per-group percentiles with linear interpolation (numpy / pandas semantics)
+    for values of any kind, one row per group with one column per name in ``probs``.
+
+    One method at all sizes, which never gathers a whole group: a ``percentile_approx``
+    sketch (rank error <= n / accuracy) brackets each target rank, the rows below the
+    bracket are only counted, and the bracketed values (about 6 n / accuracy rows a group)
+    are counted by distinct value and accumulated.  A target rank outside its bracket
+    raises.  Runs a job for the brackets, a row per group and percentile, so that the rows
+    are joined with a table of known size."""
+    keys = list(keys)
     eps = 1.0 / accuracy
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -43,29 +40,27 @@ def _band_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         aggs.append(F.percentile_approx("_v", F.lit(max(p - 3 * eps, 0.0)), F.lit(accuracy)).alias(f"_lo_{name}"))
         aggs.append(F.percentile_approx("_v", F.lit(min(p + 3 * eps, 1.0)), F.lit(accuracy)).alias(f"_hi_{name}"))
     stats = base.groupBy(*keys).agg(*aggs)
-    small = F.col("_n") < accuracy
-    bands = []
-    for name, p in probs.items():
-        bands.append(F.struct(F.lit(name).alias("_name"), F.lit(p).alias("_p"),
-                              F.when(small, F.lit(float("-inf"))).otherwise(F.col(f"_lo_{name}")).alias("_lo"),
-                              F.when(small, F.lit(float("inf"))).otherwise(F.col(f"_hi_{name}")).alias("_hi")))
-    # one row per group and requested percentile: bounded by groups x len(probs)
-    bounds = stats.select(*keys, "_n", F.explode(F.array(*bands)).alias("_b")).select(*keys, "_n", "_b.*")
+    # the sketch of a few rows may miss by a whole row: their bracket is everything
+    few = F.col("_n") < accuracy
+    bands = [F.struct(F.lit(name).alias("_name"), F.lit(p).alias("_p"),
+                      F.when(few, F.lit(float("-inf"))).otherwise(F.col(f"_lo_{name}")).alias("_lo"),
+                      F.when(few, F.lit(float("inf"))).otherwise(F.col(f"_hi_{name}")).alias("_hi"))
+             for name, p in probs.items()]
+    bounds = written(stats.select(*keys, "_n", F.explode(F.array(*bands)).alias("_b")).select(*keys, "_n", "_b.*"), "brackets")
     j = base.join(bounds, keys)
-    below = j.groupBy(*keys, "_name").agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
-    band = j.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    w = Window.partitionBy(*keys, "_name").orderBy("_v")
-    ranked = band.withColumn("_r", F.row_number().over(w)).join(below, [*keys, "_name"])
+    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    # all values below the bracket count as one
+    counts = j.where(F.col("_v") <= F.col("_hi")).groupBy(*keys, "_name", F.when(inside, F.col("_v")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys, "_name").orderBy(F.asc_nulls_first("_v"))
+    counts = counts.withColumn("_upto", F.sum("_c").over(w)).join(bounds, [*keys, "_name"])
     h = (F.col("_n") - 1) * F.col("_p")
-    k0, k1 = F.floor(h), F.ceil(h)
-    ranked = ranked.withColumn("_g", F.col("_below") + F.col("_r") - 1).where(
-        (F.col("_g") == k0) | (F.col("_g") == k1))
-    pick = ranked.groupBy(*keys, "_name", "_n", "_p").agg(
-        F.min_by("_v", "_g").alias("_v0"), F.max_by("_v", "_g").alias("_v1"))
-    hh = (F.col("_n") - 1) * F.col("_p")
-    lo_i, hi_i = F.floor(hh), F.ceil(hh)
-    val = F.when(lo_i == hi_i, F.col("_v0")).otherwise((hi_i - hh) * F.col("_v0") + (hh - lo_i) * F.col("_v1"))
-    res = pick.select(*keys, "_name", val.alias("_val"))
+    at = lambda rank: F.min(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank), F.col("_v")))
+    pick = counts.groupBy(*keys, "_name", "_n", "_p").agg(at(F.floor(h)).alias("_v0"), at(F.ceil(h)).alias("_v1"))
+    missed = F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")
+    value_ = F.when(F.col("_v0").isNull() | F.col("_v1").isNull(), missed).when(
+        F.floor(h) == F.ceil(h), F.col("_v0")).otherwise((F.ceil(h) - h) * F.col("_v0") + (h - F.floor(h)) * F.col("_v1"))
+    res = pick.select(*keys, "_name", value_.alias("_val"))
     return res.groupBy(*keys).pivot("_name", list(probs)).agg(F.first("_val"))
 
 

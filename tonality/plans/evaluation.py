@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tonality.functions.text import matches_pattern
 from tonality.operators import evaluate as ev
 from tonality.plans.registry import r6, register
 from tonality.plans.views_sql import H, tallies_sql, with_views
@@ -289,7 +290,8 @@ FROM grid WHERE (model, model_type, dataset) NOT IN (SELECT DISTINCT model, mode
 def q_keyword_share_predicted(spark, d):
     """Share of keyword hits per predicted label for all runs; grid runs
     without predictions listed as skipped."""
-    return ev.keyword_share_predicted(tb.predictions(spark, d), KW_PATTERN, grid_df(spark)).select(
+    return ev.keyword_share_predicted(
+        tb.predictions(spark, d, {"kw_hit": matches_pattern("text", KW_PATTERN)}), KW_PATTERN, grid_df(spark), "kw_hit").select(
         *ev.RUN, "label", "hits", "n_rows", "total_hits", "share", "status")
 
 
@@ -299,7 +301,8 @@ SELECT {RUN}, predicted_label AS label, count_if(contains(lower(text), 'the')) A
 FROM predictions GROUP BY ALL""", "predictions"))
 def q_keyword_rate_by_label(spark, d):
     """Keyword hits / rows of each predicted label per run."""
-    return ev.keyword_rate_by_label(tb.predictions(spark, d), KEYWORD)
+    return ev.keyword_rate_by_label(
+        tb.predictions(spark, d, {"kw_hit": F.lower("text").contains(KEYWORD)}), KEYWORD, hit="kw_hit")
 
 
 # Stop words removed from the error-term counts.
@@ -335,7 +338,7 @@ SELECT {_rowsel()}, secondary_label, refined_label FROM r""", "predictions", "se
                                           extra=_REFINED))
 def q_two_stage_refine(spark, d):
     """Stage-2 decision on stage-1 positives."""
-    r = ev.two_stage_refine(tb.predictions(spark, d), tb.secondary_predictions(spark, d))
+    r = ev.two_stage_refine(tb.predictions(spark, d, per_sample=tb.secondary_predictions(spark, d)), None)
     return r.select(*ev.RUN, "sample_id", "true_label", "predicted_label", "secondary_label", "refined_label")
 
 
@@ -350,7 +353,7 @@ JOIN ({tallies_sql('r', ['model', 'model_type', 'dataset'], pred='refined_label'
   USING (model, model_type, dataset)""", "predictions", "secondary_predictions", extra=_REFINED))
 def q_refine_impact(spark, d):
     """Accuracy / macro F1 before and after refinement, changes and fixes per run."""
-    r = ev.two_stage_refine(tb.predictions(spark, d), tb.secondary_predictions(spark, d))
+    r = ev.two_stage_refine(tb.predictions(spark, d, per_sample=tb.secondary_predictions(spark, d)), None)
     return ev.refine_impact(r)
 
 
@@ -359,7 +362,7 @@ SELECT model, model_type, dataset, sample_id, text, true_label, predicted_label
 FROM r""", "predictions", "secondary_predictions", extra=_REFINED))
 def q_detail_table(spark, d):
     """Text, truth, primary and refined label per row."""
-    r = ev.two_stage_refine(tb.predictions(spark, d), tb.secondary_predictions(spark, d))
+    r = ev.two_stage_refine(tb.predictions(spark, d, per_sample=tb.secondary_predictions(spark, d)), None)
     return ev.detail_table(r)
 
 

@@ -151,5 +151,5 @@ FROM m a JOIN (SELECT * FROM m WHERE replacement = 'original') b USING (model, m
 WHERE a.replacement <> 'original'""", "predictions", extra=_VAR))
 def q_variant_delta(spark, d):
     """Metric change of each counterfactual variant (the/share/pay/cut) against the original."""
-    v = R.variant_predictions(tb.predictions(spark, d), KW_PATTERN, _REPLACEMENTS)
+    v = tb.variant_predictions(spark, d, KW_PATTERN, _REPLACEMENTS)
     return R.variant_delta(v)

@@ -133,23 +133,30 @@ def raw_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str, features: dict[str, Column] | None = None,
+                per_sample: DataFrame | None = None) -> DataFrame:
     """(model, model_type, dataset, sample_id, text, true_label, logits, predicted_label).
 
     The per-sample join (embeddings with documents) happens before the run grid is
-    exploded, so the shuffle carries each text once, not once per run."""
+    exploded, so the shuffle carries each text once, not once per run.  ``features`` (columns
+    made from ``text``) and ``per_sample`` (a table by ``sample_id``) are added there too."""
     emb = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     # per-sample features are computed once, before the run grid multiplies the rows
     samples = emb.join(docs, emb.vec_id == docs.doc_id).withColumn("text_length", word_count("text"))
+    samples = samples.withColumns(features or {})
+    more = list(features or {})
+    if per_sample is not None:
+        more += [c for c in per_sample.columns if c != "sample_id"]
+        samples = samples.join(per_sample.withColumnRenamed("sample_id", "vec_id"), "vec_id", "left")
     runs = F.array(*[F.struct(F.lit(i).alias("run_idx"), F.lit(m).alias("model"), F.lit(t).alias("model_type"))
                      for i, m, t in run_grid()])
-    exploded = samples.select("vec_id", "text", "text_length", "label", "embedding", F.explode(runs).alias("run"))
+    exploded = samples.select("vec_id", "text", "text_length", *more, "label", "embedding", F.explode(runs).alias("run"))
     logits = F.slice("embedding", F.col("run.run_idx") * 3 + 1, F.lit(3)).cast("array<double>")
     return exploded.select(
         F.col("run.model").alias("model"), F.col("run.model_type").alias("model_type"),
         eval_dataset_of(F.col("vec_id")).alias("dataset"),
-        F.col("vec_id").alias("sample_id"), "text", "text_length",
+        F.col("vec_id").alias("sample_id"), "text", "text_length", *more,
         (F.col("label") % 3).cast("int").alias("true_label"),
         logits.alias("logits"),
     ).withColumn("predicted_label", remap_prediction(argmax("logits"), model_family("model")))
@@ -162,6 +169,23 @@ def secondary_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                       argmax(F.slice("embedding", 61, 2).cast("array<double>")).alias("secondary_label"))
 
 
+def variant_predictions(spark: SparkSession, sf_dir: str, pattern: str, replacements: list[str]) -> DataFrame:
+    """What a store of predictions for counterfactual copies of the texts holds: the copies
+    come from C7, one per replacement, and a copy whose text differs from the original flips
+    class for a hash-chosen quarter of the runs; ``original`` keeps the prediction.  Whether a
+    copy differs is found per sample, before the runs multiply the rows."""
+    from tonality.operators.augment import replace_keyword_variants
+    samples = eval_samples(spark, sf_dir).select("sample_id", "text", F.col("text").alias("_text"))
+    copies = replace_keyword_variants(samples, pattern, replacements)
+    changed = copies.groupBy("sample_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("text") != F.col("_text"), F.col("replacement")))).alias("_changed"))
+    preds = predictions(spark, sf_dir, per_sample=changed)
+    ex = preds.select("*", F.explode(F.array(*[F.lit(v) for v in ["original", *replacements]])).alias("replacement"))
+    flip = hash32(F.col("replacement"), F.col("model"), F.col("model_type"), F.col("sample_id")) % 4 == 0
+    return ex.withColumn("predicted_label", F.when(F.array_contains("_changed", F.col("replacement")) & flip, (F.col("predicted_label") + 1) % 3)
+                         .otherwise(F.col("predicted_label")).cast("int")).drop("_changed")
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url, time_published, ticker_sentiment[]): one news article per event."""
     ev = read(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
