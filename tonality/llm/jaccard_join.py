@@ -46,7 +46,7 @@ BITS = 2048
 SKETCH_BITS = 20
 SKETCH_CHUNK = 1 << 16
 KEYS_PER_BUCKET = 400_000
-KEYS_PER_MESSAGE = 2_000_000
+KEYS_PER_MESSAGE = 1_000_000
 ROWS_PER_BIN = 60_000
 BLOCK = 4096
 MARKS = 1 << 23
@@ -331,47 +331,43 @@ def _unjoined(groups: DataFrame, nodes: DataFrame, comps: DataFrame | None) -> D
 
 
 # ---------------------------------------------------------------- verification
-def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, set) of the classes ``wanted(node)``, from the text of each class's first
-    document.  A bitmap of fixed size over those documents' ids keeps most other texts out."""
-    need = nodes.join(wanted, "node", "left_semi").select("node", "first_row")
-    at = F.pmod("first_row", F.lit(MARKS)) + 1
-    marks = need.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p")).groupBy("k").agg(
+def _marks(nodes: DataFrame, wanted: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the documents that stand for the classes ``wanted(node)``."""
+    at = F.pmod(F.xxhash64("first.doc_id", "first._row"), F.lit(MARKS)) + 1
+    got = nodes.join(wanted, "node", "left_semi").select(
+        F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p")).groupBy("k").agg(
         F.bitmap_construct_agg("p").alias("m")).collect()  # MARKS bits at most
     flags = np.zeros(MARKS // 8, np.uint8)
-    for r in marks:
+    for r in got:
         flags[(r.k - 1) * 4096:r.k * 4096] = np.frombuffer(r.m, np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(flags)
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f, seen = held.value, set()
-        for pdf in batches:
-            at = np.mod(pdf["_row"].to_numpy(np.int64), MARKS)
-            pdf = pdf[(f[at >> 3] >> (at & 7)) & 1 == 1].drop_duplicates("_row")
-            sets = {}
-            for t in pdf["text"]:
-                s = shingles(t)
-                c = class_id(s)
-                if c not in seen:
-                    sets[c] = s.view(np.int64).tolist()
-                    seen.add(c)
-            if sets:
-                yield pd.DataFrame({"node": list(sets), "set": list(sets.values())})
-
-    rows = docs.select(F.xxhash64(text_or_empty()).alias("_row"), text_or_empty().alias("text"))
-    found = rows.mapInPandas(pick, "node long, set array<long>").join(need.select("node"), "node", "left_semi")
-    return found.groupBy("node").agg(F.first("set").alias("set"))
+    return flags
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The links among ``pairs(a, b)``: those whose sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = saved(_sets(docs, nodes, ends), "sets")
-    x, y = (sets.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}")) for s in "ab")
+    """The links among ``pairs(a, b)``: those whose sets are similar enough.  The sets are
+    made again from the text of one document of each class; the bitmaps keep other texts out
+    (but for chance hits, which find no pair) and tell on which side a set is wanted."""
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast([_marks(nodes, pairs.select(F.col(c).alias("node")).distinct()) for c in "ab"])
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = pdf["at"].to_numpy(np.int64)
+            side = np.stack([(f[at >> 3] >> (at & 7)) & 1 == 1 for f in held.value])
+            use = np.flatnonzero(side.any(0))
+            if len(use):
+                sets = [shingles(t) for t in pdf["text"].iloc[use]]
+                yield pd.DataFrame({"node": [class_id(x) for x in sets], "set": [x.view(np.int64).tolist() for x in sets],
+                                    "in_a": side[0, use], "in_b": side[1, use]})
+
+    rows = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty())), F.lit(MARKS)).alias("at"),
+                       text_or_empty().alias("text"))
+    sets = saved(rows.mapInPandas(pick, "node long, set array<long>, in_a boolean, in_b boolean"), "sets")
+    x, y = (sets.where(f"in_{c}").select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
     both = pairs.select("a", "b").join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     similar = (T_NUM + T_DEN) * common >= T_NUM * (F.size("set_a") + F.size("set_b"))
-    return saved(both.where(similar).select("a", "b"), "links")
+    return saved(both.where(similar).select("a", "b").distinct(), "links")
 
 
 def _hub_pairs(groups: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -426,7 +422,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signatures = saved(_signatures(docs), "signatures")
     each = signatures.where("chunk < 0").select("doc_id", "_row", "n", "node")
     nodes = signatures.where("chunk < 0 AND n > 0").groupBy("node").agg(
-        F.max("n").cast("long").alias("n"), F.min("_row").alias("first_row"), F.min("doc_id").alias("first_id"),
+        F.max("n").cast("long").alias("n"), F.min(F.struct("doc_id", "_row")).alias("first"), F.min("doc_id").alias("first_id"),
         F.first("bits").alias("bits"))
     nodes = saved(nodes, "classes")
     frequent = _frequent(signatures)
