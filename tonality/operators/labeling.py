@@ -5,13 +5,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonality.functions import labels as L
+from tonality.functions.text import normalize_sentiment_text
 
 
 def label_universal(df: DataFrame, rules: dict[str, str], dataset: str = "dataset") -> DataFrame:
     """One projection that picks the label rule by dataset name.
 
     ``rules`` maps dataset -> one of ``score`` (from ``score``), ``name`` (from
-    ``label_name``), ``pm1`` (+1 / -1 ``label``), a named remap space of
+    ``label_name``), ``pm1`` (+1 / -1 ``label``), ``decisions`` (a map text whose
+    values agree), ``output`` (a generated answer), a named remap space of
     ``labels.REMAPS`` (from ``label``) or ``canonical``."""
     expr: Column = F.lit(None).cast("int")
     for ds, rule in rules.items():
@@ -21,6 +23,10 @@ def label_universal(df: DataFrame, rules: dict[str, str], dataset: str = "datase
             e = L.label_from_name("label_name")
         elif rule == "pm1":
             e = L.label_remap("label", "stock_tweets")
+        elif rule == "decisions":
+            e = L.label_unanimous_map("decisions")
+        elif rule == "output":
+            e = L.label_from_name(normalize_sentiment_text("output"))
         else:
             e = L.label_remap("label", rule)
         expr = F.when(F.col(dataset) == ds, e).otherwise(expr)

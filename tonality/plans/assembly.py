@@ -8,59 +8,84 @@ from tonality.operators import assemble as A
 from tonality.operators import evaluate as ev
 from tonality.operators import filters as B
 from tonality.operators.labeling import label_universal
+from tonality.operators.stats import written
+from tonality.plans.augmentation import _ANT_SQL, negation_sql
 from tonality.plans.registry import r6, register
 from tonality.plans.views_sql import tallies_sql, with_views
 from tonality.sources import catalog as C
 from tonality.sources import tables as tb
 
 _GRP = "CAST(CAST(regexp_extract(dataset, 'src(\\d+)', 1) AS INTEGER) // 5 AS INTEGER)"
-_RAW = f"""
-SELECT 'fiqa' AS dataset, sample_id, text, score, CAST(NULL AS VARCHAR) AS label_name, CAST(NULL AS INTEGER) AS label
-FROM labeled_text WHERE {_GRP} = 0
-UNION ALL
-SELECT 'phrasebank', sample_id, text, NULL, ['negative', 'neutral', 'positive'][label + 1], NULL
-FROM labeled_text WHERE {_GRP} = 1
-UNION ALL
-SELECT 'stock_tweets', sample_id, text, NULL, NULL, CASE WHEN label = 2 THEN 1 ELSE -1 END
-FROM labeled_text WHERE {_GRP} = 2 AND label <> 1
-UNION ALL
-SELECT 'synthetic_tweets', sample_id, text, NULL, NULL, [2, 0, 1][label + 1]
-FROM labeled_text WHERE {_GRP} = 3"""
-_UNIVERSAL = """CAST(CASE dataset
-  WHEN 'fiqa' THEN CASE WHEN score <= -0.4 THEN 0 WHEN score <= 0.5 THEN 1 WHEN score IS NOT NULL THEN 2 END
-  WHEN 'phrasebank' THEN CASE lower(label_name) WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2 END
-  WHEN 'stock_tweets' THEN CASE label WHEN 1 THEN 2 WHEN -1 THEN 0 END
-  WHEN 'synthetic_tweets' THEN CASE label WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 END END AS INTEGER)"""
+_NAME = "['negative', 'neutral', 'positive'][{} + 1]"
+_OTHER = "CASE WHEN sample_id % 3 = 0 THEN (label + 1) % 3 ELSE label END"
+_NATIVE = {  # score, label_name, label, decisions, output
+    "score": "score, NULL, NULL, NULL, NULL",
+    "name": f"NULL, {_NAME.format('label')}, NULL, NULL, NULL",
+    "pm1": "NULL, NULL, CASE WHEN label = 2 THEN 1 ELSE -1 END, NULL, NULL",
+    "decisions": f"NULL, NULL, NULL, replace('{{\"A\": \"' || {_NAME.format('label')} || '\", \"B\": \"' || "
+                 f"{_NAME.format(_OTHER)} || '\"}}', '\"', chr(39)), NULL",
+    "output": f"NULL, NULL, NULL, NULL, 'Mostly ' || upper({_NAME.format('label')}) || ' I think'",
+    "synthetic_tweets": "NULL, NULL, [2, 0, 1][label + 1], NULL, NULL",
+}
+
+
+def _raw_sql() -> str:
+    parts = ["SELECT '' AS dataset, CAST(0 AS BIGINT) AS sample_id, '' AS text, CAST(0 AS DOUBLE) AS score, '' AS label_name, "
+             "CAST(0 AS INTEGER) AS label, '' AS decisions, '' AS output WHERE false"]
+    for name, (group, rule, _) in C.CATALOG.items():
+        text = (f"text || '{C.BACK_TRANSLATED}'" if name.startswith("back_translated_") else
+                "neg" if name.startswith("negation_") else "text")
+        parts.append(f"SELECT '{name}', sample_id, {text}, {_NATIVE[rule]} FROM grouped WHERE grp = {group}")
+    return " UNION ALL ".join(parts)
+
+
+_RAWS = {
+    "ant": _ANT_SQL,
+    "negated": f"SELECT sample_id, text || '{C.NEGATED}' AS text FROM labeled_text",
+    "negation": negation_sql("negated"),
+    "grouped": f"SELECT l.*, n.text AS neg, {_GRP} AS grp FROM labeled_text l JOIN negation n USING (sample_id) "
+               f"WHERE ({_GRP} <> 0 OR type = 'headline') AND ({_GRP} <> 2 OR label <> 1)",
+    "raw": _raw_sql(),
+}
+_OPINION = "split_part(decisions, chr(39), {})"
+_UNIVERSAL = f"""CAST(CASE
+  WHEN dataset LIKE '%fiqa' THEN CASE WHEN score <= -0.4 THEN 0 WHEN score <= 0.5 THEN 1 WHEN score IS NOT NULL THEN 2 END
+  WHEN dataset LIKE '%phrasebank' THEN CASE lower(label_name) WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2 END
+  WHEN dataset LIKE '%stock_tweets' THEN CASE label WHEN 1 THEN 2 WHEN -1 THEN 0 END
+  WHEN dataset LIKE '%aspect' THEN CASE WHEN {_OPINION.format(4)} = {_OPINION.format(8)} THEN
+    CASE {_OPINION.format(4)} WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2 END END
+  WHEN dataset = 'instruction' THEN CASE WHEN contains(lower(output), 'positive') THEN 2 WHEN contains(lower(output), 'negative') THEN 0 ELSE 1 END
+  WHEN dataset = 'synthetic_tweets' THEN CASE label WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 END END AS INTEGER)"""
 _W = r"[^\p{L}\p{N}_]"
 _USER = f"'(^|{_W})user({_W}|$)'"
-_CLEAN = (f"CASE dataset WHEN 'fiqa' THEN regexp_replace(text, 'https://\\S+', '', 'g') "
-          f"WHEN 'stock_tweets' THEN regexp_replace(regexp_replace(text, {_USER}, '\\1\\2', 'gi'), {_USER}, '\\1\\2', 'gi') "
-          f"ELSE text END")
-
-
-def _raw_union(spark, d):
-    return A.union_datasets([C.raw_dataset(spark, d, n) for n in C.CATALOG])
+_UNESCAPED = "replace(text, '&#39;', chr(39))"
+_CLEAN = (f"CASE WHEN dataset = 'fiqa' THEN regexp_replace(text, 'https://\\S+', '', 'g') "
+          f"WHEN dataset = 'stock_tweets' THEN regexp_replace(regexp_replace(text, {_USER}, '\\1\\2', 'gi'), {_USER}, '\\1\\2', 'gi') "
+          f"WHEN dataset IN ('back_translated_phrasebank', 'back_translated_stock_tweets') "
+          f"THEN regexp_replace({_UNESCAPED}, '[^A-Za-z0-9\\s.,!?''\"-]', '', 'g') "
+          f"WHEN dataset = 'back_translated_aspect' THEN {_UNESCAPED} ELSE text END")
 
 
-@register("union_datasets", with_views("SELECT dataset, sample_id, text, score, label_name, label FROM raw",
-                                       "labeled_text", extra={"raw": _RAW}))
+@register("union_datasets", with_views("SELECT dataset, sample_id, text, score, label_name, label, decisions, output FROM raw",
+                                       "labeled_text", extra=_RAWS))
 def q_union_datasets(spark, d):
-    """the corpora stacked by column name (missing columns null)."""
-    return _raw_union(spark, d).select("dataset", "sample_id", "text", "score", "label_name", "label")
+    """the corpora stacked by column name (missing columns null), from one written frame."""
+    raw = written(C.raw_datasets(spark, d), "corpora")
+    return A.union_datasets([raw.where(F.col("dataset") == n) for n in C.CATALOG])
 
 
 @register("label_universal", with_views(f"SELECT dataset, sample_id, {_UNIVERSAL} AS label FROM raw",
-                                        "labeled_text", extra={"raw": _RAW}))
+                                        "labeled_text", extra=_RAWS))
 def q_label_universal(spark, d):
     """One projection picks each corpus's label rule by dataset name."""
-    return label_universal(_raw_union(spark, d), C.universal_rules()).select("dataset", "sample_id", "label")
+    return label_universal(C.raw_datasets(spark, d), C.universal_rules()).select("dataset", "sample_id", "label")
 
 
 @register("dataset_catalog", with_views(f"""
-SELECT dataset, sample_id, {_CLEAN} AS text, {_UNIVERSAL} AS label FROM raw""", "labeled_text", extra={"raw": _RAW}))
+SELECT dataset, sample_id, {_CLEAN} AS text, {_UNIVERSAL} AS label FROM raw""", "labeled_text", extra=_RAWS))
 def q_dataset_catalog(spark, d):
     """A4: every catalogue corpus cleaned and conformed to (dataset, sample_id, text, label)."""
-    return A.union_datasets([C.dataset_catalog(spark, d, n) for n in C.CATALOG])
+    return C.dataset_catalog(spark, d)
 
 
 @register("dedup_text", """

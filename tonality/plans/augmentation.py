@@ -47,17 +47,14 @@ def q_random_deletion_text(spark, d):
     return G.random_deletion_text(tb.texts(spark, d), SEED).select("sample_id", "text")
 
 
-# Antonyms for the negation augmentation (both directions).
-ANTONYMS = {"good": "bad", "bad": "good", "like": "dislike", "dislike": "like", "rise": "fall", "fall": "rise",
-            "up": "down", "down": "up", "high": "low", "low": "high", "gain": "loss", "loss": "gain",
-            "strong": "weak", "weak": "strong", "increase": "decrease", "decrease": "increase",
-            "buy": "sell", "sell": "buy", "positive": "negative", "negative": "positive"}
-_ANT_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in ANTONYMS.items()) + ") a(word, antonym)"
+_ANT_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in tb.ANTONYMS.items()) + ") a(word, antonym)"
 
 
-@register("negation_antonym", with_views(f"""
+def negation_sql(rel: str) -> str:
+    """G3 over a relation (sample_id, text), with the CTE ``ant`` (``_ANT_SQL``)."""
+    return f"""
 SELECT p.sample_id, coalesce(z.text, '') AS text
-FROM probe_texts p LEFT JOIN (
+FROM {rel} p LEFT JOIN (
   SELECT sample_id, string_agg(out, ' ' ORDER BY pos) AS text FROM (
     SELECT y.sample_id, y.pos,
            CASE WHEN y.consumed THEN coalesce(a.antonym, y.tok) WHEN y.neg AND y.pos < y.n THEN NULL ELSE y.tok END AS out
@@ -68,12 +65,15 @@ FROM probe_texts p LEFT JOIN (
                 SELECT *, pos - row_number() OVER (PARTITION BY sample_id, neg ORDER BY pos) AS grp FROM (
                   SELECT *, tok IN ('not', 'n''t') AS neg FROM (
                     SELECT sample_id, unnest(t) AS tok, unnest(generate_series(1, len(t))) AS pos, len(t) AS n
-                    FROM (SELECT sample_id, {TOKS} AS t FROM probe_texts))))))) y
+                    FROM (SELECT sample_id, {TOKS} AS t FROM {rel}))))))) y
     LEFT JOIN ant a ON lower(y.tok) = a.word)
-  GROUP BY sample_id) z USING (sample_id)""", "probe_texts", extra={"ant": _ANT_SQL}))
+  GROUP BY sample_id) z USING (sample_id)"""
+
+
+@register("negation_antonym", with_views(negation_sql("probe_texts"), "probe_texts", extra={"ant": _ANT_SQL}))
 def q_negation_antonym(spark, d):
     """``not X`` / ``n't X`` -> antonym of X, left to right."""
-    return G.negation_antonym(tb.probe_texts(spark, d), ANTONYMS).select("sample_id", "text")
+    return G.negation_antonym(tb.probe_texts(spark, d), tb.ANTONYMS).select("sample_id", "text")
 
 
 def _mask_sql(x: str) -> str:
