@@ -1,18 +1,18 @@
 """LM scoring with a probabilistic suffix tree over words.
 
 The model's states are contexts of up to two words.  The root holds the smoothed word
-frequencies.  A context becomes a state if it is frequent enough and the next-word
-distribution seen after it diverges from that of its suffix (the context without its first
+frequencies.  A context becomes a state if it makes up a least share of the text and the
+next-word distribution seen after it diverges from that of its suffix (the context without its first
 word): the log-likelihood gained over the suffix must reach ``MIN_GAIN`` nats in all and
-``MIN_DIVERGENCE`` nats an occurrence.  A state's distribution keeps the next words seen
-``MIN_COUNT`` times or more, less a discount, and gives the mass left to its suffix's
+``MIN_DIVERGENCE`` nats an occurrence.  A state's distribution keeps the next words that are
+frequent after it, less a discount, and gives the mass left to its suffix's
 distribution, so every distribution sums to one over the training words, the end and one
 unseen word.  Each word is scored in the longest suffix of the words before it that is a state.
 
 Nothing of the model is gathered in one place.  Documents form blocks of bounded size.  A
 block sends each distinct word and pair of words that it holds, once, to the bucket of its
-hash; the bucket adds up the counts of all blocks and answers every block with those it asked
-for.  The tree then grows level by level: blocks add up, for each context, the gain over its
+hash; the bucket adds up the counts of all blocks and answers every block in the order it
+asked, which the block can make again, so answers hold counts alone.  The tree then grows level by level: blocks add up, for each context, the gain over its
 suffix, and buckets tell which contexts are states; only three-word sequences whose context is
 frequent are counted at all.  Word counts are exact (64-bit hashes); sequences are told apart
 by 32 bits within their bucket.
@@ -37,8 +37,10 @@ BLOCK_BYTES = 10 << 20
 BUCKET_BYTES = 12 << 20
 ALPHA = 0.1
 DISCOUNT = 0.75
-#: Least count of a next word in a state, and of a context.
-MIN_COUNT, MIN_CONTEXT = 6, 64
+#: Least share of the training places that a context makes up, and a next word after a context;
+#: and never fewer places than these.
+CONTEXT_SHARE, NEXT_SHARE = 1e-6, 5e-8
+LEAST_CONTEXT, LEAST_NEXT = 16, 3
 MIN_GAIN, MIN_DIVERGENCE = 12.0, 0.02
 FLAG_BITS = 24
 
@@ -96,6 +98,43 @@ def _cut(bucket: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], len(bucket)]))
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and for each element the place of its value among them."""
+    codes, values = pd.factorize(x)
+    order = np.argsort(values)
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    return np.asarray(values)[order], rank[codes]
+
+
+def word_order(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a block sends its words, and their buckets in that order."""
+    bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order]
+
+
+def sequence_order(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for sequences: by bucket, then those without, with one and with more training places."""
+    bucket = keys >> np.uint64(32)
+    order = np.lexsort((keys, np.minimum(counts, 2), bucket))
+    return order, bucket[order]
+
+
+class Limits:
+    """What is fixed once the training words are counted; sent to all tasks."""
+
+    def __init__(self, total: int, distinct_words: int, buckets: int, flags: np.ndarray | None = None):
+        self.total, self.distinct, self.buckets, self.flags = total, distinct_words, buckets, flags
+        self.context = max(LEAST_CONTEXT, int(CONTEXT_SHARE * total))
+        self.next = max(LEAST_NEXT, int(NEXT_SHARE * total))
+
+    def pairs(self, t: Tokens) -> np.ndarray:
+        """Places whose last two words could be a kept next word of a context."""
+        next_ok, context_ok = (np.unpackbits(f).view(bool)[_flag_at(t.word)] for f in self.flags)
+        return (t.before >= 1) & (next_ok | (t.word == _END)) & np.concatenate([[False], context_ok[:-1]])[:len(next_ok)]
+
+
 class Lookup:
     """Values by 64-bit key; keys not held give 0."""
 
@@ -131,7 +170,7 @@ def _word_counts(docs: DataFrame, buckets: int) -> DataFrame:
         keys, counts, held = [], [], 0
 
         def flush() -> Iterator[pd.DataFrame]:
-            k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            k, inverse = distinct(np.concatenate(keys))
             n = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
             bucket = (k >> np.uint64(32)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -140,7 +179,8 @@ def _word_counts(docs: DataFrame, buckets: int) -> DataFrame:
                 yield pd.DataFrame({"bucket": [int(bucket[a])], "keys": [k[a:b].tobytes()], "counts": [n[a:b].tobytes()]})
 
         for pdf in batches:
-            k, n = np.unique(Tokens(pdf["text"]).word, return_counts=True)
+            k, codes = distinct(Tokens(pdf["text"]).word)
+            n = np.bincount(codes, minlength=len(k))
             keys.append(k)
             counts.append(n)
             held += len(k)
@@ -151,7 +191,7 @@ def _word_counts(docs: DataFrame, buckets: int) -> DataFrame:
             yield from flush()
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, inverse = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]]), return_inverse=True)
+        k, inverse = distinct(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]]))
         n = np.bincount(inverse, np.concatenate([np.frombuffer(x, np.int64) for x in pdf["counts"]])).astype(np.int64)
         return pd.DataFrame({"bucket": pdf["bucket"][:1], "keys": [k.tobytes()], "counts": [n.tobytes()],
                              "words": [len(k)], "tokens": [int(n.sum())]})
@@ -160,7 +200,7 @@ def _word_counts(docs: DataFrame, buckets: int) -> DataFrame:
             .groupBy("bucket").applyInPandas(add, "bucket long, keys binary, counts binary, words long, tokens long"))
 
 
-def _flags(words: DataFrame) -> np.ndarray:
+def _flags(words: DataFrame, limits: Limits) -> np.ndarray:
     """Two bits for each of 2**FLAG_BITS hash ranges: whether a word in it is frequent enough to be a
     state's next word, and to be a context.  A fixed size; it only saves requests that must fail."""
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,8 +208,8 @@ def _flags(words: DataFrame) -> np.ndarray:
         for pdf in batches:
             for k, n in zip(pdf["keys"], pdf["counts"]):
                 k, n = np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)
-                out[0, _flag_at(k[n >= MIN_COUNT])] = True
-                out[1, _flag_at(k[n >= MIN_CONTEXT])] = True
+                out[0, _flag_at(k[n >= limits.next])] = True
+                out[1, _flag_at(k[n >= limits.context])] = True
         bits = np.packbits(out, axis=1)
         for c in range(0, bits.shape[1], 1 << 16):
             if bits[:, c:c + (1 << 16)].any():
@@ -207,19 +247,17 @@ class Messages:
         self.block, self.buckets, self.rows = block, buckets, []
 
     def words(self, words: np.ndarray) -> None:
-        keys = np.unique(words)
-        bucket = (keys >> np.uint64(32)) % np.uint64(self.buckets)
-        order = np.argsort(bucket, kind="stable")
-        keys, bucket = keys[order], bucket[order]
+        keys = distinct(words)[0]
+        order, bucket = word_order(keys, self.buckets)
+        keys = keys[order]
         for a, b in _cut(bucket):
             self.rows.append((int(bucket[a]), self.block, _WORD, keys[a:b].tobytes(), b"", 0, 0))
 
     def sequences(self, places: np.ndarray, train: np.ndarray) -> None:
-        keys, inverse = np.unique(places, return_inverse=True)
-        counts = np.bincount(inverse, train, len(keys)).astype(np.int64)
-        bucket = keys >> np.uint64(32)
-        order = np.lexsort((keys, np.minimum(counts, 2), bucket))
-        keys, counts, bucket = keys[order], counts[order], bucket[order]
+        keys, codes = distinct(places)
+        counts = np.bincount(codes, train, len(keys)).astype(np.int64)
+        order, bucket = sequence_order(keys, counts)
+        keys, counts = keys[order], counts[order]
         for a, b in _cut(bucket):
             n = counts[a:b]
             self.rows.append((int(bucket[a]), self.block, _SEQUENCE, keys[a:b].astype(np.uint32).tobytes(),
@@ -229,7 +267,9 @@ class Messages:
         """For each context: its count, the gain over its suffix and the mass of its kept next
         words, summed over the block's training places."""
         at = np.flatnonzero(on)
-        keys, first, inverse = np.unique(context[at], return_index=True, return_inverse=True)
+        keys, inverse = distinct(context[at])
+        first = np.empty(len(keys), np.int64)
+        first[inverse] = np.arange(len(at))
         use = train[at] & (share[at] > 0) & (below[at] > 0)
         weight = np.where(use, 1 - DISCOUNT / np.maximum(count[at], 1), 0.0)
         gain = np.where(use, weight * np.log(np.where(use, share[at], 1.0) / np.where(use, below[at], 1.0)), 0.0)
@@ -244,10 +284,12 @@ class Messages:
         return pd.DataFrame(self.rows, columns=self.columns)
 
 
-def _answers(messages: DataFrame) -> DataFrame:
+def _answers(messages: DataFrame, limits: Limits) -> DataFrame:
     """One row per block: what the buckets answer to its messages.  Words get their counts,
-    sequences their counts from MIN_COUNT on, contexts the mass left to the suffix if they
-    pass the divergence test."""
+    sequences theirs if they are frequent enough (else 0), both in the order asked; of the
+    contexts those that pass the divergence test are named, with the mass left to the suffix."""
+    limits = Limits(limits.total, limits.distinct, limits.buckets)  # without the flags
+
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, bucket = [], int(pdf["bucket"].iloc[0])
         kinds = {k: part for k, part in pdf.groupby("kind")}
@@ -256,26 +298,27 @@ def _answers(messages: DataFrame) -> DataFrame:
             known = Lookup([np.frombuffer(x, np.uint64) for x in held["keys"]], [np.frombuffer(x, np.int64) for x in held["counts"]], np.int64)
             for block, k in zip(kinds[_WORD]["block"], kinds[_WORD]["keys"]):
                 k = np.frombuffer(k, np.uint64)
-                n = known.get(k)
-                rows.append((block, bucket, _WORD, k[n > 0].tobytes(), _planes(n[n > 0])))
+                rows.append((block, bucket, _WORD, b"", _planes(known.get(k))))
         if _SEQUENCE in kinds:
             asked = kinds[_SEQUENCE]
             keys = [np.frombuffer(x, np.uint32) for x in asked["keys"]]
             counts = [np.concatenate([np.zeros(z, np.int64), np.ones(o, np.int64), _unplanes(c, np.uint32).astype(np.int64)])
                       for z, o, c in zip(asked["zeros"], asked["ones"], asked["counts"])]
-            each, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(inverse, np.concatenate(counts), len(each)).astype(np.uint32)[inverse]
+            each, inverse = distinct(np.concatenate(keys))
+            total = np.bincount(inverse, np.concatenate(counts), len(each)).astype(np.uint32)
+            total = np.where(total >= limits.next, total, np.uint32(0))[inverse]
             at = 0
             for block, k in zip(asked["block"], keys):
-                n = total[at:at + len(k)]
+                rows.append((block, bucket, _SEQUENCE, b"", _planes(total[at:at + len(k)])))
                 at += len(k)
-                rows.append((block, bucket, _SEQUENCE, k[n >= MIN_COUNT].tobytes(), _planes(n[n >= MIN_COUNT])))
         if _CONTEXT in kinds:
             asked = kinds[_CONTEXT]
             keys = [np.frombuffer(x, np.uint64) for x in asked["keys"]]
             parts = np.concatenate([np.frombuffer(x, np.float32).reshape(-1, 3) for x in asked["counts"]]).astype(np.float64)
-            each, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            n, gain, mass = parts[first, 0], np.bincount(inverse, parts[:, 1]), np.bincount(inverse, parts[:, 2])
+            each, inverse = distinct(np.concatenate(keys))
+            n = np.zeros(len(each))
+            n[inverse] = parts[:, 0]
+            gain, mass = (np.bincount(inverse, parts[:, c], len(each)) for c in (1, 2))
             state = (gain >= MIN_GAIN) & (gain >= MIN_DIVERGENCE * n)
             left = np.clip(1 - mass / n, 1e-6, 1.0)
             at = 0
@@ -291,42 +334,51 @@ def _answers(messages: DataFrame) -> DataFrame:
     return got.groupBy("block").agg(F.collect_list(F.struct("bucket", "kind", "keys", "values")).alias("got"))
 
 
-def _got(answers: pd.DataFrame) -> list[dict]:
-    """The answers of all levels that one block has, from its row of (got1, got2, ...)."""
-    return [m for row in answers.itertuples(index=False) for cell in row if isinstance(cell, (list, np.ndarray)) for m in cell]
-
-
 class State:
-    """Counts and probabilities at every place of a block, from the answers it has got."""
+    """Counts and probabilities at every place of a block, from the answers it has got: of
+    each level a row (got, got2, got3)."""
 
-    def __init__(self, pdf: pd.DataFrame, got: list[dict], total: int, distinct: int, buckets: int):
+    def __init__(self, pdf: pd.DataFrame, answers: pd.DataFrame, levels: list[str], limits: Limits):
         self.tokens = t = Tokens(pdf["text"])
-        words = [m for m in got if m["kind"] == _WORD]
-        known = Lookup([np.frombuffer(m["keys"], np.uint64) for m in words], [_unplanes(m["values"], np.int64) for m in words], np.int64)
-        self.count = known.get(t.word)
-        self.root = (self.count + ALPHA) / (total + ALPHA * (distinct + 1))
-        pairs = [m for m in got if m["kind"] == _SEQUENCE]
-        sequences = Lookup([(np.uint64(m["bucket"]) << np.uint64(32)) | np.frombuffer(m["keys"], np.uint32).astype(np.uint64) for m in pairs],
-                           [_unplanes(m["values"], np.uint32) for m in pairs], np.uint32)
-        two, three = t.sequences()
-        self.two, self.three = _place(two, buckets), _place(three, buckets)
-        self.c2 = sequences.get(self.two, t.before >= 1).astype(np.float64)
+        self.train = train = pdf["train"].to_numpy(bool)[t.doc]
+        self.limits = limits
+        got = {c: sorted(answers[c].iloc[0], key=lambda m: m["bucket"]) if len(answers) and answers[c].iloc[0] is not None else []
+               for c in levels}
+
+        def counted(level: str, kind: int, dtype, order: np.ndarray) -> np.ndarray:
+            parts = [_unplanes(m["values"], dtype) for m in got[level] if m["kind"] == kind]
+            out = np.zeros(len(order), dtype)
+            out[order] = np.concatenate(parts) if parts else out[order]
+            return out
+
+        def sequences(level: str, places: np.ndarray, use: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(places))
+            keys, codes = distinct(places[use])
+            order, _ = sequence_order(keys, np.bincount(codes, train[use], len(keys)).astype(np.int64))
+            out[use] = counted(level, _SEQUENCE, np.uint32, order)[codes]
+            return out
+
+        keys, codes = distinct(t.word)
+        self.count = counted(levels[0], _WORD, np.int64, word_order(keys, limits.buckets)[0])[codes]
+        self.root = (self.count + ALPHA) / (limits.total + ALPHA * (limits.distinct + 1))
+        two, three = (_place(x, limits.buckets) for x in t.sequences())
+        self.c2 = sequences(levels[0], two, limits.pairs(t))
         shift = lambda x: np.concatenate([x[:1] * 0, x[:-1]])
-        self.ctx1, self.ctx2 = shift(t.word), shift(self.two)
+        self.ctx1, self.ctx2, self.three = shift(t.word), shift(two), three
         self.n1 = np.where(t.before >= 1, shift(self.count), 0).astype(np.float64)
         self.n2 = np.where(t.before >= 2, shift(self.c2), 0)
-        self.is1, self.is2 = self.n1 >= MIN_CONTEXT, self.n2 >= MIN_CONTEXT
+        self.is1, self.is2 = self.n1 >= limits.context, self.n2 >= limits.context
         # a three-word sequence is no more frequent than its last two words
-        self.ask3 = self.is2 & (self.c2 >= MIN_COUNT)
-        self.c3 = sequences.get(self.three, self.ask3).astype(np.float64)
-        kept = [m for m in got if m["kind"] == _CONTEXT]
+        self.ask3 = self.is2 & (self.c2 >= limits.next)
+        self.c3 = sequences(levels[1], three, self.ask3) if len(levels) > 1 else np.zeros(len(three))
+        kept = [m for c in levels for m in got[c] if m["kind"] == _CONTEXT]
         self.kept = Lookup([np.frombuffer(m["keys"], np.uint64) for m in kept], [np.frombuffer(m["values"], np.float64) for m in kept], np.float64)
 
     def shares(self) -> tuple[np.ndarray, np.ndarray]:
         """Discounted frequencies of each word after its contexts."""
         with np.errstate(divide="ignore", invalid="ignore"):
-            f1 = np.where(self.is1 & (self.c2 >= MIN_COUNT), (self.c2 - DISCOUNT) / self.n1, 0.0)
-            f2 = np.where(self.ask3 & (self.c3 >= MIN_COUNT), (self.c3 - DISCOUNT) / self.n2, 0.0)
+            f1 = np.where(self.is1 & (self.c2 > 0), (self.c2 - DISCOUNT) / self.n1, 0.0)
+            f2 = np.where(self.ask3 & (self.c3 > 0), (self.c3 - DISCOUNT) / self.n2, 0.0)
         return f1, f2
 
 
@@ -341,44 +393,42 @@ def score(docs: DataFrame, train=None) -> DataFrame:
     size, n = scalar(rows, F.sum(F.length("text") + 1), F.count(F.lit(1)))
     n_blocks, buckets = max(1, -(-int(size or 0) // BLOCK_BYTES)), max(1, -(-int(size or 0) // BUCKET_BYTES))
     words = saved(_word_counts(rows, buckets), "word-counts")
-    distinct, total = (int(x or 0) for x in scalar(words, F.sum("words"), F.sum("tokens")))
-    held = spark.sparkContext.broadcast(_flags(words))
+    distinct_words, total = (int(x or 0) for x in scalar(words, F.sum("words"), F.sum("tokens")))
+    limits = Limits(total, distinct_words, buckets)
+    limits.flags = _flags(words, limits)
+    held = spark.sparkContext.broadcast(limits)
 
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
     counted = words.select("bucket", F.lit(-1).cast("long").alias("block"), F.lit(_TABLE).alias("kind"), "keys", "counts",
                            F.lit(0).alias("ones"), F.lit(0).alias("zeros"))
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        flags = [np.unpackbits(b).view(bool) for b in held.value]
         out, t = Messages(int(pdf["block"].iloc[0]), buckets), Tokens(pdf["text"])
-        next_ok, context_ok = (f[_flag_at(t.word)] for f in flags)
-        next_ok |= t.word == _END
         out.words(t.word)
-        use = (t.before >= 1) & next_ok & np.concatenate([[False], context_ok[:-1]])
+        use = held.value.pairs(t)
         out.sequences(_place(t.sequences()[0], buckets)[use], pdf["train"].to_numpy(bool)[t.doc[use]])
         return out.frame()
 
     def second(key, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = Messages(int(key[0]), buckets)
         if len(pdf):
-            s = State(pdf, _got(answers[["got"]]), total, distinct, buckets)
-            train = pdf["train"].to_numpy(bool)[s.tokens.doc]
-            out.sequences(s.three[s.ask3], train[s.ask3])
-            out.contexts(s.is1, s.ctx1, s.n1, s.shares()[0], s.c2, s.root, train)
+            s = State(pdf, answers, ["got"], held.value)
+            out.sequences(s.three[s.ask3], s.train[s.ask3])
+            out.contexts(s.is1, s.ctx1, s.n1, s.shares()[0], s.c2, s.root, s.train)
         return out.frame()
 
     def third(key, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = Messages(int(key[0]), buckets)
         if len(pdf):
-            s = State(pdf, _got(answers[["got", "got2"]]), total, distinct, buckets)
+            s = State(pdf, answers, ["got", "got2"], held.value)
             f1, f2 = s.shares()
-            out.contexts(s.is2, s.ctx2, s.n2, f2, s.c3, f1, pdf["train"].to_numpy(bool)[s.tokens.doc])
+            out.contexts(s.is2, s.ctx2, s.n2, f2, s.c3, f1, s.train)
         return out.frame()
 
     def finish(key, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame(columns=["doc_id", "train", "n_tokens", "n_known", "base_score", "score", "n_states"])
-        s = State(pdf, _got(answers[["got", "got2", "got3"]]), total, distinct, buckets)
+        s = State(pdf, answers, ["got", "got2", "got3"], held.value)
         f1, f2 = s.shares()
         left1, left2 = s.kept.get(s.ctx1, s.is1), s.kept.get(s.ctx2, s.is2)
         on1 = left1 > 0
@@ -392,10 +442,10 @@ def score(docs: DataFrame, train=None) -> DataFrame:
             "score": np.bincount(doc, np.log10(p), n), "n_states": np.bincount(doc, on1, n).astype(np.int64)})
 
     texts = blocks.groupBy("block")
-    got1 = _answers(texts.applyInPandas(first, _MSG).unionByName(counted))
-    got2 = _answers(texts.cogroup(got1.groupBy("block")).applyInPandas(second, _MSG)).withColumnRenamed("got", "got2")
+    got1 = _answers(texts.applyInPandas(first, _MSG).unionByName(counted), limits)
+    got2 = _answers(texts.cogroup(got1.groupBy("block")).applyInPandas(second, _MSG), limits).withColumnRenamed("got", "got2")
     both = got1.join(got2, "block", "left")
-    got3 = _answers(texts.cogroup(both.groupBy("block")).applyInPandas(third, _MSG)).withColumnRenamed("got", "got3")
+    got3 = _answers(texts.cogroup(both.groupBy("block")).applyInPandas(third, _MSG), limits).withColumnRenamed("got", "got3")
     out = texts.cogroup(both.join(got3, "block", "left").groupBy("block")).applyInPandas(
         finish, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, n_states long")
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
