@@ -393,16 +393,19 @@ def length_policy(df: DataFrame, epochs: int = 3, keys=("dataset",), length: str
     keys = list(keys)
     if length not in df.columns:
         df = df.withColumn(length, word_count("text"))
-    avg = df.groupBy(*keys).agg(F.avg(length).alias("avg_length"), F.max(length).alias("max_length"))
-    j = df.join(avg, keys)
+    # everything follows from one aggregate, a row per dataset and length
+    hist = df.groupBy(*keys, length).agg(F.count(F.lit(1)).alias("_n"))
+    known = F.when(F.col(length).isNotNull(), F.col("_n"))
+    avg = hist.groupBy(*keys).agg((F.sum(F.col(length) * F.col("_n")) / F.sum(known)).alias("avg_length"),
+                                  F.max(length).alias("max_length"))
+    j = hist.join(avg, keys)
     long_row = F.col(length) > F.col("avg_length")
-    j = j.withColumn("lr", F.when(long_row, 1e-5).otherwise(2e-5)).withColumn(
-        "epochs", F.when(long_row, epochs + 3).otherwise(epochs)).withColumn(
-        "lr_factor", F.greatest(F.lit(0.5), 1 - F.col(length) / F.col("max_length")))
+    factor = F.greatest(F.lit(0.5), 1 - F.col(length) / F.col("max_length"))
     return j.groupBy(*keys, "avg_length").agg(
-        F.max("lr").alias("learning_rate"), F.max("epochs").alias("num_epochs"),
-        F.count_if(long_row).alias("n_long"), F.count(F.lit(1)).alias("n_rows"),
-        F.avg("lr_factor").alias("mean_lr_factor"))
+        F.max(F.when(long_row, 1e-5).otherwise(2e-5)).alias("learning_rate"),
+        F.max(F.when(long_row, epochs + 3).otherwise(epochs)).alias("num_epochs"),
+        F.coalesce(F.sum(F.when(long_row, F.col("_n"))), F.lit(0)).alias("n_long"), F.sum("_n").alias("n_rows"),
+        (F.sum(factor * F.col("_n")) / F.sum(F.when(factor.isNotNull(), F.col("_n")))).alias("mean_lr_factor"))
 
 
 def layer_attention_stats(att: DataFrame) -> DataFrame:
