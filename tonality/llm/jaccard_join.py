@@ -108,6 +108,15 @@ def apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
+#: Ratio of neighbouring size classes, and the classes within which similar sets lie.
+SIZE_STEP = 1.05
+SIZE_REACH = int(np.ceil(np.log(T_DEN / T_NUM) / np.log(SIZE_STEP)))
+
+
+def size_class(n: int) -> int:
+    return min(255, int(np.log(n) / np.log(SIZE_STEP)))
+
+
 def prefix_length(n: int) -> int:
     return n - -(-T_NUM * n // T_DEN) + 1
 
@@ -156,24 +165,25 @@ def _frequent(signatures: DataFrame) -> np.ndarray:
 
 # ---------------------------------------------------------------- groups of classes that share a key
 def _groups(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """(gid, node): the classes that share a prefix key, for keys of two or more; equal groups
-    have one gid."""
+    """(gid, node): the classes that share a prefix key and are near enough in size to another
+    of them; equal groups have one gid."""
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flags = np.unpackbits(held.value).view(bool)
-        found, nodes, size = [], [], 0
+        found, nodes, sizes, size = [], [], [], 0
 
         def flush() -> Iterator[pd.DataFrame]:
-            k, n = np.concatenate(found), np.concatenate(nodes)
+            k, n, c = (np.concatenate(x) for x in (found, nodes, sizes))
             bucket = ((k >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((n, k, bucket))
-            k, n, bucket = k[order], n[order], bucket[order]
+            k, n, c, bucket = k[order], n[order], c[order], bucket[order]
             new = np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])
-            k, n, bucket = k[new].astype(np.uint32), n[new], bucket[new]
+            k, n, c, bucket = k[new].astype(np.uint32), n[new], c[new], bucket[new]
             at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             for a, b in zip(at.tolist(), [*at[1:].tolist(), len(k)]):
-                yield pd.DataFrame({"bucket": [int(bucket[a])], "keys": [k[a:b].tobytes()], "nodes": [n[a:b].tobytes()]})
+                yield pd.DataFrame({"bucket": [int(bucket[a])], "keys": [k[a:b].tobytes()], "nodes": [n[a:b].tobytes()],
+                                    "sizes": [c[a:b].tobytes()]})
 
         for pdf in batches:
             for t in pdf["text"]:
@@ -184,21 +194,24 @@ def _groups(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                     p = order[:prefix_length(len(s))]
                     found.append(p)
                     nodes.append(np.full(len(p), class_id(s), np.int64))
+                    sizes.append(np.full(len(p), size_class(len(s)), np.uint8))
                     size += len(p)
             if size >= KEYS_PER_MESSAGE:
                 yield from flush()
-                found, nodes, size = [], [], 0
+                found, nodes, sizes, size = [], [], [], 0
         if size:
             yield from flush()
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         k = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["keys"]])
         n = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]])
-        order = np.lexsort((n, k))
-        k, n = k[order], n[order]
+        c = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["sizes"]]).astype(np.int16)
+        order = np.lexsort((n, c, k))
+        k, n, c = k[order], n[order], c[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])
-        k, n = k[new], n[new]
-        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        k, n, c = k[new], n[new], c[new]
+        # classes of one key in the order of their size; a gap too wide for any link ends a group
+        start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] - c[:-1] > SIZE_REACH)]))
         size = np.diff(np.concatenate([start, [len(k)]]))
         mixed = n.view(np.uint64) * _C[60]
         mixed = (mixed ^ (mixed >> np.uint64(31))) * _C[59]
@@ -207,7 +220,7 @@ def _groups(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
         return pd.DataFrame({"gid": np.repeat(gid, size)[many], "node": n[many]})
 
     texts = docs.select(text_or_empty().alias("text"))
-    return (texts.mapInPandas(keys, "bucket long, keys binary, nodes binary")
+    return (texts.mapInPandas(keys, "bucket long, keys binary, nodes binary, sizes binary")
             .groupBy("bucket").applyInPandas(group, "gid long, node long").distinct())
 
 
