@@ -44,7 +44,7 @@ T_NUM, T_DEN = 4, 5
 #: Bits of a signature; larger sets get the power of two from twice their size on.
 BITS = 2048
 SKETCH_BITS = 20
-SKETCH_CHUNK = 1 << 16
+SKETCH_CHUNK = 1 << 14
 KEYS_PER_BUCKET = 400_000
 KEYS_PER_MESSAGE = 1_000_000
 ROWS_PER_BIN = 60_000
@@ -151,11 +151,13 @@ def _frequent(signatures: DataFrame) -> np.ndarray:
         for c in pdf["counts"]:
             part = np.frombuffer(c, np.int32 if len(c) == 4 * SKETCH_CHUNK else np.int64)
             total += part
-        return pd.DataFrame({"chunk": pdf["chunk"][:1], "way": np.int32(0), "counts": [total.tobytes()]})
+        return pd.DataFrame({"chunk": pdf["chunk"][:1], "way": pdf["way"][:1], "counts": [total.tobytes()]})
 
+    # in three steps, so that a task adds up a bounded number of sketches however many there are
     parts = signatures.where("chunk >= 0").select("chunk", "way", "counts")
-    for keys in (["chunk", "way"], ["chunk"]):
-        parts = parts.groupBy(*keys).applyInPandas(add, "chunk int, way int, counts binary")
+    for ways in (1024, 32, 1):
+        parts = parts.withColumn("way", F.pmod("way", F.lit(ways))).groupBy("chunk", "way").applyInPandas(
+            add, "chunk int, way int, counts binary")
     out = np.zeros(1 << SKETCH_BITS, np.int64)  # a fixed size, whatever the input
     for r in parts.collect():
         out[r.chunk * SKETCH_CHUNK:(r.chunk + 1) * SKETCH_CHUNK] = np.frombuffer(r.counts, np.int64)
