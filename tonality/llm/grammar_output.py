@@ -34,7 +34,7 @@ PAIRS_PER_ROUND = 1024
 MAX_ROUNDS = 6
 MIN_GAIN = 0.02
 #: Pieces remembered by a worker process; the most frequent ones of its first texts stay in a small table.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 250_000
 HOT_PIECES = 30_000
 HOT_SAMPLE = 1_500_000
 

@@ -47,8 +47,8 @@ SKETCH_BITS = 20
 SKETCH_CHUNK = 1 << 14
 KEYS_PER_BUCKET = 400_000
 KEYS_PER_MESSAGE = 1_000_000
-ROWS_PER_BIN = 60_000
-BLOCK = 4096
+ROWS_PER_BIN = 10_000
+BLOCK = 1024
 MARKS = 1 << 23
 FANOUT = 16
 
@@ -290,23 +290,24 @@ def _candidates(rows: DataFrame, bins: int) -> DataFrame:
         gid, x, y, part = (pdf[c].to_numpy(np.int64) for c in ("gid", "block_a", "block_b", "part"))
         order = np.lexsort((part, y, x, gid))
         at = np.flatnonzero(np.concatenate([[True], np.any([v[order][1:] != v[order][:-1] for v in (gid, x, y)], axis=0)]))
-        left, right = [], []
+        left, right, near = [], [], []
         for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
             own = order[a:b]
             split = int((part[own] == 0).sum()) if x[own[0]] != y[own[0]] else None
             if split is not None and split in (0, len(own)):
                 continue
             i, j = tree_pairs(n[own], matrix([bits[r] for r in own]), comp[own], split)
-            left.append(own[i])
-            right.append(own[j])
-        i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+            for lo in range(0, len(i), 1 << 15):
+                x_, y_ = own[i[lo:lo + (1 << 15)]], own[j[lo:lo + (1 << 15)]]
+                differ, total = apart([bits[r] for r in x_], [bits[r] for r in y_]), n[x_] + n[y_]
+                ok = _possible(n[x_], n[y_], (total - differ) // 2)
+                left.append(x_[ok].astype(np.int32))
+                right.append(y_[ok].astype(np.int32))
+                near.append((-(1000 * differ[ok] // np.maximum(total[ok], 1))).astype(np.int32))
+        i, j, near = (np.concatenate(v) if v else np.zeros(0, np.int32) for v in (left, right, near))
         swap = node[i] > node[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        pairs = pd.DataFrame({"a": node[i], "b": node[j], "i": i, "j": j}).drop_duplicates(["a", "b"])
-        i, j = pairs["i"].to_numpy(), pairs["j"].to_numpy()
-        differ, total = apart([bits[x] for x in i], [bits[x] for x in j]), n[i] + n[j]
-        out = pd.DataFrame({"a": node[i], "b": node[j], "ca": comp[i], "cb": comp[j], "near": -(1000 * differ // np.maximum(total, 1))})
-        return out[_possible(n[i], n[j], (total - differ) // 2)]
+        return pd.DataFrame({"a": node[i], "b": node[j], "ca": comp[i], "cb": comp[j], "near": near}).drop_duplicates(["a", "b"])
 
     spread = F.pmod(F.xxhash64("gid", "block_a", "block_b"), F.lit(bins))
     return rows.withColumn("_bin", spread).groupBy("_bin").applyInPandas(join, _CANDIDATE)

@@ -148,7 +148,7 @@ def _counts(rows: DataFrame, terms) -> DataFrame:
             for t, y in zip(pdf["text"], pdf["toxic"]):
                 for e, n in Counter(terms(fold(t))).items():
                     both[int(y)][e] += min(n, DOC_CAP) if e else n
-            if len(both[0]) + len(both[1]) > 500_000:
+            if len(both[0]) + len(both[1]) > 200_000:
                 yield from frames(*both)
                 both = (Counter(), Counter())
         yield from frames(*both)
