@@ -66,6 +66,12 @@ def test_suffix_tree_learns_contexts_and_sums_to_one(spark):
     assert got[1001].score <= start + math.log10(beta)
 
 
+@pytest.mark.parametrize("total", [0, 10 ** 6, 10 ** 8, 5 * 10 ** 9, 10 ** 12])
+def test_suffix_tree_least_counts_do_not_depend_on_the_input(total):
+    limits = suffix_tree.Limits(total, total // 100, 4)
+    assert (limits.context, limits.next) == (16, 3)
+
+
 def test_suffix_tree_edges(spark):
     got = suffix_tree.score(edge_docs(spark)).collect()
     rows = [(i, t) for i, t, _ in edge_rows()]

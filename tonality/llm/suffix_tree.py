@@ -1,7 +1,7 @@
 """LM scoring with a probabilistic suffix tree over words.
 
 The model's states are contexts of up to two words.  The root holds the smoothed word
-frequencies.  A context becomes a state if it makes up a least share of the text and the
+frequencies.  A context becomes a state if it occurs ``LEAST_CONTEXT`` times, whatever the size of the text, and the
 next-word distribution seen after it diverges from that of its suffix (the context without its first
 word): the log-likelihood gained over the suffix must reach ``MIN_GAIN`` nats in all and
 ``MIN_DIVERGENCE`` nats an occurrence.  A state's distribution keeps the next words that are
@@ -37,9 +37,8 @@ BLOCK_BYTES = 10 << 20
 BUCKET_BYTES = 12 << 20
 ALPHA = 0.1
 DISCOUNT = 0.75
-#: Least share of the training places that a context makes up, and a next word after a context;
-#: and never fewer places than these.
-CONTEXT_SHARE, NEXT_SHARE = 1e-6, 5e-8
+#: Least training places of a context, and of a next word after a context; they do not depend
+#: on how many places there are.
 LEAST_CONTEXT, LEAST_NEXT = 16, 3
 MIN_GAIN, MIN_DIVERGENCE = 12.0, 0.02
 FLAG_BITS = 24
@@ -126,8 +125,7 @@ class Limits:
 
     def __init__(self, total: int, distinct_words: int, buckets: int, flags: np.ndarray | None = None):
         self.total, self.distinct, self.buckets, self.flags = total, distinct_words, buckets, flags
-        self.context = max(LEAST_CONTEXT, int(CONTEXT_SHARE * total))
-        self.next = max(LEAST_NEXT, int(NEXT_SHARE * total))
+        self.context, self.next = LEAST_CONTEXT, LEAST_NEXT
 
     def pairs(self, t: Tokens) -> np.ndarray:
         """Places whose last two words could be a kept next word of a context."""
