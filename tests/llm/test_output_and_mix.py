@@ -80,6 +80,19 @@ def test_pfair_deviation_stays_below_one_block(spark):
                 assert abs(seen[s] - w * (t + 1)) < 1
 
 
+def test_pfair_follows_the_requested_weights_over_many_cycles(spark):
+    names = ["a"] * 9000 + ["b"] * 1000 + ["z"] * 40
+    weights = spark.createDataFrame([("a", 0.9), ("b", 0.1), ("z", 0.0)], "source string, weight double")
+    got = pfair.schedule(docs(spark, [(i, f"t{i}", s) for i, s in enumerate(names)]), weights, block=1).collect()
+    at = {r.slot: r.source for r in got}
+    assert len(at) == len(names) and sorted(at) == list(range(len(names)))
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    seen = Counter()
+    for t in range(10_000):
+        seen[at[t]] += 1
+        assert abs(seen["a"] - 0.9 * (t + 1)) < 1 and abs(seen["b"] - 0.1 * (t + 1)) < 1 and not seen["z"]
+
+
 def test_mix_edges(spark):
     df = edge_docs(spark)
     got = pfair.schedule(df).collect()

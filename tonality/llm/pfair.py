@@ -7,21 +7,32 @@ earliest deadline goes next.  Up to any slot t, each source has then had less th
 more or less than w * t, as long as it lasts.  When a source has run out its slots stay empty,
 and the others keep their proportions; every document gets a place.
 
-Weights become shares n / Q of a cycle of Q = ``SLOTS`` * (number of sources) slots, so the
-schedule repeats after one cycle: the cycle is computed once, by a fold over its slots, and
-blocks take their slots from it by a join.
+Weights are taken as exact fractions, never rounded.  The blocks' slots come from one pass
+over the blocks that holds a state per source and streams its rows; sources without a block
+left ask for no slot.
+
+``op6_pfair_mix`` alone follows its SQL: there weights are rounded to shares n / Q of a cycle of
+Q = ``SLOTS`` * (number of sources) slots with a slot for every source at least, and the cycle
+is repeated.  The bound of one block then holds for the shares and not for the weights.
 
 Defined results: a null source is a source of its own, named ''; rows with the same ``doc_id``
 follow each other by their text's hash; weights default to the square root of the sources'
-document counts; sources without a given weight get none beyond the one slot per cycle that
-every source has; other columns are ignored; no rows give none.
+document counts; a source whose weight is missing or null gets one of ``SLOTS`` * (number of
+sources) slots; a source of weight 0 (or below 2**-32 of the sum) comes after all others have
+ended; other columns are ignored; no rows give none.
 """
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonality.llm.common import table, text_or_empty
+from tonality.llm.common import saved, ship, table, text_or_empty
 
 BLOCK = 16
 SLOTS = 50
@@ -44,7 +55,79 @@ def _ranked(docs: DataFrame, source: str) -> DataFrame:
         "doc_id", "source", "_row", (F.col("_before") + F.col("_inside") - 1).alias("idx"))
 
 
-def shares(counts: DataFrame, weights: DataFrame | None = None, slots: int = SLOTS) -> DataFrame:
+def targets(counts: DataFrame, weights: DataFrame | None = None) -> dict[str, tuple[int, Fraction]]:
+    """By source its number of rows and its exact share; the shares add up to 1, or all are 0.
+    ``counts`` has (source, c)."""
+    c = {r.source: r.c for r in counts.collect()}  # a row for each source
+    if weights is None:
+        w = {s: Fraction(math.sqrt(n)) for s, n in c.items()}
+    else:
+        given = weights.where("weight IS NOT NULL").groupBy("source").agg(F.sum(F.col("weight").cast("double")).alias("w"))
+        w = {r.source: max(Fraction(r.w), Fraction(0)) for r in given.join(counts.select("source"), "source").collect()}
+        least = sum(w.values()) / (1 << 32)
+        w = {s: x if x >= least else Fraction(0) for s, x in w.items()}
+        missing = [s for s in c if s not in w]
+        one = sum(w.values()) / (SLOTS * len(c) - len(missing)) if any(w.values()) else Fraction(1)
+        w |= dict.fromkeys(missing, one)
+    total = sum(w.values()) or Fraction(1)
+    return {s: (c[s], w[s] / total) for s in sorted(c)}
+
+
+def shares(counts: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(source, n, q): the share n / q of each source, q = 1."""
+    rows = [(s, float(w), 1.0) for s, (_, w) in targets(counts, weights).items()]
+    return counts.sparkSession.createDataFrame(rows, "source string, n double, q double")
+
+
+def turns(blocks: list[int], share: list[Fraction], slot: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block, slot, release, deadline) from ``slot`` on: earliest deadline first among
+    the released blocks, ties to the smaller source.  Sources without a share follow at the end
+    with equal ones."""
+    q = math.lcm(*(w.denominator for w in share))
+    n = [int(w * q) for w in share]
+    start, done = slot, [0] * len(n)
+    coming, ready = [(start, k) for k, x in enumerate(n) if x and blocks[k]], []
+    while coming or ready:
+        if not ready:
+            slot = max(slot, coming[0][0])
+        while coming and coming[0][0] <= slot:
+            release, k = heapq.heappop(coming)
+            heapq.heappush(ready, (start - (-(done[k] + 1) * q // n[k]), k, release))
+        deadline, k, release = heapq.heappop(ready)
+        yield k, done[k], slot, release, deadline
+        done[k] += 1
+        if done[k] < blocks[k]:
+            heapq.heappush(coming, (start + done[k] * q // n[k], k))
+        slot += 1
+    last = [k for k, x in enumerate(n) if not x]
+    if last:
+        for k, *rest in turns([blocks[k] for k in last], [Fraction(1, len(last))] * len(last), slot):
+            yield last[k], *rest
+
+
+def _turns(counts: DataFrame, weights: DataFrame | None, block: int) -> DataFrame:
+    """(source, block, slot, release, deadline) of every block."""
+    spark = counts.sparkSession
+    ship(spark)
+    held = [(s, -(-c // block), w) for s, (c, w) in targets(counts, weights).items()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, blocks, share = zip(*held)
+        for _ in batches:
+            rows = []
+            for k, *rest in turns(list(blocks), list(share)):
+                rows.append((names[k], *rest))
+                if len(rows) == 100_000:
+                    yield pd.DataFrame(rows, columns=["source", "block", "slot", "release", "deadline"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["source", "block", "slot", "release", "deadline"])
+
+    one = spark.range(1 if held else 0, numPartitions=1)
+    return saved(one.mapInPandas(run, "source string, block long, slot long, release long, deadline long"), "turns")
+
+
+def cycle_shares(counts: DataFrame, weights: DataFrame | None = None, slots: int = SLOTS) -> DataFrame:
     """(source, n, q): the slots n of each source in a cycle of q.  Every source gets one, the
     rest follows the weights, rounded by the largest remainder.  ``counts`` has (source, c)."""
     if weights is None:
@@ -96,13 +179,18 @@ def cycle(share: DataFrame) -> DataFrame:
 
 
 def schedule(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", block: int = BLOCK,
-             slots: int = SLOTS) -> DataFrame:
+             slots: int | None = None) -> DataFrame:
     """(doc_id, source, _row, block, idx, slot, release, deadline) for every row of ``docs``;
-    the mixed order is (slot, idx).  ``weights`` has (source, weight)."""
+    the mixed order is (slot, idx).  ``weights`` has (source, weight).  With ``slots`` the
+    weights are rounded to a repeated cycle of so many slots a source."""
     counts = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("c"))
+    if slots is None:
+        ranked = _ranked(docs, source).withColumn("block", F.floor(F.col("idx") / block))
+        return ranked.join(_turns(counts, weights, block), ["source", "block"]).select(
+            "doc_id", "source", "_row", "block", "idx", "slot", "release", "deadline")
     small = counts.count() <= MAX_BROADCAST_SOURCES
     held = F.broadcast if small else (lambda x: x)
-    share = shares(counts, weights, slots)
+    share = cycle_shares(counts, weights, slots)
     ranked = _ranked(docs, source).withColumn("block", F.floor(F.col("idx") / block))
     out = ranked.join(held(share), "source")
     out = out.withColumn("_turn", F.floor(F.col("block") / F.col("n"))).withColumn("j", F.col("block") - F.col("_turn") * F.col("n"))
@@ -124,8 +212,9 @@ def mix(docs: DataFrame, **kw) -> DataFrame:
 
 
 def op6_pfair_mix(spark, sf_dir: str) -> DataFrame:
-    """The place of every document in the mix, by its source's target weight."""
-    return schedule(table(spark, sf_dir, "documents")).drop("_row")
+    """The place of every document in the mix, by its source's target weight rounded to the cycle
+    that the query's SQL states."""
+    return schedule(table(spark, sf_dir, "documents"), slots=SLOTS).drop("_row")
 
 
 SQL = f"""
