@@ -252,6 +252,17 @@ def test_leaks_edges(spark):
     assert left.count() == len(edge_rows()) - 3 and left.columns == edge_docs(spark).columns
 
 
+def test_leaks_are_removed_row_by_row(spark):
+    item = "what is the tallest mountain on earth above the level of the sea"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    big = (1 << 53) + 1
+    rows = [(None, f"so {item} then", "x"), (None, "clean without id", "x"), (7, item, "x"), (7, "clean twin", "x"),
+            (big, f"{item} again", "x"), (big - 1, "clean neighbour", "x"), (9, None, "x")]
+    kept = decontaminate.remove_leaks(docs(spark, rows), bench).collect()
+    assert sorted(str(r.text) for r in kept) == ["None", "clean neighbour", "clean twin", "clean without id"]
+    assert {r.doc_id for r in decontaminate.find_leaks(docs(spark, rows), bench).collect()} == {None, 7, big}
+
+
 def test_queries_find_every_whole_item(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.op10_decontaminate(spark, SF_DIR).collect()}
     items = [(k, decontaminate.normal(t)) for k, t in read(SF_DIR, "benchmark", "item_id, text")]

@@ -123,9 +123,9 @@ class Matcher:
         return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, pass_chars: int = PASS_CHARS) -> DataFrame:
-    """(doc_id, item_id, edits, n_chars, end): each item that a document holds within the
-    item's budget; ``end`` counts characters of the normal form.
+def _found(docs: DataFrame, benchmark: DataFrame, rate: float, pass_chars: int) -> DataFrame:
+    """(doc_id, _row, item_id, edits, n_chars, end): each item that a row holds within the
+    item's budget; ``_row`` is xxhash64 of the text.
 
     Each pass takes a bounded part of the test items to the executors and reads all
     documents; the number of passes follows from the items' size."""
@@ -134,7 +134,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0)
     total = scalar(items, F.sum(F.length("text")))[0] or 0
     passes = max(1, -(-int(total) // pass_chars))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") > 0)
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("_row"),
+                        F.col("doc_id").cast("long").isNull().alias("_none"), "text").where(F.length("text") > 0)
     parts = []
     for p in range(passes):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == p).collect()
@@ -143,21 +144,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
         def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             matcher = Matcher(held.value, rate) if held.value else None
             for pdf in batches:
-                found = [(i, *m) for i, t in zip(pdf["doc_id"], pdf["text"]) for m in matcher.find(normal(t))] if matcher else []
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "edits", "n_chars", "end"])
+                found = [(*own, *m) for *own, t in zip(pdf["_row"], pdf["_none"], pdf["doc_id"], pdf["text"])
+                         for m in matcher.find(normal(t))] if matcher else []
+                yield pd.DataFrame(found, columns=["_row", "_none", "doc_id", "item_id", "edits", "n_chars", "end"])
 
-        parts.append(texts.mapInPandas(scan, OUT))
+        parts.append(texts.mapInPandas(scan, f"_row long, _none boolean, {OUT}"))
     found = parts[0]
     for more in parts[1:]:
         found = found.unionByName(more)
+    return found.withColumn("doc_id", F.when(~F.col("_none"), F.col("doc_id"))).drop("_none")  # long ids stay exact beside nulls
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, pass_chars: int = PASS_CHARS) -> DataFrame:
+    """(doc_id, item_id, edits, n_chars, end): each item that a document holds within the
+    item's budget; ``end`` counts characters of the normal form."""
+    found = _found(docs, benchmark, rate, pass_chars)
     best = F.min(F.struct("edits", "end", "n_chars")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.edits", "b.n_chars", "b.end")
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """``docs`` without the documents that hold a test item."""
-    leaked = find_leaks(docs, benchmark, **kw).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"] == leaked["_leaked"], "left_anti")
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, pass_chars: int = PASS_CHARS) -> DataFrame:
+    """``docs`` without the rows that hold a test item.  Each row is judged by its own text, also
+    if its ``doc_id`` is null or repeats."""
+    leaked = _found(docs, benchmark, rate, pass_chars).select(F.col("doc_id").alias("_leaked"), F.col("_row").alias("_hash")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(leaked["_leaked"]) & (F.xxhash64(docs["text"]) == leaked["_hash"])
+    return docs.join(leaked, same, "left_anti")
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
