@@ -145,6 +145,28 @@ def test_jaccard_components(spark, monkeypatch, block, bucket):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(plain_components(rows))
 
 
+@pytest.mark.parametrize("block,bucket", [(4096, 400_000), (8, 500)])
+def test_jaccard_join_has_every_link(spark, monkeypatch, block, bucket):
+    """Pairs inside a component too, each class of equal sets standing for its documents."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "KEYS_PER_BUCKET", bucket)
+    rows = near_copies(3, 12, 40, most=3)
+    rows += [(500 + i, t) for i, t in rows[:5]] + [(900, ""), (901, None)]
+    links, members = jaccard_join.join(docs(spark, [(i, t, "x") for i, t in rows]))
+    got, of = {(r.a, r.b) for r in links.collect()}, {r.doc_id: r for r in members.collect()}
+    assert all(a < b for a, b in got) and len(of) == len(rows)
+    sets = {i: set(jaccard_join.shingles(t or "").tolist()) for i, t in rows}
+    count = dict.fromkeys(sets, 0)
+    for x in sets:
+        for y in sets:
+            if x < y and sets[x] and sets[y]:
+                a, b = sorted((of[x].class_id, of[y].class_id))
+                linked = 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])
+                assert linked == (a == b or (a, b) in got)
+                count[x], count[y] = count[x] + linked, count[y] + linked
+    assert {i: r.n_links for i, r in of.items()} == count and len(got) > len(rows)
+
+
 def test_jaccard_edges(spark):
     key = lambda r: tuple(-1 if v is None else v for v in r)
     got = jaccard_join.near_duplicates(edge_docs(spark)).collect()

@@ -16,6 +16,9 @@ and the same set form a class; only classes are compared.
    every two components is verified, until nothing more joins; then every pair that is left.
    Large groups are cut into blocks, and only pairs of blocks with more than one component meet.
 
+So the components are exact, but links inside a component are not all looked for; ``join``
+verifies those too and gives every link.
+
 Candidates are verified on the full sets, so the links are exact: a key, bitmap or group
 collision can only add a candidate.
 
@@ -428,9 +431,8 @@ def _all_links(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFram
         links = saved(links.unionByName(new), "links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, _row, n_shingles, component_id) for every row of ``docs``: the set's size and
-    the smallest ``doc_id`` that links lead to; ``_row`` is xxhash64 of the text."""
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, classes, groups of classes that share a prefix key)."""
     ship(docs.sparkSession)
     signatures = saved(_signatures(docs), "signatures")
     each = signatures.where("chunk < 0").select("doc_id", "_row", "n", "node")
@@ -441,6 +443,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     frequent = _frequent(signatures)
     keys = scalar(nodes, F.sum(F.col("n") / T_DEN + 1))[0] or 0
     groups = saved(_groups(docs, frequent, max(1, -(-int(keys) // KEYS_PER_BUCKET))), "groups")
+    return each, nodes, groups
+
+
+def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole join: (links, members).  links(a, b), a < b, holds every pair of different
+    classes that are similar enough, inside a component too.  members(doc_id, _row, n_shingles,
+    class_id, n_links) has every row of ``docs`` with its class (null without words) and the
+    number of other documents it is linked to; documents of one class are linked with each other.
+
+    ``near_duplicates`` needs only links that join components and gives the same components;
+    this function verifies all pairs, whose number grows with the square of a group."""
+    each, nodes, groups = _prepared(docs)
+    rows = saved(_unjoined(groups, nodes, None), "group-rows")
+    bins = max(1, -(-rows.count() // ROWS_PER_BIN))
+    links = _verify(docs, nodes, saved(_candidates(rows, bins).select("a", "b").distinct(), "all-pairs"))
+    size = saved(each.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("_size")), "class-sizes")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    met = both.join(size, both["b"] == size["node"]).groupBy("a").agg(F.sum("_size").alias("_met"))
+    size = size.join(met, size["node"] == met["a"], "left").select("node", (F.col("_size") - 1 + F.coalesce("_met", F.lit(0))).alias("n_links"))
+    members = each.where("n > 0").join(size, "node").unionByName(
+        each.where("n = 0").withColumn("node", F.lit(None).cast("long")).withColumn("n_links", F.lit(0).cast("long")))
+    return links, members.select("doc_id", "_row", F.col("n").cast("long").alias("n_shingles"),
+                                 F.col("node").alias("class_id"), "n_links")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, _row, n_shingles, component_id) for every row of ``docs``: the set's size and
+    the smallest ``doc_id`` that links lead to; ``_row`` is xxhash64 of the text."""
+    each, nodes, groups = _prepared(docs)
     comps = _all_links(docs, groups, nodes)
     ids = nodes.select("node", "first_id").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = ids.groupBy("component").agg(F.min("first_id").alias("component_id"))
