@@ -89,6 +89,17 @@ def test_license_variants(spark):
     assert sorted((r.doc_id, r.license_id) for r in got) == [(1, "A"), (2, None)]
 
 
+def test_license_texts_and_notices_beyond_the_sql(spark):
+    files = sorted(license_scan.FOLDER.glob("*.txt"))
+    rows = [(k, f"Copyright (c) 2021 Someone\n{f.read_text()}", "x") for k, f in enumerate(files)]
+    lines = {"# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-notice", "Licensed under the BSD 3-Clause License.": "BSD-3-Clause-notice",
+             "This software is licensed under the Mozilla Public License, version 2.0": "MPL-2.0-notice", "Licensed under my own terms.": ""}
+    rows += [(100 + k, f"some code\n{line}\nmore code", "x") for k, line in enumerate(lines)]
+    got = {r.doc_id: r for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert [got[k].license_id for k in range(len(files))] == [f.stem.split("__")[0] for f in files]
+    assert [got[100 + k].notices for k in range(len(lines))] == list(lines.values())
+
+
 def test_license_edges(spark):
     got = license_scan.scan(edge_docs(spark)).collect()
     assert len(got) == len(edge_rows()) and all(r.license_id is None for r in got)

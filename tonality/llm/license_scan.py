@@ -12,15 +12,19 @@ canonical form report the smallest id; other columns are ignored.
 """
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonality.llm.common import table, text_or_empty
 
+FOLDER = Path(__file__).parent / "licenses"
 #: Known texts are inlined into the plan as literals; longer lists come as a table and are joined as Spark sees fit.
 MAX_INLINE = 5_000
 
-# Public licence texts and the usual one-line notices.
+# The licence texts and one-line notices that the SQL knows; more are in FOLDER.
 _AS_IS = ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
           "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
           "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
@@ -80,9 +84,21 @@ def known_digests(known: DataFrame) -> DataFrame:
             .where("n > 0").groupBy("digest").agg(F.min("license_id").alias("license_id")))
 
 
+def built_in_texts() -> list[tuple[str, str]]:
+    """(license_id, text): ``KNOWN``, its licences without their titles, and what lies in
+    ``licenses/``: licence texts (a file's name is the id, up to '__'), and notices and SPDX
+    tags made of the forms and names in ``notices.json``."""
+    rows = [*KNOWN, *[(i, t.split("\n\n", 1)[1]) for i, t in KNOWN if "\n\n" in t]]
+    rows += [(f.stem.split("__")[0], f.read_text(encoding="utf-8")) for f in sorted(FOLDER.glob("*.txt"))]
+    said = json.loads((FOLDER / "notices.json").read_text(encoding="utf-8"))
+    rows += [(f"{i}-notice", form.format(n=n)) for i, names in said["names"].items() for n in names for form in said["forms"]]
+    rows += [(f"{i}-notice", f"SPDX-License-Identifier: {tag}") for i, tags in said["spdx"].items() for tag in tags]
+    return rows
+
+
 def built_in(spark) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in KNOWN])
-    return spark.range(1).select(F.inline(rows))
+    rows = json.dumps([{"license_id": i, "text": t} for i, t in built_in_texts()])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<license_id:string,text:string>>")))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
