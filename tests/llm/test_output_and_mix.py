@@ -62,6 +62,20 @@ def test_grammar_expands_and_reads_at_random():
             assert shard.tokens(k, a, b).tolist() == ids[a:b].tolist()
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(2)
+    passage = rng.integers(3, 5000, 700)
+    seq = np.concatenate([np.append(np.concatenate([rng.integers(3, 5000, 20), passage]), 2) for _ in range(60)]).astype(np.uint32)
+    symbols, rules, lengths = grammar_output.compress(seq, 5000, 2)
+    tables = grammar_output.expansions(rules, lengths, 5000)
+    assert grammar_output.expand(symbols, *tables).tolist() == seq.tolist()
+    left = Counter((a, b) for a, b in zip(symbols[:-1].tolist(), symbols[1:].tolist()) if 2 not in (a, b))
+    assert max(left.values()) < grammar_output.MIN_PAIR_COUNT and lengths.max() > 64
+    run = np.full(1000, 7, np.uint32)
+    symbols, rules, lengths = grammar_output.compress(run, 10, 2)
+    assert grammar_output.expand(symbols, *grammar_output.expansions(rules, lengths, 10)).tolist() == run.tolist()
+
+
 # ---------------------------------------------------------------- 6 mixing
 def test_pfair_deviation_stays_below_one_block(spark):
     rows = docs(spark, [(i, f"t{i}", s) for i, s in enumerate(["a"] * 900 + ["b"] * 300 + ["c"] * 200 + ["d"] * 17)])

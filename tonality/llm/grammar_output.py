@@ -31,8 +31,6 @@ TOKENIZER = "byte_bpe_50k.json"
 SHARD_TOKENS = 2_000_000
 MIN_PAIR_COUNT = 32
 PAIRS_PER_ROUND = 1024
-MAX_ROUNDS = 6
-MIN_GAIN = 0.02
 #: Pieces remembered by a worker process; the most frequent ones of its first texts stay in a small table.
 CACHE_PIECES = 250_000
 HOT_PIECES = 30_000
@@ -164,50 +162,42 @@ def encoder(path: str | None = None) -> Encoder:
 # ---------------------------------------------------------------- grammar
 def compress(seq: np.ndarray, terminals: int, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, rules, rule_lengths).  Symbol ``terminals + r`` stands for
-    ``rules[r]``.  Each round replaces many frequent pairs at once, from left to right,
-    without overlaps.  The end id is never part of a rule, so no rule spans documents."""
+    ``rules[r]``.  Each round replaces the most frequent pairs, up to ``PAIRS_PER_ROUND``, at once,
+    from left to right, without overlaps, until no pair occurs ``MIN_PAIR_COUNT`` times.  The end id is never part of a rule, so no rule spans documents."""
     seq = seq.astype(np.uint32)
     rules: list[np.ndarray] = []
     n_rules, lengths = 0, np.ones(terminals, np.uint32)
-    for _ in range(MAX_ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) >= 2:
         bucket = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BUCKET_BITS)
-        # a pair cannot be more frequent than its bucket: only the fullest buckets are looked at
+        # a pair cannot be more frequent than its bucket: pairs of emptier buckets need no count of their own
         counts = np.bincount(bucket, minlength=1 << _BUCKET_BITS)
-        least = max(MIN_PAIR_COUNT, int(np.partition(counts, -PAIRS_PER_ROUND)[-PAIRS_PER_ROUND]))
-        at = np.flatnonzero((counts >= least)[bucket])
+        at = np.flatnonzero((counts >= MIN_PAIR_COUNT)[bucket])
         at = at[(seq[at] != end_id) & (seq[at + 1] != end_id)]
-        # one pair stands for its bucket (pairs that collide with it wait for a later round)
-        own = bucket[at]
         pairs = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        stands = np.zeros(1 << _BUCKET_BITS, np.uint64)
-        stands[own] = pairs
-        same = stands[own] == pairs
-        at, own = at[same], own[same]
-        n = np.bincount(own, minlength=1 << _BUCKET_BITS)
-        order = np.flatnonzero(n >= MIN_PAIR_COUNT)
+        codes, each = pd.factorize(pairs)
+        n = np.bincount(codes, minlength=len(each))
+        order = np.argsort(-n, kind="stable")[:PAIRS_PER_ROUND]
+        order = order[n[order] >= MIN_PAIR_COUNT]
         if not len(order):
             break
-        rule_of = np.full(1 << _BUCKET_BITS, -1, np.int32)
+        rule_of = np.full(len(each), -1, np.int32)
         rule_of[order] = np.arange(len(order))
-        rule = rule_of[own]
+        rule = rule_of[codes]
         at, rule = at[rule >= 0], rule[rule >= 0]
         begins = np.concatenate([[True], np.diff(at) != 1])  # runs of overlapping places: take every other one
         offset = np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
         take = offset % 2 == 0
         at, rule = at[take], rule[take]
-        pair = stands[order]
+        used, rule = np.unique(rule, return_inverse=True)  # others may have taken all places of a pair
+        pair, order = each[order][used], used
         left, right = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
         seq[at] = terminals + n_rules + rule
         rules.append(np.stack([left, right], 1))
         n_rules += len(order)
-        gone, before = np.ones(len(seq), bool), len(seq)
+        gone = np.ones(len(seq), bool)
         gone[at + 1] = False
         seq = seq[gone]
-        if before - len(seq) < MIN_GAIN * before:
-            break
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), lengths[terminals:]
 
 
