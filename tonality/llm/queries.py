@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tonality.llm import decontaminate, grammar_output, jaccard_join, license_scan, line_dedup, pfair, pii_crf, suffix_tree, topk, toxicity
+from tonality.llm import decontaminate, grammar_output, jaccard_join, license_scan, line_dedup, pfair, pii_crf, suffix_tree, token_counts, topk, toxicity
 
 
 def registered() -> dict:
@@ -17,5 +17,6 @@ def registered() -> dict:
         "op8_license_scan": (license_scan.op8_license_scan, license_scan.SQL),
         "op9_jaccard_join": (jaccard_join.op9_jaccard_join, None),
         "op10_decontaminate": (decontaminate.op10_decontaminate, None),
+        "op13_token_counts": (token_counts.op13_token_counts, None),
         "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }
