@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tonality.llm import collocations, decontaminate, grammar_output, jaccard_join, license_scan, line_dedup, pfair, pii_crf, suffix_tree, token_counts, topk, toxicity
+from tonality.llm import collocations, decontaminate, grammar_output, jaccard_join, license_scan, line_dedup, pfair, pii_crf, prefix_trie, suffix_tree, token_counts, topk, toxicity
 
 
 def registered() -> dict:
@@ -17,6 +17,7 @@ def registered() -> dict:
         "op8_license_scan": (license_scan.op8_license_scan, license_scan.SQL),
         "op9_jaccard_join": (jaccard_join.op9_jaccard_join, None),
         "op10_decontaminate": (decontaminate.op10_decontaminate, None),
+        "op11_prefix_trie": (prefix_trie.op11_prefix_trie, prefix_trie.SQL),
         "op12_collocations": (collocations.op12_collocations, collocations.SQL),
         "op13_token_counts": (token_counts.op13_token_counts, None),
         "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
