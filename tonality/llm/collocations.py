@@ -5,11 +5,11 @@ text ends.  Only these windows are counted; Spark's ROLLUP over (lang, w1, ...,
 for each shorter prefix, which gives the frequency of every phrase and, for the empty prefix, the
 number of words.
 
-A phrase cannot be more frequent than a part of it.  So a window may be padded from its first word
-or pair of neighbours that occurs less than ``least`` times, without changing the frequency of any
-phrase that occurs ``least`` times.  Two passes over the texts find such words and pairs: their
-64-bit hashes are counted exactly and the frequent ones marked in a bitmap of bounded size
-(``MAX_BITS``), which the next pass gets by broadcast.  A collision only leaves a window longer than
+A phrase cannot be more frequent than a part of it.  So a window may be padded from its first part of
+up to ``PRUNED`` words that occurs less than ``least`` times, without changing the frequency of any
+phrase that occurs ``least`` times.  A pass over the texts for each length finds such parts: 64-bit
+hashes of those whose own parts are frequent are counted, and the frequent ones marked in a bitmap
+of bounded size (``MAX_BITS``), which the next pass gets by broadcast.  A collision only leaves a window longer than
 need be; it never changes a frequency.
 
 Defined results: a null text counts as empty and a null ``lang`` as 'und'; rows that repeat each
@@ -32,6 +32,8 @@ from tonality.llm.common import saved, ship, table, text_or_empty
 
 MAX_WORDS = 5
 LEAST = 100
+#: Windows are padded at the first part of up to so many words that is too rare.
+PRUNED = 3
 TOP = 2000
 #: Words of a block; a block holds whole texts, one at least.
 BLOCK_WORDS = 4_000_000
@@ -95,7 +97,8 @@ def word_hashes(names: list, lang_of: np.ndarray, langs: list) -> np.ndarray:
     return out
 
 
-def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def longer_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of word sequences from those of the sequences without the last word and of that word."""
     x = a * np.uint64(0x9E3779B97F4A7C15) + ((b << np.uint64(31)) | (b >> np.uint64(33)))
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
@@ -107,34 +110,34 @@ def marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def frequent_parts(block: Block, maps: list) -> tuple:
-    """The closed block with masks: at which places stands a frequent word, and a frequent pair
-    with the word after it.  Without the pairs' bitmap, all pairs of frequent words count."""
+    """The closed block with, for each length m from 1 to one more than there are bitmaps, the places
+    where m words begin of which all parts are marked (``alive``), and the hashes of the longest."""
     seq, names, lang_of, langs = block.close()
     hashes = word_hashes(names, lang_of, langs)
-    good = marked(maps[0], hashes) if maps else np.ones(len(names), bool)
-    good[0] = False
-    word = good[seq]
-    pair = np.zeros(len(seq), bool)
-    pair[:-1] = word[:-1] & word[1:]
-    at = np.flatnonzero(pair)
-    keys = pair_hashes(hashes[seq[at]], hashes[seq[at + 1]])
-    if len(maps) > 1:
-        pair[at] = marked(maps[1], keys)
-    return seq, names, lang_of, langs, hashes, word, pair, keys
+    known = np.ones(len(names), bool)
+    known[0] = False
+    alive, at = [known[seq]], np.flatnonzero(known[seq])
+    keys = hashes[seq[at]]
+    for m, bitmap in enumerate(maps, 1):
+        good = at[marked(bitmap, keys)]
+        alive[-1] = np.zeros(len(seq), bool)
+        alive[-1][good] = True
+        longer = np.zeros(len(seq), bool)
+        longer[:-1] = alive[-1][:-1] & alive[-1][1:]
+        kept = longer[at]
+        at, keys = at[kept], keys[kept]
+        keys = longer_hashes(keys, hashes[seq[at + m]])
+        alive.append(longer)
+    return seq, names, lang_of, langs, alive, keys
 
 
 def _bitmap(docs: DataFrame, least: int, maps: list) -> np.ndarray:
-    """Marks of the words (``maps`` empty) or neighbouring pairs (``maps`` holds the words' marks)
-    that occur ``least`` times."""
+    """Marks of the sequences of one word more than ``maps`` has bitmaps that occur ``least`` times."""
     held = docs.sparkSession.sparkContext.broadcast(maps)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            seq, _, _, _, hashes, _, _, pairs = frequent_parts(block, held.value)
-            if held.value:
-                key, n = np.unique(pairs, return_counts=True)
-            else:
-                key, n = hashes[1:], np.bincount(seq, minlength=len(hashes))[1:]
+            key, n = np.unique(frequent_parts(block, held.value)[-1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
     counts = docs.mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -158,18 +161,21 @@ def _unique(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, int]:
 
 def window_table(block: Block, maps: list) -> pa.RecordBatch:
     """The block's distinct padded windows and their numbers: (lang, w1, ..., w5, n)."""
-    seq, names, lang_of, langs, _, word, pair, _ = frequent_parts(block, maps)
-    size = len(names)
+    seq, names, lang_of, langs, alive, _ = frequent_parts(block, maps)
+    size, word = len(names), alive[0]
     rare = np.bincount(lang_of[seq[(seq > 0) & ~word]], minlength=len(langs))
+    # a window reaches m words while all its sequences of the marked lengths are marked
+    reach = [word, *alive[1:-1]]
+    while len(reach) < MAX_WORDS:
+        step = np.zeros(len(seq), bool)
+        step[:-1] = reach[-1][:-1] & reach[-1][1:]
+        reach.append(step)
+    pair = reach[1]
     single = np.bincount(seq[word & ~pair], minlength=size)
     start = np.flatnonzero(pair)
-    cols, alive = [seq[start]], np.ones(len(start), bool)
+    cols = [seq[start]]
     for j in range(1, MAX_WORDS):
-        at = start + j
-        inside = at < len(seq)
-        at = np.where(inside, at, 0)
-        alive &= pair[at - 1] & inside  # the pair of the word before and this one
-        cols.append(np.where(alive, seq[at], 0))
+        cols.append(np.where(reach[j][start], seq[np.minimum(start + j, len(seq) - 1)], 0))
     key, width = _unique(cols[0], cols[1], size)
     for col in cols[2:]:
         key, width = _unique(key, col, size)
@@ -194,7 +200,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     ship(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), text_or_empty().alias("text"))
     maps: list = []
-    for _ in range(2):
+    for _ in range(PRUNED):
         maps.append(_bitmap(rows, least, maps))
     held = docs.sparkSession.sparkContext.broadcast(maps)
 
@@ -221,7 +227,8 @@ def _joined(words: Column) -> Column:
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, absorbed_percent: int = 100) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases by score."""
     counts = saved(phrase_counts(docs, least), "phrase-counts").withColumn("size", F.size("words"))
-    totals = counts.where("size = 0").select("lang", F.col("f").alias("n"))
+    # written, so that the planner knows its size: a row for each language
+    totals = saved(counts.where("size = 0").select("lang", F.col("f").alias("n")), "phrase-totals")
     parts = counts.where("size > 0").select("lang", _joined(F.col("words")).alias("phrase"), "f")
     phrases = counts.where("size > 1").select("lang", "words", "size", F.col("f").alias("a"))
     # every way to cut a phrase in two
