@@ -211,6 +211,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 yield out.slice(lo, 50_000)
 
     found = rows.mapInArrow(windows, ", ".join(f"{c} string" for c in ("lang", *_WORDS)) + ", n long")
+    # equal windows of all blocks become one before their prefixes are summed
+    found = found.groupBy("lang", *_WORDS).agg(F.sum("n").alias("n"))
     sums = found.rollup("lang", *_WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("_g"))
     # bit i of the grouping id stands for a column summed over, the last column first
     depth = sum(((F.shiftright("_g", i).bitwiseAND(F.lit(1)) == 0).cast("int") for i in range(MAX_WORDS)), F.lit(0))
