@@ -5,6 +5,7 @@ output row per input row (C7 makes one per replacement) and works inside the
 row with higher-order functions, so nothing is regrouped."""
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -14,10 +15,14 @@ from tonality.functions.hashing import hash32, unit_hash
 from tonality.functions.labels import literal_map
 from tonality.functions.text import sentences, tokenize_words, words
 from tonality.operators.ordering import dense_index
+from tonality.operators.stats import written
 
 NEGATIONS = ["not", "n't"]
 PAD_ID, UNK_ID, MASK_ID = 0, 1, 2
 MASK_TOKEN = "[MASK]"
+#: Frequent tokens looked up inside the row: how many, of what length, in how many hash buckets.
+HOT_TOKENS, HOT_CHARS, HOT_BUCKETS = 4096, 40, 1024
+ROW_GROUP_BYTES = 8 << 20
 
 
 def replace_keyword_variants(df: DataFrame, pattern: str, replacements: list[str], text: str = "text") -> DataFrame:
@@ -72,26 +77,27 @@ def _resolve(tok: Column, antonym: Column) -> Column:
     return F.when(tok.startswith(_MARK), F.coalesce(antonym, word)).otherwise(tok)
 
 
-def negation_antonym(df: DataFrame, antonyms, text: str = "text", key: str = "sample_id") -> DataFrame:
+def negation_antonym(df: DataFrame, antonyms, text: str = "text") -> DataFrame:
     """``not X`` / ``n't X`` -> antonym of X (X itself when it has none).
 
     ``antonyms`` is a dict, which becomes a map literal (a projection, no shuffle), or
     a ``(word, antonym)`` table, which is joined with the negated tokens only; those are
-    then put back per text (one group = one text).  Of several antonyms of a word, in
-    any case, the smallest is taken."""
+    then put back per text by a 256-bit hash of its tokens, so rows that share a key or a
+    text stay rows of their own.  Of several antonyms of a word, in any case, the smallest
+    is taken."""
     marked = _marked_tokens(text)
     if isinstance(antonyms, dict):
         amap = literal_map({k.lower(): v for k, v in antonyms.items()})
         out = F.transform(marked, lambda t: _resolve(t, F.try_element_at(amap, F.lower(F.substring(t, 2, 1 << 30)))))
         return df.withColumn(text, F.array_join(out, " "))
-    t = df.withColumn("_m", marked)
-    ex = t.select(key, F.posexplode("_m").alias("_pos", "_tok")).where(F.col("_tok").startswith(_MARK))
+    t = df.withColumn("_m", marked).withColumn("_h", F.sha2(F.array_join("_m", " "), 256))
+    ex = t.select("_h", F.posexplode("_m").alias("_pos", "_tok")).where(F.col("_tok").startswith(_MARK))
     lk = antonyms.groupBy(F.lower("word").alias("_lw")).agg(F.min("antonym").alias("_ant"))
     hits = ex.join(lk, F.lower(F.substring("_tok", 2, 1 << 30)) == lk["_lw"], "inner")
-    g = hits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_ant"))).alias("_amap"))
-    j = t.join(g, key, "left")
+    g = hits.groupBy("_h").agg(F.map_from_entries(F.collect_set(F.struct("_pos", "_ant"))).alias("_amap"))
+    j = t.join(g, "_h", "left")
     out = F.transform("_m", lambda tok, i: _resolve(tok, F.try_element_at(F.col("_amap"), i)))
-    return j.withColumn(text, F.array_join(out, " ")).drop("_m", "_amap")
+    return j.withColumn(text, F.array_join(out, " ")).drop("_m", "_amap", "_h")
 
 
 def keyword_mask(df: DataFrame, words_: list[str], p: float = 0.35, seed: int = 0, text: str = "text",
@@ -119,20 +125,64 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", first_id: int = 3) -> Dat
     return dense_index(counts, [F.desc("n"), F.asc("token")], "token_id", start=first_id)
 
 
+def with_row_id(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder with ``_row``, a number of its own for every row.
+    Small row groups let later scans of the files run in many tasks."""
+    return written(df.withColumn("_row", F.monotonically_increasing_id()), "rows", {"parquet.block.size": ROW_GROUP_BYTES})
+
+
+def frequent_ids(tokens: DataFrame, vocab: DataFrame, most: int = HOT_TOKENS) -> list[dict]:
+    """Ids of about the ``most`` most frequent tokens of ``tokens(token)``, found by a mergeable
+    counter, as one small dict for each of ``HOT_BUCKETS`` hash buckets.  Frequent tokens that
+    the vocabulary lacks are in it as unknown.  At most ``most`` tokens of ``HOT_CHARS``
+    characters, whatever the size of the data."""
+    short = tokens.where(F.length("token") <= HOT_CHARS)
+    top = short.agg(F.expr(f"approx_top_k(token, {most}, {4 * most})").alias("_t")).select(F.explode("_t.item").alias("token"))
+    top = top.withColumn("_bucket", _bucket(F.col("token"))).cache()
+    out: list[dict] = [{} for _ in range(HOT_BUCKETS)]
+    for r in top.collect():
+        out[r["_bucket"]][r["token"]] = UNK_ID
+    for r in vocab.select("token", "token_id").join(F.broadcast(top), "token").collect():
+        out[r["_bucket"]][r["token"]] = r["token_id"]
+    top.unpersist()
+    return out
+
+
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.hash(token), F.lit(HOT_BUCKETS))
+
+
+def rare_tokens(t: DataFrame, ids: Column) -> DataFrame:
+    """(_row, pos, token): the tokens of ``_kept`` to which ``ids`` gives none; what is shuffled by token."""
+    rare = F.filter(F.transform(F.arrays_zip("_kept", ids.alias("_id")), lambda x, i: F.struct(
+        i.alias("pos"), x["_kept"].alias("token"), x["_id"].alias("id"))), lambda x: x["id"].isNull())
+    return t.select("_row", F.explode(rare).alias("_x")).select("_row", "_x.pos", "_x.token")
+
+
 def encode_tokens(df: DataFrame, vocab: DataFrame, max_len: int = 512, tokens: str = "tokens",
                   key: str = "sample_id", keep: tuple = ()) -> DataFrame:
     """C14 encoding: the first ``max_len`` tokens -> ids (unknown -> 1), padded
-    with 0 to ``max_len``, with an attention mask.  Only the kept prefix is
-    exploded and joined; a regrouped row holds at most ``max_len`` ids."""
-    ex = df.select(key, *keep, F.posexplode_outer(F.slice(tokens, 1, max_len)).alias("pos", "token"))
-    j = ex.join(vocab.select("token", "token_id"), "token", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))
-    g = j.groupBy(key, *keep).agg(F.sort_array(F.collect_list(item)).alias("_ids"))
-    ids = F.transform("_ids", lambda x: x["id"].cast("int"))
-    pad = F.lit(max_len) - F.size(ids)
-    return g.select(key, *keep, F.size(ids).alias("n_tokens"),
-                    F.concat(ids, F.array_repeat(F.lit(PAD_ID), pad)).alias("input_ids"),
-                    F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), pad)).alias("attention_mask"))
+    with 0 to ``max_len``, with an attention mask; one output row for every input row.
+
+    Frequent tokens are looked up inside the row in a literal of bounded size, so no token
+    that makes up much of the data is ever a join key; the others are joined with the
+    vocabulary and put back by row (at most ``max_len`` a row)."""
+    if "_row" not in df.columns:
+        df = with_row_id(df.select(key, *keep, tokens))
+    kept = F.slice(F.coalesce(F.col(tokens), F.array().cast("array<string>")), 1, max_len)
+    t = df.select("_row", key, *keep, kept.alias("_kept"))
+    hot = frequent_ids(t.select(F.explode_outer("_kept").alias("token")), vocab)
+    frequent = F.from_json(F.lit(json.dumps(hot, ensure_ascii=False)), "array<map<string,int>>")
+    ids = F.transform("_kept", lambda x: F.try_element_at(F.get(frequent, _bucket(x)), x))
+    ex = rare_tokens(t, ids)
+    found = ex.join(vocab.select("token", F.col("token_id").cast("int").alias("id")), "token")
+    found = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "id"))).alias("_rare"))
+    j = t.select("_row", key, *keep, ids.alias("_ids")).join(found, "_row", "left")
+    whole = F.transform("_ids", lambda x, i: F.coalesce(x, F.try_element_at("_rare", i), F.lit(UNK_ID)))
+    j = j.select(key, *keep, F.size("_ids").alias("n_tokens"), whole.alias("_ids"))
+    pad = F.lit(max_len) - F.col("n_tokens")
+    return j.select(key, *keep, "n_tokens", F.concat("_ids", F.array_repeat(F.lit(PAD_ID), pad)).alias("input_ids"),
+                    F.concat(F.array_repeat(F.lit(1), F.col("n_tokens")), F.array_repeat(F.lit(0), pad)).alias("attention_mask"))
 
 
 def mlm_mask(df: DataFrame, p: float = 0.15, seed: int = 0, ids: str = "input_ids", key: str = "sample_id") -> DataFrame:

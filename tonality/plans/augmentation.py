@@ -116,7 +116,8 @@ _ENC = _enc(MAX_LEN)
 
 
 def _encoded(spark, d, max_len: int = MAX_LEN):
-    t = tb.texts(spark, d).select("sample_id", "dataset", G.lower_tokens("text").alias("tokens"))
+    # tokenised once, for the vocabulary and for the encoding
+    t = G.with_row_id(tb.texts(spark, d).select("sample_id", "dataset", G.lower_tokens("text").alias("tokens")))
     vocab = G.build_vocab(t, "tokens")
     return G.encode_tokens(t, vocab, max_len, keep=("dataset",))
 
