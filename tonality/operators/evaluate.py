@@ -40,15 +40,17 @@ def attach_predictions(samples: DataFrame, preds: DataFrame, keys=("dataset", "s
                        validate: bool = True) -> DataFrame:
     """H2: join predictions to their samples on an explicit key.
 
-    With ``validate`` one job counts keys present on only one side and fails when
-    there are any (the reference's length check)."""
+    With ``validate`` the action that uses the result also counts the keys present on only one
+    side and fails when there are any (the reference's length check); no job runs before."""
     keys = list(keys)
     if validate:
         s = samples.select(*keys).withColumn("_s", F.lit(1))
         p = preds.select(*keys).distinct().withColumn("_p", F.lit(1))
-        bad = s.join(p, keys, "full_outer").where(F.col("_s").isNull() | F.col("_p").isNull()).count()
-        if bad:
-            raise ValueError(f"predictions and samples are not aligned: {bad} keys on one side only")
+        odd = s.join(p, keys, "full_outer").agg(F.count_if(F.col("_s").isNull() | F.col("_p").isNull()).alias("_odd"))
+        said = F.concat(F.lit("predictions and samples are not aligned: "), F.col("_odd").cast("string"), F.lit(" keys on one side only"))
+        # one row, made whether or not any rows meet
+        odd = odd.select(F.when(F.col("_odd") > 0, F.raise_error(said).cast("boolean")).otherwise(F.lit(True)).alias("_aligned"))
+        samples = samples.crossJoin(F.broadcast(odd)).where("_aligned").drop("_aligned")
     return preds.join(samples, keys, "inner")
 
 
@@ -284,24 +286,39 @@ def error_term_frequency(preds: DataFrame, stopwords: list[str], k: int = 20, wh
                          keys=RUN, key: str = "sample_id", samples: DataFrame | None = None) -> DataFrame:
     """Term counts over misclassified (or neg->pos) texts, top k per run.
 
-    Every run of a sample shares its text, so each erroneous sample is
-    tokenised once: the runs that got a sample wrong become one array beside its text
-    (as many as there are runs), terms are counted per sample in the partitioning of that
-    join, and only then are the runs unfolded into partial sums.  Stop words are a literal
-    ``IN`` set after the explode (codegen); the top-k window is planned with a
-    map-side group limit.  ``samples`` (one row per ``key`` with its text) saves
-    de-duplicating the texts out of the per-run rows."""
+    Every run of a sample shares its text, so each erroneous sample is tokenised once and its
+    terms are sorted and run-length counted inside the row.  The runs that got a sample wrong
+    stand beside its counts as an array and are unfolded into partial sums: the terms are
+    exchanged once, as sums of each task.  The top-k window is planned with a map-side group
+    limit.  ``samples`` (one row per ``key`` with its text) saves de-duplicating the texts out
+    of the per-run rows."""
     errs = (misclassified(preds) if which == "misclassified" else preds.where((_t() == 0) & (_p() == 2)))
     runs = errs.groupBy(key).agg(F.collect_list(F.struct(*keys)).alias("_runs"))
     src = samples.select(key, "text") if samples is not None else preds.select(key, "text").distinct()
-    terms = (src.join(runs, key).select(key, "_runs", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0)).alias("term"))
-             .where(F.col("term").isNotNull() & ~F.col("term").isin(sorted(set(stopwords))))
-             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n_in_text"), F.first("_runs").alias("_runs")))
-    counts = terms.select("term", "n_in_text", F.inline("_runs")).groupBy(*keys, "term").agg(F.sum("n_in_text").alias("n"))
+    hist = src.join(runs, key).select("_runs", term_counts("text", stopwords).alias("_terms"))
+    counts = hist.select("_runs", F.inline("_terms")).select("term", "n_in_text", F.inline("_runs"))
+    counts = counts.groupBy(*keys, "term").agg(F.sum("n_in_text").alias("n"))
     w = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc("term"))
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def term_counts(text: str, stopwords: list[str]) -> Column:
+    """Array of (term, n_in_text): the text's terms but the stop words, counted inside the row.
+    One ``aggregate`` over the sorted terms would copy its state at each step; the starts of the
+    runs of equal terms and their distances need none."""
+    stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))]).cast("array<string>")
+    found = F.array_sort(F.filter(F.regexp_extract_all(F.lower(text), F.lit(TERM), 0), lambda t: ~F.array_contains(stop, t)))
+
+    def runs(s: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.transform(F.array(at), lambda a: F.transform(a, lambda i, k: F.struct(
+            F.get(s, i).alias("term"), (F.coalesce(F.get(a, k + 1), F.size(s)) - i).cast("long").alias("n_in_text"))))[0]
+
+    # bound once by a lambda: an expression used twice would tokenise twice
+    none = F.array().cast("array<struct<term:string,n_in_text:bigint>>")
+    return F.transform(F.array(found), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))[0]
+
+
 def two_stage_refine(primary: DataFrame, secondary: DataFrame | None, key: str = "sample_id") -> DataFrame:
     """Where stage 1 says positive (2), stage 2 decides: 0 -> neutral (1),
     1 -> positive (2); otherwise, or without a stage-2 answer, unchanged.  Without a
@@ -416,15 +433,22 @@ def layer_attention_stats(att: DataFrame) -> DataFrame:
     (column sum / matrix sum); per layer: mean, sample std (null for one value),
     threshold mean + 2 std, 0 for a layer without targets; plus the average
     weight on target and on other positions."""
-    per_matrix = att.groupBy("sample_id", "layer").agg(F.sum("weight").alias("total"))
-    per_col = att.where("is_target").groupBy("sample_id", "layer", "key_pos").agg(F.sum("weight").alias("col_sum"))
-    ratios = per_col.join(per_matrix, ["sample_id", "layer"]).where(F.col("total") > 0).withColumn(
-        "ratio", F.col("col_sum") / F.col("total"))
-    stats = ratios.groupBy("layer").agg(F.avg("ratio").alias("mean_ratio"), F.stddev_samp("ratio").alias("std_ratio"),
-                                         F.count(F.lit(1)).alias("n_targets"))
-    tv = att.groupBy("layer").agg(F.avg(F.when(F.col("is_target"), F.col("weight"))).alias("avg_target_weight"),
-                                  F.avg(F.when(~F.col("is_target"), F.col("weight"))).alias("avg_other_weight"))
-    out = tv.join(stats, "layer", "left")
+    on = F.col("is_target")
+    weight = lambda cond: F.when(cond, F.col("weight"))
+    # one exchange: a matrix is one group, its columns are summed in the same partition
+    cols = att.repartition("sample_id", "layer").groupBy("sample_id", "layer", "key_pos").agg(
+        F.sum("weight").alias("_w"), F.sum(weight(on)).alias("_t"), F.count_if(on).alias("_is"), F.count(weight(on)).alias("_tn"),
+        F.sum(weight(~on)).alias("_o"), F.count(weight(~on)).alias("_on"))
+    mats = cols.groupBy("sample_id", "layer").agg(
+        F.sum("_w").alias("_total"), F.sum("_t").alias("_t"), F.sum("_tn").alias("_tn"), F.sum("_o").alias("_o"), F.sum("_on").alias("_on"),
+        F.collect_list(F.when(F.col("_is") > 0, F.struct("_t"))).alias("_cols"))
+    rows = mats.select("layer", "_total", "_t", "_tn", "_o", "_on", F.posexplode_outer("_cols").alias("_pos", "_col"))
+    ratio = F.when((F.col("_total") > 0) & F.col("_col").isNotNull(), F.struct((F.col("_col._t") / F.col("_total")).alias("r")))
+    rows = rows.withColumn("_r", ratio).withColumn("_once", F.coalesce("_pos", F.lit(0)) == 0)  # a matrix's own sums count once
+    once = lambda c: F.sum(F.when(F.col("_once"), F.col(c)))
+    out = rows.groupBy("layer").agg(
+        F.avg("_r.r").alias("mean_ratio"), F.stddev_samp("_r.r").alias("std_ratio"), F.nullif(F.count("_r"), F.lit(0)).alias("n_targets"),
+        F.try_divide(once("_t"), once("_tn")).alias("avg_target_weight"), F.try_divide(once("_o"), once("_on")).alias("avg_other_weight"))
     return out.select("layer", F.coalesce("n_targets", F.lit(0)).alias("n_targets"),
                       F.coalesce("mean_ratio", F.lit(0.0)).alias("mean_ratio"),
                       F.when(F.col("n_targets").isNull(), F.lit(0.0)).otherwise(F.col("std_ratio")).alias("std_ratio"),

@@ -11,12 +11,15 @@ from tonality.functions.text import repair_line_breaks
 from tonality.operators import assemble as A
 from tonality.operators import evaluate as ev
 from tonality.operators.classifier import text_classifier
+from tonality.operators.model_selection import select_model
 from tonality.plans.assembly import _THREE
 from tonality.plans.evaluation import CONF, _rowsel
 from tonality.plans.registry import r6, register
 from tonality.plans.views_sql import with_views
 from tonality.sources import files as IO
 from tonality.sources import tables as tb
+from tonality.sources.quoted_csv import read_quoted_csv
+from tonality.sources.sheets import read_sheets
 from tonality.streaming.extract import stream_keyword_extract, stream_take_class
 
 
@@ -29,6 +32,16 @@ def q_read_labeled_csv(spark, d):
     return IO.read_labeled_csv(spark, path)
 
 
+@register("read_quoted_csv_in_parts", with_views(
+    "SELECT sample_id, text, CAST(label AS VARCHAR) AS label FROM labeled_text", "labeled_text"))
+def q_read_quoted_csv_in_parts(spark, d):
+    """A1: the same as one quoted file, read by as many tasks as the file has splits."""
+    path = IO.scratch_path(spark, "csv-one")
+    rows = tb.labeled_text(spark, d).select("sample_id", "text", F.col("label").cast("string"))
+    IO.write_labeled_csv(rows, path)
+    return read_quoted_csv(spark, path, IO.LABELED_CSV_SCHEMA)
+
+
 @register("read_corpus_parquet", "SELECT doc_id, text FROM documents")
 def q_read_corpus_parquet(spark, d):
     """A2: a Parquet corpus read with only the needed columns."""
@@ -86,6 +99,38 @@ def q_annotation_sheets_rejected(spark, d):
     return rejected
 
 
+_FILE_SHEETS = "SELECT sample_id // 10 AS sheet, sample_id % 10 AS col, text, labeler_1, labeler_2, labeler_3, labeler_4 FROM annotations"
+
+
+def _sheet_files(spark, d):
+    """The sheets as files; those of every seventeenth number hold a row that was cut off."""
+    root = IO.scratch_path(spark, "sheets")
+    cells = sheet_cells(spark, d)
+    line = F.to_json(F.struct(F.col("row_idx"), F.col("cells")), {"ignoreNullFields": "false"})
+    cut = (F.col("sheet") % 17 == 3) & (F.col("row_idx") == 2)
+    rows = cells.select("sheet", "row_idx", F.when(cut, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+    rows.repartition("sheet").sortWithinPartitions("sheet", "row_idx").drop("row_idx").write.partitionBy("sheet").text(root)
+    number = lambda: F.regexp_extract("path", "sheet=([0-9]+)", 1).cast("long")
+    return root, lambda path="path": number()
+
+
+@register("read_sheet_files", with_views(f"""
+SELECT sheet, CAST(col AS INTEGER) AS col_idx, text, labeler_1, labeler_2, labeler_3, labeler_4
+FROM ({_FILE_SHEETS}) WHERE sheet % 17 <> 3""", "annotations"))
+def q_read_sheet_files(spark, d):
+    """A5: annotation sheets read from files, without those that cannot be read."""
+    root, name = _sheet_files(spark, d)
+    return read_sheets(spark, root, name=name)[0]
+
+
+@register("sheet_files_rejected", with_views(f"""
+SELECT sheet, 'unreadable rows: 1' AS reason FROM ({_FILE_SHEETS}) WHERE sheet % 17 = 3 GROUP BY sheet""", "annotations"))
+def q_sheet_files_rejected(spark, d):
+    """A5: the files that cannot be read, with the reason."""
+    root, name = _sheet_files(spark, d)
+    return read_sheets(spark, root, name=name)[1]
+
+
 RUN_SQL = "model, model_type, dataset"
 
 
@@ -180,6 +225,27 @@ def q_text_classifier(spark, d):
         (F.count_if(F.col("true_label") == F.col("predicted_label")) > F.greatest(*[truth(c) for c in (0, 1, 2)])).alias("beats_majority"))
 
 
+GRID = {"num_features": [1 << 12, 1 << 14], "reg": [0.01, 0.3], "max_iter": [10]}
+
+
+@register("grid_search", with_views("""
+SELECT CAST(4 AS BIGINT) AS n_runs, count_if(split = 'valid') AS n_valid, count_if(split = 'test') AS n_test, CAST(4 AS BIGINT) AS n_in_range,
+       true AS best_is_first_maximum, true AS test_is_recounted
+FROM s""", "labeled_text", extra={"s": _THREE}))
+def q_grid_search(spark, d):
+    """F13 + F14 + H30: a fit for every row of a parameter grid on the train split, the best by
+    valid accuracy scored on the test split.  Returned is what must hold of them."""
+    got = select_model(tb.labeled_text(spark, d).select("sample_id", "text", "label"), GRID, 42)
+    runs = got.runs.agg(F.count(F.lit(1)).alias("n_runs"), F.max("n").alias("n_valid"), F.max("accuracy").alias("_top"),
+                        F.count_if(F.col("accuracy").between(0, 1)).alias("n_in_range"),
+                        F.min(F.struct(-F.col("accuracy"), "grid_idx")).alias("_first"))
+    test = got.scored.agg(F.count(F.lit(1)).alias("n_test"), F.count_if(F.col("true_label") == F.col("predicted_label")).alias("_right"))
+    one = runs.crossJoin(F.broadcast(test)).crossJoin(F.broadcast(got.test.select(F.col("accuracy").alias("_test_accuracy"))))
+    return one.select("n_runs", "n_valid", "n_test", "n_in_range",
+                      ((F.col("_first.grid_idx") == got.best["grid_idx"]) & (F.col("_top") == got.best["accuracy"])).alias("best_is_first_maximum"),
+                      (F.abs(F.col("_right") / F.col("n_test") - F.col("_test_accuracy")) < 1e-9).alias("test_is_recounted"))
+
+
 def _classified(spark, d):
     lt = tb.labeled_text(spark, d)
     s = A.three_way_split(lt.select("sample_id", "text", "label"), 42)

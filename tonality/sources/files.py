@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonality.operators.stats import written
 from tonality.session import scratch_dir
 
 LABELED_CSV_SCHEMA = T.StructType([T.StructField("sample_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -32,8 +33,8 @@ def read_labeled_csv(spark: SparkSession, path: str, schema: T.StructType = LABE
                      header: bool = True) -> DataFrame:
     """A1: delimited labelled text with quoted line breaks, declared schema.
 
-    Line breaks inside quotes make a file unsplittable: one task reads one file, so the
-    writer's files must be of bounded size (``write_labeled_csv``)."""
+    The multi-line reader takes one task a file, for files of bounded size (as
+    ``write_labeled_csv`` writes them); ``quoted_csv.read_quoted_csv`` splits large ones."""
     return (spark.read.schema(schema).option("header", header).option("multiLine", True)
             .option("escape", '"').option("quote", '"').csv(path))
 
@@ -125,12 +126,21 @@ def format_class_report(report: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, fmt: str = "parquet", keys=("model", "model_type", "dataset"),
-                      mode: str = "overwrite", files_per_run: int = 4) -> None:
-    """Write under ``<path>/key=value/...`` in CSV, JSON or Parquet, clustered by the
-    keys into about ``files_per_run`` files each."""
-    # rows of a run go to a few tasks: else every task writes a file for every run
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.lit(files_per_run))
-    w = df.repartition(*keys, spread).write.mode(mode).partitionBy(*keys)
+                      mode: str = "overwrite", rows_per_file: int = 1_000_000) -> None:
+    """Write under ``<path>/key=value/...`` in CSV, JSON or Parquet.
+
+    A run's rows go to as many tasks, and files, as they need at about ``rows_per_file``; the
+    rows of each run are counted first (one row per run).  Only the folders of runs in ``df``
+    are replaced: writing one run leaves the others, writing it again replaces it."""
+    keys = list(keys)
+    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    counts = written(counts.withColumnsRenamed({k: f"_k_{k}" for k in keys}), "run-files")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.col("_files"))
+    tasks = counts.agg(F.sum("_files")).first()[0] or 1
+    rows = df.join(counts, same).withColumn("_part", spread).repartition(tasks, *keys, "_part").select(*df.columns)
+    w = (rows.write.mode(mode).partitionBy(*keys).option("partitionOverwriteMode", "dynamic")
+         .option("maxRecordsPerFile", rows_per_file))
     if fmt == "csv":
         w = w.option("header", True).option("escape", '"')
     w.format(fmt).save(path)

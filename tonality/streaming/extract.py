@@ -6,6 +6,9 @@ micro-batches, survive restarts through their checkpoint folder (in the shared
 checkpoint location) and write an append-only file sink."""
 from __future__ import annotations
 
+import threading
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,12 +40,44 @@ def stream_keyword_extract(spark: SparkSession, src: str, schema: T.StructType,
 
 
 def stream_take_class(spark: SparkSession, src: str, schema: T.StructType, out_path: str, label_col: str, cls,
-                      n: int, cols=None) -> str:
-    """K2: stream rows of one class and stop after ``n`` of them (a streaming
-    ``limit`` in append mode).  Any ``n`` rows of the class are a valid result: which ones
-    arrive first depends on the files' order, and a restart without its checkpoint may keep others."""
-    s = spark.readStream.schema(schema).parquet(src).where(F.col(label_col) == cls)
-    if cols:
-        s = s.select(*cols)
-    _run(s.limit(n), out_path, scratch_path(spark, "ckpt-k2"))
+                      n: int, cols=None, checkpoint: str | None = None, max_files_per_trigger: int = 1) -> str:
+    """K2: stream rows of one class and stop after ``n`` of them.
+
+    Each micro-batch takes ``max_files_per_trigger`` files, counts what the batches before it
+    wrote, and keeps as many rows as are missing, in the order of file and row index (a top-n,
+    no task gathers the batch).  A batch writes the folder of its id, replacing what a failed
+    attempt left, so a restart with the same ``checkpoint`` and ``out_path`` gives the same rows.
+    Once ``n`` rows are there, no batch reads its files and the query is stopped."""
+    full = threading.Event()
+
+    def take(batch, batch_id: int) -> None:
+        missing = n - _taken(batch.sparkSession, out_path, batch_id)
+        if missing > 0:
+            rows = batch.orderBy("_file", "_index").limit(missing).drop("_file", "_index")
+            rows.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+            missing = n - _taken(batch.sparkSession, out_path, batch_id + 1)
+        if missing <= 0:
+            full.set()
+
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(src)
+    s = s.where(F.col(label_col) == cls)
+    s = s.select(*(cols or schema.names), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    q = (s.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint or scratch_path(spark, "ckpt-k2"))
+         .trigger(availableNow=True).start())
+    while not q.awaitTermination(1) and not full.is_set():
+        pass
+    q.stop()
+    if q.exception() is not None and not full.is_set():
+        raise RuntimeError(str(q.exception()))
     return out_path
+
+
+def _taken(spark: SparkSession, out_path: str, before: int) -> int:
+    """Rows that the batches before ``before`` wrote."""
+    try:
+        done = spark.read.option("basePath", out_path).parquet(f"{out_path}/batch=*")
+    except AnalysisException as e:  # nothing written yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    return done.where(F.col("batch") < before).count()
