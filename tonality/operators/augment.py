@@ -5,7 +5,6 @@ output row per input row (C7 makes one per replacement) and works inside the
 row with higher-order functions, so nothing is regrouped."""
 from __future__ import annotations
 
-import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -152,11 +151,23 @@ def _bucket(token: Column) -> Column:
     return F.pmod(F.hash(token), F.lit(HOT_BUCKETS))
 
 
-def rare_tokens(t: DataFrame, ids: Column) -> DataFrame:
-    """(_row, pos, token): the tokens of ``_kept`` to which ``ids`` gives none; what is shuffled by token."""
-    rare = F.filter(F.transform(F.arrays_zip("_kept", ids.alias("_id")), lambda x, i: F.struct(
-        i.alias("pos"), x["_kept"].alias("token"), x["_id"].alias("id"))), lambda x: x["id"].isNull())
-    return t.select("_row", F.explode(rare).alias("_x")).select("_row", "_x.pos", "_x.token")
+def _literal(hot: list[dict]) -> Column:
+    """The buckets as one constant, folded when the plan is optimised."""
+    def one(b: dict) -> str:
+        pairs = ", ".join(f"cast(X'{t.encode().hex()}' AS string), {i}" for t, i in b.items())
+        return f"map({pairs})" if b else "cast(map() AS map<string, int>)"
+    return F.expr(f"array({', '.join(map(one, hot))})")
+
+
+def _look_up(frequent: Column, token: Column) -> Column:
+    return F.try_element_at(F.get(frequent, _bucket(token)), token)
+
+
+def rare_tokens(t: DataFrame, frequent: Column) -> DataFrame:
+    """(_row, pos, token): the tokens of ``_kept`` that are not in ``frequent``; what is shuffled by token."""
+    rare = F.transform("_kept", lambda x, i: F.when(_look_up(frequent, x).isNull(), F.struct(i.alias("pos"), x.alias("token"))))
+    x = t.select("_row", F.explode_outer(F.array_compact(rare)).alias("_x")).where(F.col("_x").isNotNull())
+    return x.select("_row", "_x.pos", "_x.token")
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, max_len: int = 512, tokens: str = "tokens",
@@ -172,9 +183,9 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, max_len: int = 512, tokens: s
     kept = F.slice(F.coalesce(F.col(tokens), F.array().cast("array<string>")), 1, max_len)
     t = df.select("_row", key, *keep, kept.alias("_kept"))
     hot = frequent_ids(t.select(F.explode_outer("_kept").alias("token")), vocab)
-    frequent = F.from_json(F.lit(json.dumps(hot, ensure_ascii=False)), "array<map<string,int>>")
-    ids = F.transform("_kept", lambda x: F.try_element_at(F.get(frequent, _bucket(x)), x))
-    ex = rare_tokens(t, ids)
+    frequent = _literal(hot)
+    ids = F.transform("_kept", lambda x: _look_up(frequent, x))
+    ex = rare_tokens(t, frequent)
     found = ex.join(vocab.select("token", F.col("token_id").cast("int").alias("id")), "token")
     found = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "id"))).alias("_rare"))
     j = t.select("_row", key, *keep, ids.alias("_ids")).join(found, "_row", "left")
