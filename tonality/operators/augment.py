@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonality.functions.hashing import hash32, unit_hash
@@ -159,13 +159,24 @@ def _literal(hot: list[dict]) -> Column:
     return F.expr(f"array({', '.join(map(one, hot))})")
 
 
-def _look_up(frequent: Column, token: Column) -> Column:
+def look_up(frequent: Column, token: Column) -> Column:
+    """The value of ``token`` in a constant made of hash buckets; null if it has none."""
     return F.try_element_at(F.get(frequent, _bucket(token)), token)
 
 
+def constant_map(values: dict) -> Column:
+    """A dict of strings to whole numbers as a constant for ``look_up``, which takes time that
+    does not grow with the number of entries."""
+    spark = SparkSession.active()
+    out: list[dict] = [{} for _ in range(HOT_BUCKETS)]
+    for r in spark.createDataFrame([(k,) for k in values], "k string").select("k", _bucket(F.col("k")).alias("b")).collect():
+        out[r["b"]][r["k"]] = values[r["k"]]
+    return _literal(out)
+
+
 def rare_tokens(t: DataFrame, frequent: Column) -> DataFrame:
     """(_row, pos, token): the tokens of ``_kept`` that are not in ``frequent``; what is shuffled by token."""
-    rare = F.transform("_kept", lambda x, i: F.when(_look_up(frequent, x).isNull(), F.struct(i.alias("pos"), x.alias("token"))))
+    rare = F.transform("_kept", lambda x, i: F.when(look_up(frequent, x).isNull(), F.struct(i.alias("pos"), x.alias("token"))))
     x = t.select("_row", F.explode_outer(F.array_compact(rare)).alias("_x")).where(F.col("_x").isNotNull())
     return x.select("_row", "_x.pos", "_x.token")
 
@@ -184,7 +195,7 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, max_len: int = 512, tokens: s
     t = df.select("_row", key, *keep, kept.alias("_kept"))
     hot = frequent_ids(t.select(F.explode_outer("_kept").alias("token")), vocab)
     frequent = _literal(hot)
-    ids = F.transform("_kept", lambda x: _look_up(frequent, x))
+    ids = F.transform("_kept", lambda x: look_up(frequent, x))
     ex = rare_tokens(t, frequent)
     found = ex.join(vocab.select("token", F.col("token_id").cast("int").alias("id")), "token")
     found = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "id"))).alias("_rare"))

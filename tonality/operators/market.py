@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 
 TS_FORMAT = "yyyyMMdd'T'HHmmss"
+#: Join keys over which the articles of a ticker's day are dealt.
+DAY_SLOTS = 64
 
 
 def quantile_sentiment(series: DataFrame, value: str = "pct_change", keys=("symbol",),
@@ -84,11 +86,16 @@ def settlement_windows(series: DataFrame, hour: int = 12) -> DataFrame:
 
 
 def articles_in_window(feed: DataFrame, series: DataFrame, k: int = 30) -> DataFrame:
-    """The latest ``k`` relevant articles of each settlement window."""
+    """The latest ``k`` relevant articles of each settlement window.
+
+    A day's articles of a ticker are dealt over ``DAY_SLOTS`` join keys by their url, and the
+    day's windows (two at most) stand in each, so a day that holds most of the feed is not one
+    task; the top k is limited in each task before the articles of a window meet."""
     win = settlement_windows(series)
     days = win.select("*", F.explode(F.sequence(F.to_date("start_ts"), F.to_date("end_ts"))).alias("day"))
-    arts = relevant_articles(feed)
-    j = arts.join(days, (arts["ticker"] == days["symbol"]) & (arts["date"] == days["day"]))
+    days = days.select("*", F.explode(F.sequence(F.lit(0), F.lit(DAY_SLOTS - 1))).alias("day_slot"))
+    arts = relevant_articles(feed).withColumn("slot", F.pmod(F.xxhash64("url"), F.lit(DAY_SLOTS)))
+    j = arts.join(days, (arts["ticker"] == days["symbol"]) & (arts["date"] == days["day"]) & (arts["slot"] == days["day_slot"]))
     j = j.where((F.col("ts") > F.col("start_ts")) & (F.col("ts") <= F.col("end_ts")))
     w = Window.partitionBy("symbol", "settlement_date").orderBy(F.desc("ts"), F.asc("url"))
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(

@@ -8,6 +8,8 @@ from tonality.functions import labels as L
 from tonality.functions import text as X
 from tonality.operators import filters as B
 from tonality.operators import labeling as LB
+from tonality.operators import sentence_model as SM
+from tonality.operators.stats import written
 from tonality.plans.registry import register
 from tonality.plans.views_sql import _prompt_sql, with_views
 from tonality.sources import tables as tb
@@ -227,6 +229,72 @@ def q_split_sentences(spark, d):
         F.col("sentence").isNotNull())
 
 
+# fragments with abbreviations and the same words elsewhere, so that there is something to learn
+ABBREVIATED = [" Dr. Miller met Prof. Ito at noon in May, e.g. on lots. They rose and left.",
+               " In May the lots rose. Mr. Chan left with Dr. Lee, approx. at noon. They met on lots.",
+               " Lots left in May rose at noon. They met approx. two others, i.e. Dr. No and K. Wu."]
+_CORE_RE, _TYPE_RE = "'^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}.]+$'", "'^\\p{L}+(\\.\\p{L}+)*\\.?$'"
+_PERIOD_RE, _STRONG_RE, _UPPER_RE = """'\\.["'')\\]]*$'""", """'[!?]["'')\\]]*$'""", "'^[^\\p{L}\\p{N}]*\\p{Lu}'"
+_BOUNDARY_CTES = {
+    "ax": "SELECT doc_id AS sample_id, text || CASE doc_id % 3 " + " ".join(
+        f"WHEN {i} THEN '{t}'" for i, t in enumerate(ABBREVIATED)) + " END AS text FROM documents",
+    "ws": "SELECT sample_id, regexp_extract_all(text, '\\S+') AS ws FROM ax",
+    "w0": "SELECT sample_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM ws",
+    "w1": f"SELECT *, regexp_replace(w, {_CORE_RE}, '', 'g') AS core FROM w0",
+    "wt": f"SELECT *, CASE WHEN regexp_matches(core, {_TYPE_RE}) THEN lower(regexp_replace(core, '\\.$', '')) END AS type, "
+          "ends_with(core, '.') AS per FROM w1",
+    "ab0": "SELECT type, count_if(per) AS k, count_if(NOT per) AS r, length(replace(type, '.', '')) AS len FROM wt "
+           "WHERE type IS NOT NULL GROUP BY type HAVING count_if(per) > 0",
+    "ab": "SELECT type, k AS n_period, r AS n_plain, score FROM (SELECT *, 2 * (k * (ln(0.99) - ln(p)) + CASE WHEN r > 0 THEN "
+          "r * (ln(1 - 0.99) - ln(1 - p)) ELSE 0 END) * exp(-len) * (length(type) - len + 1) * pow(CAST(len AS DOUBLE), -r) AS score "
+          "FROM ab0, (SELECT count_if(per) / count(*) AS p FROM wt)) WHERE score >= 0.3",
+    "nx": f"SELECT *, coalesce(regexp_matches(lag(w) OVER o, {_PERIOD_RE}) AND NOT coalesce(lag(type) OVER o, '') IN (SELECT type FROM ab), "
+          f"false) AS after, regexp_matches(w, {_UPPER_RE}) AS up FROM wt WINDOW o AS (PARTITION BY sample_id ORDER BY i)",
+    "st0": "SELECT type, count_if(after AND up) AS k, count(*) AS n FROM nx WHERE type IS NOT NULL GROUP BY type HAVING count_if(after AND up) > 0",
+    "st": "SELECT type, k AS n_start, n AS n_all, score FROM (SELECT *, 2 * (k * (ln(k / n) - ln(p)) + CASE WHEN n > k THEN (n - k) * "
+          "(ln(1 - k / n) - ln(1 - p)) ELSE 0 END) AS score FROM st0, (SELECT count_if(after) / count(*) AS p FROM nx) WHERE k / n > p) "
+          "WHERE score >= 30",
+    "fl": f"SELECT *, regexp_matches(w, {_STRONG_RE}) OR (regexp_matches(w, {_PERIOD_RE}) AND (NOT (coalesce(type, '') IN (SELECT type FROM ab) "
+          f"OR length(coalesce(type, '')) = 1) OR coalesce(lead(up) OVER o AND coalesce(lead(type) OVER o, '') IN (SELECT type FROM st), false))) "
+          "AS fin FROM nx WINDOW o AS (PARTITION BY sample_id ORDER BY i)",
+    "gr": "SELECT *, coalesce(sum(CAST(fin AS INTEGER)) OVER (PARTITION BY sample_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+          "AS g FROM fl",
+}
+
+
+def _boundary_sql(last: str) -> str:
+    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in _BOUNDARY_CTES.items()) + " " + last
+
+
+def _abbreviated(spark, d):
+    frag = F.element_at(F.array(*[F.lit(x) for x in ABBREVIATED]), (F.col("doc_id") % len(ABBREVIATED) + 1).cast("int"))
+    return tb.read(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.concat("text", frag).alias("text"))
+
+
+@register("sentence_boundary_types", _boundary_sql(
+    "SELECT 'abbreviation' AS kind, type, n_period AS n_hit, n_plain AS n_other, round(score, 6) AS score FROM ab UNION ALL "
+    "SELECT 'starter', type, n_start, n_all - n_start, round(score, 6) FROM st"))
+def q_sentence_boundary_types(spark, d):
+    """Abbreviations and sentence starters learned from the whole corpus."""
+    t = _abbreviated(spark, d)
+    ab = written(SM.learn_abbreviations(t), "abbreviations")
+    st = SM.learn_starters(t, ab)
+    return ab.select(F.lit("abbreviation").alias("kind"), "type", F.col("n_period").alias("n_hit"), F.col("n_plain").alias("n_other"), "score").unionByName(
+        st.select(F.lit("starter").alias("kind"), "type", F.col("n_start").alias("n_hit"), (F.col("n_all") - F.col("n_start")).alias("n_other"), "score"))
+
+
+@register("split_sentences_learned", _boundary_sql(
+    "SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY g) - 1 AS pos, sentence FROM "
+    "(SELECT sample_id, g, string_agg(w, ' ' ORDER BY i) AS sentence FROM gr GROUP BY sample_id, g)"))
+def q_split_sentences_learned(spark, d):
+    """Sentences split at learned boundaries, one row each with its position."""
+    t = _abbreviated(spark, d)
+    ab = written(SM.learn_abbreviations(t), "abbreviations")
+    st = written(SM.learn_starters(t, ab), "starters")
+    out = t.select("sample_id", F.posexplode_outer(SM.sentences("text", ab, st)).alias("pos", "sentence"))
+    return out.where(F.col("sentence").isNotNull()).withColumn("pos", F.col("pos").cast("long"))
+
+
 _TOK_SQL = ("regexp_extract_all(replace(text, 'n''t', ' n''t'), "
             "'n''t|[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')")
 
