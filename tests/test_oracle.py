@@ -17,5 +17,5 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     q = QUERIES[name]
     r = compare(spark, con, name, q.build, q.sql, SF_DIR)
-    assert r["status"] in ("match", "rows-only"), r
+    assert r["status"] == "match", r
     assert r["spark_rows"] > 0, r
