@@ -237,3 +237,14 @@ def test_path_keys(spark):
     from tonality.sources.files import path_key
     df = spark.createDataFrame([("file:/a/artifact=x/model=m%2Fn/dataset=d/part-0.parquet",)], "path string")
     assert df.select(path_key("path", 3), path_key("path", 2), path_key("path", 1)).first()[:] == ("x", "m/n", "d")
+
+
+def test_treebank_words(spark):
+    from tonality.functions.text import treebank_tokens
+    cases = {"He didn't say \"it'll rise\".": "He did n't say `` it 'll rise '' .",
+             "The firm's $5.50 gain (5%) -- wow... ok": "The firm 's $ 5.50 gain ( 5 % ) -- wow ... ok",
+             "3,000: yes, we've; they cannot": "3,000 : yes , we 've ; they can not",
+             "'Tis gonna be": "'T is gon na be", "Mr. X left. He won.": "Mr. X left. He won .", "": ""}
+    df = spark.createDataFrame(list(cases.items()), "text string, want string")
+    for r in df.select("want", F.array_join(treebank_tokens("text"), " ").alias("got")).collect():
+        assert r.got == r.want

@@ -114,6 +114,28 @@ def tokenize_words(col) -> Column:
     return F.regexp_extract_all(spaced, F.lit(TOKEN), 0)
 
 
+#: Fixed patterns: the published Penn Treebank word rules, in order, as (pattern, replacement).
+TREEBANK_RULES = [
+    (r'^"', "`` "), (r'([ (\[{<])"', r"\1 `` "),
+    (r"([:,])([^0-9])", r" \1 \2"), (r"([:,])$", r" \1 "), (r"\.\.\.", " ... "), (r"([;@#$%&?!])", r" \1 "),
+    (r"""([^.])(\.)([\])}>"']*)\s*$""", r"\1 \2\3 "), (r"([^'])' ", r"\1 ' "),
+    (r"([\[\](){}<>])", r" \1 "), ("--", " -- "), (r"^|$", " "), ('"', " '' "),
+    (r"([^' ])('[sSmMdD]|') ", r"\1 \2 "), (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "),
+    (r"\b([Cc]an)(not)\b", r"\1 \2"), (r"\b([Dd])('ye)\b", r"\1 \2"), (r"\b([Gg]im|[Ll]em)(me)\b", r"\1 \2"),
+    (r"\b([Gg]on|[Ww]an)(na)\b", r"\1 \2"), (r"\b([Gg]ot)(ta)\b", r"\1 \2"), (r"\b([Mm]ore)('n)\b", r"\1 \2"),
+    (r" ('[Tt])(is|was)\b", r" \1 \2"),
+]
+
+
+def treebank_tokens(col) -> Column:
+    """C13 by the Treebank rules: possessives, clitics (``'ll``, ``n't``), quotes, ellipses, brackets
+    and contractions become tokens of their own; a period does only at the end of the text."""
+    out = _c(col)
+    for pattern, replacement in TREEBANK_RULES:
+        out = F.regexp_replace(out, pattern, re.sub(r"\\([0-9])", r"$\1", replacement))
+    return F.regexp_extract_all(out, F.lit(r"[^ \t\n\r\f\x0b]+"), 0)
+
+
 def repair_line_breaks(col) -> Column:
     """A10: line breaks inside a field -> one space; carriage returns dropped."""
     return F.regexp_replace(F.regexp_replace(_c(col), "\r", ""), "\n", " ")

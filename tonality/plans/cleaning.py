@@ -309,6 +309,34 @@ def q_tokenize_words(spark, d):
                                            F.array_join(t, " ").alias("tokens"))
 
 
+def _treebank_sql(x: str) -> str:
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    for pattern, replacement in X.TREEBANK_RULES:
+        x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(replacement)}, 'g')"
+    return f"regexp_extract_all({x}, '[^ \\t\\n\\r\\f\\x0b]+')"
+
+
+# fragments with the marks that the rules are about
+TREEBANK_FRAGMENTS = [' He said "it\'ll rise," didn\'t he?', " The firm's gain (5%) -- wow... they cannot lose.",
+                      " 'Tis gonna be 3,000: we've seen 'em, more'n once.", " [a] \"b\" c; d & e!", ""]
+
+
+def _treebank_texts_sql() -> str:
+    cases = " ".join(f"WHEN {i} THEN '" + t.replace("'", "''") + "'" for i, t in enumerate(TREEBANK_FRAGMENTS))
+    return f"(SELECT doc_id AS sample_id, text || CASE doc_id % {len(TREEBANK_FRAGMENTS)} {cases} END AS text FROM documents)"
+
+
+@register("tokenize_treebank", f"""
+SELECT sample_id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS tokens
+FROM (SELECT sample_id, {_treebank_sql('text')} AS t FROM {_treebank_texts_sql()})""")
+def q_tokenize_treebank(spark, d):
+    """Word tokens by the Treebank rules."""
+    frag = F.element_at(F.array(*[F.lit(x) for x in TREEBANK_FRAGMENTS]), (F.col("doc_id") % len(TREEBANK_FRAGMENTS) + 1).cast("int"))
+    t = tb.read(spark, d, "documents").select(F.col("doc_id").alias("sample_id"),
+                                              X.treebank_tokens(F.concat("text", frag)).alias("t"))
+    return t.select("sample_id", F.size("t").cast("int").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
 # ---- D: label encoding ----------------------------------------------------------------
 @register("label_from_score", with_views("""
 SELECT sample_id, score, CAST(CASE WHEN score <= -0.4 THEN 0 WHEN score <= 0.5 THEN 1 ELSE 2 END AS INTEGER) AS label
