@@ -31,7 +31,6 @@ from tonality.llm.common import ship, table, text_or_empty
 
 #: Labelled documents that the lexicon and the curve are learned from, at most.
 TRAIN_ROWS = 20_000
-MAX_ENTRIES = 4_000
 MIN_Z = 3.0
 MIN_WEIGHT = 1.0
 PREFIXES = range(4, 9)
@@ -163,9 +162,10 @@ def _counts(rows: DataFrame, terms) -> DataFrame:
     return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_entries: int = MAX_ENTRIES) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lexicon:
     """Lexicon, exceptions and curve from at most ``train_rows`` labelled documents (those with
-    the smallest hashed ids); ``labels`` has (doc_id, toxic)."""
+    the smallest hashed ids); ``labels`` has (doc_id, toxic).  Every significant entry and phrase
+    of these documents is taken."""
     ship(docs.sparkSession)
     picked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
     picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
@@ -187,8 +187,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_
     z = weight / F.sqrt(1 / a + 1 / b)
     best = (counts.where((F.col("term") != "") & (F.col("toxic") > 0)).select("term", weight.alias("w"), z.alias("z"))
             .where((F.col("w") >= MIN_WEIGHT) & (F.col("z") >= MIN_Z))
-            .orderBy(F.desc("z"), "term").limit(max_entries).collect())
-    weights = {r.term: r.w for r in best}
+            .collect())  # words of train_rows documents
+    weights = {r.term: r.w for r in sorted(best, key=lambda r: (-r.z, r.term))}
     # a longer entry that says no more than its own beginning is not needed
     for e in sorted(weights, key=len, reverse=True):
         shorter = [weights[e[:n]] for n in range(5, len(e)) if e[:n] in weights]
@@ -205,7 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_
         return [f" {x} {y} " for i, (x, y) in enumerate(zip(w, w[1:])) if hit[i] or hit[i + 1]]
 
     harmless = _counts(rows, phrases).where((F.col("clean") >= MIN_PHRASE) & (F.col("toxic") == 0))
-    lexicon.exceptions += [r.term for r in harmless.orderBy(F.desc("clean"), "term").limit(max_entries).collect()]
+    lexicon.exceptions += [r.term for r in harmless.orderBy(F.desc("clean"), "term").collect()]  # phrases of train_rows documents
     return _curve(rows, lexicon)
 
 
@@ -260,8 +260,9 @@ def remainder(n: int):
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
-    """Toxicity of every document, learned from the labels outside the held-out fold."""
+    """Toxicity of every document, learned from the labels outside the held-out fold.  A document
+    without an id is scored and counts as held out: no label can name it."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     lexicon = learn(docs, labels.where(remainder(5) != 0))
-    return score(docs, lexicon).select("doc_id", (remainder(5) == 0).alias("held_out"), "score",
+    return score(docs, lexicon).select("doc_id", F.coalesce(remainder(5) == 0, F.lit(True)).alias("held_out"), "score",
                                        (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits", "weight")
