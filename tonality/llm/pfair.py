@@ -36,8 +36,6 @@ from tonality.llm.common import saved, ship, table, text_or_empty
 
 BLOCK = 16
 SLOTS = 50
-#: Sources whose cycle is broadcast; beyond, the same join shuffles.
-MAX_BROADCAST_SOURCES = 2_000
 
 
 def _ranked(docs: DataFrame, source: str) -> DataFrame:
@@ -188,13 +186,12 @@ def schedule(docs: DataFrame, weights: DataFrame | None = None, source: str = "s
         ranked = _ranked(docs, source).withColumn("block", F.floor(F.col("idx") / block))
         return ranked.join(_turns(counts, weights, block), ["source", "block"]).select(
             "doc_id", "source", "_row", "block", "idx", "slot", "release", "deadline")
-    small = counts.count() <= MAX_BROADCAST_SOURCES
-    held = F.broadcast if small else (lambda x: x)
-    share = cycle_shares(counts, weights, slots)
+    # a few rows for each source, written so that the planner knows their size
+    share = saved(cycle_shares(counts, weights, slots), "mix-shares")
     ranked = _ranked(docs, source).withColumn("block", F.floor(F.col("idx") / block))
-    out = ranked.join(held(share), "source")
+    out = ranked.join(share, "source")
     out = out.withColumn("_turn", F.floor(F.col("block") / F.col("n"))).withColumn("j", F.col("block") - F.col("_turn") * F.col("n"))
-    out = out.join(held(cycle(share)), ["source", "j"])
+    out = out.join(saved(cycle(share), "mix-cycle"), ["source", "j"])
     base, q, n = F.col("_turn") * F.col("q"), F.col("q"), F.col("n")
     return out.select("doc_id", "source", "_row", "block", "idx", (base + F.col("slot")).alias("slot"),
                       (base + _floor(F.col("j") * q, n)).alias("release"),
