@@ -100,6 +100,12 @@ def test_license_texts_and_notices_beyond_the_sql(spark):
     assert [got[100 + k].notices for k in range(len(lines))] == list(lines.values())
 
 
+def test_license_rows_with_null_or_repeated_ids(spark):
+    rows = [(None, "x\nReleased under the MIT License.", "x"), (None, "plain", "x"), (5, "Licensed under CC BY-NC 4.0.", "x"), (5, "other", "y")]
+    got = {(r.doc_id, r.notices) for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert got == {(None, "MIT-notice"), (None, ""), (5, "CC-BY-NC-4.0-notice"), (5, "")}
+
+
 def test_license_edges(spark):
     got = license_scan.scan(edge_docs(spark)).collect()
     assert len(got) == len(edge_rows()) and all(r.license_id is None for r in got)

@@ -7,7 +7,7 @@ Each line of the canonical text is looked up likewise, which finds one-line lice
 at any place.
 
 Defined results: null and empty texts have the digest of the empty form and match nothing;
-rows with the same ``doc_id`` are looked up one by one and share their lines' notices; several known texts with one
+every row is looked up by its own text, also with a null or repeated ``doc_id``; several known texts with one
 canonical form report the smallest id; other columns are ignored.
 """
 from __future__ import annotations
@@ -18,13 +18,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonality.llm.common import table, text_or_empty
+from tonality.llm.common import saved, table, text_or_empty
 
 FOLDER = Path(__file__).parent / "licenses"
-#: Known texts are inlined into the plan as literals; longer lists come as a table and are joined as Spark sees fit.
-MAX_INLINE = 5_000
 
-# The licence texts and one-line notices that the SQL knows; more are in FOLDER.
+# Licence texts and one-line notices; more are in FOLDER.
 _AS_IS = ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
           "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
           "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
@@ -107,17 +105,15 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     if known is None:
         digests = F.broadcast(known_digests(built_in(docs.sparkSession)))  # one row for each built-in text
     else:
-        digests = known_digests(known)
-        if digests.count() <= MAX_INLINE:
-            digests = F.broadcast(digests)
-    base = docs.select("doc_id", canonical_lines(text_or_empty()).alias("_lines"))
-    whole = base.select("doc_id", digest(F.col("_lines")).alias("text_digest")).join(
+        digests = saved(known_digests(known), "known-digests")  # the planner knows its size
+    # rows meet their notices by a digest of their text
+    base = docs.select("doc_id", F.sha2(text_or_empty(), 256).alias("_text"), canonical_lines(text_or_empty()).alias("_lines"))
+    whole = base.select("doc_id", "_text", digest(F.col("_lines")).alias("text_digest")).join(
         digests.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
-    lines = base.select("doc_id", F.explode(F.array_distinct("_lines")).alias("_line"))
-    notices = (lines.select("doc_id", F.sha2("_line", 256).alias("digest")).join(digests, "digest")
-               .groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices"))
-               .withColumnRenamed("doc_id", "_d"))
-    return whole.join(notices, whole["doc_id"].eqNullSafe(notices["_d"]), "left").select(
+    lines = base.select("_text", F.explode(F.array_distinct("_lines")).alias("_line"))
+    notices = (lines.select("_text", F.sha2("_line", 256).alias("digest")).join(digests, "digest")
+               .groupBy("_text").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices")))
+    return whole.join(notices, "_text", "left").select(
         "doc_id", "text_digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
@@ -134,17 +130,17 @@ def _sql_lines(text: str) -> str:
     return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
-_QUOTED = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
+_QUOTED = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in built_in_texts())
 SQL = f"""
 WITH k AS (
   SELECT sha256(array_to_string({_sql_lines("t")}, ' ')) AS digest, min(i) AS license_id
   FROM (VALUES {_QUOTED}) v(i, t) GROUP BY 1),
-d AS (SELECT doc_id, {_sql_lines("coalesce(text, '')")} AS ls FROM documents),
-w AS (SELECT doc_id, sha256(array_to_string(ls, ' ')) AS text_digest FROM d),
+d AS (SELECT doc_id, coalesce(text, '') AS text, {_sql_lines("coalesce(text, '')")} AS ls FROM documents),
+w AS (SELECT doc_id, text, sha256(array_to_string(ls, ' ')) AS text_digest FROM d),
 n AS (
-  SELECT doc_id, string_agg(license_id, ',' ORDER BY license_id) AS notices
-  FROM (SELECT DISTINCT doc_id, license_id
-        FROM (SELECT doc_id, sha256(unnest(ls)) AS digest FROM d) l JOIN k USING (digest)) GROUP BY doc_id)
+  SELECT text, string_agg(license_id, ',' ORDER BY license_id) AS notices
+  FROM (SELECT DISTINCT text, license_id
+        FROM (SELECT text, sha256(unnest(ls)) AS digest FROM d) l JOIN k USING (digest)) GROUP BY text)
 SELECT w.doc_id, w.text_digest, k.license_id, coalesce(n.notices, '') AS notices
-FROM w LEFT JOIN k ON w.text_digest = k.digest LEFT JOIN n ON w.doc_id = n.doc_id
+FROM w LEFT JOIN k ON w.text_digest = k.digest LEFT JOIN n ON w.text = n.text
 """
