@@ -1,6 +1,9 @@
 """Operators 4 and 6, and the pipeline."""
+import heapq
+import math
 import zlib
 from collections import Counter
+from fractions import Fraction
 from types import SimpleNamespace
 
 import numpy as np
@@ -107,6 +110,53 @@ def test_pfair_follows_the_requested_weights_over_many_cycles(spark):
         assert abs(seen["a"] - 0.9 * (t + 1)) < 1 and abs(seen["b"] - 0.1 * (t + 1)) < 1 and not seen["z"]
 
 
+def turns(blocks, share, slot=0):
+    """(source, block, slot, release, deadline) from ``slot`` on: earliest deadline first among
+    the released blocks, ties to the smaller source.  Sources without a share follow at the end
+    with equal ones."""
+    q = math.lcm(*(w.denominator for w in share))
+    n = [int(w * q) for w in share]
+    start, done = slot, [0] * len(n)
+    coming, ready = [(start, k) for k, x in enumerate(n) if x and blocks[k]], []
+    while coming or ready:
+        if not ready:
+            slot = max(slot, coming[0][0])
+        while coming and coming[0][0] <= slot:
+            release, k = heapq.heappop(coming)
+            heapq.heappush(ready, (start - (-(done[k] + 1) * q // n[k]), k, release))
+        deadline, k, release = heapq.heappop(ready)
+        yield k, done[k], slot, release, deadline
+        done[k] += 1
+        if done[k] < blocks[k]:
+            heapq.heappush(coming, (start + done[k] * q // n[k], k))
+        slot += 1
+    last = [k for k, x in enumerate(n) if not x]
+    if last:
+        for k, *rest in turns([blocks[k] for k in last], [Fraction(1, len(last))] * len(last), slot):
+            yield last[k], *rest
+
+
+@pytest.mark.parametrize("chunk", [1024, 7])
+def test_turns_equal_one_pass_over_all_blocks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(pfair, "CHUNK", chunk)
+    counts = {"a": 60, "b": 333, "c": 1, "d": 48, "e": 16, "f": 5}
+    for given in (None, {"a": 0.5, "b": 0.1, "c": 0.2, "d": 0.0, "f": 0.0}, {"a": 1e-3, "b": 1e6, "c": 3.0, "d": 0.1, "e": 0.2, "f": 1 / 3}):
+        frame = spark.createDataFrame(list(counts.items()), "source string, c long")
+        weights = None if given is None else spark.createDataFrame(list(given.items()), "source string, weight double")
+        exact = pfair.targets(frame, weights)
+        names = list(exact)
+        want = [(names[k], *rest) for k, *rest in turns([-(-c // 4) for c, _ in exact.values()], [w for _, w in exact.values()])]
+        got = pfair._turns(frame, weights, 4).collect()
+        assert sorted(want) == sorted((r.source, r.block, r.slot, r.release, r.deadline) for r in got)
+        assert len(want) == sum(-(-c // 4) for c in counts.values())
+
+
+def test_schedule_runs_no_python(spark):
+    rows = docs(spark, [(i, f"t{i}", "ab"[i % 2]) for i in range(200)])
+    plan = pfair.schedule(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "Python" not in plan
+
+
 def test_mix_edges(spark):
     df = edge_docs(spark)
     got = pfair.schedule(df).collect()

@@ -7,9 +7,10 @@ earliest deadline goes next.  Up to any slot t, each source has then had less th
 more or less than w * t, as long as it lasts.  When a source has run out its slots stay empty,
 and the others keep their proportions; every document gets a place.
 
-Weights are taken as exact fractions, never rounded.  The blocks' slots come from one pass
-over the blocks that holds a state per source and streams its rows; sources without a block
-left ask for no slot.
+Weights are taken as exact fractions, never rounded, and deadlines as decimals of 38 digits.  Which
+block goes next depends on all before it, so one row folds over the blocks; it keeps only the
+sources' state before every ``CHUNK``-th block, and the chunks' turns are then made in parallel.
+Sources without a block left ask for no slot.
 
 ``op6_pfair_mix`` alone follows its SQL: there weights are rounded to shares n / Q of a cycle of
 Q = ``SLOTS`` * (number of sources) slots with a slot for every source at least, and the cycle
@@ -23,16 +24,14 @@ ended; other columns are ignored; no rows give none.
 """
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Iterator
+from decimal import Decimal
 from fractions import Fraction
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonality.llm.common import saved, ship, table, text_or_empty
+from tonality.llm.common import saved, table, text_or_empty
 
 BLOCK = 16
 SLOTS = 50
@@ -77,52 +76,96 @@ def shares(counts: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     return counts.sparkSession.createDataFrame(rows, "source string, n double, q double")
 
 
-def turns(blocks: list[int], share: list[Fraction], slot: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
-    """(source, block, slot, release, deadline) from ``slot`` on: earliest deadline first among
-    the released blocks, ties to the smaller source.  Sources without a share follow at the end
-    with equal ones."""
-    q = math.lcm(*(w.denominator for w in share))
-    n = [int(w * q) for w in share]
-    start, done = slot, [0] * len(n)
-    coming, ready = [(start, k) for k, x in enumerate(n) if x and blocks[k]], []
-    while coming or ready:
-        if not ready:
-            slot = max(slot, coming[0][0])
-        while coming and coming[0][0] <= slot:
-            release, k = heapq.heappop(coming)
-            heapq.heappush(ready, (start - (-(done[k] + 1) * q // n[k]), k, release))
-        deadline, k, release = heapq.heappop(ready)
-        yield k, done[k], slot, release, deadline
-        done[k] += 1
-        if done[k] < blocks[k]:
-            heapq.heappush(coming, (start + done[k] * q // n[k], k))
-        slot += 1
-    last = [k for k, x in enumerate(n) if not x]
-    if last:
-        for k, *rest in turns([blocks[k] for k in last], [Fraction(1, len(last))] * len(last), slot):
-            yield last[k], *rest
+#: Blocks scheduled by one row; the states between such rows come from one pass.
+CHUNK = 1024
+#: Products of block numbers and share denominators are decimals of 38 digits.
+_WIDE = 10 ** 38
+
+
+def _window(x, done, base):
+    """(release, deadline) of block ``done`` of a source with share m / q, from slot ``base`` on."""
+    at = lambda i: i.cast("decimal(38,0)") * x["q"]
+    div = lambda n: F.call_function("div", n, x["m"]).cast("long")
+    return base + div(at(done)), base + div(at(done + 1) + x["m"] - 1)
+
+
+def _bound(value, use):
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _step(state, base, use):
+    """``use`` of the turn that comes next (null when all blocks are placed) and the state after it:
+    earliest deadline first among the released blocks, ties to the smaller source; empty slots are
+    passed over."""
+    left = lambda x: x["done"] < x["blocks"]
+    first = F.array_min(F.transform(F.filter(state["s"], left), lambda x: x["release"]))
+
+    def place(slot):
+        due = F.filter(state["s"], lambda x: left(x) & (x["release"] <= slot))
+        turn = F.array_min(F.transform(due, lambda x: F.struct(x["deadline"].alias("deadline"), x["k"].alias("k"),
+                                                               x["done"].alias("block"), x["release"].alias("release"), slot.alias("slot"))))
+
+        def after(t):
+            def move(x):
+                release, deadline = _window(x, x["done"] + 1, base)
+                return F.when(x["k"] == t["k"], F.struct(
+                    x["k"].alias("k"), x["m"].alias("m"), x["q"].alias("q"), x["blocks"].alias("blocks"), (x["done"] + 1).alias("done"),
+                    release.alias("release"), deadline.alias("deadline"))).otherwise(x)
+
+            moved = F.struct((slot + 1).alias("slot"), F.transform(state["s"], move).alias("s"))
+            return use(t, F.when(t.isNull(), state).otherwise(moved))
+
+        return _bound(turn, after)
+
+    return _bound(F.greatest(state["slot"], first), place)
+
+
+def _phase(sources: DataFrame, base: str, n_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """(turns, end): the turns of ``sources``, one row with ``s`` and the slot ``base`` to begin with,
+    and that row with the slot after the last turn.  One fold gives the state before every
+    ``CHUNK``-th turn; each state is a row, whose turns are made on their own."""
+    at = F.col(base)
+    begin = F.transform("s", lambda x: F.struct(
+        x["k"].alias("k"), x["m"].alias("m"), x["q"].alias("q"), x["blocks"].alias("blocks"), F.lit(0).cast("long").alias("done"),
+        _window(x, F.lit(0).cast("long"), at)[0].alias("release"), _window(x, F.lit(0).cast("long"), at)[1].alias("deadline")))
+    start = F.struct(at.alias("slot"), begin.alias("s"))
+    step = lambda state, _: _step(state, at, lambda turn, after: after)
+    steps = F.sequence(F.lit(1), F.lit(CHUNK))
+    chunks = -(-n_blocks // CHUNK)
+    run = F.aggregate(F.sequence(F.lit(1), F.lit(chunks)), F.struct(start.alias("now"), F.array(start).alias("all")), lambda acc, _: _bound(
+        F.aggregate(steps, acc["now"], step), lambda now: F.struct(now.alias("now"), F.concat(acc["all"], F.array(now)).alias("all"))))
+    states = saved(sources.select(base, F.posexplode(run["all"]).alias("chunk", "state")), "mix-states")
+    none = F.array().cast("array<struct<deadline:bigint,k:int,block:bigint,release:bigint,slot:bigint>>")
+    made = F.aggregate(steps, F.struct(F.col("state").alias("now"), none.alias("out")), lambda acc, _: _step(
+        acc["now"], at, lambda turn, after: F.struct(after.alias("now"), F.when(turn.isNull(), acc["out"]).otherwise(
+            F.concat(acc["out"], F.array(turn))).alias("out"))), lambda acc: acc["out"])
+    turns = states.where(F.col("chunk") < chunks).repartition("chunk").select(F.inline(made))
+    return turns, states.where(F.col("chunk") == chunks).select(F.col("state.slot").alias("end"))
 
 
 def _turns(counts: DataFrame, weights: DataFrame | None, block: int) -> DataFrame:
-    """(source, block, slot, release, deadline) of every block."""
+    """(source, block, slot, release, deadline) of every block.  Sources without a share follow
+    at the end with equal ones."""
     spark = counts.sparkSession
-    ship(spark)
     held = [(s, -(-c // block), w) for s, (c, w) in targets(counts, weights).items()]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, blocks, share = zip(*held)
-        for _ in batches:
-            rows = []
-            for k, *rest in turns(list(blocks), list(share)):
-                rows.append((names[k], *rest))
-                if len(rows) == 100_000:
-                    yield pd.DataFrame(rows, columns=["source", "block", "slot", "release", "deadline"])
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["source", "block", "slot", "release", "deadline"])
-
-    one = spark.range(1 if held else 0, numPartitions=1)
-    return saved(one.mapInPandas(run, "source string, block long, slot long, release long, deadline long"), "turns")
+    q = math.lcm(*(w.denominator for _, _, w in held))
+    if held and q * (max(b for _, b, _ in held) + 2) >= _WIDE:
+        raise ValueError("the weights' common denominator leaves no exact deadlines in 38 digits")
+    main = [(k, Decimal(int(w * q)), Decimal(q), b) for k, (_, b, w) in enumerate(held) if w]
+    last = [(k, Decimal(1), Decimal(0), b) for k, (_, b, w) in enumerate(held) if not w]
+    last = [(k, m, Decimal(len(last)), b) for k, m, _, b in last]
+    schema = "k int, m decimal(38,0), q decimal(38,0), blocks long"
+    turns, base = None, spark.range(1).select(F.lit(0).cast("long").alias("end"))
+    for rows in (main, last):
+        if rows:
+            one = spark.createDataFrame(rows, schema).agg(F.sort_array(F.collect_list(F.struct("k", "m", "q", "blocks"))).alias("s"))
+            made, base = _phase(one.crossJoin(F.broadcast(base)), "end", sum(b for *_, b in rows))  # one row
+            turns = made if turns is None else turns.unionByName(made)
+    names = spark.createDataFrame([(k, s) for k, (s, _, _) in enumerate(held)], "k int, source string")
+    if turns is None:
+        turns = spark.createDataFrame([], "deadline long, k int, block long, release long, slot long")
+    return saved(turns.join(F.broadcast(names), "k").select("source", "block", "slot", "release", "deadline"), "turns")  # a row for each source
 
 
 def cycle_shares(counts: DataFrame, weights: DataFrame | None = None, slots: int = SLOTS) -> DataFrame:
