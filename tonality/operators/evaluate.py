@@ -293,17 +293,21 @@ def error_term_frequency(preds: DataFrame, stopwords: list[str], k: int = 20, wh
     limit.  ``samples`` (one row per ``key`` with its text) saves de-duplicating the texts out
     of the per-run rows."""
     errs = (misclassified(preds) if which == "misclassified" else preds.where((_t() == 0) & (_p() == 2)))
-    runs = errs.groupBy(key).agg(F.collect_list(F.struct(*keys)).alias("_runs"))
+    # runs are numbered, so that the sums are keyed by a number and a term; a row for each run
+    numbers = errs.select(*keys).distinct().withColumn("_run", F.row_number().over(Window.orderBy(*keys)))
+    numbers = written(numbers, "run-numbers")
+    runs = errs.join(numbers, list(keys)).groupBy(key).agg(F.collect_list("_run").alias("_runs"))
     src = samples.select(key, "text") if samples is not None else preds.select(key, "text").distinct()
     # both sides grow with the samples: the texts are dealt by key, whatever their files' layout
     hist = src.join(runs.hint("shuffle_hash"), key).select("_runs", term_counts("text", stopwords).alias("_terms"))
     # inline_outer: for a plain inline Catalyst infers a filter on the array's size, which it pushes,
     # tokenising and all, below the join
     counts = hist.select("_runs", F.inline_outer("_terms")).where(F.col("term").isNotNull())
-    counts = counts.select("term", "n_in_text", F.inline_outer("_runs"))
-    counts = counts.groupBy(*keys, "term").agg(F.sum("n_in_text").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc("term"))
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    counts = counts.select("term", "n_in_text", F.explode_outer("_runs").alias("_run"))
+    counts = counts.groupBy("_run", "term").agg(F.sum("n_in_text").alias("n"))
+    w = Window.partitionBy("_run").orderBy(F.desc("n"), F.asc("term"))
+    best = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.join(numbers, "_run").select(*keys, "term", "n", "rank")
 
 
 def term_counts(text: str, stopwords: list[str]) -> Column:
