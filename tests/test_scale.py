@@ -18,7 +18,8 @@ NAMES = ["random_split", "three_way_split", "stratified_split", "with_row_index"
          "mlm_mask", "masked_token_accuracy", "roi_per_trading_day", "read_split_dataset", "class_augment_pull",
          "class_distribution", "confidence_slices", "length_band_errors", "length_error_rate", "error_term_frequency",
          "two_stage_refine", "refine_impact", "variant_delta", "dedup_text", "pivot_translate", "keyword_share_predicted",
-         "artifact_catalog", "write_partitioned", "articles_in_window", "window_sentiment", "dataset_catalog"]
+         "artifact_catalog", "write_partitioned", "articles_in_window", "window_sentiment", "dataset_catalog",
+         "read_quoted_csv_in_parts", "read_sheet_files", "split_sentences_learned", "layer_attention_stats"]
 
 
 @pytest.fixture(params=["aqe", "no aqe"])

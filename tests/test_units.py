@@ -248,3 +248,22 @@ def test_treebank_words(spark):
     df = spark.createDataFrame(list(cases.items()), "text string, want string")
     for r in df.select("want", F.array_join(treebank_tokens("text"), " ").alias("got")).collect():
         assert r.got == r.want
+
+
+def test_scratch_of_an_application_is_one_folder_that_can_be_cleared():
+    """In a process of its own: clearing would take the intermediate results of other tests."""
+    import subprocess
+    import sys
+    code = """
+import os
+from tonality.session import clear_scratch, get_session, scratch_root
+from tonality.operators.stats import written
+spark = get_session('local[1]', shuffle_partitions=1)
+assert not clear_scratch(spark)
+written(spark.range(3), 'a'), written(spark.range(3), 'b')
+assert len(os.listdir(scratch_root(spark))) == 2 and clear_scratch(spark) and not os.path.exists(scratch_root(spark))
+assert written(spark.range(3), 'c').count() == 3
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300,
+                          cwd=__file__.rsplit("/tests/", 1)[0])
+    assert done.returncode == 0, done.stderr[-2000:]

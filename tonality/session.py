@@ -59,6 +59,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's intermediate results, inside the shared folder."""
+    app = spark.conf.get("spark.app.id", "app")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tonality-{app}"
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder name for one intermediate result, inside the shared folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder name for one intermediate result of this application."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete this application's intermediate results.  Results are read from them lazily, so
+    call it when what was asked for has been written or collected; handles made before are
+    void afterwards.  Tells whether there was anything."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
