@@ -39,8 +39,10 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token shards in the mixed order; (doc_id, start, n_tokens, ids_crc32) read from them.
     Frames that are not read from files are taken in ascending doc_id order."""
     if docs.inputFiles():
-        rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-        return grammar_output.read_documents(grammar_output.write_shards(rows, order=["_file", "_at"]))
+        name = F.col("_metadata.file_name")
+        part = F.regexp_extract(name, "part-([0-9]+)", 1).try_cast("long")  # part-100000 comes after part-99999
+        rows = docs.select("doc_id", "text", part.alias("_part"), name.alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        return grammar_output.read_documents(grammar_output.write_shards(rows, order=["_part", "_file", "_at"]))
     return grammar_output.read_documents(grammar_output.write_shards(docs))
 
 
