@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonality.operators import evaluate as ev
+from tonality.operators.classifier import text_classifier
 from tonality.operators.model_selection import select_model
 from tonality.sources import files as IO
 from tonality.sources.quoted_csv import raw_records, read_quoted_csv
@@ -164,3 +165,24 @@ def test_grid_search_keeps_the_first_best_row(spark):
     assert test.n == 61 and test.accuracy > 0.8 and got.scored.count() == 61
     with pytest.raises(ValueError):
         select_model(df, {"learning_rate": [1]})
+
+
+def test_a_classifier_makes_its_training_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        made.add(1)
+        return ("good news", "bad news", "no news")[i % 3]
+
+    ids = spark.range(0, 300, 1, 40).withColumn("label", (F.col("id") % 3).cast("int"))
+    scored = text_classifier(ids.withColumn("text", F.udf(text)("id")), ids.select("id", "label", F.when(
+        F.col("label") == 0, "good news").when(F.col("label") == 1, "bad news").otherwise("no news").alias("text")), 1 << 8, 20)
+    assert made.value == 300
+    assert scored.where("label = predicted_label").count() == 300
+
+
+def test_a_fit_has_as_many_partitions_as_the_cores_need(spark):
+    from tonality.operators.classifier import for_fit
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert for_fit(spark.range(0, 1000, 1, 200)).rdd.getNumPartitions() == most
+    assert for_fit(spark.range(0, 1000, 1, 3)).rdd.getNumPartitions() == 3

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonality.operators.assemble import best_run, param_grid, three_way_split
+from tonality.operators.classifier import for_fit
 from tonality.operators.evaluate import overall_metrics
 from tonality.operators.stats import written
 
@@ -69,7 +70,7 @@ def select_model(df: DataFrame, grid: dict[str, list], seed: int = 1694, id_col:
         vectors = prepared[key][1]
         fit = LogisticRegression(featuresCol="_features", labelCol="label", family="multinomial", maxIter=int(s["max_iter"]),
                                  regParam=float(s["reg"]), elasticNetParam=float(s["elastic_net"]), predictionCol="_pred")
-        models[s["grid_idx"]] = fit.fit(vectors["train"])
+        models[s["grid_idx"]] = fit.fit(for_fit(vectors["train"]))
         scored.append(_scored(models[s["grid_idx"]], vectors["valid"], s["grid_idx"]))
     metrics = overall_metrics(reduce(DataFrame.unionByName, scored), ["grid_idx"])
     runs = written(table.join(metrics, "grid_idx"), "grid-runs")

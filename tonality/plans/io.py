@@ -12,6 +12,7 @@ from tonality.operators import assemble as A
 from tonality.operators import evaluate as ev
 from tonality.operators.classifier import text_classifier
 from tonality.operators.model_selection import select_model
+from tonality.operators.stats import written
 from tonality.plans.assembly import _THREE
 from tonality.plans.evaluation import CONF, _rowsel
 from tonality.plans.registry import r6, register
@@ -248,7 +249,7 @@ def q_grid_search(spark, d):
 
 def _classified(spark, d):
     lt = tb.labeled_text(spark, d)
-    s = A.three_way_split(lt.select("sample_id", "text", "label"), 42)
+    s = written(A.three_way_split(lt.select("sample_id", "text", "label"), 42), "classifier-split")
     scored = text_classifier(s.where(F.col("split") == "train"), s.where(F.col("split") != "train"))
     return scored.select("sample_id", "split", F.col("label").alias("true_label"), "predicted_label",
                          F.array_max("logits").alias("confidence"))
