@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tonality.functions.hashing import chance, unit_hash
 from tonality.operators import augment as G
 from tonality.operators import stats
 
@@ -103,3 +104,28 @@ def test_selection_on_ten_million_tied_values(spark):
     r = stats.group_percentiles(df, ["g"], "v", {"a": 0.25, "b": 0.5, "c": 0.7500001}).first()
     v = np.repeat(np.arange(4.0), 2_500_000)
     assert (r.a, r.b, r.c) == tuple(np.quantile(v, p) for p in (0.25, 0.5, 0.7500001))
+
+
+def test_a_masked_position_is_hashed_once(spark):
+    df = spark.createDataFrame([(1, [5, 6, 7, 0]), (1, [5, 6, 7, 0]), (None, [9, None, 0]), (3, []), (4, None)], "sample_id long, input_ids array<int>")
+    masked = G.mlm_mask(df, 0.5, 3)
+    assert masked._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    number = F.transform("input_ids", lambda x, i: unit_hash(3, F.col("sample_id"), i))
+    rows = masked.withColumn("u", number).collect()
+    assert any(v != -100 for r in rows for v in r.mlm_labels or [])
+    for r in rows:
+        want = [x if x and u < 0.5 else -100 for x, u in zip(r.input_ids or [], r.u or [])]
+        assert (r.mlm_labels or []) == want
+        assert (r.mlm_input_ids or []) == [2 if y != -100 else x for x, y in zip(r.input_ids or [], want)]
+
+
+@pytest.mark.parametrize("p", [-0.5, 0.0, 2.0 ** -40, 0.15, 0.35, 0.5, 0.7, 1 - 2.0 ** -40, 1.0, 2.0])
+def test_a_chance_is_the_unit_hash_below_it(spark, p):
+    df = spark.range(3000)
+    assert df.where(chance(p, 7, F.col("id")) != (unit_hash(7, F.col("id")) < p)).count() == 0
+
+
+def test_a_chance_at_the_hash_itself(spark):
+    u = [r[0] for r in spark.range(200).select(unit_hash("s", F.col("id"))).orderBy("id").collect()]
+    at = [chance(p, "s", F.lit(i)) for i, v in enumerate(u) for p in (v, v + 2.0 ** -32)]
+    assert spark.range(1).select(F.array(*at).alias("a")).first().a == [False, True] * len(u)

@@ -6,6 +6,8 @@ DuckDB: ``('0x' || substr(md5(s), 1, 8))::BIGINT``.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,15 @@ def unit_hash(*parts) -> Column:
     return hash32(*parts) / F.lit(TWO_32)
 
 
+def chance(p: float, *parts) -> Column:
+    """``unit_hash(*parts) < p`` without making the number: the hex digits of md5 are in the order
+    of the numbers, and a hash that begins with the bound's digits is not below it."""
+    bound = math.ceil(p * TWO_32)
+    if not 0 < bound < TWO_32:
+        return F.lit(bound > 0)
+    return F.md5(_key(*parts)) < F.lit(f"{bound:08x}")
+
+
 def sort_key(seed, *parts) -> Column:
     """Full md5 hex string: a uniform, total shuffle order (ties broken by the key)."""
     return F.md5(_key(seed, *parts))

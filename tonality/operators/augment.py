@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonality.functions.hashing import hash32, unit_hash
+from tonality.functions.hashing import chance, hash32, unit_hash
 from tonality.functions.labels import literal_map
 from tonality.functions.text import sentences, tokenize_words, words
 from tonality.operators.ordering import dense_index
@@ -19,6 +19,8 @@ from tonality.operators.stats import written
 NEGATIONS = ["not", "n't"]
 PAD_ID, UNK_ID, MASK_ID = 0, 1, 2
 MASK_TOKEN = "[MASK]"
+#: Label of a position that is no target.
+NO_TARGET = -100
 #: Frequent tokens looked up inside the row: how many, of what length, in how many hash buckets.
 HOT_TOKENS, HOT_CHARS, HOT_BUCKETS = 4096, 40, 1024
 ROW_GROUP_BYTES = 8 << 20
@@ -209,12 +211,13 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, max_len: int = 512, tokens: s
 
 def mlm_mask(df: DataFrame, p: float = 0.15, seed: int = 0, ids: str = "input_ids", key: str = "sample_id") -> DataFrame:
     """Each non-padding position is a target with probability ``p``: its input
-    id becomes [MASK] and its label keeps the id; labels elsewhere are -100."""
+    id becomes [MASK] and its label keeps the id; labels elsewhere are -100.  A position
+    is hashed once, for its label; the input ids follow the labels (no id is negative)."""
     def chosen(x, i):
-        return (x != PAD_ID) & (unit_hash(seed, F.col(key), i) < p)
-    return (df.withColumn("mlm_labels", F.transform(ids, lambda x, i: F.when(chosen(x, i), x).otherwise(F.lit(-100))))
-              .withColumn("mlm_input_ids", F.transform(ids, lambda x, i: F.when(chosen(x, i), F.lit(MASK_ID))
-                                                          .otherwise(x))))
+        return (x != PAD_ID) & chance(p, seed, F.col(key), i)
+    labels = F.transform(ids, lambda x, i: F.when(chosen(x, i), x).otherwise(F.lit(NO_TARGET)))
+    return df.withColumn("mlm_labels", labels).withColumn(
+        "mlm_input_ids", F.zip_with(ids, "mlm_labels", lambda x, y: F.when(y != NO_TARGET, F.lit(MASK_ID)).otherwise(x)))
 
 
 def pivot_translate(df: DataFrame, tm_out: DataFrame, tm_back: DataFrame, text: str = "text") -> DataFrame:
