@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonality.functions.hashing import unit_hash
+from tonality.functions.hashing import chance
 from tonality.operators import augment as G
 from tonality.operators import evaluate as ev
 from tonality.plans.registry import r6, register
@@ -180,7 +180,7 @@ def q_masked_token_accuracy(spark, d):
     """Accuracy over masked token positions (label != -100), per dataset."""
     m = G.mlm_mask(_encoded(spark, d), 0.15, 0)
     m = m.withColumn("mlm_predictions", F.transform(
-        "input_ids", lambda x, i: F.when(unit_hash("pred", F.col("sample_id"), i) < 0.7, x).otherwise(F.lit(1))))
+        "input_ids", lambda x, i: F.when(chance(0.7, "pred", F.col("sample_id"), i), x).otherwise(F.lit(1))))
     return ev.masked_token_accuracy(m, ["dataset"])
 
 
