@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,6 +168,21 @@ def test_grid_search_keeps_the_first_best_row(spark):
         select_model(df, {"learning_rate": [1]})
 
 
+def test_sheet_files_are_listed_and_read_once(spark, tmp_path, monkeypatch):
+    rows = [f'{{"row_idx":{k},"cells":["a{k}",null]}}' for k in range(5)]
+    (tmp_path / "s.json").write_text("\n \t\n".join(rows) + "\n\n")
+    (tmp_path / "blank.json").write_text(" \n\n")
+    (tmp_path / "cut.json").write_text("\r\n".join(rows[:4]) + '\r\n{"row_idx":4,"ce\r\n')
+    reads = []
+    for how in ("json", "load", "text"):
+        plain = getattr(DataFrameReader, how)
+        monkeypatch.setattr(DataFrameReader, how, lambda self, path, *a, _plain=plain, **k: reads.append(path) or _plain(self, path, *a, **k))
+    out, rejected = read_sheets(spark, str(tmp_path))
+    assert reads == [str(tmp_path)]
+    assert {tuple(r) for r in out.collect()} == {("s.json", 0, "a0", "a1", "a2", "a3", "a4"), ("s.json", 1, *[None] * 5)}
+    assert {tuple(r) for r in rejected.collect()} == {("blank.json", "no rows"), ("cut.json", "unreadable rows: 1")}
+
+
 def test_a_classifier_makes_its_training_rows_once(spark):
     made = spark.sparkContext.accumulator(0)
 

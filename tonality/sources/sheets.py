@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tonality.operators.stats import written
 from tonality.sources.files import annotation_sheets_to_long
 
+_BLANK = r"^[ \t\r\n]*$"
 _ROW = "row_idx int, cells array<string>, _bad string"
 
 
@@ -27,19 +28,20 @@ def write_sheets(cells: DataFrame, root: str, sheet: str = "sheet") -> None:
 
 def read_sheets(spark: SparkSession, path: str, n_labelers: int = 4, name=sheet_name) -> tuple[DataFrame, DataFrame]:
     """(one row per text with ``labeler_1..n``, rejected sheets with a reason).  ``name`` makes a
-    sheet's name from its file's path column."""
-    rows = (spark.read.schema(_ROW).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-            .option("recursiveFileLookup", True).json(path))
-    rows = rows.select(F.col("_metadata.file_path").alias("path"), "row_idx", "cells", "_bad")
-    rows = written(rows.select(name().alias("sheet"), "row_idx", "cells", "_bad"), "sheet-rows")
-    # listed without their contents: files without rows do not appear among the rows
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(name().alias("sheet")).distinct()
+    sheet's name from its file's path column.
+
+    The files, of which there may be many, are listed and read once, as lines: a file without
+    rows has blank lines and so appears among them."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.when(~F.col("value").rlike(_BLANK), F.col("value")).alias("_line"))
+    row = F.from_json("_line", _ROW, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.select(name().alias("sheet"), F.col("_line").isNull().alias("_blank"), row.alias("_row"))
+    rows = written(rows.select("sheet", "_blank", "_row.row_idx", "_row.cells", "_row._bad"), "sheet-rows")
     bad = F.col("_bad").isNotNull() | F.col("row_idx").isNull() | F.col("cells").isNull()
-    state = rows.groupBy("sheet").agg(F.count_if(bad).alias("_bad_rows"))
-    state = files.join(state, "sheet", "left")
+    state = rows.groupBy("sheet").agg(F.when(F.count_if(~F.col("_blank")) > 0, F.count_if(~F.col("_blank") & bad)).alias("_bad_rows"))
     unread = state.where(F.col("_bad_rows").isNull() | (F.col("_bad_rows") > 0)).select("sheet", F.when(
         F.col("_bad_rows").isNull(), "no rows").otherwise(F.concat(F.lit("unreadable rows: "), F.col("_bad_rows").cast("string"))).alias("reason"))
     unread = written(unread, "unread-sheets")
-    good = rows.join(unread, "sheet", "left_anti").select("sheet", "row_idx", "cells")
+    good = rows.where(~F.col("_blank")).join(unread, "sheet", "left_anti").select("sheet", "row_idx", "cells")
     out, shape = annotation_sheets_to_long(good, n_labelers)
     return out, unread.unionByName(shape)
