@@ -195,6 +195,46 @@ def test_jaccard_edges(spark):
     assert kept == [None, 1, 2, 3, 4, 5, 6, 8, 9, 11]
 
 
+def test_near_copies_without_links_make_no_pair_of_every_two(spark, monkeypatch):
+    """A group whose classes are all a little too different: the signatures allow most pairs."""
+    rng, size = random.Random(12), 120
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for k in range(size):
+        t = list(base)
+        for slot in rng.sample(range(1, 79), 5):
+            t[5 * slot] = f"e{k}x{slot}"
+        rows.append((k, " ".join(t)))
+    counts, plain = [], jaccard_join.saved
+
+    def saved(df, name):
+        out = plain(df, name)
+        if {"a", "b"} <= set(out.columns):
+            counts.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "saved", saved)
+    got = jaccard_join.near_duplicates(docs(spark, [(i, t, "x") for i, t in rows])).collect()
+    want = plain_components(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want)
+    assert len({c for _, _, c in want}) > 1
+    assert max(n for _, n in counts) < size * (size - 1) // 8, counts
+
+
+def test_clusters_join_what_exact_links_join():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) > 0.12], rng.integers(0, 1 << 63, 8, dtype=np.uint64)])) for _ in range(60)]
+    held, joined = jaccard_join.Sets(sets), jaccard_join.Joined(np.arange(60))
+    i, j = np.triu_indices(60, 1)
+    ok = held.similar(i, j)
+    exact = [5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j)]
+    assert ok.tolist() == exact and 0 < ok.sum() < len(ok)
+    used = joined.join(i[ok], j[ok])
+    assert len(used) == 60 - len(set(joined.label.tolist()))
+    assert (joined.label[i[ok]] == joined.label[j[ok]]).all()
+
+
 def test_tree_pairs_lose_nothing():
     rng = np.random.default_rng(1)
     base = [rng.integers(0, 1 << 63, rng.integers(20, 2500), dtype=np.uint64) for _ in range(20)]

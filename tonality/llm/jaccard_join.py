@@ -12,9 +12,13 @@ and the same set form a class; only classes are compared.
 3. Signature trees.  In each key group whose classes are not all joined yet, a tree over the
    classes holds in its nodes the OR of their bitmaps and their size ranges.  The tree is
    traversed against itself; pairs of nodes are cut where the largest possible overlap is too
-   small, or where all classes below are already joined.  First the most promising pair of
-   every two components is verified, until nothing more joins; then every pair that is left.
+   small, or where all classes below are already joined.  Of the pairs that are left a task
+   gives a spanning forest, fewer than the classes it holds, whatever the number of pairs.
    Large groups are cut into blocks, and only pairs of blocks with more than one component meet.
+4. Clusters.  The forests' connected classes form a cluster, so both classes of every pair that
+   the signatures allow are in one.  The full sets of a cluster meet in a task (of a large one
+   those of two blocks): a tree over them gives the pairs again, each is verified where its
+   classes are not joined yet, and links that join something are given.
 
 So the components are exact, but links inside a component are not all looked for; ``join``
 verifies those too and gives every link.
@@ -51,7 +55,9 @@ SKETCH_CHUNK = 1 << 16
 KEYS_PER_BUCKET = 400_000
 KEYS_PER_MESSAGE = 1_000_000
 ROWS_PER_BIN = 60_000
+#: Classes of a block; where full sets meet, a class counts once for every SET_UNIT shingles begun.
 BLOCK = 4096
+SET_UNIT = 512
 MARKS = 1 << 23
 FANOUT = 16
 
@@ -233,9 +239,11 @@ def _possible(n_a, n_b, common) -> np.ndarray:
     return (T_NUM + T_DEN) * common >= T_NUM * (n_a + n_b)
 
 
-def tree_pairs(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of classes of different components that the signatures allow.  With
-    ``split`` only pairs with i < split <= j are asked for (two blocks)."""
+def tree_walk(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, split: int | None = None,
+              label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of classes of different components that the signatures allow, some at a time.
+    With ``split`` only pairs with i < split <= j are asked for (two blocks).  Classes of one
+    ``label`` are left out; the caller may change the labels while it takes the pairs."""
     side = np.zeros(len(n), np.int8) if split is None else (np.arange(len(n)) >= split).astype(np.int8)
     order = np.lexsort((bits[:, 0], n, comp, side))
     n, bits, comp, side = n[order].astype(np.int64), bits[order], comp[order], side[order]
@@ -247,92 +255,215 @@ def tree_pairs(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, split: int | N
         levels.append((np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.minimum.reduceat(pc, at),
                        np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(c0, at), np.maximum.reduceat(c1, at),
                        np.minimum.reduceat(s0, at), np.maximum.reduceat(s1, at)))
-    top = len(levels[-1][0])
-    i, j = np.triu_indices(top)
-    for depth in range(len(levels) - 1, -1, -1):
+    step = max(FANOUT ** 2, (1 << 21) // bits.shape[1])  # pairs looked at together
+
+    def allowed(depth: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lo, hi, pc, b, c0, c1, s0, s1 = levels[depth]
-        kept_i, kept_j = [], []
-        for at in range(0, len(i), 1 << 16):
-            a, z = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+        for at in range(0, len(i), step):
+            a, z = i[at:at + step], j[at:at + step]
             ok = ~((c0[a] == c1[a]) & (c0[z] == c1[z]) & (c0[a] == c0[z]))  # not all joined yet
             if split is not None:
                 ok &= (s0[a] == 0) & (s1[z] == 1)
             if depth == 0:
                 ok &= a != z
+                if label is not None:
+                    ok &= label[order[a]] != label[order[z]]
             ok &= (T_DEN * hi[a] >= T_NUM * lo[z]) & (T_DEN * hi[z] >= T_NUM * lo[a])
             a, z = a[ok], z[ok]
             # a set's bits outside the other side's bitmap are elements that the other side lacks
             both = np.bitwise_count(b[a] & b[z]).sum(1, dtype=np.int64)
             most = np.minimum(hi[a] - np.maximum(pc[a] - both, 0), hi[z] - np.maximum(pc[z] - both, 0))
             ok = _possible(lo[a], lo[z], most)
-            kept_i.append(a[ok])
-            kept_j.append(z[ok])
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (kept_i, kept_j))
-        if depth:
-            size = len(levels[depth - 1][0])
-            step = np.arange(FANOUT)
-            ci = (i[:, None, None] * FANOUT + step[None, :, None]).astype(np.int64)
-            cj = (j[:, None, None] * FANOUT + step[None, None, :]).astype(np.int64)
-            ci, cj = (x.ravel() for x in np.broadcast_arrays(ci, cj))
-            ok = (ci < size) & (cj < size) & (ci <= cj)
-            i, j = ci[ok], cj[ok]
-    return order[i], order[j]
-
-
-_CANDIDATE = "a long, b long, ca long, cb long, near int"
-
-
-def _candidates(rows: DataFrame, bins: int) -> DataFrame:
-    """(a, b, ca, cb, near): pairs of classes that the trees allow, from group rows
-    (gid, block_a, block_b, part, node, comp, n, bits); near estimates the overlap's excess."""
+            yield a[ok], z[ok]
+
+    def below(depth: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = len(levels[depth - 1][0])
+        down = np.arange(FANOUT)
+        ci = (i[:, None, None] * FANOUT + down[None, :, None]).astype(np.int64)
+        cj = (j[:, None, None] * FANOUT + down[None, None, :]).astype(np.int64)
+        ci, cj = (x.ravel() for x in np.broadcast_arrays(ci, cj))
+        ok = (ci < size) & (cj < size) & (ci <= cj)
+        return ci[ok], cj[ok]
+
+    i, j = np.triu_indices(len(levels[-1][0]))
+    for depth in range(len(levels) - 1, 0, -1):
+        kept = list(allowed(depth, i, j))
+        i, j = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, np.int64),) * 2
+        if depth > 1:
+            i, j = below(depth, i, j)
+    if len(levels) == 1:
+        parts = [(i, j)]
+    else:
+        parts = (below(1, i[at:at + 256], j[at:at + 256]) for at in range(0, len(i), 256))
+    for part in parts:
+        for a, z in allowed(0, *part):
+            if len(a):
+                yield order[a], order[z]
+
+
+def tree_pairs(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``tree_walk``."""
+    found = list(tree_walk(n, bits, comp, split))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+
+class Joined:
+    """Labels of classes; joined classes have one label."""
+
+    def __init__(self, label: np.ndarray):
+        self.label = np.unique(label, return_inverse=True)[1].astype(np.int64)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Join the classes of every pair; the places of the pairs that joined something."""
+        x, y = self.label[i], self.label[j]
+        at = np.unique(np.minimum(x, y) * len(self.label) + np.maximum(x, y), return_index=True)[1]
+        up: dict[int, int] = {}
+
+        def top(v: int) -> int:
+            while v in up:
+                if up[v] in up:
+                    up[v] = up[up[v]]
+                v = up[v]
+            return v
+
+        used = []
+        for p, a, b in zip(at.tolist(), x[at].tolist(), y[at].tolist()):
+            a, b = top(a), top(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                used.append(p)
+        if up:
+            new = np.arange(len(self.label))
+            new[list(up)] = [top(v) for v in list(up)]
+            self.label[:] = new[self.label]
+        return np.asarray(used, np.int64)
+
+
+_PAIR = "a long, b long"
+
+
+def _cuts(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, int | None]]:
+    """Of the group rows in a task: the places of each group or pair of blocks, and where its
+    second block begins."""
+    gid, x, y, part = (pdf[c].to_numpy(np.int64) for c in ("gid", "block_a", "block_b", "part"))
+    order = np.lexsort((part, y, x, gid))
+    at = np.flatnonzero(np.concatenate([[True], np.any([v[order][1:] != v[order][:-1] for v in (gid, x, y)], axis=0)]))
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
+        own = order[a:b]
+        split = int((part[own] == 0).sum()) if x[own[0]] != y[own[0]] else None
+        if split is None or split not in (0, len(own)):
+            yield own, split
+
+
+def _ordered(node: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> pd.DataFrame:
+    i, j = (node[np.concatenate(v)] if v else np.zeros(0, np.int64) for v in (left, right))
+    return pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j)}).drop_duplicates()
+
+
+def _candidates(rows: DataFrame, bins: int, every: bool = False) -> DataFrame:
+    """(a, b): pairs of classes that the trees allow, from group rows (gid, block_a, block_b,
+    part, node, comp, n, bits): a spanning forest of each group or pair of blocks, or with
+    ``every`` all pairs."""
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         bits = pdf["bits"].tolist()
         node, comp, n = (pdf[c].to_numpy(np.int64) for c in ("node", "comp", "n"))
-        gid, x, y, part = (pdf[c].to_numpy(np.int64) for c in ("gid", "block_a", "block_b", "part"))
-        order = np.lexsort((part, y, x, gid))
-        at = np.flatnonzero(np.concatenate([[True], np.any([v[order][1:] != v[order][:-1] for v in (gid, x, y)], axis=0)]))
         left, right = [], []
-        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
-            own = order[a:b]
-            split = int((part[own] == 0).sum()) if x[own[0]] != y[own[0]] else None
-            if split is not None and split in (0, len(own)):
-                continue
-            i, j = tree_pairs(n[own], matrix([bits[r] for r in own]), comp[own], split)
-            left.append(own[i])
-            right.append(own[j])
-        i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-        swap = node[i] > node[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        pairs = pd.DataFrame({"a": node[i], "b": node[j], "i": i, "j": j}).drop_duplicates(["a", "b"])
-        i, j = pairs["i"].to_numpy(), pairs["j"].to_numpy()
-        differ, total = apart([bits[x] for x in i], [bits[x] for x in j]), n[i] + n[j]
-        out = pd.DataFrame({"a": node[i], "b": node[j], "ca": comp[i], "cb": comp[j], "near": -(1000 * differ // np.maximum(total, 1))})
-        return out[_possible(n[i], n[j], (total - differ) // 2)]
-
-    spread = F.pmod(F.xxhash64("gid", "block_a", "block_b"), F.lit(bins))
-    return rows.withColumn("_bin", spread).groupBy("_bin").applyInPandas(join, _CANDIDATE)
-
-
-def _unjoined(groups: DataFrame, nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """The rows of the groups with more than one component, dealt to blocks."""
+        for own, split in _cuts(pdf):
+            raw = [bits[r] for r in own]
+            narrow = matrix(raw)
+            wide = any(len(x) != 8 * narrow.shape[1] for x in raw)
+            forest = None if every else Joined(np.arange(len(own)))
+            for i, j in tree_walk(n[own], narrow, comp[own], split, forest and forest.label):
+                if wide:  # the tree has folded signatures to the narrowest
+                    differ, total = apart([raw[x] for x in i], [raw[x] for x in j]), n[own[i]] + n[own[j]]
+                    ok = _possible(total, 0, (total - differ) // 2)
+                    i, j = i[ok], j[ok]
+                if forest:
+                    at = forest.join(i, j)
+                    i, j = i[at], j[at]
+                left.append(own[i])
+                right.append(own[j])
+        return _ordered(node, left, right)
+
+    return _binned(rows, bins).applyInPandas(join, _PAIR)
+
+
+def _binned(rows: DataFrame, bins: int):
+    return rows.withColumn("_bin", F.pmod(F.xxhash64("gid", "block_a", "block_b"), F.lit(bins))).groupBy("_bin")
+
+
+def _bins(rows: DataFrame, size: int) -> int:
+    return max(1, -(-int(scalar(rows, F.sum("w"))[0] or 0) // size))
+
+
+class Sets:
+    """The sets of some classes with small numbers for their elements."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.asarray([len(s) for s in sets], np.int64)
+        values, code = np.unique(np.concatenate(sets), return_inverse=True)
+        self.parts = np.split(code.astype(np.int32), np.cumsum(self.n)[:-1])
+        self.flags = np.zeros(len(values), bool)
+
+    def similar(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the sets of each pair reach the similarity bound."""
+        common = np.zeros(len(i), np.int64)
+        order = np.argsort(i, kind="stable")
+        step = max(1, (1 << 22) // int(self.n.max()))
+        for own in np.split(order, np.flatnonzero(np.diff(i[order])) + 1) if len(i) else []:
+            mine = self.parts[i[own[0]]]
+            self.flags[mine] = True
+            for at in range(0, len(own), step):
+                some = own[at:at + step]
+                size = self.n[j[some]]
+                hit = self.flags[np.concatenate([self.parts[x] for x in j[some].tolist()])]
+                common[some] = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+            self.flags[mine] = False
+        return _possible(self.n[i], self.n[j], common)
+
+
+def _cluster_links(rows: DataFrame, bins: int) -> DataFrame:
+    """(a, b): links between components, from group rows (gid, block_a, block_b, part, node,
+    comp, set): as many of each group or pair of blocks as join all that its links join."""
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.asarray(x, np.int64).view(np.uint64) for x in pdf["set"]]
+        node, comp = (pdf[c].to_numpy(np.int64) for c in ("node", "comp"))
+        left, right = [], []
+        for own, split in _cuts(pdf):
+            some = [sets[r] for r in own]
+            held, joined = Sets(some), Joined(comp[own])
+            for i, j in tree_walk(held.n, matrix([bitmap(x).tobytes() for x in some]), comp[own], split, joined.label):
+                ok = held.similar(i, j)
+                i, j = i[ok], j[ok]
+                at = joined.join(i, j)
+                left.append(own[i[at]])
+                right.append(own[j[at]])
+        return _ordered(node, left, right)
+
+    return _binned(rows, bins).applyInPandas(verify, _PAIR)
+
+
+def _unjoined(groups: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """(gid, block_a, block_b, part, node, comp, w): the rows of the groups(gid, node, w) with more
+    than one component, dealt to blocks by their weight w."""
     rows = groups
     if comps is None:
         rows = rows.withColumn("comp", F.col("node"))
     else:
-        rows = rows.join(comps, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("comp"))
-    open_groups = rows.groupBy("gid").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_g"))
+        rows = rows.join(comps, "node", "left").select("gid", "node", "w", F.coalesce("component", "node").alias("comp"))
+    open_groups = rows.groupBy("gid").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.sum("w").alias("_g"))
     open_groups = open_groups.where(F.col("_lo") != F.col("_hi")).select(
         "gid", F.ceil(F.col("_g") / BLOCK).cast("long").alias("_blocks"))
     rows = rows.join(open_groups, "gid")
     # in a large group a large component has blocks of its own, the others share blocks
-    own = rows.where("_blocks > 1").groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > BLOCK // 2)
+    own = rows.where("_blocks > 1").groupBy("gid", "comp").agg(F.sum("w").alias("_c")).where(F.col("_c") > BLOCK // 2)
     rows = rows.join(own, ["gid", "comp"], "left")
     cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("_c") / BLOCK).cast("long"))
     block = F.when(F.col("_blocks") == 1, F.lit(0)).when(F.col("_c").isNull(), F.pmod(F.xxhash64("comp"), F.col("_blocks")))
     rows = rows.withColumn("block", block.otherwise(F.xxhash64("comp", cut)).cast("long"))
-    rows = saved(rows.select("gid", "node", "comp", "block", "_blocks"), "open-groups")
+    rows = saved(rows.select("gid", "node", "w", "comp", "block", "_blocks"), "open-groups")
     one = rows.where("_blocks = 1").select("gid", F.lit(0).cast("long").alias("block_a"), F.lit(0).cast("long").alias("block_b"),
-                                           F.lit(0).alias("part"), "node", "comp")
+                                           F.lit(0).alias("part"), "node", "comp", "w")
     big = rows.where("_blocks > 1")
     blocks = big.groupBy("gid", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     x, y = (blocks.select("gid", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "lo", "hi")]) for s in "ab")
@@ -340,10 +471,10 @@ def _unjoined(groups: DataFrame, nodes: DataFrame, comps: DataFrame | None) -> D
         (F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b")))).select(
         "gid", "block_a", "block_b")
     first = big.join(met.withColumn("block", F.col("block_a")), ["gid", "block"]).select(
-        "gid", "block_a", "block_b", F.lit(0).alias("part"), "node", "comp")
+        "gid", "block_a", "block_b", F.lit(0).alias("part"), "node", "comp", "w")
     second = big.join(met.where("block_a < block_b").withColumn("block", F.col("block_b")), ["gid", "block"]).select(
-        "gid", "block_a", "block_b", F.lit(1).alias("part"), "node", "comp")
-    return one.unionByName(first).unionByName(second).join(nodes.select("node", "n", "bits"), "node")
+        "gid", "block_a", "block_b", F.lit(1).alias("part"), "node", "comp", "w")
+    return saved(one.unionByName(first).unionByName(second), "group-rows")
 
 
 # ---------------------------------------------------------------- verification
@@ -359,12 +490,11 @@ def _marks(nodes: DataFrame, wanted: DataFrame) -> np.ndarray:
     return flags
 
 
-def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The links among ``pairs(a, b)``: those whose sets are similar enough.  The sets are
-    made again from the text of one document of each class; the bitmaps keep other texts out
-    (but for chance hits, which find no pair) and tell on which side a set is wanted."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast([_marks(nodes, pairs.select(F.col(c).alias("node")).distinct()) for c in "ab"])
+def _sets(docs: DataFrame, nodes: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(node, set, in_a, in_b): the sets of the classes ``a(node)`` and ``b(node)``, made again from
+    the text of one document of each class (and of rows that repeat it); the bitmaps keep other
+    texts out, but for chance hits, and tell on which side a set is wanted."""
+    held = docs.sparkSession.sparkContext.broadcast([_marks(nodes, x) for x in (a, b)])
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -378,7 +508,12 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty())), F.lit(MARKS)).alias("at"),
                        text_or_empty().alias("text"))
-    sets = saved(rows.mapInPandas(pick, "node long, set array<long>, in_a boolean, in_b boolean"), "sets")
+    return saved(rows.mapInPandas(pick, "node long, set array<long>, in_a boolean, in_b boolean"), "sets")
+
+
+def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links among ``pairs(a, b)``: those whose sets are similar enough."""
+    sets = _sets(docs, nodes, *(pairs.select(F.col(c).alias("node")).distinct() for c in "ab"))
     x, y = (sets.where(f"in_{c}").select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
     both = pairs.select("a", "b").join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -405,30 +540,22 @@ def _hub_pairs(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInPandas(allow, "a long, b long")
 
 
-def _all_links(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame | None:
+def _all_links(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component) of the classes that have a link."""
-    tried = saved(_hub_pairs(groups, nodes), "hub-pairs")
-    links = _verify(docs, nodes, tried)
-    while True:
-        comps = components(links)
-        rows = saved(_unjoined(groups, nodes, comps), "group-rows")
-        bins = max(1, -(-rows.count() // ROWS_PER_BIN))
-        pairs = _candidates(rows, bins).groupBy("a", "b").agg(
-            F.max("near").alias("near"), F.max("ca").alias("ca"), F.max("cb").alias("cb"))
-        # a hub pair has the hub first, which is the smaller class
-        pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            return comps
-        lo, hi = F.least("ca", "cb"), F.greatest("ca", "cb")
-        best = pairs.groupBy(lo.alias("x"), hi.alias("y")).agg(F.max(F.struct("near", "a", "b")).alias("p")).select("p.a", "p.b")
-        best = saved(best, "best-pairs")
-        new = _verify(docs, nodes, best)
-        if new.isEmpty():
-            rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
-            new = _verify(docs, nodes, saved(rest, "last-pairs"))
-            return comps if new.isEmpty() else components(saved(links.unionByName(new), "links"))
-        tried = saved(tried.unionByName(best), "tried")
-        links = saved(links.unionByName(new), "links")
+    links = _verify(docs, nodes, saved(_hub_pairs(groups, nodes), "hub-pairs"))
+    comps = components(links)
+    rows = _unjoined(groups.withColumn("w", F.lit(1)), comps)
+    rows, bins = rows.join(nodes.select("node", "n", "bits"), "node"), _bins(rows, ROWS_PER_BIN)
+    near = saved(_candidates(rows, bins).distinct(), "near")
+    if near.isEmpty():
+        return comps
+    clusters = components(near).withColumnRenamed("component", "gid").join(nodes.select("node", "n"), "node")
+    clusters = saved(clusters.select("gid", "node", F.ceil(F.col("n") / SET_UNIT).alias("w")), "clusters")
+    wanted = clusters.select("node")
+    sets = _sets(docs, nodes, wanted, wanted.limit(0)).groupBy("node").agg(F.first("set").alias("set"))
+    rows = _unjoined(clusters, comps)
+    rows, bins = rows.join(sets, "node"), _bins(rows, 2 * BLOCK)
+    return components(saved(links.unionByName(_cluster_links(rows, bins)), "links"))
 
 
 def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -455,9 +582,9 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``near_duplicates`` needs only links that join components and gives the same components;
     this function verifies all pairs, whose number grows with the square of a group."""
     each, nodes, groups = _prepared(docs)
-    rows = saved(_unjoined(groups, nodes, None), "group-rows")
-    bins = max(1, -(-rows.count() // ROWS_PER_BIN))
-    links = _verify(docs, nodes, saved(_candidates(rows, bins).select("a", "b").distinct(), "all-pairs"))
+    rows = _unjoined(groups.withColumn("w", F.lit(1)), None)
+    rows, bins = rows.join(nodes.select("node", "n", "bits"), "node"), _bins(rows, ROWS_PER_BIN)
+    links = _verify(docs, nodes, saved(_candidates(rows, bins, every=True).distinct(), "all-pairs"))
     size = saved(each.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("_size")), "class-sizes")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     met = both.join(size, both["b"] == size["node"]).groupBy("a").agg(F.sum("_size").alias("_met"))
