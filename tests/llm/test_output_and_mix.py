@@ -51,6 +51,21 @@ def test_odd_white_space_and_special_marks():
     assert [np.frombuffer(g, "<u4").tolist() + [2] for g in got] == plain_ids(texts * 3)
 
 
+def test_new_pieces_are_encoded_together():
+    """Exact ids, with one call of the tokenizer's model for the new words of many texts."""
+    import public_tokenizers
+    enc = grammar_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(3)
+    parts = ["word", "Bird", "été", "x1", "it's", "well-known", "end.", "so,", "ǆ", "***", "ab$$$", "12.5", "日本", "\nNew", "\n'll", "(a"]
+    texts = [" ".join(p + "q" * int(n) if p.isalpha() else p for p, n in zip(rng.choice(parts, 40), rng.integers(0, 9, 40))).strip()
+             for _ in range(200)] + ["a  b", "\tword", "end. ", "a\n\nword", "<|endoftext|> word"]
+    model, calls = enc.model, []
+    enc.model = SimpleNamespace(encode_batch_fast=lambda *a, **k: calls.append(1) or model.encode_batch_fast(*a, **k))
+    for _ in range(2):
+        assert [np.frombuffer(g, "<u4").tolist() + [2] for g in enc.encode(texts)] == plain_ids(texts)
+    assert len(calls) == 1
+
+
 def test_grammar_expands_and_reads_at_random():
     rng = np.random.default_rng(1)
     motif = rng.integers(3, 60, 12)

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonality.llm.common import saved, ship, text_or_empty
+from tonality.llm.token_counts import pre_tokenizer
 
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 SHARD_TOKENS = 2_000_000
 MIN_PAIR_COUNT = 32
 PAIRS_PER_ROUND = 1024
-#: Pieces remembered by a worker process; the most frequent ones of its first texts stay in a small table.
-CACHE_PIECES = 250_000
-HOT_PIECES = 30_000
-HOT_SAMPLE = 1_500_000
+#: What a worker process remembers: so many pieces, and as many of earlier texts.
+CACHE_PIECES = 500_000
 
 SHARD_SCHEMA = ("part int, seq int, n_docs long, n_tokens long, terminals int, doc_ids binary, symbol_starts binary, "
                 "token_counts binary, rules binary, rule_lengths binary, symbols binary")
@@ -42,97 +40,127 @@ _BUCKET_BITS = 18
 
 
 # ---------------------------------------------------------------- encoding
+class Pieces(dict):
+    """Ids by piece.  A piece not met yet gets an empty array, to be filled later, and is noted in
+    ``new``; ``old`` holds the ids of earlier texts."""
+
+    def __init__(self, old: dict[str, bytes]):
+        self.old, self.new = old, {}
+
+    def __missing__(self, piece: str) -> bytes | bytearray:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.new[piece] = bytearray()
+        self[piece] = ids
+        return ids
+
+    def aged(self) -> Pieces:
+        """What was not met for a while is forgotten."""
+        if len(self) <= CACHE_PIECES:
+            return self
+        self.old = {}
+        return Pieces(self)
+
+
 class Encoder:
-    """Exact ids of a byte-level BPE tokenizer, with the ids of frequent pieces remembered.
+    """Exact ids of a byte-level BPE tokenizer, with the ids of pieces remembered.
 
     The tokenizer cuts a text before a single space or line break that stands between two
-    other characters, so such pieces are encoded on their own and looked up afterwards.
-    Texts with any other white space, or with the mark of a special token, are encoded whole.
+    other characters; what stands between such cuts is a piece.  New pieces are cut into the
+    tokenizer's pre-tokens, and its model encodes those of some texts together.  Texts with any other
+    white space are cut into pre-tokens at once; those with the mark of a special token, and all
+    texts of tokenizers of other kinds, are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
         self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.size = max(vocab.values()) + 1
+        self.lengths = np.zeros(self.size, np.int64)
         for piece, i in vocab.items():  # one character of a byte-level piece is one byte
             self.lengths[i] = len(piece)
-        self.size = len(self.lengths)
-        self.pieces: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
-        self.hot: dict[str, bytes] = {}
-        self.watch: Counter | None = Counter()
-        self.marks = {c: self.whole(c) for c in ".,"}
+        self.model = Tokenizer(self.tok.model)  # for pre-tokens in byte-level characters, none of which is white space
+        self.model.pre_tokenizer = WhitespaceSplit()
+        try:
+            self.pre = pre_tokenizer(path)
+        except ValueError:
+            self.pre = None
+        self.pieces, self.parts = Pieces({}), Pieces({})
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 20_000):
-            names = new[at:at + 20_000]
-            part = [p if p[0] == "\n" else " " + p for p in names]
-            ids = np.asarray(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(self.lengths[ids])
-            cuts = np.cumsum([len(p.encode()) for p in part])
-            at_end = np.searchsorted(ends, cuts)
-            if len(ids) and at_end[-1] < len(ids) and np.array_equal(ends[at_end], cuts):
+    def _each(self, pre_tokens: list[str]) -> Iterator[bytes]:
+        """The ids of each of these pre-tokens."""
+        for at in range(0, len(pre_tokens), 10_000):
+            part = ["\u0120" + t[1:] if t[0] == " " and t[1:].isalpha() and t.isascii()
+                    else t.encode().decode("latin-1").translate(_BYTE_LEVEL) for t in pre_tokens[at:at + 10_000]]
+            ids = np.asarray(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends, cuts = np.cumsum(self.lengths[ids]), np.cumsum([len(p) for p in part])
+            stops = np.searchsorted(ends, cuts)
+            if len(ids) and ends[-1] == cuts[-1] and np.array_equal(ends[stops], cuts):
                 raw, begin = ids.tobytes(), 0
-                for p, stop in zip(names, ((at_end + 1) * 4).tolist()):
-                    self.pieces[p] = raw[begin:stop]
+                for stop in ((stops + 1) * 4).tolist():
+                    yield raw[begin:stop]
                     begin = stop
             else:
-                for p, s in zip(names, part):
-                    self.pieces[p] = self.whole(s)
-
-    def _cold(self, keys: list[str]) -> list[bytes]:
-        """Ids of less frequent pieces; those not met for a while are forgotten."""
-        if len(self.pieces) > CACHE_PIECES:
-            self.old, self.pieces = self.pieces, {}
-        pieces, old = self.pieces, self.old
-        found = list(map(pieces.get, keys))
-        need = {p for p, v in zip(keys, found) if v is None}
-        for p in [p for p in need if p in old]:
-            pieces[p] = old[p]
-            need.discard(p)
-        # a final point or comma after a letter is a token of its own
-        marked = [p for p in need if p[-1] in ".," and len(p) > 1 and p[-2].isalpha()]
-        need.difference_update(marked)
-        need.update(b for b in {p[:-1] for p in marked} if b not in pieces)
-        self._learn(list(need))
-        for p in marked:
-            pieces[p] = pieces[p[:-1]] + self.marks[p[-1]]
-        return [v or pieces[p] for p, v in zip(keys, found)]
+                yield from map(self.whole, pre_tokens[at:at + 10_000])
+
+    def _learn(self) -> None:
+        """Fill in the ids of all new pieces and parts."""
+        pieces, parts, tokens, single, joined = self.pieces, self.parts, [], [], []
+        while pieces.new:
+            new, pieces.new = pieces.new, {}
+            for p, ids in new.items():
+                if p.isascii() and p.isalpha():
+                    tokens.append(" " + p)
+                    single.append((pieces, p, ids))
+                    continue
+                if p[-1] in ".," and p.isascii() and p[:-1].isalpha():
+                    cuts = [" " + p[:-1], p[-1]]
+                else:  # with the space before it, or the line feed that it begins with
+                    cuts = self.pre.split(p if p[0] == "\n" else " " + p)
+                if len(cuts) == 1:
+                    tokens.append(cuts[0])
+                    single.append((pieces, p, ids))
+                else:
+                    joined.append((p, ids, [pieces[c[1:]] if c[0] == " " and len(c) > 1 else parts[c] for c in cuts]))
+        tokens += parts.new
+        single += [(parts, c, ids) for c, ids in parts.new.items()]
+        parts.new = {}
+        for (held, p, ids), got in zip(single, self._each(tokens)):
+            ids[:] = held[p] = got
+        for p, ids, of in reversed(joined):  # what one is made of was noted after it
+            ids[:] = pieces[p] = b"".join(of)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [b""] * len(texts)
-        cut, rare = [], []
-        hot = self.hot.get
-        for k, t in enumerate(texts):
+        self.pieces, self.parts = self.pieces.aged(), self.parts.aged()
+        piece, part, found = self.pieces.__getitem__, self.parts.__getitem__, []
+        for t in texts:
             if not t:
-                continue
-            if not regular(t):
-                out[k] = self.whole(t)
-                continue
-            items = t.replace("\n", " \n").split(" ")
-            first = items.pop(0)
-            known = list(map(hot, items))
-            rare += [p for p, v in zip(items, known) if v is None]
-            cut.append((k, first, known))
-            if self.watch is not None:
-                self.watch.update(items)
-        rest = iter(self._cold(rare))
-        for k, first, known in cut:
-            if first not in self.firsts:
-                if len(self.firsts) > CACHE_PIECES // 10:
-                    self.firsts = {}
-                self.firsts[first] = self.whole(first)
-            out[k] = self.firsts[first] + b"".join([v or next(rest) for v in known])
-        if self.watch is not None and self.watch.total() > HOT_SAMPLE:
-            top = [p for p, _ in self.watch.most_common(HOT_PIECES)]
-            self.hot, self.watch = dict(zip(top, self._cold(top))), None
-        return out
+                found.append([])
+            elif self.pre is None or self.pre.marks is not None and self.pre.marks.search(t):
+                found.append([self.whole(t)])
+            elif regular(t):
+                first, *items = t.replace("\n", " \n").split(" ")
+                found.append([*map(part, self.pre.split(first)), *map(piece, items)])
+            else:
+                found.append(list(map(part, self.pre.split(t))))
+        self._learn()
+        return list(map(b"".join, found))
+
+
+def _byte_level() -> dict[int, str]:
+    """The characters by which byte-level tokenizers name bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTE_LEVEL = _byte_level()
 
 
 #: White space other than the space and the line feed.
@@ -142,7 +170,7 @@ _ODD = tuple(chr(c) for c in (9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0,
 
 def regular(t: str) -> bool:
     """Whether all white space of ``t`` is single spaces or line feeds between other characters."""
-    return not (t[0] in " \n" or t[-1] in " \n" or "  " in t or " \n" in t or "\n " in t or "\n\n" in t or "<|" in t
+    return not (t[0] in " \n" or t[-1] in " \n" or "  " in t or " \n" in t or "\n " in t or "\n\n" in t
                 or any(c in t for c in _ODD))
 
 
@@ -171,13 +199,19 @@ def compress(seq: np.ndarray, terminals: int, end_id: int = END_ID) -> tuple[np.
         bucket = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BUCKET_BITS)
         # a pair cannot be more frequent than its bucket: pairs of emptier buckets need no count of their own
         counts = np.bincount(bucket, minlength=1 << _BUCKET_BITS)
-        at = np.flatnonzero((counts >= MIN_PAIR_COUNT)[bucket])
-        at = at[(seq[at] != end_id) & (seq[at + 1] != end_id)]
-        pairs = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        codes, each = pd.factorize(pairs)
-        n = np.bincount(codes, minlength=len(each))
-        order = np.argsort(-n, kind="stable")[:PAIRS_PER_ROUND]
-        order = order[n[order] >= MIN_PAIR_COUNT]
+        floor = max(MIN_PAIR_COUNT, int(np.partition(counts, -2 * PAIRS_PER_ROUND)[-2 * PAIRS_PER_ROUND]))
+        while True:
+            at = np.flatnonzero((counts >= floor)[bucket])
+            at = at[(seq[at] != end_id) & (seq[at + 1] != end_id)]
+            pairs = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+            codes, each = pd.factorize(pairs)
+            n = np.bincount(codes, minlength=len(each))
+            order = np.argsort(-n, kind="stable")[:PAIRS_PER_ROUND]
+            order = order[n[order] >= MIN_PAIR_COUNT]
+            least = int(n[order[-1]]) if len(order) == PAIRS_PER_ROUND else MIN_PAIR_COUNT
+            if least >= floor:  # pairs of the buckets left out are less frequent than all of these
+                break
+            floor = least
         if not len(order):
             break
         rule_of = np.full(len(each), -1, np.int32)
@@ -188,8 +222,9 @@ def compress(seq: np.ndarray, terminals: int, end_id: int = END_ID) -> tuple[np.
         offset = np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
         take = offset % 2 == 0
         at, rule = at[take], rule[take]
-        used, rule = np.unique(rule, return_inverse=True)  # others may have taken all places of a pair
-        pair, order = each[order][used], used
+        used = np.bincount(rule, minlength=len(order)) > 0  # others may have taken all places of a pair
+        rule = (np.cumsum(used) - 1)[rule]
+        pair, order = each[order][used], np.flatnonzero(used)
         left, right = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
         seq[at] = terminals + n_rules + rule
