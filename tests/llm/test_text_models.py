@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,20 @@ def test_suffix_tree_least_counts_do_not_depend_on_the_input(total):
     assert (limits.context, limits.next) == (16, 3)
 
 
+def test_suffix_tree_messages_are_small():
+    """What blocks and buckets send each other goes to disk at every level: keys must take less than
+    their width, counts and the mass left by a context much less."""
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 32, 9000, dtype=np.uint64)).astype(np.uint32)
+    packed = suffix_tree._planes(keys, True)
+    assert suffix_tree._unplanes(packed, np.uint32, True).tolist() == keys.tolist()
+    assert len(packed) < 3 * len(keys)
+    runs = np.concatenate([keys[::3], keys[1::3], keys[2::3]])  # falls between runs
+    assert suffix_tree._unplanes(suffix_tree._planes(runs, True), np.uint32, True).tolist() == runs.tolist()
+    counts = np.random.default_rng(2).integers(0, 9, 9000)
+    assert len(suffix_tree._planes(counts)) < len(counts)
+    assert suffix_tree._unplanes(suffix_tree._planes(counts[:0]), np.int64).tolist() == []
+
+
 def test_suffix_tree_edges(spark):
     got = suffix_tree.score(edge_docs(spark)).collect()
     rows = [(i, t) for i, t, _ in edge_rows()]

@@ -28,12 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonality.llm.common import saved, scalar, ship, table, text_or_empty
 
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 12 << 20
 ALPHA = 0.1
 DISCOUNT = 0.75
@@ -63,9 +64,9 @@ class Tokens:
             parts.append(np.asarray([_END]))
         self.size = np.asarray(sizes, np.int64)
         self.word = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.doc = np.repeat(np.arange(len(sizes)), self.size)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), self.size)
         start = np.cumsum(self.size) - self.size
-        self.before = np.arange(len(self.word)) - np.repeat(start, self.size)  # words before it in its text
+        self.before = (np.arange(len(self.word)) - np.repeat(start, self.size)).astype(np.int32)  # words before it in its text
 
     def sequences(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the two and the three words that end at each place (where there are so many)."""
@@ -120,6 +121,13 @@ def sequence_order(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
     return order, bucket[order]
 
 
+def context_order(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for contexts."""
+    bucket = ((keys * _A) >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order]
+
+
 class Limits:
     """What is fixed once the training words are counted; sent to all tasks."""
 
@@ -148,19 +156,31 @@ class Lookup:
     def _slot(k: np.ndarray) -> np.ndarray:
         return ((k * _A) >> np.uint64(44)).astype(np.int64)
 
-    def get(self, wanted: np.ndarray, where: np.ndarray | None = None) -> np.ndarray:
+    def get(self, wanted: np.ndarray) -> np.ndarray:
         out = np.zeros(len(wanted), self.values.dtype)
         if len(self.keys):
-            may = self.filter[self._slot(wanted)]
-            if where is not None:
-                may &= where
-            at = np.flatnonzero(may)
+            at = np.flatnonzero(self.filter[self._slot(wanted)])
             found = np.minimum(np.searchsorted(self.keys, wanted[at]), len(self.keys) - 1)
             hit = self.keys[found] == wanted[at]
             out[at[hit]] = self.values[found[hit]]
         return out
 
 
+# ---------------------------------------------------------------- what is sent
+def _planes(x: np.ndarray, rising: bool = False) -> bytes:
+    """Bytes of equal weight side by side, compressed: counts are mostly zeros there.  Of values that
+    mostly rise the steps are taken, whose upper bytes are zeros."""
+    if rising:
+        x = np.diff(x, prepend=x[:1] * 0)
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+
+
+def _unplanes(b: bytes, dtype, rising: bool = False) -> np.ndarray:
+    wide = np.dtype(dtype).itemsize
+    x = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(wide, -1).T).view(dtype).ravel()
+    return np.cumsum(x, dtype=dtype) if rising else x
+
+
 # ---------------------------------------------------------------- word counts of the training texts
 def _word_counts(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, keys, counts): the exact count of every training word, sorted by hash."""
@@ -174,7 +194,7 @@ def _word_counts(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             k, n, bucket = k[order], n[order], bucket[order]
             for a, b in _cut(bucket):
-                yield pd.DataFrame({"bucket": [int(bucket[a])], "keys": [k[a:b].tobytes()], "counts": [n[a:b].tobytes()]})
+                yield pd.DataFrame({"bucket": [int(bucket[a])], "keys": [_planes(k[a:b], True)], "counts": [_planes(n[a:b])]})
 
         for pdf in batches:
             k, codes = distinct(Tokens(pdf["text"]).word)
@@ -189,9 +209,9 @@ def _word_counts(docs: DataFrame, buckets: int) -> DataFrame:
             yield from flush()
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, inverse = distinct(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]]))
-        n = np.bincount(inverse, np.concatenate([np.frombuffer(x, np.int64) for x in pdf["counts"]])).astype(np.int64)
-        return pd.DataFrame({"bucket": pdf["bucket"][:1], "keys": [k.tobytes()], "counts": [n.tobytes()],
+        k, inverse = distinct(np.concatenate([_unplanes(x, np.uint64, True) for x in pdf["keys"]]))
+        n = np.bincount(inverse, np.concatenate([_unplanes(x, np.int64) for x in pdf["counts"]])).astype(np.int64)
+        return pd.DataFrame({"bucket": pdf["bucket"][:1], "keys": [_planes(k, True)], "counts": [_planes(n)],
                              "words": [len(k)], "tokens": [int(n.sum())]})
 
     return (docs.where("train").select("text").mapInPandas(count, "bucket long, keys binary, counts binary")
@@ -205,7 +225,7 @@ def _flags(words: DataFrame, limits: Limits) -> np.ndarray:
         out = np.zeros((2, 1 << FLAG_BITS), bool)
         for pdf in batches:
             for k, n in zip(pdf["keys"], pdf["counts"]):
-                k, n = np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)
+                k, n = _unplanes(k, np.uint64, True), _unplanes(n, np.int64)
                 out[0, _flag_at(k[n >= limits.next])] = True
                 out[1, _flag_at(k[n >= limits.context])] = True
         bits = np.packbits(out, axis=1)
@@ -226,16 +246,6 @@ def _flags(words: DataFrame, limits: Limits) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- the exchanges
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side: mostly zeros for counts, which compress well."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-
-
-def _unplanes(b: bytes, dtype) -> np.ndarray:
-    wide = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(wide, -1).T).view(dtype).ravel()
-
-
 class Messages:
     """What one block sends to the buckets."""
 
@@ -249,7 +259,7 @@ class Messages:
         order, bucket = word_order(keys, self.buckets)
         keys = keys[order]
         for a, b in _cut(bucket):
-            self.rows.append((int(bucket[a]), self.block, _WORD, keys[a:b].tobytes(), b"", 0, 0))
+            self.rows.append((int(bucket[a]), self.block, _WORD, _planes(keys[a:b], True), b"", 0, 0))
 
     def sequences(self, places: np.ndarray, train: np.ndarray) -> None:
         keys, codes = distinct(places)
@@ -258,7 +268,7 @@ class Messages:
         keys, counts = keys[order], counts[order]
         for a, b in _cut(bucket):
             n = counts[a:b]
-            self.rows.append((int(bucket[a]), self.block, _SEQUENCE, keys[a:b].astype(np.uint32).tobytes(),
+            self.rows.append((int(bucket[a]), self.block, _SEQUENCE, _planes(keys[a:b].astype(np.uint32), True),
                               _planes(n[n > 1].astype(np.uint32)), int((n == 1).sum()), int((n == 0).sum())))
 
     def contexts(self, on, context, n, share, count, below, train) -> None:
@@ -272,11 +282,10 @@ class Messages:
         weight = np.where(use, 1 - DISCOUNT / np.maximum(count[at], 1), 0.0)
         gain = np.where(use, weight * np.log(np.where(use, share[at], 1.0) / np.where(use, below[at], 1.0)), 0.0)
         sums = np.stack([n[at][first], np.bincount(inverse, gain, len(keys)), np.bincount(inverse, weight, len(keys))], 1)
-        bucket = ((keys * _A) >> np.uint64(32)) % np.uint64(self.buckets)
-        order = np.argsort(bucket, kind="stable")
-        keys, sums, bucket = keys[order], sums[order].astype(np.float32), bucket[order]
+        order, bucket = context_order(keys, self.buckets)
+        keys, sums = keys[order], sums[order].astype(np.float32)
         for a, b in _cut(bucket):
-            self.rows.append((int(bucket[a]), self.block, _CONTEXT, keys[a:b].tobytes(), sums[a:b].tobytes(), 0, 0))
+            self.rows.append((int(bucket[a]), self.block, _CONTEXT, _planes(keys[a:b], True), _planes(sums[a:b].T.ravel()), 0, 0))
 
     def frame(self) -> pd.DataFrame:
         return pd.DataFrame(self.rows, columns=self.columns)
@@ -284,8 +293,8 @@ class Messages:
 
 def _answers(messages: DataFrame, limits: Limits) -> DataFrame:
     """One row per block: what the buckets answer to its messages.  Words get their counts,
-    sequences theirs if they are frequent enough (else 0), both in the order asked; of the
-    contexts those that pass the divergence test are named, with the mass left to the suffix."""
+    sequences theirs if they are frequent enough (else 0), contexts that pass the divergence test
+    the count left to the suffix (else 0), all in the order asked."""
     limits = Limits(limits.total, limits.distinct, limits.buckets)  # without the flags
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -293,13 +302,12 @@ def _answers(messages: DataFrame, limits: Limits) -> DataFrame:
         kinds = {k: part for k, part in pdf.groupby("kind")}
         if _WORD in kinds:
             held = kinds.get(_TABLE, pdf.iloc[:0])
-            known = Lookup([np.frombuffer(x, np.uint64) for x in held["keys"]], [np.frombuffer(x, np.int64) for x in held["counts"]], np.int64)
+            known = Lookup([_unplanes(x, np.uint64, True) for x in held["keys"]], [_unplanes(x, np.int64) for x in held["counts"]], np.int64)
             for block, k in zip(kinds[_WORD]["block"], kinds[_WORD]["keys"]):
-                k = np.frombuffer(k, np.uint64)
-                rows.append((block, bucket, _WORD, b"", _planes(known.get(k))))
+                rows.append((block, bucket, _WORD, b"", _planes(known.get(_unplanes(k, np.uint64, True)))))
         if _SEQUENCE in kinds:
             asked = kinds[_SEQUENCE]
-            keys = [np.frombuffer(x, np.uint32) for x in asked["keys"]]
+            keys = [_unplanes(x, np.uint32, True) for x in asked["keys"]]
             counts = [np.concatenate([np.zeros(z, np.int64), np.ones(o, np.int64), _unplanes(c, np.uint32).astype(np.int64)])
                       for z, o, c in zip(asked["zeros"], asked["ones"], asked["counts"])]
             each, inverse = distinct(np.concatenate(keys))
@@ -311,20 +319,23 @@ def _answers(messages: DataFrame, limits: Limits) -> DataFrame:
                 at += len(k)
         if _CONTEXT in kinds:
             asked = kinds[_CONTEXT]
-            keys = [np.frombuffer(x, np.uint64) for x in asked["keys"]]
-            parts = np.concatenate([np.frombuffer(x, np.float32).reshape(-1, 3) for x in asked["counts"]]).astype(np.float64)
+            keys = [_unplanes(x, np.uint64, True) for x in asked["keys"]]
+            parts = np.concatenate([_unplanes(x, np.float32).reshape(3, -1).T for x in asked["counts"]]).astype(np.float64)
             each, inverse = distinct(np.concatenate(keys))
             n = np.zeros(len(each))
             n[inverse] = parts[:, 0]
             gain, mass = (np.bincount(inverse, parts[:, c], len(each)) for c in (1, 2))
             state = (gain >= MIN_GAIN) & (gain >= MIN_DIVERGENCE * n)
-            left = np.clip(1 - mass / n, 1e-6, 1.0)
+            # a kept next word leaves its discount, another one its count: quarters, if no hashes collide,
+            # whose lower bytes are zeros once what the blocks' sums were rounded by is gone
+            left = n - mass
+            quarters = np.rint(4 * left) / 4
+            left = np.where(np.abs(left - quarters) <= 2e-7 * n, quarters, left)
+            left = np.where(state, np.clip(left, 1e-6 * n, n), 0.0)[inverse]
             at = 0
             for block, k in zip(asked["block"], keys):
-                mine = inverse[at:at + len(k)]
+                rows.append((block, bucket, _CONTEXT, b"", _planes(left[at:at + len(k)])))
                 at += len(k)
-                yes = state[mine]
-                rows.append((block, bucket, _CONTEXT, k[yes].tobytes(), left[mine[yes]].tobytes()))
         return pd.DataFrame(rows, columns=["block", "bucket", "kind", "keys", "values"])
 
     got = messages.groupBy("bucket").applyInPandas(answer, _ANSWER)
@@ -350,7 +361,7 @@ class State:
             return out
 
         def sequences(level: str, places: np.ndarray, use: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(places))
+            out = np.zeros(len(places), np.uint32)
             keys, codes = distinct(places[use])
             order, _ = sequence_order(keys, np.bincount(codes, train[use], len(keys)).astype(np.int64))
             out[use] = counted(level, _SEQUENCE, np.uint32, order)[codes]
@@ -362,15 +373,22 @@ class State:
         two, three = (_place(x, limits.buckets) for x in t.sequences())
         self.c2 = sequences(levels[0], two, limits.pairs(t))
         shift = lambda x: np.concatenate([x[:1] * 0, x[:-1]])
-        self.ctx1, self.ctx2, self.three = shift(t.word), shift(two), three
+        self.ctx1, self.ctx2, self.three = shift(t.word), shift(two), three if len(levels) == 1 else None
         self.n1 = np.where(t.before >= 1, shift(self.count), 0).astype(np.float64)
-        self.n2 = np.where(t.before >= 2, shift(self.c2), 0)
+        self.n2 = np.where(t.before >= 2, shift(self.c2), np.uint32(0))
         self.is1, self.is2 = self.n1 >= limits.context, self.n2 >= limits.context
         # a three-word sequence is no more frequent than its last two words
         self.ask3 = self.is2 & (self.c2 >= limits.next)
-        self.c3 = sequences(levels[1], three, self.ask3) if len(levels) > 1 else np.zeros(len(three))
-        kept = [m for c in levels for m in got[c] if m["kind"] == _CONTEXT]
-        self.kept = Lookup([np.frombuffer(m["keys"], np.uint64) for m in kept], [np.frombuffer(m["values"], np.float64) for m in kept], np.float64)
+        self.c3 = sequences(levels[1], three, self.ask3) if len(levels) > 1 else np.zeros(len(three), np.uint32)
+        if len(levels) > 2:
+            self.left1, self.left2 = (self._left(counted, *x) for x in ((levels[1], self.is1, self.ctx1, self.n1), (levels[2], self.is2, self.ctx2, self.n2)))
+
+    def _left(self, counted, level: str, on: np.ndarray, context: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Mass that the context before each place leaves to its suffix, 0 where it is no state."""
+        at, out = np.flatnonzero(on), np.zeros(len(on))
+        keys, codes = distinct(context[at])
+        out[at] = counted(level, _CONTEXT, np.float64, context_order(keys, self.limits.buckets)[0])[codes] / n[at]
+        return out
 
     def shares(self) -> tuple[np.ndarray, np.ndarray]:
         """Discounted frequencies of each word after its contexts."""
@@ -428,7 +446,7 @@ def score(docs: DataFrame, train=None) -> DataFrame:
             return pd.DataFrame(columns=["doc_id", "train", "n_tokens", "n_known", "base_score", "score", "n_states"])
         s = State(pdf, answers, ["got", "got2", "got3"], held.value)
         f1, f2 = s.shares()
-        left1, left2 = s.kept.get(s.ctx1, s.is1), s.kept.get(s.ctx2, s.is2)
+        left1, left2 = s.left1, s.left2
         on1 = left1 > 0
         on2 = on1 & (left2 > 0)
         p = np.where(on1, f1 + left1 * s.root, s.root)
