@@ -66,6 +66,48 @@ def test_new_pieces_are_encoded_together():
     assert len(calls) == 1
 
 
+def words(n, seed=4):
+    rng = np.random.default_rng(seed)
+    parts = ["an", "the", "tion", "ré", "ing", "ble", "हि", "st", "日", "ou", "ly", "ha"]
+    return list(dict.fromkeys("".join(rng.choice(parts, k)) for k in rng.integers(4, 8, n)))
+
+
+def test_pieces_reach_the_model_in_few_strings_and_keep_their_ids():
+    import public_tokenizers
+    enc = grammar_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    new, given, model = words(3000), [], enc.model
+    texts = [" ".join(new[k::20]) for k in range(20)] + ["a\x00b c", "x\x01 y\x02z", "\x02", "हिन्दी $$\nअ", "\nअ a\n\nb", "a\r\n b"]
+    enc.model = SimpleNamespace(encode_batch_fast=lambda t, **k: given.extend(t) or model.encode_batch_fast(t, **k))
+    assert [np.frombuffer(g, "<u4").tolist() + [2] for g in enc.encode(texts)] == plain_ids(texts)
+    assert sum(len(t.split()) for t in given) < len(new) / 8
+
+
+def test_forgotten_pieces_are_encoded_anew(monkeypatch):
+    import public_tokenizers
+    monkeypatch.setattr(grammar_output, "CACHE_PIECES", 50)
+    monkeypatch.setattr(grammar_output, "JOIN_STRINGS", 7, raising=False)
+    enc = grammar_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for seed in (4, 5, 4, 6):
+        texts = [" ".join(words(60, seed)), "a  b\t" + "  ".join(words(60, seed)), ""]
+        assert [np.frombuffer(g, "<u4").tolist() + [2] for g in enc.encode(texts)] == plain_ids(texts)
+
+
+def test_remembered_pieces_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+    import public_tokenizers
+    enc = grammar_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    new = words(30_000)
+    texts = [" ".join(new[k::20]) for k in range(20)]
+    enc.encode(["a b"])
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    enc.encode(texts)
+    assert tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow < 120 * len(new)
+    tracemalloc.stop()
+
+
 def test_grammar_expands_and_reads_at_random():
     rng = np.random.default_rng(1)
     motif = rng.integers(3, 60, 12)

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +33,14 @@ TOKENIZER = "byte_bpe_50k.json"
 SHARD_TOKENS = 2_000_000
 MIN_PAIR_COUNT = 32
 PAIRS_PER_ROUND = 1024
-#: What a worker process remembers: so many pieces, and as many of earlier texts.
-CACHE_PIECES = 500_000
+#: What a worker process remembers: so many pieces, and as many pre-tokens.
+CACHE_PIECES = 400_000
+#: Texts encoded together: so many, of so many characters or a single one.
+BATCH_TEXTS, BATCH_CHARS = 2_048, 6_000_000
+#: New pieces in one call of the tokenizer's model, and how many of them stand between two spaces of it.
+CALL_PIECES, CHUNK_PIECES = 10_000, 16
+#: Strings whose ids are joined at once.
+JOIN_STRINGS = 100_000
 
 SHARD_SCHEMA = ("part int, seq int, n_docs long, n_tokens long, terminals int, doc_ids binary, symbol_starts binary, "
                 "token_counts binary, rules binary, rule_lengths binary, symbols binary")
@@ -40,117 +48,139 @@ _BUCKET_BITS = 18
 
 
 # ---------------------------------------------------------------- encoding
-class Pieces(dict):
-    """Ids by piece.  A piece not met yet gets an empty array, to be filled later, and is noted in
-    ``new``; ``old`` holds the ids of earlier texts."""
-
-    def __init__(self, old: dict[str, bytes]):
-        self.old, self.new = old, {}
-
-    def __missing__(self, piece: str) -> bytes | bytearray:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.new[piece] = bytearray()
-        self[piece] = ids
-        return ids
-
-    def aged(self) -> Pieces:
-        """What was not met for a while is forgotten."""
-        if len(self) <= CACHE_PIECES:
-            return self
-        self.old = {}
-        return Pieces(self)
+class Known:
+    """Ids of the strings met before: string ``keys[k]`` has ``flat[starts[k]:starts[k + 1]]``."""
+
+    def __init__(self):
+        self.keys, self.flat, self.starts = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def meet(self, strings: pa.StringArray) -> pa.StringArray:
+        """The distinct ones of these strings that are new."""
+        met = strings.dictionary_encode()
+        self.codes, self.met = met.indices.to_numpy(), met.dictionary
+        place = pc.index_in(self.met, value_set=self.keys)
+        new = place.is_null()
+        self.place = np.where(new.to_numpy(zero_copy_only=False), -1, place.fill_null(0).to_numpy())
+        self.new = self.met.filter(new)
+        return self.new
+
+    def ids(self, new_flat: np.ndarray, new_sizes: np.ndarray, counts: np.ndarray) -> tuple[bytes, list[int]]:
+        """(ids, ends): the ids of all strings met last, ``counts`` strings for each text, and where a text's bytes end;
+        the new ones' ids are given."""
+        missing = self.place < 0
+        self.place[missing] = len(self.keys) + np.arange(len(self.new))
+        self.keys = pa.concat_arrays([self.keys, self.new])
+        self.flat = np.concatenate([self.flat, new_flat])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(new_sizes)])
+        start, size = self.starts[:-1][self.place], np.diff(self.starts)[self.place]
+        raw = b"".join(expand(self.codes[k:k + JOIN_STRINGS], start, size, self.flat).astype("<u4", copy=False).tobytes()
+                       for k in range(0, len(self.codes), JOIN_STRINGS))
+        ends = np.concatenate([[0], np.cumsum(size[self.codes])])[np.cumsum(counts)] * 4
+        if len(self.keys) > CACHE_PIECES:  # only what was met last stays
+            self.flat = expand(np.arange(len(size)), start, size, self.flat)
+            self.keys, self.starts = self.met, np.concatenate([[0], np.cumsum(size)])
+        self.codes = self.met = self.place = self.new = None
+        return raw, ends.tolist()
 
 
 class Encoder:
     """Exact ids of a byte-level BPE tokenizer, with the ids of pieces remembered.
 
     The tokenizer cuts a text before a single space or line break that stands between two
-    other characters; what stands between such cuts is a piece.  New pieces are cut into the
-    tokenizer's pre-tokens, and its model encodes those of some texts together.  Texts with any other
-    white space are cut into pre-tokens at once; those with the mark of a special token, and all
-    texts of tokenizers of other kinds, are encoded whole.
+    other characters; what stands between such cuts is a piece.  Arrow cuts a batch of texts into
+    pieces and finds the distinct ones; new ones are cut into the tokenizer's pre-tokens, and its
+    model encodes those of the batch together, parted by two characters that it never merges.
+    Texts with any other white space are cut into pre-tokens at once; those with the mark of a special
+    token or with one of the parting characters, and all texts of tokenizers of other kinds, are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
-        self.tok = Tokenizer.from_file(path)
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.size = max(vocab.values()) + 1
-        self.lengths = np.zeros(self.size, np.int64)
-        for piece, i in vocab.items():  # one character of a byte-level piece is one byte
-            self.lengths[i] = len(piece)
-        self.model = Tokenizer(self.tok.model)  # for pre-tokens in byte-level characters, none of which is white space
-        self.model.pre_tokenizer = WhitespaceSplit()
         try:
             self.pre = pre_tokenizer(path)
         except ValueError:
             self.pre = None
-        self.pieces, self.parts = Pieces({}), Pieces({})
+        self.tok = self.pre.tok if self.pre else Tokenizer.from_file(path)
+        self.size = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
+        bpe, vocab = self.tok.model, self.tok.get_vocab(with_added_tokens=False)
+        merged = set("".join(piece for piece in vocab if len(piece) > 1))
+        free = [b for b in _CONTROLS if _BYTE_LEVEL[b] in vocab and _BYTE_LEVEL[b] not in merged]
+        if (len(free) < 3 or type(bpe).__name__ != "BPE" or bpe.dropout or bpe.ignore_merges or bpe.unk_token
+                or bpe.continuing_subword_prefix or bpe.end_of_word_suffix):
+            self.pre = None
+        if self.pre:
+            self.model = Tokenizer(bpe)  # for pre-tokens in byte-level characters, none of which is white space
+            self.model.pre_tokenizer = WhitespaceSplit()
+            self.inner, self.end, self.gap = map(chr, free[:3])
+            self.inner_id, self.end_id = (vocab[_BYTE_LEVEL[b]] for b in free[:2])
+            self.chars = np.asarray([ord(_BYTE_LEVEL[b]) for b in range(256)], "<u4")
+            self.chars[free[2]] = ord(" ")
+        self.pieces, self.parts = Known(), Known()
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _each(self, pre_tokens: list[str]) -> Iterator[bytes]:
-        """The ids of each of these pre-tokens."""
-        for at in range(0, len(pre_tokens), 10_000):
-            part = ["\u0120" + t[1:] if t[0] == " " and t[1:].isalpha() and t.isascii()
-                    else t.encode().decode("latin-1").translate(_BYTE_LEVEL) for t in pre_tokens[at:at + 10_000]]
-            ids = np.asarray(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends, cuts = np.cumsum(self.lengths[ids]), np.cumsum([len(p) for p in part])
-            stops = np.searchsorted(ends, cuts)
-            if len(ids) and ends[-1] == cuts[-1] and np.array_equal(ends[stops], cuts):
-                raw, begin = ids.tobytes(), 0
-                for stop in ((stops + 1) * 4).tolist():
-                    yield raw[begin:stop]
-                    begin = stop
+    def _special(self, t: str) -> bool:
+        return (self.pre.marks is not None and self.pre.marks.search(t) is not None
+                or self.inner in t or self.end in t or self.gap in t)
+
+    def _cut(self, pieces: list[str]) -> str:
+        """The pre-tokens of each of these pieces.  In the text of all of them each begins with a space; the
+        space before a line feed is a pre-token of its own, and dropped."""
+        cut = self.inner + self.inner.join(self.pre._plain(" " + " ".join(pieces)))
+        return cut.replace(f"{self.inner} {self.inner}\n", self.end + "\n").replace(self.inner + " ", self.end + " ")[1:]
+
+    def _learn(self, pieces: list[str], parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes): ids of these pieces and pre-tokens one after the other, and how many each has."""
+        found = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+        for lo in range(0, len(pieces) + len(parts), CALL_PIECES):
+            some, more = pieces[lo:lo + CALL_PIECES], parts[max(0, lo - len(pieces)):max(0, lo + CALL_PIECES - len(pieces))]
+            text = self.end.join(([self._cut(some)] if some else []) + more) + self.end
+            raw = np.frombuffer(text.encode(), np.uint8)
+            ends = np.flatnonzero(raw == ord(self.end))
+            raw = np.insert(raw, ends[CHUNK_PIECES - 1::CHUNK_PIECES] + 1, ord(self.gap))
+            text = self.chars[raw].tobytes().decode("utf-32-le")
+            ids = np.asarray(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            kept = (ids != self.end_id) & (ids != self.inner_id)
+            stops = np.cumsum(kept)[ids == self.end_id]
+            if len(stops) == len(some) + len(more):
+                found.append((ids[kept], np.diff(stops, prepend=0)))
             else:
-                yield from map(self.whole, pre_tokens[at:at + 10_000])
-
-    def _learn(self) -> None:
-        """Fill in the ids of all new pieces and parts."""
-        pieces, parts, tokens, single, joined = self.pieces, self.parts, [], [], []
-        while pieces.new:
-            new, pieces.new = pieces.new, {}
-            for p, ids in new.items():
-                if p.isascii() and p.isalpha():
-                    tokens.append(" " + p)
-                    single.append((pieces, p, ids))
-                    continue
-                if p[-1] in ".," and p.isascii() and p[:-1].isalpha():
-                    cuts = [" " + p[:-1], p[-1]]
-                else:  # with the space before it, or the line feed that it begins with
-                    cuts = self.pre.split(p if p[0] == "\n" else " " + p)
-                if len(cuts) == 1:
-                    tokens.append(cuts[0])
-                    single.append((pieces, p, ids))
-                else:
-                    joined.append((p, ids, [pieces[c[1:]] if c[0] == " " and len(c) > 1 else parts[c] for c in cuts]))
-        tokens += parts.new
-        single += [(parts, c, ids) for c, ids in parts.new.items()]
-        parts.new = {}
-        for (held, p, ids), got in zip(single, self._each(tokens)):
-            ids[:] = held[p] = got
-        for p, ids, of in reversed(joined):  # what one is made of was noted after it
-            ids[:] = pieces[p] = b"".join(of)
+                raw = [self.whole(t) for t in [p if p[0] == "\n" else " " + p for p in some] + more]
+                found.append((np.frombuffer(b"".join(raw), "<u4"), np.asarray([len(r) // 4 for r in raw], np.int64)))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.pieces, self.parts = self.pieces.aged(), self.parts.aged()
-        piece, part, found = self.pieces.__getitem__, self.parts.__getitem__, []
-        for t in texts:
-            if not t:
-                found.append([])
-            elif self.pre is None or self.pre.marks is not None and self.pre.marks.search(t):
-                found.append([self.whole(t)])
-            elif regular(t):
-                first, *items = t.replace("\n", " \n").split(" ")
-                found.append([*map(part, self.pre.split(first)), *map(piece, items)])
-            else:
-                found.append(list(map(part, self.pre.split(t))))
-        self._learn()
-        return list(map(b"".join, found))
+        rests, n_rest, parts, n_parts, whole = [], [], [], [], {}
+        for k, t in enumerate(texts):
+            rest, of = "", []
+            if t:
+                if self.pre is None or self._special(t):
+                    whole[k] = self.whole(t)
+                elif regular(t):
+                    first, _, rest = t.replace("\n", " \n").partition(" ")
+                    of = self.pre._plain(first)
+                else:
+                    of = self.pre._plain(t)
+            if rest:
+                rests.append(rest)
+            n_rest.append(bool(rest))
+            parts += of
+            n_parts.append(len(of))
+        cuts = pc.split_pattern(pa.array(rests, pa.string()), " ")
+        n_pieces = np.zeros(len(texts), np.int64)
+        n_pieces[np.asarray(n_rest, bool)] = cuts.value_lengths().to_numpy()
+        pieces, parts = self.pieces.meet(cuts.flatten()), self.parts.meet(pa.array(parts, pa.string()))
+        ids, sizes = self._learn(pieces.to_pylist(), parts.to_pylist())
+        at, n = len(pieces), int(sizes[:len(pieces)].sum())
+        of_parts, part_ends = self.parts.ids(ids[n:], sizes[at:], np.asarray(n_parts, np.int64))
+        of_pieces, piece_ends = self.pieces.ids(ids[:n], sizes[:at], n_pieces)
+        out = [of_parts[a:b] + of_pieces[c:d] for a, b, c, d in zip([0, *part_ends], part_ends, [0, *piece_ends], piece_ends)]
+        for k, got in whole.items():
+            out[k] = got
+        return out
 
 
 def _byte_level() -> dict[int, str]:
@@ -161,6 +191,8 @@ def _byte_level() -> dict[int, str]:
 
 
 _BYTE_LEVEL = _byte_level()
+#: Control characters that are not white space.
+_CONTROLS = (*range(9), *range(0x0E, 0x1C), 0x7F)
 
 
 #: White space other than the space and the line feed.
@@ -284,8 +316,7 @@ class Shard:
 def _pack(part: int, seq: int, ids: list, chunks: list[bytes], terminals: int, end_id: int) -> dict:
     end = np.asarray([end_id], "<u4").tobytes()
     counts = np.asarray([len(c) // 4 + 1 for c in chunks], "<i8")
-    stream = np.frombuffer(b"".join(c + end for c in chunks), "<u4")
-    symbols, rules, lengths = compress(stream, terminals, end_id)
+    symbols, rules, lengths = compress(np.frombuffer(end.join(chunks) + end, "<u4"), terminals, end_id)
     size = np.concatenate([np.ones(terminals, np.int64), lengths.astype(np.int64)])
     stops = np.cumsum(size[symbols])
     starts = np.concatenate([[0], np.searchsorted(stops, np.cumsum(counts)) + 1]).astype("<i8")
@@ -300,6 +331,22 @@ def _pack(part: int, seq: int, ids: list, chunks: list[bytes], terminals: int, e
 _NULL_ID = -(1 << 63)
 
 
+def _row(shard: dict) -> pa.RecordBatch:
+    types = {"part": pa.int32(), "seq": pa.int32(), "terminals": pa.int32(), "n_docs": pa.int64(), "n_tokens": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([v], types.get(k, pa.binary())) for k, v in shard.items()], names=list(shard))
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows that are encoded together."""
+    ends, lo = np.cumsum(pc.binary_length(batch.column("text")).to_numpy()), 0
+    while lo < len(ends):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = int(np.searchsorted(ends, before + BATCH_CHARS, "right"))
+        hi = max(lo + 1, min(hi, lo + BATCH_TEXTS))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def write_shards(docs: DataFrame, order: list[str] | None = None, tokenizer_path: str | None = None,
                  end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode ``docs(doc_id, text)`` in ``order`` (default: ascending ``doc_id``) and write
@@ -312,24 +359,24 @@ def write_shards(docs: DataFrame, order: list[str] | None = None, tokenizer_path
     names = [f"_k{i}" for i in range(len(keys))]
     rows = rows.repartitionByRange(*names).sortWithinPartitions(*names, "doc_id", "text").select("doc_id", "text")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq, ids, chunks, held = encoder(tokenizer_path), TaskContext.get().partitionId(), 0, [], [], 0
         terminals = max(enc.size, end_id + 1)
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                piece = pdf.iloc[lo:lo + 256]
-                got = piece["doc_id"].astype("Int64").fillna(_NULL_ID).astype("int64").tolist()
-                for i, c in zip(got, enc.encode(piece["text"].tolist())):
+        for batch in batches:
+            for some in _slices(batch):
+                got = some.column("doc_id").fill_null(_NULL_ID).to_pylist()
+                for i, c in zip(got, enc.encode(some.column("text").to_pylist())):
                     ids.append(i)
                     chunks.append(c)
                     held += len(c) // 4 + 1
                     if held >= shard_tokens:
-                        yield pd.DataFrame([_pack(part, seq, ids, chunks, terminals, end_id)])
+                        yield _row(_pack(part, seq, ids, chunks, terminals, end_id))
                         seq, ids, chunks, held = seq + 1, [], [], 0
         if ids:
-            yield pd.DataFrame([_pack(part, seq, ids, chunks, terminals, end_id)])
+            yield _row(_pack(part, seq, ids, chunks, terminals, end_id))
+        pa.default_memory_pool().release_unused()
 
-    return saved(rows.mapInPandas(pack, SHARD_SCHEMA), "token-shards")
+    return saved(rows.mapInArrow(pack, SHARD_SCHEMA), "token-shards")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
