@@ -92,7 +92,7 @@ def test_forgotten_pieces_are_encoded_anew(monkeypatch):
         assert [np.frombuffer(g, "<u4").tolist() + [2] for g in enc.encode(texts)] == plain_ids(texts)
 
 
-def test_remembered_pieces_take_little_memory():
+def test_remembered_pieces_and_a_shards_grammar_take_little_memory():
     import tracemalloc
 
     import pyarrow as pa
@@ -105,7 +105,24 @@ def test_remembered_pieces_take_little_memory():
     arrow = pa.total_allocated_bytes()
     enc.encode(texts)
     assert tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow < 120 * len(new)
+    seq = np.tile(np.random.default_rng(5).integers(3, 900, 10_000), 100).astype(np.uint32)
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    grammar_output.compress(seq, 1000, 2)
+    peak = tracemalloc.get_traced_memory()[1] - before
     tracemalloc.stop()
+    assert peak < 45 * len(seq)
+
+
+def test_late_rounds_look_at_few_places(monkeypatch):
+    """Once all frequent pairs were counted, a round does not hash the whole shard again."""
+    rng, scans, partition = np.random.default_rng(6), [], np.partition
+    motif = rng.integers(3, 4000, 64)
+    seq = np.concatenate([np.append(np.concatenate([rng.integers(3, 4000, 100), motif]), 2) for _ in range(200)]).astype(np.uint32)
+    monkeypatch.setattr(np, "partition", lambda *a, **k: scans.append(1) or partition(*a, **k))
+    symbols, rules, lengths = grammar_output.compress(seq, 4000, 2)
+    assert len(scans) == 1 and len(rules) >= 63
+    assert grammar_output.expand(symbols, *grammar_output.expansions(rules, lengths, 4000)).tolist() == seq.tolist()
 
 
 def test_grammar_expands_and_reads_at_random():

@@ -226,33 +226,44 @@ def compress(seq: np.ndarray, terminals: int, end_id: int = END_ID) -> tuple[np.
     from left to right, without overlaps, until no pair occurs ``MIN_PAIR_COUNT`` times.  The end id is never part of a rule, so no rule spans documents."""
     seq = seq.astype(np.uint32)
     rules: list[np.ndarray] = []
-    n_rules, lengths = 0, np.ones(terminals, np.uint32)
+    n_rules, lengths, at = 0, np.ones(terminals, np.uint32), None
     while len(seq) >= 2:
-        bucket = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BUCKET_BITS)
-        # a pair cannot be more frequent than its bucket: pairs of emptier buckets need no count of their own
-        counts = np.bincount(bucket, minlength=1 << _BUCKET_BITS)
-        floor = max(MIN_PAIR_COUNT, int(np.partition(counts, -2 * PAIRS_PER_ROUND)[-2 * PAIRS_PER_ROUND]))
+        if at is None:
+            bucket = seq[:-1] * np.uint32(0x9E3779B1)
+            bucket += seq[1:] * np.uint32(0x85EBCA77)
+            bucket >>= np.uint32(32 - _BUCKET_BITS)
+            ends = np.flatnonzero(seq == end_id)
+            bucket[ends[ends < len(bucket)]] = bucket[ends[ends > 0] - 1] = 1 << _BUCKET_BITS
+            # a pair cannot be more frequent than its bucket: pairs of emptier buckets need no count of their own
+            counts = np.bincount(bucket, minlength=(1 << _BUCKET_BITS) + 1)
+            counts[-1] = 0
+            floor = max(MIN_PAIR_COUNT, int(np.partition(counts, -2 * PAIRS_PER_ROUND)[-2 * PAIRS_PER_ROUND]))
         while True:
-            at = np.flatnonzero((counts >= floor)[bucket])
-            at = at[(seq[at] != end_id) & (seq[at + 1] != end_id)]
-            pairs = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-            codes, each = pd.factorize(pairs)
+            if at is None:
+                at = np.flatnonzero(np.take(counts >= floor, bucket))
+            pairs = seq[at].astype(np.uint64)
+            pairs <<= np.uint64(32)
+            pairs |= seq[at + 1]
+            found = pa.array(pairs).dictionary_encode()
+            codes, each, pairs = found.indices.to_numpy(), found.dictionary.to_numpy(), None
             n = np.bincount(codes, minlength=len(each))
             order = np.argsort(-n, kind="stable")[:PAIRS_PER_ROUND]
             order = order[n[order] >= MIN_PAIR_COUNT]
             least = int(n[order[-1]]) if len(order) == PAIRS_PER_ROUND else MIN_PAIR_COUNT
             if least >= floor:  # pairs of the buckets left out are less frequent than all of these
                 break
-            floor = least
+            floor, at = least, None
         if not len(order):
             break
+        bucket = None
         rule_of = np.full(len(each), -1, np.int32)
         rule_of[order] = np.arange(len(order))
         rule = rule_of[codes]
+        places = at[n[codes] >= MIN_PAIR_COUNT] if floor == MIN_PAIR_COUNT else None
         at, rule = at[rule >= 0], rule[rule >= 0]
         begins = np.concatenate([[True], np.diff(at) != 1])  # runs of overlapping places: take every other one
-        offset = np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
-        take = offset % 2 == 0
+        index = np.arange(len(at))
+        take = (index - np.maximum.accumulate(np.where(begins, index, 0))) % 2 == 0
         at, rule = at[take], rule[take]
         used = np.bincount(rule, minlength=len(order)) > 0  # others may have taken all places of a pair
         rule = (np.cumsum(used) - 1)[rule]
@@ -265,6 +276,15 @@ def compress(seq: np.ndarray, terminals: int, end_id: int = END_ID) -> tuple[np.
         gone = np.ones(len(seq), bool)
         gone[at + 1] = False
         seq = seq[gone]
+        if places is None:
+            at = None
+        else:  # a pair frequent from now on was so before or holds a new symbol: only these places are looked at
+            made = at - np.arange(len(at))
+            places = places[gone[places]]
+            places = places - np.searchsorted(at + 1, places)
+            at = np.union1d(places, np.concatenate([made - 1, made]))
+            at = at[(at >= 0) & (at < len(seq) - 1)]
+            at = at[(seq[at] != end_id) & (seq[at + 1] != end_id)]
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), lengths[terminals:]
 
 
